@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tipoff.llm import bpe, media, packing, rules, tokencount
+from tipoff.llm import bpe, media, packing, rules, tokencount, warc
 from tipoff.llm.common import map_batches
 
 
@@ -40,6 +40,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_batches(encoded, digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, _table(spark, sf_dir, "pages"), min_revisit_bytes=0)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.measure(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
 
@@ -58,6 +62,7 @@ def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_warc": op3_warc,
     "op4_quality_rules": op4_quality_rules,
     "op6_packing": op6_packing,
     "op9_token_counts": op9_token_counts,

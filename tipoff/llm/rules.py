@@ -80,6 +80,17 @@ class _Words:
 
 
 WORDS = _Words()
+
+
+def common_histogram(words: np.ndarray, lang: int) -> np.ndarray:
+    """Counts of the language's common words, and of all other words last.
+
+    Hashes of bytes differ between processes: tasks must reach the table through
+    this function, which they import, not through a pickled copy of it.
+    """
+    return WORDS.histogram(words, lang)
+
+
 _SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\x0b\x0c\r"
 
@@ -151,7 +162,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
         sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                c, w = class_histogram(text), WORDS.histogram(word_hashes(text), lang)
+                c, w = class_histogram(text), common_histogram(word_hashes(text), lang)
                 if lang in sums:
                     sums[lang][0][:] += c
                     sums[lang][1][:] += w
@@ -181,7 +192,7 @@ def judge(text: str, lang: int, refs: list[tuple[np.ndarray, np.ndarray]], rules
     dc = dw = 0.0
     if n >= rules.guard_words:
         dc = round(distance(class_histogram(text), refs[lang][0]), 6)
-        dw = round(distance(WORDS.histogram(words, lang), refs[lang][1]), 6)
+        dw = round(distance(common_histogram(words, lang), refs[lang][1]), 6)
     return n, chars, symbols, dup_lines, repeats, failed, dc, dw, not failed and dc <= rules.max_class_distance and dw <= rules.max_word_distance
 
 
