@@ -15,6 +15,7 @@ source or one text changes nothing but the neighbours.
 from __future__ import annotations
 
 import functools
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -25,14 +26,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tipoff.llm.bpe import PairIndexBpe
-from tipoff.llm.common import CACHE_ENTRIES, bounded_batches, text_or_empty
+from tipoff.llm.bpe import _BEYOND, PairIndexBpe
+from tipoff.llm.common import bounded_batches, text_or_empty
 
 #: Tokens of one shard: bounds the memory of a task.
 SHARD_TOKENS = 6_000_000
 #: Terms of a seed that query the index, and BM25's parameters.
 QUERY_TERMS, K1, B = 12, 1.2, 0.75
 
+#: Marks that are pieces of their own after a word.
+_MARKS = ".,;:!?"
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -46,25 +50,53 @@ class LibraryIds(PairIndexBpe):
         self._library = Tokenizer.from_file(path)
         self._library.no_truncation()
         self._library.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        # for words of lower-case letters: nothing to normalise, nothing to cut but at spaces
+        spec["normalizer"] = None
+        spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}]}
+        spec["added_tokens"] = []
+        self._word_library = Tokenizer.from_str(json.dumps(spec))
+        self._tails: dict[str, bytes] = {}
         self._ends = np.array([t.endswith(self.suffix) for t in self.tokens]) if self.suffix else None
 
     def _learn(self, chunks: set[str]) -> None:
-        cache = self._chunks
-        one = [c for c in chunks if c.isascii() and c.isalpha()] if self._ends is not None else []
-        for i in range(0, len(one), 2000):  # letters only: one piece each, that ends where a token ends a word
-            block = one[i : i + 2000]
-            ids = np.array(self._library.encode_batch_fast([" ".join(block)], add_special_tokens=False)[0].ids, np.uint32)
-            stops = (np.flatnonzero(self._ends[ids]) + 1) * 4
-            packed, start = ids.tobytes(), 0
-            for c, stop in zip(block, stops.tolist(), strict=True):
-                cache[c] = packed[start:stop]
-                start = stop
-        rest = list(chunks.difference(one))
+        """Most new chunks are a word, new or known, with or without end marks."""
+        cache, tails = self._chunks, self._tails
+        parts, words, rest = [], set(), []
+        for c in chunks:
+            word = c.rstrip(_MARKS)
+            if self._ends is None or not word.isalpha() or _BEYOND.search(word) or "İ" in word:
+                rest.append(c)
+                continue
+            word, tail = word.lower(), c[len(word) :]
+            if tail not in tails:
+                tails[tail] = self._one(tail)
+            parts.append((c, word, tails[tail]))
+            if word not in cache:
+                words.add(word)
+        self._learn_words(list(words))
+        for c, word, tail in parts:
+            cache[c] = cache[word] + tail if tail else cache[word]
         for i in range(0, len(rest), 2000):
             block = rest[i : i + 2000]
             for c, e in zip(block, self._library.encode_batch_fast(block, add_special_tokens=False), strict=True):
                 cache[c] = array("I", e.ids).tobytes()
 
+    def _one(self, text: str) -> bytes:
+        return array("I", self._library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Letters only: one piece each, that ends where a token ends a word."""
+        for i in range(0, len(words), 2000):
+            block = words[i : i + 2000]
+            ids = np.array(self._word_library.encode_batch_fast([" ".join(block)], add_special_tokens=False)[0].ids, np.uint32)
+            stops = ((np.flatnonzero(self._ends[ids]) + 1) * 4).tolist()
+            packed, start = ids.tobytes(), 0
+            for word, stop in zip(block, stops, strict=True):
+                self._chunks[word] = packed[start:stop]
+                start = stop
+
 
 @functools.lru_cache(maxsize=2)
 def load(path: str) -> LibraryIds:
