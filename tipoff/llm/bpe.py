@@ -172,42 +172,40 @@ class PairIndexBpe:
             self._chunks[c] = known[ps[0]] if len(ps) == 1 else b"".join(map(known.__getitem__, ps))
 
     def encode_packed(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts as little-endian unsigned 32-bit integers."""
-        cut: list[list[list[str] | str]] = []
-        for text in texts:
-            runs: list[list[str] | str] = []
-            for special, x in self.segments(text):
-                if special:
-                    runs.append(x)
-                elif any(c in x for c in _CONTROL):
-                    runs.append([y for y in _SPACE.split(x) if y])
-                else:
-                    runs.append(x.split())
-            cut.append(runs)
-        out = []
-        get = None
-        # a learning step covers as many texts as hold a bounded number of chunks
+        """Ids of whole texts as little-endian unsigned 32-bit integers.
+
+        Chunks are looked up for a block of texts; those that the cache lacks are
+        learned together, so that the index spans the block's new pieces.
+        """
+        out: list[bytes] = []
         i = 0
-        while i < len(cut):
-            j, size = i, 0
-            while j < len(cut) and (j == i or size < 200_000):
-                size += sum(len(r) for r in cut[j] if not isinstance(r, str))
-                j += 1
-            wanted: set[str] = set()
-            for runs in cut[i:j]:
-                for r in runs:
-                    if not isinstance(r, str):
-                        wanted.update(r)
-            missing = wanted.difference(self._chunks)
+        while i < len(texts):
+            block, gaps, missing, size = [], [], set(), 0
+            while i < len(texts) and (not block or size < 400_000):
+                runs = []
+                for special, x in self.segments(texts[i]):
+                    if special:
+                        runs.append([array("I", [self.special[x]]).tobytes()])
+                        continue
+                    chunks = [y for y in _SPACE.split(x) if y] if any(c in x for c in _CONTROL) else x.split()
+                    found = list(map(self._chunks.get, chunks))
+                    if None in found:
+                        at = [k for k, v in enumerate(found) if v is None]
+                        new = [chunks[k] for k in at]
+                        missing.update(new)
+                        gaps.append((found, at, new))
+                    runs.append(found)
+                    size += len(chunks)
+                block.append(runs)
+                i += 1
             if missing:
                 if len(self._chunks) + len(missing) > CACHE_ENTRIES:
                     self._chunks = trimmed(self._chunks)
-                    missing = wanted.difference(self._chunks)
                 self._learn(missing)
-            get = self._chunks.__getitem__
-            for runs in cut[i:j]:
-                out.append(b"".join([array("I", [self.special[r]]).tobytes() if isinstance(r, str) else b"".join(map(get, r)) for r in runs]))
-            i = j
+                for found, at, new in gaps:
+                    for k, c in zip(at, new, strict=True):
+                        found[k] = self._chunks[c]
+            out += [b"".join(runs[0]) if len(runs) == 1 else b"".join(map(b"".join, runs)) for runs in block]
         return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:

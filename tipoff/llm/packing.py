@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -26,16 +27,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tipoff.llm.bpe import _BEYOND, PairIndexBpe
+from tipoff.llm.bpe import PairIndexBpe
 from tipoff.llm.common import bounded_batches, text_or_empty
 
 #: Tokens of one shard: bounds the memory of a task.
 SHARD_TOKENS = 6_000_000
 #: Terms of a seed that query the index, and BM25's parameters.
-QUERY_TERMS, K1, B = 12, 1.2, 0.75
+QUERY_TERMS, K1, B = 8, 1.2, 0.75
 
-#: Marks that are pieces of their own after a word.
-_MARKS = ".,;:!?"
+#: Lower-case words that a worker keeps, besides the chunks.
+WORD_ENTRIES = 900_000
+#: A word of Latin letters and the marks after it, which are pieces of their own.
+#: Without the dotted capital I, whose lower case is two characters, and the apostrophe.
+_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@[-^`{-~]*)")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -58,26 +62,31 @@ class LibraryIds(PairIndexBpe):
         spec["added_tokens"] = []
         self._word_library = Tokenizer.from_str(json.dumps(spec))
         self._tails: dict[str, bytes] = {}
+        self._words: dict[str, bytes] = {}
         self._ends = np.array([t.endswith(self.suffix) for t in self.tokens]) if self.suffix else None
 
     def _learn(self, chunks: set[str]) -> None:
         """Most new chunks are a word, new or known, with or without end marks."""
         cache, tails = self._chunks, self._tails
+        if len(self._words) > WORD_ENTRIES:
+            self._words = {}
+        known = self._words
         parts, words, rest = [], set(), []
+        fits = _WORD.fullmatch if self._ends is not None else lambda c: None
         for c in chunks:
-            word = c.rstrip(_MARKS)
-            if self._ends is None or not word.isalpha() or _BEYOND.search(word) or "İ" in word:
+            plain = fits(c)
+            if plain is None:
                 rest.append(c)
                 continue
-            word, tail = word.lower(), c[len(word) :]
+            word, tail = plain[1].lower(), plain[2]
             if tail not in tails:
                 tails[tail] = self._one(tail)
             parts.append((c, word, tails[tail]))
-            if word not in cache:
+            if word not in known:
                 words.add(word)
         self._learn_words(list(words))
         for c, word, tail in parts:
-            cache[c] = cache[word] + tail if tail else cache[word]
+            cache[c] = known[word] + tail if tail else known[word]
         for i in range(0, len(rest), 2000):
             block = rest[i : i + 2000]
             for c, e in zip(block, self._library.encode_batch_fast(block, add_special_tokens=False), strict=True):
@@ -94,7 +103,7 @@ class LibraryIds(PairIndexBpe):
             stops = ((np.flatnonzero(self._ends[ids]) + 1) * 4).tolist()
             packed, start = ids.tobytes(), 0
             for word, stop in zip(block, stops, strict=True):
-                self._chunks[word] = packed[start:stop]
+                self._words[word] = packed[start:stop]
                 start = stop
 
 
