@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -49,6 +50,19 @@ class Workspace:
         df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
+    def rest(self) -> None:
+        """Let Spark's cleaner remove the shuffle files of steps that are done."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+    def bucketed(self, df: DataFrame, key: str) -> DataFrame:
+        """Write df as a table bucketed and sorted by key: later joins on the key move
+        only their other side.  The table lies in the warehouse, which is shared."""
+        name = f"tipoff_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("compression", "zstd").saveAsTable(name)
+        return self.spark.table(name)
+
     def drop(self, name: str) -> None:
         """Delete a table that nothing will read again."""
         jvm = self.spark._jvm

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tipoff.llm import bpe, classifier, media, packing, rules, tokencount, warc
+from tipoff.llm import bpe, classifier, fmindex, media, packing, rules, tokencount, warc
 from tipoff.llm.common import map_batches
 
 
@@ -48,6 +48,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.measure(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
 
 
+def op5_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = fmindex.dedup_words(_table(spark, sf_dir, "documents").select("doc_id", "text"), width=35)
+    return kept.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -69,10 +74,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_warc": op3_warc,
     "op4_quality_rules": op4_quality_rules,
+    "op5_fm_dedup": op5_fm_dedup,
     "op6_packing": op6_packing,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_token_counts": op9_token_counts,
     "op10_telephony": op10_telephony,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_fm_dedup": r"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select r, i, array_to_string(w[i : i + 34], ' ') as t from (select r, w, unnest(range(1, len(w) - 33)) as i from d where len(w) >= 35)),
+t as (select t from s group by t having count(*) > 1),
+x as (select distinct r, i + k as i from s join t using (t), (select unnest(range(0, 35)) as k)),
+g as (select r, list(i) as gone, count(*) as n from x group by r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n, 0) as bigint) as n_removed,
+       sha256(array_to_string(case when n is null then w else list_filter(w, lambda v, i: not list_contains(gone, i)) end, ' ')) as kept_sha256
+from d left join g using (r)
+""",
+}

@@ -96,9 +96,13 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Regions:
-    """Runs of windows with one name; ``start`` and ``windows`` in symbols."""
+    """Runs of windows with one name; ``start`` and ``windows`` in symbols.
+
+    ``own`` tells that the gram of the name occurs twice in the region, so that two
+    of its own windows may be equal (periodic text)."""
 
     name: np.ndarray
+    own: np.ndarray
     content: np.ndarray
     start: np.ndarray
     windows: np.ndarray
@@ -112,8 +116,17 @@ def regions(symbols: np.ndarray, width: int, gram: int) -> Regions:
     """
     n = len(symbols) - width + 1
     if n <= 0:
-        return Regions(np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    names = sliding_min(Rolling(symbols, 0).grams(gram), width - gram + 1)
+        return Regions(np.zeros(0, U64), np.zeros(0, bool), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    reach = width - gram + 1
+    grams = Rolling(symbols, 0).grams(gram)
+    names = sliding_min(grams, reach)
     start = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
     stop = np.append(start[1:], n)
-    return Regions(names[start], Rolling(symbols, 1).spans(start, stop + width - 1), start, stop - start)
+    # a gram is the smallest of some window if the largest name of the windows over it is its own
+    edge = np.zeros(reach - 1, U64)
+    least = np.flatnonzero(~sliding_min(~np.concatenate([edge, names, edge]), reach) == grams)
+    low, high = np.searchsorted(least, start), np.searchsorted(least, stop + reach - 1)
+    region = np.repeat(np.arange(len(start)), high - low)
+    at = np.arange(len(region)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)
+    own = np.bincount(region[grams[least[at]] == names[start][region]], minlength=len(start)) > 1
+    return Regions(names[start], own, Rolling(symbols, 1).spans(start, stop + width - 1), start, stop - start)
