@@ -122,11 +122,16 @@ def regions(symbols: np.ndarray, width: int, gram: int) -> Regions:
     names = sliding_min(grams, reach)
     start = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
     stop = np.append(start[1:], n)
+    own = twice_named(grams, names, start, stop, reach)
+    return Regions(names[start], own, Rolling(symbols, 1).spans(start, stop + width - 1), start, stop - start)
+
+
+def twice_named(grams: np.ndarray, names: np.ndarray, start: np.ndarray, stop: np.ndarray, reach: int) -> np.ndarray:
+    """Which runs of windows [start, stop) have the gram of their name at two places."""
     # a gram is the smallest of some window if the largest name of the windows over it is its own
     edge = np.zeros(reach - 1, U64)
     least = np.flatnonzero(~sliding_min(~np.concatenate([edge, names, edge]), reach) == grams)
     low, high = np.searchsorted(least, start), np.searchsorted(least, stop + reach - 1)
-    region = np.repeat(np.arange(len(start)), high - low)
-    at = np.arange(len(region)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)
-    own = np.bincount(region[grams[least[at]] == names[start][region]], minlength=len(start)) > 1
-    return Regions(names[start], own, Rolling(symbols, 1).spans(start, stop + width - 1), start, stop - start)
+    run = np.repeat(np.arange(len(start)), high - low)
+    at = np.arange(len(run)) - np.repeat(np.cumsum(high - low) - high, high - low)
+    return np.bincount(run[grams[least[at]] == names[start][run]], minlength=len(start)) > 1
