@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tipoff.llm.common import Workspace, map_batches
 from tipoff.llm.regions import U64, Rolling, mix, sliding_min, twice_named
-from tipoff.llm.repeats import Unit, remove_repeats, signed
+from tipoff.llm.repeats import Unit, keep_characters, remove_repeats, signed
 
 #: Further names that narrow a region.
 NAMES = 12
@@ -229,3 +229,15 @@ def dedup_bytes(docs: DataFrame, width: int = 400, gram: int = 64, base: int = 1
     """
     unit = Unit(False, width, gram)
     return remove_repeats(docs, unit, judge_bytes(unit, base), "doubling", text_col)
+
+
+def clean_texts(docs: DataFrame, width: int = 400, gram: int = 64, base: int = 100) -> DataFrame:
+    """docs with the repeated bytes cut out of ``text`` and ``n_chars`` brought up to date.
+
+    Characters that a cut has split are dropped; null texts stay null.
+    """
+    unit = Unit(False, width, gram)
+    marked = docs.withColumn("__null", F.col("text").isNull())
+    got = remove_repeats(marked, unit, judge_bytes(unit, base), "doubling", keep=keep_characters)
+    text = F.when(~F.col("__null"), F.col("kept").cast("string"))
+    return got.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tipoff.llm import bpe, classifier, doubling, fmindex, media, packing, rules, tokencount, warc
+from tipoff.llm import bpe, classifier, doubling, fmindex, media, minhash, packing, rules, tokencount, warc
 from tipoff.llm.common import map_batches
 
 
@@ -40,6 +40,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_batches(encoded, digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classed = minhash.near_classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return classed.select("doc_id", "class_id", "class_rows", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, _table(spark, sf_dir, "pages"), min_revisit_bytes=0)
 
@@ -77,6 +82,7 @@ def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_minhash": op2_minhash,
     "op3_warc": op3_warc,
     "op4_quality_rules": op4_quality_rules,
     "op5_fm_dedup": op5_fm_dedup,

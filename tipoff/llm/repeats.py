@@ -145,7 +145,12 @@ def keep_bytes(raw: bytes, mask: np.ndarray) -> bytes:
     return np.frombuffer(raw, np.uint8)[~mask].tobytes() if mask.any() else raw
 
 
-def remove_repeats(docs: DataFrame, unit: Unit, judge: Callable[[DataFrame, Workspace], DataFrame], name: str, text_col: str = "text") -> DataFrame:
+def keep_characters(raw: bytes, mask: np.ndarray) -> bytes:
+    """Kept bytes without the halves of characters that a cut has split."""
+    return keep_bytes(raw, mask).decode("utf-8", "ignore").encode()
+
+
+def remove_repeats(docs: DataFrame, unit: Unit, judge: Callable[[DataFrame, Workspace], DataFrame], name: str, text_col: str = "text", keep: Callable[[bytes, np.ndarray], bytes] | None = None) -> DataFrame:
     """Rows of docs with (n_units, n_removed, n_spans, kept) for the text.
 
     ``judge`` takes the contents that steps 1 to 3 leave open, with their
@@ -167,7 +172,7 @@ def remove_repeats(docs: DataFrame, unit: Unit, judge: Callable[[DataFrame, Work
     spans = work.put(whole.unionByName(single.select("key", "first", "stop")), "spans")
     work.drop("regions")
     work.rest()
-    keep = keep_words if unit.words else keep_bytes
+    keep = keep or (keep_words if unit.words else keep_bytes)
     result = cut(texts, spans, unit, keep)
     new = ("n_units", "n_removed", "n_spans", "kept", "__key")
     others = docs.withColumn("__key", text_key_of(text_col)).drop(text_col, *new[:-1])
