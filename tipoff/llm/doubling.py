@@ -14,7 +14,7 @@ only runs across the border of a repeat take part in the sorts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -219,7 +219,7 @@ def judge_bytes(unit: Unit, base: int):
     return judge
 
 
-def dedup_bytes(docs: DataFrame, width: int = 400, gram: int = 64, base: int = 100, text_col: str = "text") -> DataFrame:
+def dedup_bytes(docs: DataFrame, width: int = 400, gram: int = 64, base: int = 100, text_col: str = "text", finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Remove every byte in a string of ``width`` bytes that also starts elsewhere.
 
     Returns docs without the text, with n_units (bytes), n_removed, n_spans and kept
@@ -228,7 +228,7 @@ def dedup_bytes(docs: DataFrame, width: int = 400, gram: int = 64, base: int = 1
     no rows.
     """
     unit = Unit(False, width, gram)
-    return remove_repeats(docs, unit, judge_bytes(unit, base), "doubling", text_col)
+    return remove_repeats(docs, unit, judge_bytes(unit, base), "doubling", text_col, finish=finish)
 
 
 def clean_texts(docs: DataFrame, width: int = 400, gram: int = 64, base: int = 100) -> DataFrame:

@@ -10,7 +10,7 @@ reaches the window's width reports an interval.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -180,7 +180,7 @@ def judge_words(width: int):
     return judge
 
 
-def dedup_words(docs: DataFrame, width: int = 35, gram: int = 8, text_col: str = "text") -> DataFrame:
+def dedup_words(docs: DataFrame, width: int = 35, gram: int = 8, text_col: str = "text", finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Remove every word in a window of ``width`` words that also starts elsewhere.
 
     Returns docs without the text, with n_units (words), n_removed, n_spans and kept
@@ -189,4 +189,4 @@ def dedup_words(docs: DataFrame, width: int = 35, gram: int = 8, text_col: str =
     columns are carried; an empty table gives no rows.  Words are compared by
     64-bit hashes of their bytes.
     """
-    return remove_repeats(docs, Unit(True, width, gram), judge_words(width), "fm", text_col)
+    return remove_repeats(docs, Unit(True, width, gram), judge_words(width), "fm", text_col, finish=finish)

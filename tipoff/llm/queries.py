@@ -54,8 +54,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = fmindex.dedup_words(_table(spark, sf_dir, "documents").select("doc_id", "text"), width=35)
-    return kept.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    digest = lambda r: r.select("key", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return fmindex.dedup_words(_table(spark, sf_dir, "documents").select("doc_id", "text"), width=35, finish=digest)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +63,8 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = doubling.dedup_bytes(_table(spark, sf_dir, "documents").select("doc_id", "text"), width=400)
-    return kept.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    digest = lambda r: r.select("key", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return doubling.dedup_bytes(_table(spark, sf_dir, "documents").select("doc_id", "text"), width=400, finish=digest)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

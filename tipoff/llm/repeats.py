@@ -150,13 +150,15 @@ def keep_characters(raw: bytes, mask: np.ndarray) -> bytes:
     return keep_bytes(raw, mask).decode("utf-8", "ignore").encode()
 
 
-def remove_repeats(docs: DataFrame, unit: Unit, judge: Callable[[DataFrame, Workspace], DataFrame], name: str, text_col: str = "text", keep: Callable[[bytes, np.ndarray], bytes] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, unit: Unit, judge: Callable[[DataFrame, Workspace], DataFrame], name: str, text_col: str = "text", keep: Callable[[bytes, np.ndarray], bytes] | None = None, finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Rows of docs with (n_units, n_removed, n_spans, kept) for the text.
 
     ``judge`` takes the contents that steps 1 to 3 leave open, with their
     competitors, and returns the spans (key, first, stop) that repeat.  Columns of
     docs with one of the new names are replaced, others are carried; the text
-    itself is not, it is not moved again.
+    itself is not, it is not moved again.  ``finish`` may change the columns of
+    (key, n_units, n_removed, n_spans, kept) before they join the rows: a digest moves
+    less than a text.
     """
     work = Workspace(docs.sparkSession, name)
     bounded_batches(docs.sparkSession)
@@ -174,8 +176,8 @@ def remove_repeats(docs: DataFrame, unit: Unit, judge: Callable[[DataFrame, Work
     work.rest()
     keep = keep or (keep_words if unit.words else keep_bytes)
     result = cut(texts, spans, unit, keep)
-    new = ("n_units", "n_removed", "n_spans", "kept", "__key")
-    others = docs.withColumn("__key", text_key_of(text_col)).drop(text_col, *new[:-1])
+    result = finish(result) if finish else result
+    others = docs.withColumn("__key", text_key_of(text_col)).drop(text_col, *[c for c in result.columns if c != "key"])
     return others.join(result.withColumnRenamed("key", "__key"), "__key").drop("__key")
 
 
