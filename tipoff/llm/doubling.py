@@ -7,9 +7,12 @@ distinct pairs is the new rank, for twice the length.  A position whose pair occ
 once is unique and leaves; the offsets grow until the threshold is reached, and the
 last pair is made of overlapping halves where the threshold is no power.
 
-Before the rounds, open regions are narrowed: several further names cut them to
-runs of a few dozen windows, whose contents are counted as in ``repeats``, so that
-only runs across the border of a repeat take part in the sorts.
+Before the rounds, open regions are narrowed.  All windows of a region share a gram;
+blocks are laid from its first place in the window to both sides, and the windows
+that cover the same blocks form a run.  Equal windows have equal blocks, so a run
+repeats only among runs with its core; most runs differ there or are equal
+throughout, and only those that a repeat ends in, within a block, take part in the
+sorts.
 """
 
 from __future__ import annotations
@@ -23,13 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tipoff.llm.common import Workspace, map_batches
-from tipoff.llm.regions import U64, Rolling, mix, sliding_min, twice_named
+from tipoff.llm.regions import U64, Rolling, mix
 from tipoff.llm.repeats import Unit, keep_characters, remove_repeats, signed
 
-#: Further names that narrow a region.
-NAMES = 12
+#: Bytes of a block in narrowing.
+BLOCK = 25
 _BYTES = mix(np.arange(1, 257, dtype=U64) * U64(0x2545F4914F6CDD1D))
-_SALTS = mix(np.arange(1, NAMES + 1, dtype=U64) * U64(0x9FB21C651E98DF25))
 
 
 def offsets(width: int, base: int) -> list[tuple[int, int]]:
@@ -42,41 +44,39 @@ def offsets(width: int, base: int) -> list[tuple[int, int]]:
     return out
 
 
-RUN = "run_name long, run_content long, n long, own boolean, name long, content long, key binary, start int, windows int"
+RUN = "run_name long, run_content long, n long, name long, content long, key binary, start int, windows int"
 
 
 def runs(rivals: DataFrame, unit: Unit) -> DataFrame:
-    """Narrowed runs of windows with several names in common."""
+    """Narrowed runs: windows that cover the same blocks around the region's gram.
+
+    Two windows of one run have that gram at different places, so they differ.
+    """
     width, gram = unit.width, unit.gram
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[tuple[np.ndarray, ...]] = []
-        owner = []
-        columns = [c.to_pylist() for c in batch.columns]
+        cores, spans, starts, sizes, owner = [], [], [], [], []
+        names, first = batch.column(0).to_pylist(), batch.column(4).to_pylist()
         with np.errstate(over="ignore"):
-            for i, (name, symbols) in enumerate(zip(columns[0], columns[6], strict=True)):
+            for i, (name, symbols) in enumerate(zip(names, batch.column(6).to_pylist(), strict=True)):
                 s = _BYTES[np.frombuffer(symbols, np.uint8)]
-                grams = Rolling(s, 0).grams(gram)
-                n, reach = len(s) - width + 1, width - gram + 1
-                change = np.zeros(n, bool)
-                change[0] = True
-                joint = np.full(n, name, np.int64).view(U64)
-                first = None
-                for salt in _SALTS:
-                    salted = mix(grams ^ salt)
-                    least = sliding_min(salted, reach)
-                    joint = mix(joint ^ least)
-                    change[1:] |= least[1:] != least[:-1]
-                    first = first or (salted, least)
-                start = np.flatnonzero(change)
-                stop = np.append(start[1:], n)
-                own = twice_named(*first, start, stop, reach) & (stop - start > 1)
-                owner += [i] * len(start)
-                out.append((joint[start], Rolling(s, 1).spans(start, stop + width - 1), own, start + columns[4][i], stop - start))
-        cat = lambda k: np.concatenate([o[k] for o in out])
-        at = pa.array(owner, pa.int64())
-        take = lambda k: batch.column(k).take(at)
-        return pa.RecordBatch.from_arrays([signed(cat(0)), signed(cat(1)), take(2), pa.array(cat(2)), take(0), take(1), take(3), pa.array(cat(3).astype(np.int32)), pa.array(cat(4).astype(np.int32))], names=[x.split()[0] for x in RUN.split(", ")])
+                hashes = Rolling(s, 0)
+                at = np.arange(len(s) - width + 1)
+                places = np.flatnonzero(hashes.grams(gram).view(np.int64) == name)
+                anchor = places[np.searchsorted(places, at)]
+                low = anchor - (anchor - at) // BLOCK * BLOCK
+                high = anchor + (at + width - anchor) // BLOCK * BLOCK
+                start = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (anchor[1:] != anchor[:-1])]))
+                stop = np.append(start[1:], len(at))
+                cores.append(mix(hashes.spans(low[start], high[start]) + (anchor[start] - low[start]).astype(U64)))
+                spans.append(Rolling(s, 1).spans(start, stop + width - 1))
+                starts.append(start + first[i])
+                sizes.append(stop - start)
+                owner.append(np.full(len(start), i))
+        cat = np.concatenate
+        rows = pa.array(cat(owner))
+        take = lambda k: batch.column(k).take(rows)
+        return pa.RecordBatch.from_arrays([signed(cat(cores)), signed(cat(spans)), take(2), take(0), take(1), take(3), pa.array(cat(starts).astype(np.int32)), pa.array(cat(sizes).astype(np.int32))], names=[x.split()[0] for x in RUN.split(", ")])
 
     return map_batches(rivals.select("name", "content", "n", "key", "start", "windows", "symbols"), run, RUN)
 
@@ -196,9 +196,9 @@ def next_pairs(ranks: DataFrame, before: list[int], after: list[int], step: int)
 def judge_bytes(unit: Unit, base: int):
     def judge(rivals: DataFrame, work: Workspace) -> DataFrame:
         narrowed = work.put(runs(rivals, unit), "runs")
-        groups = narrowed.groupBy("run_name", "run_content").agg(F.sum("n").alias("n"), F.max("own").alias("own"), F.min(F.struct("name", "content", "key", "start", "windows")).alias("at"))
-        names = groups.groupBy("run_name").agg(F.sum("n").alias("total"), F.max("own").alias("any"), F.count(F.lit(1)).alias("kinds")).filter("total > 1 or any").select("run_name", "kinds")
-        found = work.put(groups.join(names, "run_name").select("run_name", "run_content", "n", F.expr("kinds > 1 or own").alias("rivals"), "at.*"), "run_groups")
+        groups = narrowed.groupBy("run_name", "run_content").agg(F.sum("n").alias("n"), F.min(F.struct("name", "content", "key", "start", "windows")).alias("at"))
+        names = groups.groupBy("run_name").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).filter("total > 1").select("run_name", "kinds")
+        found = work.put(groups.join(names, "run_name").select("run_name", "run_content", "n", F.expr("kinds > 1").alias("rivals"), "at.*"), "run_groups")
         whole = narrowed.filter("n = 1").join(found.filter("n > 1").select("run_name", "run_content"), ["run_name", "run_content"]).select("key", F.col("start").alias("first"), (F.col("start") + F.col("windows")).alias("stop"))
         open_runs = work.put(found.filter("rivals").withColumn("run", F.monotonically_increasing_id()).select("run", "name", "content", "key", "start", "windows", "n"), "open_runs")
         work.rest()
