@@ -70,11 +70,12 @@ def region_rows(texts: DataFrame, unit: Unit) -> DataFrame:
     return map_batches(texts.select("key", "text", "m"), run, REGION)
 
 
-def repeated(rows: DataFrame) -> DataFrame:
+def repeated(rows: DataFrame, work: Workspace) -> DataFrame:
     """(name, content, n, rivals, key, start, windows): the contents of every name that
     occurs twice or more, with one place of each.  ``rivals``: other contents of the
     name, or the region's own windows, may equal some of its windows."""
-    groups = rows.groupBy("name", "content").agg(F.max("own").alias("own"), F.sum("m").alias("n"), F.min(F.struct("key", "start", "windows")).alias("at"))
+    groups = work.put(rows.groupBy("name", "content").agg(F.max("own").alias("own"), F.sum("m").alias("n"), F.min(F.struct("key", "start", "windows")).alias("at")), "groups")
+    work.rest()
     names = groups.groupBy("name").agg(F.sum("n").alias("total"), F.max("own").alias("any"), F.count(F.lit(1)).alias("kinds")).filter("total > 1 or any").select("name", "kinds")
     return groups.join(names, "name").select("name", "content", "n", F.expr("kinds > 1 or own").alias("rivals"), "at.key", "at.start", "at.windows")
 
@@ -165,7 +166,8 @@ def remove_repeats(docs: DataFrame, unit: Unit, judge: Callable[[DataFrame, Work
     texts = distinct_texts(docs, work, text_col)
     work.rest()
     rows = work.put(region_rows(texts, unit), "regions")
-    found = work.put(repeated(rows), "repeated")
+    found = work.put(repeated(rows, work), "repeated")
+    work.drop("groups")
     work.rest()
     # one content under a name is settled by its count; several are compared
     rivals = work.put(contents(found.filter("rivals"), texts, unit), "contents")
