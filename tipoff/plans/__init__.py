@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from tipoff.plans import boards, models
+from tipoff.plans import boards, checks, models
 from tipoff.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "boards", "models"]
+__all__ = ["ORACLES", "QUERIES", "boards", "checks", "models"]
