@@ -36,32 +36,32 @@ def solved(s: Star) -> DataFrame:
     return R.solve_ratings(R.unpivot(s.games), passes=PASSES, tolerance=0.0)
 
 
-@query("r01_ratings", "select season, team_id, round(off_rating, 3) as off_rating, round(def_rating, 3) as def_rating, round(rating, 3) as rating from ratings", RATINGS)
+@query("r01_ratings", "select season, team_id, round(off_rating, 3) + 0.0 as off_rating, round(def_rating, 3) + 0.0 as def_rating, round(rating, 3) + 0.0 as rating from ratings", RATINGS)
 def ratings(s: Star) -> DataFrame:
-    return solved(s).select("season", "team_id", *[F.round(c, 3).alias(c) for c in ("off_rating", "def_rating", "rating")])
+    return solved(s).select("season", "team_id", *[(F.round(c, 3) + 0.0).alias(c) for c in ("off_rating", "def_rating", "rating")])
 
 
-@query("r02_schedule", ", p as (select season, team_id, opponent_team_id, count(*) as n from sides group by 1, 2, 3) select p.season, p.team_id, round(sum(r.rating * n) / sum(n), 3) as sos, round(avg(r.rating), 3) as avg_opponent, count(*) as opponents from p join ratings r on r.season = p.season and r.team_id = opponent_team_id group by 1, 2", RATINGS)
+@query("r02_schedule", ", p as (select season, team_id, opponent_team_id, count(*) as n from sides group by 1, 2, 3) select p.season, p.team_id, round(sum(r.rating * n) / sum(n), 3) + 0.0 as sos, round(avg(r.rating), 3) + 0.0 as avg_opponent, count(*) as opponents from p join ratings r on r.season = p.season and r.team_id = opponent_team_id group by 1, 2", RATINGS)
 def schedule(s: Star) -> DataFrame:
     """R02, R03."""
     got = R.schedule_strength(R.unpivot(s.games), solved(s))
-    return got.select("season", "team_id", F.round("sos", 3).alias("sos"), F.round("avg_opponent", 3).alias("avg_opponent"), "opponents")
+    return got.select("season", "team_id", (F.round("sos", 3) + 0.0).alias("sos"), (F.round("avg_opponent", 3) + 0.0).alias("avg_opponent"), "opponents")
 
 
 @query(
     "r04_home_away",
-    ", m as (select season, avg(off_rating) as mo, avg(def_rating) as md from ratings group by season), v as (select s.season, s.team_id, home, avg(scored - r.def_rating) - avg(allowed - r.off_rating) as v from sides s join ratings r on r.season = s.season and r.team_id = s.opponent_team_id group by 1, 2, 3) select season, team_id, round(max(v) filter (home) + any_value(md) - any_value(mo), 3) as home_rating, round(max(v) filter (not home) + any_value(md) - any_value(mo), 3) as away_rating from v join m using (season) group by 1, 2",
+    ", m as (select season, avg(off_rating) as mo, avg(def_rating) as md from ratings group by season), v as (select s.season, s.team_id, home, avg(scored - r.def_rating) - avg(allowed - r.off_rating) as v from sides s join ratings r on r.season = s.season and r.team_id = s.opponent_team_id group by 1, 2, 3) select season, team_id, round(max(v) filter (home) + any_value(md) - any_value(mo), 3) + 0.0 as home_rating, round(max(v) filter (not home) + any_value(md) - any_value(mo), 3) + 0.0 as away_rating from v join m using (season) group by 1, 2",
     RATINGS,
 )
 def home_away(s: Star) -> DataFrame:
     got = R.home_away(R.unpivot(s.games), solved(s))
-    return got.select("season", "team_id", F.round("home_rating", 3).alias("home_rating"), F.round("away_rating", 3).alias("away_rating"))
+    return got.select("season", "team_id", (F.round("home_rating", 3) + 0.0).alias("home_rating"), (F.round("away_rating", 3) + 0.0).alias("away_rating"))
 
 
-@query("r06_bridge", ", x as (select s.season, r1.rating - r2.rating - (scored - allowed) as gap from sides s join teams a using (team_id) join teams b on b.team_id = s.opponent_team_id join ratings r1 on r1.season = s.season and r1.team_id = s.team_id join ratings r2 on r2.season = s.season and r2.team_id = s.opponent_team_id where a.division = 'D1' and b.division = 'D2') select season, case when count(*) >= 10 then round(avg(gap), 3) end as shift, count(*) as games from x group by season", RATINGS)
+@query("r06_bridge", ", x as (select s.season, r1.rating - r2.rating - (scored - allowed) as gap from sides s join teams a using (team_id) join teams b on b.team_id = s.opponent_team_id join ratings r1 on r1.season = s.season and r1.team_id = s.team_id join ratings r2 on r2.season = s.season and r2.team_id = s.opponent_team_id where a.division = 'D1' and b.division = 'D2') select season, case when count(*) >= 10 then round(avg(gap), 3) + 0.0 end as shift, count(*) as games from x group by season", RATINGS)
 def bridge(s: Star) -> DataFrame:
     """R06 with the pooled ratings; R05's separate pools are r05_pools."""
-    return R.bridge(R.unpivot(s.games), solved(s), s.teams).select("season", F.round("shift", 3).alias("shift"), "games")
+    return R.bridge(R.unpivot(s.games), solved(s), s.teams).select("season", (F.round("shift", 3) + 0.0).alias("shift"), "games")
 
 
 @query("r05_pools")
@@ -72,7 +72,7 @@ def pools(s: Star) -> DataFrame:
     sides = R.unpivot(s.games).join(teams, "team_id").join(other, "opponent_team_id")
     alone = R.solve_ratings(sides.filter("pool = other"), pool="pool")
     shift = R.bridge(R.unpivot(s.games), alone, s.teams).select("season", "shift")
-    return alone.join(shift, "season").select("season", "pool", "team_id", F.round("rating", 3).alias("rating"), F.round(F.when(F.col("pool") == "D2", F.col("rating") + F.col("shift")).otherwise(F.col("rating")), 3).alias("combined"), "iterations")
+    return alone.join(shift, "season").select("season", "pool", "team_id", (F.round("rating", 3) + 0.0).alias("rating"), F.round(F.when(F.col("pool") == "D2", F.col("rating") + F.col("shift")).otherwise(F.col("rating")), 3).alias("combined"), "iterations")
 
 
 @query("r07_elo")
@@ -82,14 +82,14 @@ def elo(s: Star) -> DataFrame:
     return R.elo(ordered).select("season", "team_id", F.round("elo", 4).alias("elo"), "games")
 
 
-@query("r08_initial", "select r.season, r.team_id, round(b.rating, 3) as initial_rating, round(r.rating, 3) as rating from ratings r left join ratings b on b.team_id = r.team_id and b.season = r.season - 1", RATINGS)
+@query("r08_initial", "select r.season, r.team_id, round(b.rating, 3) + 0.0 as initial_rating, round(r.rating, 3) + 0.0 as rating from ratings r left join ratings b on b.team_id = r.team_id and b.season = r.season - 1", RATINGS)
 def initial(s: Star) -> DataFrame:
-    return R.initial_rating(solved(s)).select("season", "team_id", F.round("initial_rating", 3).alias("initial_rating"), F.round("rating", 3).alias("rating"))
+    return R.initial_rating(solved(s)).select("season", "team_id", (F.round("initial_rating", 3) + 0.0).alias("initial_rating"), (F.round("rating", 3) + 0.0).alias("rating"))
 
 
-@query("r09_league", "select season, round(mean_rating, 3) + 0.0 as mean_rating, round(std_rating, 3) as std_rating from league", RATINGS)
+@query("r09_league", "select season, round(mean_rating, 3) + 0.0 as mean_rating, round(std_rating, 3) + 0.0 as std_rating from league", RATINGS)
 def league(s: Star) -> DataFrame:
-    return R.league_rating(solved(s)).select("season", (F.round("mean_rating", 3) + 0.0).alias("mean_rating"), F.round("std_rating", 3).alias("std_rating"))
+    return R.league_rating(solved(s)).select("season", (F.round("mean_rating", 3) + 0.0).alias("mean_rating"), (F.round("std_rating", 3) + 0.0).alias("std_rating"))
 
 
 @query("w04_net_rank", ", k as (select season, team_id, row_number() over (partition by season order by round(rating, 3) desc, team_id) as net_rank from ratings) select season, team_id, t.name, cast(net_rank as int) as net_rank from k join teams t using (team_id) where t.tier = 'Mid-Major'", RATINGS)
@@ -142,19 +142,19 @@ def scored(s: Star) -> DataFrame:
     return P.season_scores(s.lines, s.players, s.games, solved(s))
 
 
-@query("m08_season_scores", SCORES + "select player_id, season, round(raw, 3) as raw, round(score_raw, 3) as score from scores", RATINGS)
+@query("m08_season_scores", SCORES + "select player_id, season, round(raw, 3) + 0.0 as raw, round(score_raw, 3) + 0.0 as score from scores", RATINGS)
 def season_scores(s: Star) -> DataFrame:
     """A05, J11, M03 to M10, W12."""
-    return scored(s).select("player_id", "season", F.round("raw", 3).alias("raw"), F.round("score_raw", 3).alias("score"))
+    return scored(s).select("player_id", "season", (F.round("raw", 3) + 0.0).alias("raw"), (F.round("score_raw", 3) + 0.0).alias("score"))
 
 
-@query("w02_ranks", SCORES + ", k as (select s.player_id, s.season, t.division, round(score_raw, 3) as score, row_number() over (partition by s.season order by round(score_raw, 3) desc, s.player_id) as a, row_number() over (partition by s.season, t.division order by round(score_raw, 3) desc, s.player_id) as b from scores s join players p using (player_id) join teams t on t.team_id = p.team_id) select player_id, season, division, cast(a as int) as overall_rank, cast(b as int) as division_rank from k", RATINGS)
+@query("w02_ranks", SCORES + ", k as (select s.player_id, s.season, t.division, round(score_raw, 3) + 0.0 as score, row_number() over (partition by s.season order by round(score_raw, 3) desc, s.player_id) as a, row_number() over (partition by s.season, t.division order by round(score_raw, 3) desc, s.player_id) as b from scores s join players p using (player_id) join teams t on t.team_id = p.team_id) select player_id, season, division, cast(a as int) as overall_rank, cast(b as int) as division_rank from k", RATINGS)
 def ranks(s: Star) -> DataFrame:
     got = P.ranks(scored(s).withColumn("score_raw", F.round("score_raw", 3)), s.players, s.teams)
     return got.select("player_id", "season", "division", F.col("overall_rank").cast("int").alias("overall_rank"), F.col("division_rank").cast("int").alias("division_rank"))
 
 
-@query("w03_percentile", SCORES + ", c as (select s.player_id, s.season, round(score_raw, 3) as score, thin_sample from scores s join prof using (player_id, season)) select player_id, season, round(100.0 * (rank() over (partition by season order by score desc)) / (count(*) over (partition by season)), 2) as top_percent from c where not thin_sample", RATINGS)
+@query("w03_percentile", SCORES + ", c as (select s.player_id, s.season, round(score_raw, 3) + 0.0 as score, thin_sample from scores s join prof using (player_id, season)) select player_id, season, round(100.0 * (rank() over (partition by season order by score desc)) / (count(*) over (partition by season)), 2) as top_percent from c where not thin_sample", RATINGS)
 def percentile(s: Star) -> DataFrame:
     full = scored(s).join(P.season_totals(s.lines).select("player_id", "season", "thin_sample"), ["player_id", "season"]).filter("not thin_sample").withColumn("score", F.round("score_raw", 3))
     w = Window.partitionBy("season")
@@ -197,7 +197,7 @@ def spread(s: Star) -> DataFrame:
     return s.lines.groupBy("player_id", "season").agg(F.count(F.lit(1)).alias("games"), F.max("points").alias("highest"), F.min("points").alias("lowest"), rate(F.stddev_pop("points")).alias("deviation"))
 
 
-@query("a23_top_quartile", ", k as (select season, rating, row_number() over (partition by season order by rating desc, team_id) as place, count(*) over (partition by season) as n from ratings) select season, round(avg(rating), 3) as target from k where place <= greatest(1, floor(n * 0.25)) group by season", RATINGS)
+@query("a23_top_quartile", ", k as (select season, rating, row_number() over (partition by season order by rating desc, team_id) as place, count(*) over (partition by season) as n from ratings) select season, round(avg(rating), 3) + 0.0 as target from k where place <= greatest(1, floor(n * 0.25)) group by season", RATINGS)
 def top_quartile(s: Star) -> DataFrame:
     w = Window.partitionBy("season")
     got = solved(s).withColumns({"place": F.row_number().over(w.orderBy(F.col("rating").desc(), "team_id")), "n": F.count(F.lit(1)).over(w)})
@@ -206,7 +206,7 @@ def top_quartile(s: Star) -> DataFrame:
 
 @query(
     "q10_team_needs",
-    TEAMPROF + ", st as (select category, avg(value) as m, coalesce(nullif(stddev_pop(value), 0), 1.0) as s from tl where season = (select season from current) group by category), z as (select team_id, category, round(value, 4) as value, round((value - m) / s * case when category = 'per40_tov' then -1 else 1 end, 3) as z from tl join st using (category) where season = (select season from current)), k as (select *, row_number() over (partition by team_id order by z, category) as place from z) select team_id, category, value, z, cast(place as int) as place from k where place <= 3",
+    TEAMPROF + ", st as (select category, avg(value) as m, coalesce(nullif(stddev_pop(value), 0), 1.0) as s from tl where season = (select season from current) group by category), z as (select team_id, category, round(value, 4) as value, round((value - m) / s * case when category = 'per40_tov' then -1 else 1 end, 3) + 0.0 as z from tl join st using (category) where season = (select season from current)), k as (select *, row_number() over (partition by team_id order by z, category) as place from z) select team_id, category, value, z, cast(place as int) as place from k where place <= 3",
 )
 def team_needs(s: Star, top: int = 3) -> DataFrame:
     """Worst categories of every team; a lower turnover rate is better."""
@@ -221,7 +221,7 @@ def team_needs(s: Star, top: int = 3) -> DataFrame:
 # -- players over seasons ------------------------------------------------------------
 
 
-@query("q14_trajectory", SCORES + ", n as (select player_id, count(*) as seasons, round(case when count(*) >= 2 then (max_by(score, season) - min_by(score, season)) / (count(*) - 1) end + 1e-9, 3) as delta from (select player_id, season, round(score_raw, 3) as score from scores) group by player_id) select player_id, seasons, delta, case when delta is null then 'Insufficient data' when delta >= 3 then 'Improving' when delta <= -3 then 'Declining' else 'Stable' end as trend from n", RATINGS)
+@query("q14_trajectory", SCORES + ", n as (select player_id, count(*) as seasons, round(case when count(*) >= 2 then (max_by(score, season) - min_by(score, season)) / (count(*) - 1) end + 1e-9, 3) + 0.0 as delta from (select player_id, season, round(score_raw, 3) + 0.0 as score from scores) group by player_id) select player_id, seasons, delta, case when delta is null then 'Insufficient data' when delta >= 3 then 'Improving' when delta <= -3 then 'Declining' else 'Stable' end as trend from n", RATINGS)
 def trajectory(s: Star) -> DataFrame:
     """W07, M27."""
     got = scored(s).withColumn("score", F.round("score_raw", 3)).groupBy("player_id").agg(F.count(F.lit(1)).alias("seasons"), F.round(F.when(F.count(F.lit(1)) >= 2, (F.max_by("score", "season") - F.min_by("score", "season")) / (F.count(F.lit(1)) - 1)) + 1e-9, 3).alias("delta"))
@@ -350,7 +350,7 @@ def role_translation(s: Star) -> DataFrame:
 
 
 def current_ratings(s: Star) -> DataFrame:
-    return P.of_latest(solved(s), s.lines).select("team_id", F.round("rating", 3).alias("rating"))
+    return P.of_latest(solved(s), s.lines).select("team_id", (F.round("rating", 3) + 0.0).alias("rating"))
 
 
 def projected(s: Star, target: int = 3, least: int = 3) -> DataFrame:
@@ -365,7 +365,7 @@ def _spread_sql(k: int) -> str:
 
 PROJECTED = (
     SCORES
-    + """, cr as (select team_id, round(rating, 3) as rating from ratings where season = (select season from current)),
+    + """, cr as (select team_id, round(rating, 3) + 0.0 as rating from ratings where season = (select season from current)),
 base as (select c.*, p.name, p.team_id, p.position, p.class_year, p.in_transfer_portal, round(s.score_raw, 6) as score_raw, cr.rating as own, t.rating as target, l.std from prof c join players p using (player_id) join scores s on s.player_id = c.player_id and s.season = c.season
  join cr on cr.team_id = p.team_id, (select rating from cr where team_id = 3) t, (select coalesce(nullif(stddev_pop(rating), 0), 1.0) as std from cr) l where c.season = (select season from current) and not thin_sample and games >= 3 and p.team_id <> 3),
 f1 as (select *, (target - own) / std as gs, greatest(0.65, least(1.45, 1.06 - (target - own) / (5.85 * std))) as pf, greatest(0.55, least(1.1, 1 - (target - own) / (6.4 * std))) as mf, greatest(-10.0, least(6.0, -(target - own) / (0.8 * std))) as shift, greatest(-2.0, least(2.0, (target - own) / std)) as g from base),
@@ -393,9 +393,9 @@ def project(s: Star) -> DataFrame:
     return projected(s).select("player_id", "confidence", "extreme", "gap_in_std", *PROJ_COLUMNS)
 
 
-@query("q11_fits", PROJECTED + ", st as (select avg(proj_ppg) as mp, coalesce(nullif(stddev_pop(proj_ppg), 0), 1.0) as sp, avg(proj_topg) as mt, coalesce(nullif(stddev_pop(proj_topg), 0), 1.0) as st from proj) select player_id, team_id, proj_ppg, proj_topg, round(((proj_ppg - mp) / sp - (proj_topg - mt) / st) / 2, 3) as fit_score from proj, st order by round(((proj_ppg - mp) / sp - (proj_topg - mt) / st) / 2, 4) desc, player_id limit 15", RATINGS)
+@query("q11_fits", PROJECTED + ", st as (select avg(proj_ppg) as mp, coalesce(nullif(stddev_pop(proj_ppg), 0), 1.0) as sp, avg(proj_topg) as mt, coalesce(nullif(stddev_pop(proj_topg), 0), 1.0) as st from proj) select player_id, team_id, proj_ppg, proj_topg, round(((proj_ppg - mp) / sp - (proj_topg - mt) / st) / 2, 3) + 0.0 as fit_score from proj, st order by round(((proj_ppg - mp) / sp - (proj_topg - mt) / st) / 2, 4) desc, player_id limit 15", RATINGS)
 def fits(s: Star) -> DataFrame:
-    return J.fits(projected(s), ["ppg", "topg"], 15).select("player_id", "team_id", "proj_ppg", "proj_topg", F.round("fit_score", 3).alias("fit_score"))
+    return J.fits(projected(s), ["ppg", "topg"], 15).select("player_id", "team_id", "proj_ppg", "proj_topg", (F.round("fit_score", 3) + 0.0).alias("fit_score"))
 
 
 @query("q12_leaps", PROJECTED + ", k as (select *, round(proj_score - score, 1) as gain, row_number() over (partition by team_id order by round(proj_score - score, 1) desc, proj_score desc, player_id) as place from proj) select player_id, team_id, score, proj_score, gain from k where place <= 2 order by gain desc, proj_score desc, player_id limit 8", RATINGS)
@@ -431,7 +431,7 @@ def lineups(s: Star) -> DataFrame:
     return O.lineups(pool.select("team_id", "player_id", "position", "games", "games_started", "team_games", "avg_minutes", "total_minutes", "per40_pts", F.col("ppg").alias("ppg_actual"), "avg_production", "score"))
 
 
-@query("q07_player_detail", SCORES + ", c as (select p.player_id, p.name, t.name as team, c.games, c.games_started, round(c.ppg, 1) as ppg, round(100 * c.ts_pct, 1) as ts_pct, round(s.score_raw, 3) as score, c.thin_sample from players p join prof c using (player_id) join scores s on s.player_id = c.player_id and s.season = c.season left join teams t on t.team_id = p.team_id where c.season = (select season from current)) select a.* exclude (thin_sample), round(100.0 * ((select count(*) from c b where not b.thin_sample and b.score > a.score) + 1) / (select count(*) from c where not thin_sample), 2) as top_percent from c a where player_id in (11, 40, 77)", RATINGS)
+@query("q07_player_detail", SCORES + ", c as (select p.player_id, p.name, t.name as team, c.games, c.games_started, round(c.ppg, 1) as ppg, round(100 * c.ts_pct, 1) as ts_pct, round(s.score_raw, 3) + 0.0 as score, c.thin_sample from players p join prof c using (player_id) join scores s on s.player_id = c.player_id and s.season = c.season left join teams t on t.team_id = p.team_id where c.season = (select season from current)) select a.* exclude (thin_sample), round(100.0 * ((select count(*) from c b where not b.thin_sample and b.score > a.score) + 1) / (select count(*) from c where not thin_sample), 2) as top_percent from c a where player_id in (11, 40, 77)", RATINGS)
 def player_detail(s: Star) -> DataFrame:
     """The pool leaves thin samples out, the subject may be one."""
     rows = current_players(s).join(F.broadcast(s.teams.select("team_id", F.col("name").alias("team"))), "team_id", "left").withColumn("score", F.round("score_raw", 3))
