@@ -94,6 +94,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc": """
+with p as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as d from pages),
+f as (select d, min(page_id) as first from p group by d)
+select page_id, cast(octet_length(encode(h)) as bigint) as payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(('0x' || substr(p.d, cast(k // 4 * 5 + 1 as bigint), 5))::int >> cast(15 - k % 4 * 5 as int) & 31 as bigint) + 1, 1)), '') as payload_digest,
+       case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id <> first then first end as refers_to
+from p join f on p.d = f.d
+""",
     "op5_fm_dedup": r"""
 with d as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
 s as (select r, i, array_to_string(w[i : i + 34], ' ') as t from (select r, w, unnest(range(1, len(w) - 33)) as i from d where len(w) >= 35)),
