@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Rows of one Arrow batch: bounds the memory of a Python worker when texts are long.
 BATCH_ROWS = 1000
 #: Distinct strings that a worker's lookup cache may hold before it starts anew.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
