@@ -57,7 +57,7 @@ def test_counts_at_every_prefix(text):
 
 
 def test_small_cache_changes_nothing(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 3)
+    monkeypatch.setattr(bpe.PairIndexBpe, "entries", 3)
     mine, lib = bpe.PairIndexBpe(WORD), library(WORD)
     known = [t or "" for t in HARD]
     assert mine.encode(known) == [lib.encode(t, add_special_tokens=False).ids for t in known]

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tipoff.llm.common import CACHE_ENTRIES, map_batches, text_or_empty, trimmed
+from tipoff.llm.common import map_batches, text_or_empty, trimmed
 
 _CONTROL = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: White space to the tokenizer library; Python's split() would add U+001C to U+001F.
@@ -46,6 +46,9 @@ def byte_alphabet() -> dict[int, str]:
 class PairIndexBpe:
     """A tokenizer file (``tokenizers`` JSON, byte level, optional word-end suffix)."""
 
+    #: Chunks, and pieces, that a worker keeps.
+    entries = 400_000
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
@@ -161,7 +164,7 @@ class PairIndexBpe:
 
     # -- documents ---------------------------------------------------------
     def _learn(self, chunks: set[str]) -> None:
-        if len(self._pieces) > CACHE_ENTRIES:
+        if len(self._pieces) > self.entries:
             self._pieces = {}
         cut = {c: self.pieces(c) for c in chunks}
         new = list({p for ps in cut.values() for p in ps if p not in self._pieces})
@@ -199,7 +202,7 @@ class PairIndexBpe:
                 block.append(runs)
                 i += 1
             if missing:
-                if len(self._chunks) + len(missing) > CACHE_ENTRIES:
+                if len(self._chunks) + len(missing) > self.entries:
                     self._chunks = trimmed(self._chunks)
                 self._learn(missing)
                 for found, at, new in gaps:

@@ -47,6 +47,9 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class LibraryIds(PairIndexBpe):
     """Whole texts to ids, new chunks by the tokenizers library in one call."""
 
+    #: It has no pieces to keep, so more chunks.
+    entries = 600_000
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 

@@ -62,18 +62,15 @@ class PrefixCounts:
         self._special_at = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if special else None
         self._pattern = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
         self._cutter = Tokenizer.from_file(path).pre_tokenizer
-        self._beside: dict[tuple[int, int], bool] = {}
+        self._beside: dict[int, bool] = {}
         self._tables: dict[bytes, array] = {}
         self._totals: dict[str, int] = {}
 
     def may_follow(self, a: int, b: int) -> bool:
         """Can the encoding have b right after a?"""
-        key = (a, b)
-        known = self._beside.get(key)
-        if known is None:
-            if len(self._beside) > 4 * CACHE_ENTRIES:
-                self._beside = {}
-            known = self._beside[key] = self._walk_back(a, b)
+        if len(self._beside) > 4 * CACHE_ENTRIES:
+            self._beside.clear()
+        known = self._beside[a << 20 | b] = self._walk_back(a, b)
         return known
 
     def _walk_back(self, a: int, b: int) -> bool:
@@ -95,14 +92,21 @@ class PrefixCounts:
         table = self._tables.get(piece)
         if table is not None:
             return table
-        n, token, follows = len(piece), self.token.get, self.may_follow
+        n, token, beside, longest = len(piece), self.token.get, self._beside.get, self.longest
         last, count = [-1] * (n + 1), [0] * (n + 1)
         for i in range(1, n + 1):
-            for j in range(max(0, i - self.longest), i):
+            for j in range(i - longest if i > longest else 0, i):
                 t = token(piece[j:i])
-                if t is not None and (j == 0 or follows(last[j], t)):
-                    last[i], count[i] = t, count[j] + 1
-                    break
+                if t is None:
+                    continue
+                if j:
+                    fits = beside(last[j] << 20 | t)
+                    if fits is None:
+                        fits = self.may_follow(last[j], t)
+                    if not fits:
+                        continue
+                last[i], count[i] = t, count[j] + 1
+                break
         table = array("I", count[1:])
         if len(self._tables) > CACHE_ENTRIES:
             self._tables = {}
