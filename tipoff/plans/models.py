@@ -33,7 +33,8 @@ league as (select season, avg(rating) as mean_rating, coalesce(nullif(stddev_pop
 
 
 def solved(s: Star) -> DataFrame:
-    return R.solve_ratings(R.unpivot(s.games), passes=PASSES, tolerance=0.0)
+    """A row a team and season; its users would each run the solver again."""
+    return s.once("ratings", lambda: R.solve_ratings(R.unpivot(s.games), passes=PASSES, tolerance=0.0))
 
 
 @query("r01_ratings", "select season, team_id, round(off_rating, 3) + 0.0 as off_rating, round(def_rating, 3) + 0.0 as def_rating, round(rating, 3) + 0.0 as rating from ratings", RATINGS)
@@ -139,6 +140,7 @@ scores as (select player_id, season, raw, 60 + case when raw >= m then 39 else 3
 
 
 def scored(s: Star) -> DataFrame:
+    s.keep_lines()
     return P.season_scores(s.lines, s.players, s.games, solved(s))
 
 

@@ -8,9 +8,11 @@ joins are left to the optimiser.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,6 +102,18 @@ class Star:
             )
         )
 
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A small frame that several parts of one query use: made once, kept in memory."""
+        kept = self.__dict__.setdefault("_kept", {})
+        if name not in kept:
+            kept[name] = make().persist(StorageLevel.MEMORY_AND_DISK)
+        return kept[name]
+
+    def keep_lines(self) -> None:
+        """Keep the lines for plans that read them in several roles: the joins and the
+        aggregate below them then run once.  Memory first, disk for what doesn't fit."""
+        self.lines.persist(StorageLevel.MEMORY_AND_DISK)
+
     @cached_property
     def games(self) -> DataFrame:
         """A season's meetings of an ordered pair of teams as one game."""
