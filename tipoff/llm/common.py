@@ -34,16 +34,22 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+_OPEN: list[Workspace] = []
+
+
 class Workspace:
     """Tables of one operator call, in a folder of their own in the shared folder.
 
     A table that was written cuts the lineage: a lost executor costs the reread
-    of a file, not the recomputation of what led to it.
+    of a file, not the recomputation of what led to it.  An operator drops what it
+    is done with; what its lazy result still reads stays until ``release``.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.tables: list[str] = []
+        _OPEN.append(self)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as Parquet and return it reread."""
@@ -60,16 +66,34 @@ class Workspace:
         only their other side.  The table lies in the warehouse, which is shared."""
         name = f"tipoff_{uuid.uuid4().hex}"
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.tables.append(name)
         df.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("compression", "zstd").saveAsTable(name)
         return self.spark.table(name)
 
-    def drop(self, name: str) -> None:
-        """Delete a table that nothing will read again."""
+    def unbucket(self) -> None:
+        """Drop the bucketed tables."""
+        for name in self.tables:
+            self.spark.sql(f"drop table if exists {name}")
+        self.tables.clear()
+
+    def drop(self, name: str = "") -> None:
+        """Delete a table that nothing will read again, or all of them."""
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Delete what the operators called so far have left in shared folders.
+
+    To be called when their results have been written.
+    """
+    while _OPEN:
+        work = _OPEN.pop()
+        work.unbucket()
+        work.drop()
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Lower Spark's default Arrow batch (10,000 rows) so that long texts fit."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

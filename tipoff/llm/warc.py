@@ -107,7 +107,7 @@ def _record_id(page_id: int | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page_id}:{digest}')}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None, first_url: str | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None) -> bytes:
     """One WARC record; ``first`` is the page it revisits, or None for a response.
 
     A revisit holds the response's HTTP header without the payload, so its length
@@ -178,7 +178,7 @@ def write_archives(pages: DataFrame, place: str, min_revisit_bytes: int = 0) ->
         for batch in batches:
             for page_id, url, payload, first in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 out = out or _NewFile(name)
-                member = gzip.compress(record(page_id, url, payload, digest_base32(payload), None if first == page_id else first, None), 5, mtime=0)
+                member = gzip.compress(record(page_id, url, payload, digest_base32(payload), None if first == page_id else first), 5, mtime=0)
                 rows.append((capture_key(url, page_id), name, out.write(member), len(member)))
         if out:
             out.close()
