@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from tipoff.plans import boards, checks, ingest, models
+from tipoff.plans import boards, checks, ingest, legacy, models
 from tipoff.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "boards", "checks", "ingest", "models"]
+__all__ = ["ORACLES", "QUERIES", "boards", "checks", "ingest", "legacy", "models"]
