@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tipoff.llm import bpe, classifier, doubling, fmindex, media, minhash, packing, rules, tokencount, warc
+from tipoff.llm import bpe, classifier, doubling, fmindex, media, minhash, packing, rules, rules_sql, tokencount, warc
 from tipoff.llm.common import map_batches
 
 
@@ -103,6 +103,7 @@ select page_id, cast(octet_length(encode(h)) as bigint) as payload_bytes,
        case when page_id <> first then first end as refers_to
 from p join f on p.d = f.d
 """,
+    "op4_quality_rules": rules_sql.SQL,
     "op5_fm_dedup": r"""
 with d as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
 s as (select r, i, array_to_string(w[i : i + 34], ' ') as t from (select r, w, unnest(range(1, len(w) - 33)) as i from d where len(w) >= 35)),
