@@ -216,9 +216,9 @@ def test_buckets_link_without_all_pairs():
     keys = [f"{i:04d}".encode() for i in range(3000)]
     same = np.zeros((3000, 30), np.uint16)
     links, leaders = minhash.bucket_links(keys, same, minhash.Params())
-    assert len(links) == 2999 and leaders == [0]
+    assert len(links) == 2999 and len(leaders) == 1 and {i for i, _ in links} == set(leaders)
     other = np.arange(3000 * 30, dtype=np.uint16).reshape(3000, 30)
-    assert minhash.bucket_links(keys[:50], other[:50], minhash.Params()) == ([], list(range(50)))
+    assert minhash.bucket_links(keys[:50], other[:50], minhash.Params()) [0] == []
 
 
 def test_components_of_a_long_chain(spark):
