@@ -228,3 +228,60 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(bytearray(min(a, b)), bytearray(max(a, b))) for a, b in zip(keys, keys[1:], strict=False)], "u binary, v binary")
     got = minhash.components(links, Workspace(spark, "test"))
     assert {bytes(r.root) for r in got.collect()} == {min(keys)} and got.count() == 80
+
+
+def star(n, seed):
+    """A text and n copies, each with a stretch of its own replaced: near to the text, seldom to each other."""
+    rng = random.Random(seed)
+    base = [f"star{seed}word{i}" for i in range(400)]
+    out = [" ".join(base)]
+    for _ in range(n):
+        v, at = list(base), rng.randrange(370)
+        v[at : at + 30] = rng.choices(base, k=30)
+        out.append(" ".join(v))
+    return out
+
+
+def brute_classes(texts, idf):
+    """Smallest position of each text's component, by all pairs."""
+    found = [minhash.weighted(t, idf, 5) for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if top(i) != top(j) and minhash.similarity(found[i], found[j]) >= 0.8:
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    return [top(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("params", [minhash.Params(), minhash.Params(attach=0.5, links=1)])
+def test_stars_are_whole(spark, params):
+    """Which links come first doesn't change the classes."""
+    texts = [t for n, seed in ((20, 1), (200, 2)) for t in star(n, seed)]
+    random.Random(4).shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    idf = minhash.inverse_frequencies(docs.selectExpr("text", "1L as m"))
+    with np.errstate(over="ignore"):
+        want = brute_classes(texts, idf)
+    assert len(set(want)) == 2
+    got = {r.doc_id: r.class_id for r in minhash.near_classes(docs, params).collect()}
+    assert got == dict(enumerate(want))
+
+
+def test_rounds_leave_out_no_pair():
+    rng = np.random.default_rng(8)
+    draws = np.where(rng.random((60, 30)) < 0.9, 7, rng.integers(0, 60000, (60, 30))).astype(np.uint16)
+    was = [bytes([i % 40]) for i in range(60)]
+    now = [bytes([i % 30]) for i in range(60)]
+    seen, low, high, more = set(), 0, 2, True
+    while more:
+        pairs, more = minhash.partners(draws, was, now, low, high, minhash.Params())
+        seen |= {(min(p), max(p)) for p in pairs}
+        low, high = high, high * 8
+    want = {(i, j) for j in range(60) for i in range(j) if was[i] != was[j] and now[i] != now[j] and np.mean(draws[i] == draws[j]) >= 0.5}
+    assert seen == want and len(want) > 1500

@@ -6,9 +6,10 @@ fixed size by word hash.  Improved consistent weighted sampling draws, for every
 hash function, one (shingle, level) of a text, so that two texts draw the same with
 a chance equal to their weighted Jaccard similarity.  Rows of a band meet in
 buckets; a bucket gives candidate links between leaders and members, not all
-pairs, first within each task (a hot bucket leaves a task as its few leaders), then
-across tasks.  Each candidate is verified by the exact weighted Jaccard similarity,
-and classes are the connected components of verified links.
+pairs, first within each task, then across tasks.  Each candidate is verified by the
+exact weighted Jaccard similarity, and classes are the connected components of
+verified links.  Buckets whose members are still in different components then give
+their other candidates, in rounds, until every one is tried or within a component.
 """
 
 from __future__ import annotations
@@ -43,8 +44,10 @@ class Params:
     attach: float = 0.9
     #: Links between leaders are candidates from this share of equal draws.
     candidate: float = 0.5
-    #: Candidate links of a leader to earlier leaders of its bucket.
+    #: First links of a leader to earlier leaders of its bucket; the others follow in rounds.
     links: int = 3
+    #: Partners of a member that the first round tries; each later round, eight times as many.
+    width: int = 16
 
 
 def _gamma_quantiles() -> np.ndarray:
@@ -180,7 +183,8 @@ def _emit(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def members(texts: DataFrame, idf: np.ndarray, params: Params) -> DataFrame:
-    """Leaders of each task's buckets (``other`` null) and the links found there."""
+    """Members of each task's buckets, with draws (``other`` is the leader of those linked
+    to one, null for leaders), and the links between leaders found there, without."""
     n = params.bands * params.rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +221,8 @@ def members(texts: DataFrame, idf: np.ndarray, params: Params) -> DataFrame:
                     rows.append((band, name, keys[group[0]], short[group[0]].tobytes(), None))
                     continue
                 links, leaders = bucket_links([keys[g] for g in group], short[group], params, name)
-                rows += [(band, name, keys[group[i]], b"", keys[group[j]]) for i, j in links]
+                lead = set(leaders)
+                rows += [(band, name, keys[group[i]], b"", keys[group[j]]) if j in lead else (band, name, keys[group[j]], short[group[j]].tobytes(), keys[group[i]]) for i, j in links]
                 rows += [(band, name, keys[group[i]], short[group[i]].tobytes(), None) for i in leaders]
             if len(rows) > 20_000:
                 yield _emit(rows)
@@ -228,41 +233,135 @@ def members(texts: DataFrame, idf: np.ndarray, params: Params) -> DataFrame:
     return texts.select("key", "text").mapInArrow(run, MEMBER)
 
 
-def candidates(found: DataFrame, params: Params) -> DataFrame:
-    """(u, v) candidate links, u < v, each once."""
-    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def meeting(found: DataFrame) -> DataFrame:
+    """Members of the buckets with several, and how many of the bucket's are leaders."""
+    every = found.filter("length(draws) > 0").select("band", "bucket", "key", "draws", F.col("other").isNull().alias("leads"))
+    # most members meet no other: they are dropped by a count of two numbers
+    shared = every.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("leads").cast("int")).alias("leaders"))
+    return every.join(shared.filter("n > 1").select("band", "bucket", "leaders"), ["band", "bucket"])
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list]]]:
+    """(bucket, columns after the first two) of rows that are sorted by band and bucket."""
+    name, rows = None, []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if row[:2] != name:
+                if rows:
+                    yield name[1], list(zip(*rows, strict=True))
+                name, rows = row[:2], []
+            rows.append(row[2:])
+    if rows:
+        yield name[1], list(zip(*rows, strict=True))
+
+
+def _pairs(found: Iterator[list[tuple]]) -> Iterator[pa.RecordBatch]:
+    """(u, v) in batches of bounded size."""
+    out: list[tuple] = []
+    for some in found:
+        out += some
+        while len(out) >= 20_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out[:20_000], strict=True)], names=["u", "v"])
+            out = out[20_000:]
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["u", "v"])
+
+
+def _by_bucket(rows: DataFrame) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "band", "bucket").sortWithinPartitions("band", "bucket", "key")
+
+
+def candidates(found: DataFrame, met: DataFrame, params: Params) -> DataFrame:
+    """(u, v) first candidate links, u < v, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, keys, draws = None, [], []
+        def links() -> Iterator[list[tuple]]:
+            for name, (keys, draws) in _buckets(batches):
+                table = np.stack([np.frombuffer(d, np.uint16) for d in draws])
+                yield [(keys[i], keys[j]) for i, j in bucket_links(list(keys), table, params, name)[0]]
 
-        def links() -> list[tuple[bytes, bytes]]:
-            if len(keys) < 2:
-                return []
-            table = np.stack([np.frombuffer(d, np.uint16) for d in draws])
-            return [(keys[i], keys[j]) for i, j in bucket_links(keys, table, params, name[1])[0]]
+        yield from _pairs(links())
 
-        for batch in batches:
-            out = []
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if row[:2] != name:
-                    out += links()
-                    name, keys, draws = row[:2], [], []
-                keys.append(row[2])
-                draws.append(row[3])
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["u", "v"])
-        if out := links():
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["u", "v"])
-
-    leaders = found.filter("other is null").select("band", "bucket", "key", "draws")
-    # buckets of one task's leader meet no other: most are dropped by a count of two numbers
-    shared = leaders.groupBy("band", "bucket").count().filter("count > 1").select("band", "bucket")
-    across = leaders.join(shared, ["band", "bucket"]).select("band", "bucket", "key", "draws").repartition(parts, "band", "bucket").sortWithinPartitions("band", "bucket").mapInArrow(run, "u binary, v binary")
+    across = _by_bucket(met.filter("leads and leaders > 1").select("band", "bucket", "key", "draws")).mapInArrow(run, "u binary, v binary")
     within = found.filter("other is not null").select(F.col("key").alias("u"), F.col("other").alias("v"))
     both = within.unionByName(across)
     return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct()
 
 
+def rooted(rows: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+    """Rows with the root of their key's component; a key without links is its own."""
+    return rows.join(roots, "key", "left").withColumn(name, F.coalesce("root", "key")).select(*rows.columns, name)
+
+
+def divided(met: DataFrame) -> DataFrame:
+    """Members of the buckets that have several roots (``was``)."""
+    several = met.groupBy("band", "bucket").agg(F.min("was").alias("low"), F.max("was").alias("high")).filter("low < high")
+    return met.join(several, ["band", "bucket"]).select("band", "bucket", "key", "draws", "was")
+
+
+def partners(draws: np.ndarray, was: list[bytes], now: list[bytes], low: int, high: int, params: Params) -> tuple[list[tuple[int, int]], bool]:
+    """(candidate pairs of one bucket, whether there are more), as positions.
+
+    Of every pair with different roots one is outside the bucket's largest component.
+    Each such member ranks all candidates with another root in ``was``; the pairs are
+    those at ranks from low to high whose roots still differ.  As ``was`` stays the
+    same from round to round, the ranks do, and no pair is left out.
+    """
+    codes: dict[bytes, int] = {}
+    before = np.array([codes.setdefault(w, len(codes)) for w in was])
+    after = np.array([codes.setdefault(w, len(codes)) for w in now])
+    need = params.candidate * draws.shape[1]
+    pairs, more = [], False
+    for i in np.flatnonzero(before != np.bincount(before).argmax()).tolist():
+        same = np.count_nonzero(draws == draws[i], axis=1)
+        near = np.flatnonzero((same >= need) & (before != before[i]))
+        if len(near) <= low:
+            continue
+        ranked = near[np.argsort(-same[near], kind="stable")]
+        apart = after[ranked] != after[i]
+        pairs += [(i, j) for j in ranked[low:high][apart[low:high]].tolist()]
+        more = more or bool(apart[high:].any())
+    return pairs, more
+
+
+def proposals(rows: DataFrame, low: int, high: int, params: Params) -> DataFrame:
+    """(u, v) further candidate links, u < v, each once; v is null where more are to come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links() -> Iterator[list[tuple]]:
+            for _, (keys, draws, was, now) in _buckets(batches):
+                pairs, more = partners(np.stack([np.frombuffer(d, np.uint16) for d in draws]), was, now, low, high, params)
+                yield [(min(keys[i], keys[j]), max(keys[i], keys[j])) for i, j in pairs] + ([(b"", None)] if more else [])
+
+        yield from _pairs(links())
+
+    return _by_bucket(rows.select("band", "bucket", "key", "draws", "was", "now")).mapInArrow(run, "u binary, v binary").distinct()
+
+
+def completed(met: DataFrame, pairs: DataFrame, links: DataFrame, texts: DataFrame, idf: np.ndarray, params: Params, work: Workspace) -> DataFrame:
+    """(key, root) when all candidates of all buckets are tried or within a component.
+
+    ``pairs`` are tried, and ``links`` hold.  Rounds widen by eight, so that even the
+    largest group needs few.
+    """
+    roots = components(links, Workspace(work.spark, "components"))
+    rows = work.put(divided(work.put(rooted(met, roots, "was"), "rooted")), "divided")
+    work.drop("rooted")
+    low, high, turn, more = 0, params.width, 0, bool(rows.limit(1).count())
+    while more:
+        found = work.put(proposals(rooted(rows, roots, "now"), low, high, params), f"proposals_{turn}")
+        more = bool(found.filter("v is null").limit(1).count())
+        new = work.put(found.filter("v is not null").join(pairs, ["u", "v"], "left_anti"), f"pairs_{turn}")
+        pairs = pairs.unionByName(new)
+        held = work.put(verified(new, texts, idf, params), f"verified_{turn}")
+        if held.limit(1).count():
+            links = links.unionByName(held)
+            roots = components(links, Workspace(work.spark, "components"))
+        low, high, turn = high, high * 8, turn + 1
+    return roots
+
+
 def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, params: Params) -> DataFrame:
     """(u, v, similarity) of the pairs at or over the threshold, by their whole texts."""
     one = texts.select(F.col("key").alias("u"), F.col("text").alias("text_u"))
@@ -324,13 +423,15 @@ def near_classes(docs: DataFrame, params: Params = Params(), id_col: str = "doc_
     work.rest()
     idf = inverse_frequencies(texts)
     found = work.put(members(texts, idf, params), "members")
-    pairs = work.put(candidates(found, params), "pairs")
+    met = work.put(meeting(found), "meeting")
+    pairs = work.put(candidates(found, met, params), "pairs")
     work.drop("members")
     work.rest()
     links = work.put(verified(pairs, texts, idf, params), "verified")
+    work.rest()
+    roots = completed(met, pairs, links, texts, idf, params, work)
     work.unbucket()
     work.rest()
-    roots = components(links, work)
     keyed = docs.drop(*CLASS, "__key").withColumn("__key", text_key_of(text_col))
     ids = keyed.groupBy("__key").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("n"))
     root_of = ids.join(roots.withColumnRenamed("key", "__key"), "__key", "left").select("__key", "least", "n", F.coalesce("root", "__key").alias("__root"))
