@@ -144,6 +144,24 @@ def test_retrieval_prefers_like_documents():
     assert set(index.neighbours(0, used, 2)) == {2, 4}
 
 
+def test_neighbours_are_those_of_the_whole_query():
+    rng = np.random.default_rng(6)
+    docs = [rng.zipf(1.3, rng.integers(1, 200)).clip(1, 900).astype(np.uint32) for _ in range(150)]
+    index, used = packing.Bm25Shard(docs), rng.random(150) < 0.2
+    counts = [dict(zip(*(x.tolist() for x in np.unique(d, return_counts=True)), strict=True)) for d in docs]
+    mean = np.mean([len(d) for d in docs])
+    df = {t: sum(t in c for c in counts) for c in counts for t in c}
+    for seed in range(150):
+        scores = np.zeros(150)
+        for i, c in enumerate(counts):
+            for t in counts[seed].keys() & c.keys():
+                scores[i] += np.log1p((150 - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * len(docs[i]) / mean))
+        scores[used] = 0
+        got = index.neighbours(seed, used, 16)
+        assert not used[got].any() and len(set(got)) == min(16, np.count_nonzero(scores))
+        assert scores[got] == pytest.approx(np.sort(scores)[::-1][: len(got)], rel=1e-4)
+
+
 def test_op1_and_op9_queries(spark):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     lib, lib9 = library(WORD), library(BYTE)

@@ -2,7 +2,7 @@
 
 Every shard is a block of rows of one input partition, bounded in tokens, with a
 BM25 inverted index of its own (terms: token ids).  The first unused document is
-the seed; its rarest terms query the index; the best unused neighbours, best
+the seed; all its terms query the index; the best unused neighbours, best
 first, then the next unused documents, fill the window to the last token.  What a
 window cuts off opens the next one, so that padding arises only at the end of a
 shard.  Ids come from the tokenizers library: a document's chunks between white
@@ -32,8 +32,11 @@ from tipoff.llm.common import bounded_batches, text_or_empty
 
 #: Tokens of one shard: bounds the memory of a task.
 SHARD_TOKENS = 6_000_000
-#: Terms of a seed that query the index, and BM25's parameters.
-QUERY_TERMS, K1, B = 8, 1.2, 0.75
+#: BM25's parameters.
+K1, B = 1.2, 0.75
+#: A term in more than this share of a shard's documents has a row of weights instead of
+#: postings; as rows are at most so full, they are at most 4 times the postings.
+DENSE = 0.25
 
 #: Lower-case words that a worker keeps, besides the chunks.
 WORD_ENTRIES = 900_000
@@ -137,34 +140,36 @@ class Bm25Shard:
         size = int(self.terms.max()) + 1 if len(self.terms) else 1
         df = np.bincount(self.terms, minlength=size)
         self.idf = np.log1p((self.n - df + 0.5) / (df + 0.5)).astype(np.float32)
-        self.weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner].astype(np.float32) / mean))
+        weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner].astype(np.float32) / mean))
         order = np.argsort(self.terms, kind="stable")
-        self.post, self.post_weight = owner[order], self.weight[order]
+        self.post, self.post_weight = owner[order], (weight * self.idf[self.terms])[order]
         self.first = np.concatenate([[0], np.cumsum(df)])
+        common = np.flatnonzero(df > DENSE * self.n)
+        self.row = np.full(size, -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), self.n), np.float32)
+        for i, t in enumerate(common.tolist()):
+            a, b = self.first[t], self.first[t + 1]
+            self.rows[i, self.post[a:b]] = self.post_weight[a:b]
 
     def neighbours(self, seed: int, used: np.ndarray, k: int) -> list[int]:
-        """Up to k unused documents by BM25 score for the seed's weightiest terms."""
+        """Up to k unused documents by BM25 score for all terms of the seed."""
         lo, hi = self.of[seed]
         terms = self.terms[lo:hi]
-        score = self.idf[terms] * self.weight[lo:hi]
-        if len(terms) > QUERY_TERMS:
-            best = np.argpartition(-score, QUERY_TERMS)[:QUERY_TERMS]
-            terms = terms[best]
-        spans = [(self.first[t], self.first[t + 1], self.idf[t]) for t in terms.tolist()]
-        if not spans:
-            return []
-        owner = np.concatenate([self.post[a:b] for a, b, _ in spans])
-        value = np.concatenate([self.post_weight[a:b] * w for a, b, w in spans])
-        free = ~used[owner]
-        owner, value = owner[free], value[free]
-        if not len(owner):
-            return []
-        found, back = np.unique(owner, return_inverse=True)
-        total = np.bincount(back, weights=value)
+        row = self.row[terms]
+        asked = np.zeros(len(self.rows), np.float32)
+        asked[row[row >= 0]] = 1
+        total = (asked @ self.rows).astype(np.float64)
+        rare = terms[row < 0]
+        if len(rare):
+            spans = list(zip(self.first[rare].tolist(), self.first[rare + 1].tolist(), strict=True))
+            owner = np.concatenate([self.post[a:b] for a, b in spans])
+            total += np.bincount(owner, weights=np.concatenate([self.post_weight[a:b] for a, b in spans]), minlength=self.n)
+        total[used] = 0
+        found = np.flatnonzero(total > 0)
         if len(found) > k:
-            top = np.argpartition(-total, k - 1)[:k]
-            found, total = found[top], total[top]
-        return found[np.lexsort((found, -total))].tolist()
+            found = found[total[found] >= np.partition(total[found], -k)[-k]]
+        return found[np.lexsort((found, -total[found]))][:k].tolist()
 
 
 def pack_shard(docs: list[np.ndarray], window: int) -> Iterator[tuple[int, int, int, int, int]]:
