@@ -1,15 +1,22 @@
 """Near-duplicate classes by weighted MinHash over TF-IDF shingles.
 
 Five-word shingles weigh their count times the mean inverse document frequency of
-their words; document frequencies are counted over all documents into a table of
-fixed size by word hash.  Improved consistent weighted sampling draws, for every
-hash function, one (shingle, level) of a text, so that two texts draw the same with
-a chance equal to their weighted Jaccard similarity.  Rows of a band meet in
-buckets; a bucket gives candidate links between leaders and members, not all
-pairs, first within each task, then across tasks.  Each candidate is verified by the
-exact weighted Jaccard similarity, and classes are the connected components of
-verified links.  Buckets whose members are still in different components then give
-their other candidates, in rounds, until every one is tried or within a component.
+their words; frequencies are counted over all documents.  Improved consistent
+weighted sampling draws, for every hash function, one (shingle, level) of a text, so
+that two texts draw the same with a chance equal to their weighted Jaccard
+similarity.  Texts that share the draws of a band meet in a bucket.
+
+No bucket gives all its pairs, and none is capped:
+
+1. The text that meets the most others is the centre of its buckets; every member is
+   compared to the centre by the exact similarity, in blocks of bounded size.
+   Components of the links that hold take in the large groups of copies at once.
+2. In a bucket that still holds several components, every member outside the largest
+   is compared to every member of another component, again exactly and in blocks
+   (``compared``); only links between components leave a task.
+
+So each pair of a bucket is compared or lies within a component, and the classes are
+those of all pairs that meet.
 """
 
 from __future__ import annotations
@@ -19,17 +26,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tipoff.llm.common import Workspace, bounded_batches, map_batches
+from tipoff.llm.common import Workspace, bounded_batches
 from tipoff.llm.regions import U64, Rolling, mix, word_symbols
 from tipoff.llm.repeats import distinct_texts, text_key_of
 
-#: Slots of the document-frequency table: its size doesn't grow with the corpus.
-DF_SLOTS = 1 << 16
 _TABLE = 1 << 12
 _QUANTILES = 1 << 16
+#: Weights are whole numbers of this part, so that sums don't depend on their order.
+SCALE = 10_000
+#: Distinct words of the documents a task has read, before it hands their counts on.
+FLUSH = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -40,14 +49,27 @@ class Params:
     threshold: float = 0.8
     bands: int = 10
     rows: int = 3
-    #: A member this close to a leader, by its draws, is linked to it and represented by it.
-    attach: float = 0.9
-    #: Links between leaders are candidates from this share of equal draws.
-    candidate: float = 0.5
-    #: First links of a leader to earlier leaders of its bucket; the others follow in rounds.
-    links: int = 3
-    #: Partners of a member that the first round tries; each later round, eight times as many.
-    width: int = 16
+    #: Words in fewer than one of so many documents weigh the same.  The table of
+    #: the others has at most this many times the mean distinct words of a document.
+    rare: int = 4096
+    #: Shingles of one block of members, and of one block of those that are compared to them.
+    member_block: int = 500_000
+    asker_block: int = 100_000
+
+
+@dataclass(frozen=True)
+class Idf:
+    """Inverse document frequencies by word hash: log(1 + (N + 1) / (df + 1))."""
+
+    words: np.ndarray
+    values: np.ndarray
+    rare: float
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.full(len(words), self.rare)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.values[at], self.rare)
 
 
 def _gamma_quantiles() -> np.ndarray:
@@ -72,23 +94,39 @@ class Sampler:
         self.log_c = _gamma_quantiles()
         self.slope = np.diff(self.log_c)
 
-    def draw(self, shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """One 64-bit name of (shingle, level) for every hash function."""
-        out = np.empty(len(self.odd), U64)
-        log_w = np.log(weights)
+    def draw(self, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """One 64-bit name of (shingle, level) for every text and hash function; no text
+        may be without shingles.  Short texts are drawn for together."""
+        out = np.empty((len(found), len(self.odd)), U64)
+        at = 0
+        while at < len(found):
+            stop, size = at, 0
+            while stop < len(found) and (stop == at or size + len(found[stop][0]) <= 1 << 14):
+                size += len(found[stop][0])
+                stop += 1
+            self._draw(found[at:stop], out[at:stop])
+            at = stop
+        return out
+
+    def _draw(self, found: list[tuple[np.ndarray, np.ndarray]], out: np.ndarray) -> None:
+        shingles = np.concatenate([s for s, _ in found])
+        log_w = np.log(np.concatenate([w for _, w in found]).astype(np.float64))
+        sizes = np.array([len(s) for s, _ in found])
+        starts = np.cumsum(sizes) - sizes
         with np.errstate(over="ignore"):
             for i, odd in enumerate(self.odd):
                 h = shingles * odd
                 h ^= h >> U64(32)
                 h *= U64(0x9E3779B97F4A7C15)
                 slot = (h & U64(_TABLE - 1)).astype(np.int64)
-                r = self.r[i][slot]
-                level = np.floor(log_w * self.inverse[i][slot] + self.beta[i][slot])
+                beta = self.beta[i][slot]
+                level = np.floor(log_w * self.inverse[i][slot] + beta)
                 q = (h >> U64(48)).astype(np.int64)
                 race = self.log_c[q] + self.slope[q] * ((h >> U64(16)) & U64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32
-                best = int(np.argmin(race - r * (level - self.beta[i][slot] + 1)))
-                out[i] = shingles[best] ^ U64(int(level[best]) + (1 << 40)) * odd
-        return mix(out)
+                race -= self.r[i][slot] * (level - beta + 1)
+                least = np.flatnonzero(race == np.repeat(np.minimum.reduceat(race, starts), sizes))
+                best = least[np.searchsorted(least, starts)]  # the first of each text
+                out[:, i] = mix(shingles[best] ^ (level[best].astype(np.int64) + (1 << 40)).astype(U64) * odd)
 
 
 _SAMPLERS: dict[int, Sampler] = {}
@@ -100,288 +138,210 @@ def sampler(draws: int) -> Sampler:
     return _SAMPLERS[draws]
 
 
-def weighted(text: str, idf: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingle hashes ascending, weights) of a text.
+def weighted(text: str, idf: Idf, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle hashes ascending, whole weights) of a text.
 
     A text with fewer words than a shingle is one shingle; without words, none.
     """
-    words = word_symbols(text.encode("utf-8", "surrogatepass"))
-    if not len(words):
-        return np.zeros(0, U64), np.zeros(0)
-    width = min(width, len(words))
-    shingles = Rolling(words, 0).grams(width)
-    sums = np.concatenate([[0.0], np.cumsum(idf[(words & U64(DF_SLOTS - 1)).astype(np.int64)])])
-    mean = (sums[width:] - sums[:-width]) / width
+    with np.errstate(over="ignore"):
+        words = word_symbols(text.encode("utf-8", "surrogatepass"))
+        if not len(words):
+            return np.zeros(0, U64), np.zeros(0, np.int64)
+        width = min(width, len(words))
+        shingles = Rolling(words, 0).grams(width)
+    sums = np.concatenate([[0.0], np.cumsum(idf.of(words))])
+    mean = np.rint((sums[width:] - sums[:-width]) * (SCALE / width)).astype(np.int64)
     names, first, counts = np.unique(shingles, return_index=True, return_counts=True)
-    return names, counts * np.round(mean[first], 4)
+    return names, counts * mean[first]
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity: sum of minima over sum of maxima."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    low = float(np.minimum(a[1][i], b[1][j]).sum())
-    high = float(a[1].sum() + b[1].sum()) - low
+    low = int(np.minimum(a[1][i], b[1][j]).sum())
+    high = int(a[1].sum()) + int(b[1].sum()) - low
     return low / high if high > 0 else 0.0
 
 
-def inverse_frequencies(texts: DataFrame) -> np.ndarray:
-    """Inverse document frequency of every slot, over all documents (rows of texts count m)."""
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, n): the rows of documents that hold each word, by its hash; a task hands
+    on sums over what it has read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(DF_SLOTS + 1, np.int64)
+        words: list[np.ndarray] = []
+        rows: list[np.ndarray] = []
+        size = 0
         for batch in batches:
             for text, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with np.errstate(over="ignore"):
-                    slots = np.unique((word_symbols(text.encode("utf-8", "surrogatepass")) & U64(DF_SLOTS - 1)).astype(np.int64))
-                counts[slots] += m
-                counts[DF_SLOTS] += m
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["slot", "n"])
-
-    rows = texts.select("text", "m").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # a table of fixed size
-    df = np.zeros(DF_SLOTS + 1)
-    for r in rows:
-        df[r.slot] = r.n
-    return np.log1p((df[DF_SLOTS] + 1) / (df[:DF_SLOTS] + 1))
-
-
-def bucket_links(keys: list[bytes], draws: np.ndarray, params: Params, bucket: int = 0) -> tuple[list[tuple[int, int]], list[int]]:
-    """(candidate links, leaders) of one bucket, as positions.
-
-    In an order of the bucket's own, a member close to a leader is linked to it; any
-    other becomes a leader, linked to the most similar earlier ones.  As the order
-    differs from bucket to bucket, so do the leaders of the same members.
-    """
-    place = [((int.from_bytes(k[:8], "little") ^ bucket) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF for k in keys]
-    order = sorted(range(len(keys)), key=lambda i: (place[i] ^ place[i] >> 32, keys[i]))
-    leaders: list[int] = []
-    links = []
-    table = np.empty((len(keys), draws.shape[1]), draws.dtype)
-    for i in order:
-        if leaders:
-            same = np.count_nonzero(table[: len(leaders)] == draws[i], axis=1) / draws.shape[1]
-            best = int(np.argmax(same))
-            if keys[leaders[best]] == keys[i]:
-                continue
-            if same[best] >= params.attach:
-                links.append((leaders[best], i))
-                continue
-            for j in np.argsort(-same, kind="stable")[: params.links].tolist():
-                if same[j] >= params.candidate:
-                    links.append((leaders[j], i))
-        table[len(leaders)] = draws[i]
-        leaders.append(i)
-    return links, leaders
-
-
-MEMBER = "band int, bucket long, key binary, draws binary, other binary"
-
-
-def _emit(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["band", "bucket", "key", "draws", "other"])
-
-
-def members(texts: DataFrame, idf: np.ndarray, params: Params) -> DataFrame:
-    """Members of each task's buckets, with draws (``other`` is the leader of those linked
-    to one, null for leaders), and the links between leaders found there, without."""
+                    mine = np.unique(word_symbols(text.encode("utf-8", "surrogatepass")))
+                words.append(mine)
+                rows.append(np.full(len(mine), m, np.int64))
+                size += len(mine)
+            if size > FLUSH:
+                yield summed(words, rows)
+                words, rows, size = [], [], 0
+        if size:
+            yield summed(words, rows)
+
+    def summed(words: list[np.ndarray], rows: list[np.ndarray]) -> pa.RecordBatch:
+        names, of = np.unique(np.concatenate(words), return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(np.bincount(of, np.concatenate(rows)).astype(np.int64))], names=["word", "n"])
+
+    return texts.select("text", "m").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def inverse_frequencies(texts: DataFrame, params: Params) -> Idf:
+    """Frequencies over all documents (rows of texts count m); what reaches the driver
+    are the words that are not rare, whose number has a bound (``Params.rare``)."""
+    total = texts.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n")).first().n
+    floor = max(1.0, total / params.rare)
+    got = word_counts(texts).filter(F.col("n") >= floor).toArrow()
+    words, n = got["word"].to_numpy().view(U64), got["n"].to_numpy().astype(np.float64)
+    order = np.argsort(words)
+    return Idf(words[order], np.log1p((total + 1) / (n[order] + 1)), float(np.log1p((total + 1) / (floor + 1))))
+
+
+def members(texts: DataFrame, idf: Idf, params: Params) -> DataFrame:
+    """(bucket, key, size): a row a band of every text with words; size in shingles."""
     n = params.bands * params.rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[bytes] = []
-        found: list[np.ndarray] = []
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with np.errstate(over="ignore"):
-                    shingles, weights = weighted(text, idf, params.shingle)
-                if len(shingles):
-                    keys.append(key)
-                    found.append(sampler(n).draw(shingles, weights))
-            if len(keys) >= 50_000:
-                yield from grouped(keys, found)
-                keys, found = [], []
-        if keys:
-            yield from grouped(keys, found)
-
-    def grouped(keys: list[bytes], found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        draws = np.stack(found)
-        short = draws.astype(np.uint16)
-        rows: list[tuple] = []
-        for band in range(params.bands):
-            bucket = np.full(len(keys), band + 1, U64)
+            found = [weighted(t, idf, params.shingle) for t in batch.column(1).to_pylist()]
+            some = [i for i, f in enumerate(found) if len(f[0])]
+            if not some:
+                continue
+            found = [found[i] for i in some]
+            draws = sampler(n).draw(found)
+            bucket = np.empty((len(some), params.bands), U64)
             with np.errstate(over="ignore"):
-                for k in range(params.rows):
-                    bucket = mix(bucket * U64(0x9E3779B97F4A7C15) ^ draws[:, band * params.rows + k])
-            order = np.argsort(bucket, kind="stable")
-            edge = np.flatnonzero(np.diff(bucket[order], prepend=bucket[order[0]] ^ U64(1)))
-            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(order)], strict=True):
-                group = order[a:b].tolist()
-                name = int(bucket[group[0]].view(np.int64))
-                if len(group) == 1:
-                    rows.append((band, name, keys[group[0]], short[group[0]].tobytes(), None))
-                    continue
-                links, leaders = bucket_links([keys[g] for g in group], short[group], params, name)
-                lead = set(leaders)
-                rows += [(band, name, keys[group[i]], b"", keys[group[j]]) if j in lead else (band, name, keys[group[j]], short[group[j]].tobytes(), keys[group[i]]) for i, j in links]
-                rows += [(band, name, keys[group[i]], short[group[i]].tobytes(), None) for i in leaders]
-            if len(rows) > 20_000:
-                yield _emit(rows)
-                rows = []
-        if rows:
-            yield _emit(rows)
-
-    return texts.select("key", "text").mapInArrow(run, MEMBER)
+                for band in range(params.bands):
+                    name = np.full(len(some), band + 1, U64)
+                    for k in range(params.rows):
+                        name = mix(name * U64(0x9E3779B97F4A7C15) ^ draws[:, band * params.rows + k])
+                    bucket[:, band] = name
+            keys = batch.column(0).take(pa.array(np.repeat(some, params.bands)))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.reshape(-1).view(np.int64)), keys, pa.array(np.repeat([len(s) for s, _ in found], params.bands).astype(np.int32))], names=["bucket", "key", "size"])
 
+    return texts.select("key", "text").mapInArrow(run, "bucket long, key binary, size int")
 
-def meeting(found: DataFrame) -> DataFrame:
-    """Members of the buckets with several, and how many of the bucket's are leaders."""
-    every = found.filter("length(draws) > 0").select("band", "bucket", "key", "draws", F.col("other").isNull().alias("leads"))
-    # most members meet no other: they are dropped by a count of two numbers
-    shared = every.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("leads").cast("int")).alias("leaders"))
-    return every.join(shared.filter("n > 1").select("band", "bucket", "leaders"), ["band", "bucket"])
-
-
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list]]]:
-    """(bucket, columns after the first two) of rows that are sorted by band and bucket."""
-    name, rows = None, []
-    for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if row[:2] != name:
-                if rows:
-                    yield name[1], list(zip(*rows, strict=True))
-                name, rows = row[:2], []
-            rows.append(row[2:])
-    if rows:
-        yield name[1], list(zip(*rows, strict=True))
-
-
-def _pairs(found: Iterator[list[tuple]]) -> Iterator[pa.RecordBatch]:
-    """(u, v) in batches of bounded size."""
-    out: list[tuple] = []
-    for some in found:
-        out += some
-        while len(out) >= 20_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out[:20_000], strict=True)], names=["u", "v"])
-            out = out[20_000:]
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["u", "v"])
-
-
-def _by_bucket(rows: DataFrame) -> DataFrame:
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "band", "bucket").sortWithinPartitions("band", "bucket", "key")
-
-
-def candidates(found: DataFrame, met: DataFrame, params: Params) -> DataFrame:
-    """(u, v) first candidate links, u < v, each once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links() -> Iterator[list[tuple]]:
-            for name, (keys, draws) in _buckets(batches):
-                table = np.stack([np.frombuffer(d, np.uint16) for d in draws])
-                yield [(keys[i], keys[j]) for i, j in bucket_links(list(keys), table, params, name)[0]]
 
-        yield from _pairs(links())
-
-    across = _by_bucket(met.filter("leads and leaders > 1").select("band", "bucket", "key", "draws")).mapInArrow(run, "u binary, v binary")
-    within = found.filter("other is not null").select(F.col("key").alias("u"), F.col("other").alias("v"))
-    both = within.unionByName(across)
-    return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct()
+def meeting(found: DataFrame) -> DataFrame:
+    """(bucket, key, size, n): members of the buckets with several; n are in the bucket."""
+    # most members meet no other: they are dropped by a count of one number
+    shared = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return found.join(shared, "bucket")
 
 
-def rooted(rows: DataFrame, roots: DataFrame, name: str) -> DataFrame:
-    """Rows with the root of their key's component; a key without links is its own."""
-    return rows.join(roots, "key", "left").withColumn(name, F.coalesce("root", "key")).select(*rows.columns, name)
+def block_of(key: str, blocks: str, salt: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(salt)), F.col(blocks)).cast("int")
 
 
-def divided(met: DataFrame) -> DataFrame:
-    """Members of the buckets that have several roots (``was``)."""
-    several = met.groupBy("band", "bucket").agg(F.min("was").alias("low"), F.max("was").alias("high")).filter("low < high")
-    return met.join(several, ["band", "bucket"]).select("band", "bucket", "key", "draws", "was")
+CELL = "cell binary, asked int, held int, key binary, root binary, asks boolean, meets boolean"
 
 
-def partners(draws: np.ndarray, was: list[bytes], now: list[bytes], low: int, high: int, params: Params) -> tuple[list[tuple[int, int]], bool]:
-    """(candidate pairs of one bucket, whether there are more), as positions.
+def central(met: DataFrame, params: Params) -> DataFrame:
+    """CELL rows that compare the members of all buckets to their centre, each pair once.
 
-    Of every pair with different roots one is outside the bucket's largest component.
-    Each such member ranks all candidates with another root in ``was``; the pairs are
-    those at ranks from low to high whose roots still differ.  As ``was`` stays the
-    same from round to round, the ranks do, and no pair is left out.
+    The centre of a bucket is the member that meets the most others in all its
+    buckets: in a group of edited copies, the text they were made from.
     """
-    codes: dict[bytes, int] = {}
-    before = np.array([codes.setdefault(w, len(codes)) for w in was])
-    after = np.array([codes.setdefault(w, len(codes)) for w in now])
-    need = params.candidate * draws.shape[1]
-    pairs, more = [], False
-    for i in np.flatnonzero(before != np.bincount(before).argmax()).tolist():
-        same = np.count_nonzero(draws == draws[i], axis=1)
-        near = np.flatnonzero((same >= need) & (before != before[i]))
-        if len(near) <= low:
-            continue
-        ranked = near[np.argsort(-same[near], kind="stable")]
-        apart = after[ranked] != after[i]
-        pairs += [(i, j) for j in ranked[low:high][apart[low:high]].tolist()]
-        more = more or bool(apart[high:].any())
-    return pairs, more
-
-
-def proposals(rows: DataFrame, low: int, high: int, params: Params) -> DataFrame:
-    """(u, v) further candidate links, u < v, each once; v is null where more are to come."""
+    reach = met.groupBy("key").agg(F.sum("n").alias("reach"))
+    centre = met.join(reach, "key").groupBy("bucket").agg(F.max(F.struct("reach", "key")).alias("best")).select("bucket", F.col("best.key").alias("cell"))
+    pairs = met.join(centre, "bucket").filter("key <> cell").select("cell", "key", "size").distinct()
+    blocks = pairs.groupBy("cell").agg(F.ceil(F.sum("size") / params.member_block).cast("int").alias("blocks"))
+    held = pairs.join(blocks, "cell").select("cell", F.lit(0).alias("asked"), block_of("key", "blocks", 1).alias("held"), "key", F.col("key").alias("root"), F.lit(False).alias("asks"), F.lit(True).alias("meets"))
+    asked = blocks.select("cell", F.lit(0).alias("asked"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("held"), F.col("cell").alias("key"), F.col("cell").alias("root"), F.lit(True).alias("asks"), F.lit(False).alias("meets"))
+    return held.unionByName(asked)
+
+
+def apart(met: DataFrame, roots: DataFrame, work: Workspace, params: Params) -> DataFrame:
+    """CELL rows of the buckets with several components: all members outside the largest
+    against all members, a cell for every two blocks."""
+    rooted = work.put(met.join(roots, "key", "left").select("bucket", "key", "size", F.coalesce("root", "key").alias("root")), "rooted")
+    parts = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    whole = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("size"), F.max(F.struct("n", "root", "size")).alias("most")).filter("parts > 1")
+    sizes = whole.select("bucket", F.col("most.root").alias("largest"), F.ceil((F.col("size") - F.col("most.size")) / params.asker_block).cast("int").alias("askers"), F.ceil(F.col("size") / params.member_block).cast("int").alias("holders"))
+    rows = rooted.join(sizes, "bucket").withColumns({"rest": F.col("root") != F.col("largest"), "own_asked": block_of("key", "askers", 2), "own_held": block_of("key", "holders", 3)})
+    meets = F.transform(F.sequence(F.lit(0), F.col("askers") - 1), lambda x: F.struct(x.alias("asked"), F.col("own_held").alias("held")))
+    asks = F.transform(F.sequence(F.lit(0), F.col("holders") - 1), lambda x: F.struct(F.col("own_asked").alias("asked"), x.alias("held")))
+    cells = F.when(F.col("rest"), F.array_distinct(F.concat(meets, asks))).otherwise(meets)
+    spread = rows.select("bucket", "key", "root", "rest", "own_asked", "own_held", F.explode(cells).alias("at"))
+    return spread.select(
+        F.unhex(F.lpad(F.hex("bucket"), 16, "0")).alias("cell"), "at.asked", "at.held", "key", "root",
+        (F.col("rest") & (F.col("at.asked") == F.col("own_asked"))).alias("asks"), (F.col("at.held") == F.col("own_held")).alias("meets"),
+    )
+
+
+class Members:
+    """The members of one cell: which of them are similar to a text?"""
+
+    def __init__(self, found: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.names, self.codes = np.unique(np.concatenate([s for s, _ in found]), return_inverse=True)
+        self.weights = np.concatenate([w for _, w in found])
+        sizes = np.array([len(s) for s, _ in found])
+        self.starts = np.cumsum(sizes) - sizes
+        self.totals = np.add.reduceat(self.weights, self.starts)
+        self.dense = np.zeros(len(self.names), np.int64)
+
+    def similar(self, text: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Weighted Jaccard similarity of every member to the text."""
+        at = np.minimum(np.searchsorted(self.names, text[0]), len(self.names) - 1)
+        hit = self.names[at] == text[0]
+        self.dense[at[hit]] = text[1][hit]
+        low = np.add.reduceat(np.minimum(self.dense[self.codes], self.weights), self.starts)
+        self.dense[at[hit]] = 0
+        return low / (self.totals + int(text[1].sum()) - low)
+
+
+def cell_links(rows: list[tuple], threshold: float) -> list[tuple[bytes, bytes]]:
+    """Links between the components (roots) of one cell's rows (root, asks, meets, features)
+    that make the same components as all its pairs at or over the threshold."""
+    held, asked = [r for r in rows if r[2]], [r for r in rows if r[1]]
+    if not held or not asked:
+        return []
+    over: dict[bytes, bytes] = {}
+
+    def top(root: bytes) -> bytes:
+        while root in over:
+            root = over[root]
+        return root
+
+    index = Members([r[3] for r in held])
+    found = []
+    for root, _, _, features in asked:
+        for j in np.flatnonzero(index.similar(features) >= threshold).tolist():
+            a, b = top(root), top(held[j][0])
+            if a != b:
+                over[max(a, b)] = min(a, b)
+                found.append((root, held[j][0]))
+    return found
+
+
+def compared(cells: DataFrame, texts: DataFrame, idf: Idf, params: Params) -> DataFrame:
+    """(u, v) links between the roots of each cell's rows, by whole texts."""
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links() -> Iterator[list[tuple]]:
-            for _, (keys, draws, was, now) in _buckets(batches):
-                pairs, more = partners(np.stack([np.frombuffer(d, np.uint16) for d in draws]), was, now, low, high, params)
-                yield [(min(keys[i], keys[j]), max(keys[i], keys[j])) for i, j in pairs] + ([(b"", None)] if more else [])
-
-        yield from _pairs(links())
-
-    return _by_bucket(rows.select("band", "bucket", "key", "draws", "was", "now")).mapInArrow(run, "u binary, v binary").distinct()
-
+        name, rows = None, []
+        for batch in batches:
+            links = []
+            for cell, asked, held, root, asks, meets, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (cell, asked, held) != name:
+                    links += cell_links(rows, params.threshold)
+                    name, rows = (cell, asked, held), []
+                rows.append((root, asks, meets, weighted(text, idf, params.shingle)))
+            if links:
+                yield packed(links)
+        if links := cell_links(rows, params.threshold):
+            yield packed(links)
 
-def completed(met: DataFrame, pairs: DataFrame, links: DataFrame, texts: DataFrame, idf: np.ndarray, params: Params, work: Workspace) -> DataFrame:
-    """(key, root) when all candidates of all buckets are tried or within a component.
+    def packed(links: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*links, strict=True)], names=["u", "v"])
 
-    ``pairs`` are tried, and ``links`` hold.  Rounds widen by eight, so that even the
-    largest group needs few.
-    """
-    roots = components(links, Workspace(work.spark, "components"))
-    rows = work.put(divided(work.put(rooted(met, roots, "was"), "rooted")), "divided")
-    work.drop("rooted")
-    low, high, turn, more = 0, params.width, 0, bool(rows.limit(1).count())
-    while more:
-        found = work.put(proposals(rooted(rows, roots, "now"), low, high, params), f"proposals_{turn}")
-        more = bool(found.filter("v is null").limit(1).count())
-        new = work.put(found.filter("v is not null").join(pairs, ["u", "v"], "left_anti"), f"pairs_{turn}")
-        pairs = pairs.unionByName(new)
-        held = work.put(verified(new, texts, idf, params), f"verified_{turn}")
-        if held.limit(1).count():
-            links = links.unionByName(held)
-            roots = components(links, Workspace(work.spark, "components"))
-        low, high, turn = high, high * 8, turn + 1
-    return roots
-
-
-def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, params: Params) -> DataFrame:
-    """(u, v, similarity) of the pairs at or over the threshold, by their whole texts."""
-    one = texts.select(F.col("key").alias("u"), F.col("text").alias("text_u"))
-    two = texts.select(F.col("key").alias("v"), F.col("text").alias("text_v"))
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        u, v, tu, tv = (c.to_pylist() for c in batch.columns)
-        known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
-        out = []
-        with np.errstate(over="ignore"):
-            for a, b, x, y in zip(u, v, tu, tv, strict=True):
-                for key, text in ((a, x), (b, y)):
-                    if key not in known:
-                        known[key] = weighted(text, idf, params.shingle)
-                s = similarity(known[a], known[b])
-                if s >= params.threshold:
-                    out.append((a, b, s))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((), (), ()), (pa.binary(), pa.binary(), pa.float64()), strict=True)], names=["u", "v", "similarity"])
-
-    return map_batches(pairs.join(one, "u").join(two, "v").select("u", "v", "text_u", "text_v"), run, "u binary, v binary, similarity double")
+    whole = cells.join(texts.select("key", "text"), "key").select("cell", "asked", "held", "root", "asks", "meets", "text")
+    return whole.repartition(parts, "cell", "asked", "held").sortWithinPartitions("cell", "asked", "held").mapInArrow(run, "u binary, v binary")
 
 
 def components(links: DataFrame, work: Workspace) -> DataFrame:
@@ -405,6 +365,15 @@ def components(links: DataFrame, work: Workspace) -> DataFrame:
         label = label.select("key", "root")
 
 
+def joined(roots: DataFrame, over: DataFrame) -> DataFrame:
+    """(key, root): ``roots`` under the roots that ``over`` gives to their roots."""
+    upper = over.select(F.col("root").alias("upper"), F.col("key").alias("root"))
+    below = roots.join(upper, "root", "left").select("key", F.coalesce("upper", "root").alias("root"))
+    # texts that had no link are their own roots, so far without a row
+    alone = over.join(roots, "key", "left_anti").select("key", "root")
+    return below.unionByName(alone)
+
+
 CLASS = ("class_id", "class_rows", "__root")
 
 
@@ -421,15 +390,15 @@ def near_classes(docs: DataFrame, params: Params = Params(), id_col: str = "doc_
     bounded_batches(docs.sparkSession)
     texts = distinct_texts(docs, work, text_col)
     work.rest()
-    idf = inverse_frequencies(texts)
-    found = work.put(members(texts, idf, params), "members")
-    met = work.put(meeting(found), "meeting")
-    pairs = work.put(candidates(found, met, params), "pairs")
+    idf = inverse_frequencies(texts, params)
+    met = work.put(meeting(work.put(members(texts, idf, params), "members")), "meeting")
     work.drop("members")
     work.rest()
-    links = work.put(verified(pairs, texts, idf, params), "verified")
+    links = work.put(compared(work.put(central(met, params), "central"), texts, idf, params), "links")
+    roots = components(links, Workspace(work.spark, "components"))
     work.rest()
-    roots = completed(met, pairs, links, texts, idf, params, work)
+    more = work.put(compared(work.put(apart(met, roots, work, params), "apart"), texts, idf, params), "more_links")
+    roots = work.put(joined(roots, components(more, Workspace(work.spark, "components"))), "joined")
     work.unbucket()
     work.rest()
     keyed = docs.drop(*CLASS, "__key").withColumn("__key", text_key_of(text_col))
