@@ -1,6 +1,7 @@
 """BPE, token counts and packing against the library on hard texts."""
 
 import hashlib
+import random
 import zlib
 from array import array
 
@@ -85,7 +86,29 @@ def test_count_frames(spark):
     assert all(r.over_limit == (r.n_tokens > 5) for r in got)
     cut = tokencount.truncate(frame(spark), BYTE, 4).collect()
     assert all(len(lib.encode(r.text, add_special_tokens=False).ids) <= 4 for r in cut)
-    assert all(r.n_tokens >= (r.tokens_before[-1] if r.tokens_before else 0) for r in tokencount.prefix_tables(frame(spark), BYTE).collect())
+    tables = tokencount.prefix_tables(frame(spark), BYTE)
+    want = sorted([len(lib.encode((t or "")[:i], add_special_tokens=False).ids) for i in range(len(t or "") + 1)] for t in HARD if len(t or "") < 500)
+    assert sorted(r.counts for r in tables.collect() if len(r.counts) <= 500) == want
+    fits = sorted(tokencount.within_budget(tables, 4).collect(), key=lambda r: (r.n_tokens, r.fits))
+    assert sorted(r.fits for r in fits) == sorted(len(r.text) for r in cut)
+    assert tokencount.prefix_tables(frame(spark, []), BYTE).count() == 0 and tokencount.truncate(frame(spark, []), BYTE, 4).count() == 0
+    assert tokencount.prefix_tables(frame(spark, [(None, None, 1)]), BYTE).first() == (None, [0])
+    assert {r.text for r in tokencount.truncate(frame(spark), BYTE, -1).collect()} == {""}
+
+
+def test_prefix_table_of_a_long_text():
+    lib = library(BYTE)
+    rng = random.Random(1)
+    parts = ["a", "the", "  ", " \n\n ", "'re", "we'll", "\t", "<|endoftext|>", "é", "12345", "!?", "\u3000", " can't", "x" * 30]
+    text = "".join(rng.choices(parts, k=400_000))
+    assert len(text) > 1_000_000
+    table = tokencount.load(BYTE).table(text)
+    assert table.total == len(lib.encode(text, add_special_tokens=False).ids)
+    for i in rng.sample(range(40_000), 60):
+        assert table.at(i) == len(lib.encode(text[:i], add_special_tokens=False).ids)
+    for budget in rng.sample(range(20_000), 20):
+        i = table.longest_within(budget)
+        assert table.at(i) <= budget and (table.counts[i + 1 :] > budget).all()
 
 
 def check_pieces(rows, want, window=2048):
@@ -129,6 +152,17 @@ def test_packing_edges(spark):
     assert packing.pack(docs.limit(0), WORD).count() == 0
 
 
+def test_a_seed_asks_until_its_window_is_full():
+    """Many short documents: all of one topic are laid before any of the other."""
+    rng = np.random.default_rng(2)
+    docs = [np.append(rng.integers(0, 40, 9) + 100 * (i % 2), 1).astype(np.uint32) for i in range(400)]
+    docs = [np.append(d, 7 + 1000 * (i % 2)).astype(np.uint32)[1:] for i, d in enumerate(docs)]
+    first = [d for d, _, _, sequence, _ in packing.pack_shard(docs, 500) if sequence == 0]
+    terms = [set(d.tolist()) - {1} for d in docs]
+    mixed = {i % 2 for i in first}
+    assert len(first) == 50 and (mixed == {0} or any(terms[0] & terms[i] for i in first if i % 2))
+
+
 def test_shards_are_bounded(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "the cat sat " * 50) for i in range(60)], "doc_id long, text string").coalesce(1)
     lib = library(WORD)

@@ -2,19 +2,21 @@
 
 View one sees the text's content: shares of character classes, word statistics and
 hashed byte trigrams.  View two sees page metadata: language, source, length and
-line layout.  Both are ridge logistic regressions.  In every round each view labels
-the documents of an unlabelled pool that it is sure of, and these pseudo-labels join
-the *other* view's training rows.  Both are then calibrated on labelled rows that
-no round has seen, and a logistic combination of the calibrated views scores every
-document.
-
-Only fitting uses samples, of documented bounds (``Params``); the samples are the
-rows with the smallest hashes of their ids, so they are the same on every run.
+line layout.  Both are ridge logistic regressions.  In every round each view scores
+all documents, and those that it is surest of join the *other* view's training rows
+with the label it gives them: a distributed top-k, equal texts counting once.  Both
+views are then calibrated on labelled rows that no round has seen, combined by a
+logistic regression on further such rows, and the combination scores every document.
+
+Only labelled rows are a sample, of a documented bound (``Params``): those with the
+smallest hashes of their ids, so they are the same on every run.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,22 +25,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tipoff.llm.common import map_batches, text_or_empty
-from tipoff.llm.rules import CLASSES, class_histogram
+from tipoff.llm.common import Workspace, bounded_batches, map_batches, text_or_empty
+from tipoff.llm.rules import class_histogram
 
 TRIGRAMS, SOURCES, LANG_SLOTS = 256, 32, 8
 
 
 @dataclass(frozen=True)
 class Params:
-    """Bounds of the samples and settings of the rounds."""
+    """Bound of the labelled rows and settings of the rounds."""
 
     labelled: int = 8000
-    pool: int = 8000
     rounds: int = 3
+    #: Pseudo-labels that a view hands on in a round, shared out by the labels' frequencies.
     per_round: int = 400
     sure: float = 0.97
-    holdout: float = 0.25
+    #: Share of the labelled rows for calibration, and the same again for combination.
+    holdout: float = 0.15
     ridge: float = 1.0
     #: Documents of a lower combined score are rejected.
     threshold: float = 0.3
@@ -135,44 +138,105 @@ class Model:
         return _sigmoid(self.combination.logit(np.column_stack([ct, cm]))), _sigmoid(ct), _sigmoid(cm)
 
 
-def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, pool_t: np.ndarray, pool_m: np.ndarray, params: Params) -> Model:
-    """Fit both views; rows come in a fixed order, the last share is held out."""
+#: For a round: takes both views, what is asked of whom as (view, label, how many), and the
+#: hashes that each view has had; returns (hashes, text features, metadata features) for each.
+Surest = Callable[[dict[str, Linear], list[tuple[str, float, int]], dict[str, set[int]]], list[tuple[list[int], np.ndarray, np.ndarray]]]
+
+
+def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, surest: Surest | None, params: Params, texts: list[int] | None = None) -> Model:
+    """Fit both views; rows come in a fixed order, the last shares are held out.
+
+    ``texts`` are hashes of the rows' texts: no round may take one that is held out.
+    """
     base = float(y.mean()) if len(y) else 0.5
-    held = int(len(y) * (1 - params.holdout))
-    if not all(0 < part.sum() < len(part) for part in (y[:held], y[held:])):
+    n = int(len(y) * params.holdout)
+    held = len(y) - 2 * n
+    parts = (slice(0, held), slice(held, held + n), slice(held + n, None))
+    if not all(0 < y[p].sum() < len(y[p]) for p in parts):
         return Model(None, None, None, None, base)
-    rows = {"t": [(xt[:held], y[:held])], "m": [(xm[:held], y[:held])]}
-    free = {"t": np.ones(len(pool_t), bool), "m": np.ones(len(pool_t), bool)}
-    views = {"t": pool_t, "m": pool_m}
+    learn, calibrate, combine = parts
+    rows = {"t": [(xt[learn], y[learn])], "m": [(xm[learn], y[learn])]}
+    had = {v: set(texts[held:] if texts else ()) for v in "tm"}
     model = {}
     for turn in range(params.rounds + 1):
         for v in "tm":
             model[v] = fit(np.concatenate([a for a, _ in rows[v]]), np.concatenate([b for _, b in rows[v]]), params.ridge)
-        if turn == params.rounds or not len(pool_t):
+        if turn == params.rounds or surest is None:
             break
-        for v, other in ("tm", "mt"):
-            p = _sigmoid(model[v].logit(views[v]))
-            for label, sure, share in ((1.0, p, base), (0.0, 1 - p, 1 - base)):
-                found = np.flatnonzero(free[other] & (sure >= params.sure))
-                found = found[np.argsort(-sure[found], kind="stable")][: max(1, int(params.per_round * share))]
-                free[other][found] = False
-                rows[other].append((views[other][found], np.full(len(found), label)))
-    lt, lm = model["t"].logit(xt[held:])[:, None], model["m"].logit(xm[held:])[:, None]
-    calibration = (fit(lt, y[held:], params.ridge), fit(lm, y[held:], params.ridge))
-    combination = fit(np.column_stack([calibration[0].logit(lt), calibration[1].logit(lm)]), y[held:], params.ridge)
+        asked = [(v, label, max(1, int(params.per_round * share))) for v in "tm" for label, share in ((1.0, base), (0.0, 1 - base))]
+        for (v, label, _), (hashes, ft, fm) in zip(asked, surest(model, asked, had), strict=True):
+            other = "m" if v == "t" else "t"
+            if hashes:
+                had[other].update(hashes)
+                rows[other].append((fm if v == "t" else ft, np.full(len(hashes), label)))
+    logits = lambda p: (model["t"].logit(xt[p])[:, None], model["m"].logit(xm[p])[:, None])
+    lt, lm = logits(calibrate)
+    calibration = (fit(lt, y[calibrate], params.ridge), fit(lm, y[calibrate], params.ridge))
+    lt, lm = logits(combine)
+    combination = fit(np.column_stack([calibration[0].logit(lt), calibration[1].logit(lm)]), y[combine], params.ridge)
     return Model(model["t"], model["m"], calibration, combination, base)
 
 
+def least_hash(found: list[tuple], k: int) -> list[tuple]:
+    """The k surest of rows (sure, hash, ..), equal hashes once."""
+    out: dict[int, tuple] = {}
+    for row in sorted(found, key=lambda r: (-r[0], r[1])):
+        if len(out) == k:
+            break
+        out.setdefault(row[1], row)
+    return list(out.values())
+
+
+CANDIDATE = "asked int, sure double, h long, t binary, m binary"
+
+
+def surest_of(docs: DataFrame, work: Workspace, params: Params) -> Surest:
+    """Every document is scored; a task hands on its own surest, and Spark takes the
+    surest of those, so that the driver gets what a round adds and no more."""
+    got = docs.select(F.xxhash64(text_or_empty("text")).alias("h"), *_inputs())
+    turns = itertools.count()
+
+    def find(model: dict[str, Linear], asked: list[tuple[str, float, int]], had: dict[str, set[int]]) -> list[tuple[list[int], np.ndarray, np.ndarray]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: list[list[tuple]] = [[] for _ in asked]
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                h, text, lang, source, n_chars = (c.to_pylist() for c in batch.columns)
+                views = {"t": np.stack([text_view(x) for x in text]), "m": np.stack([meta_view(*x) for x in zip(text, lang, source, n_chars, strict=True)])}
+                p = {v: _sigmoid(model[v].logit(views[v])) for v in "tm"}
+                for i, (v, label, k) in enumerate(asked):
+                    sure = np.round(p[v] if label else 1 - p[v], 9)
+                    taken = had["m" if v == "t" else "t"]
+                    new = [(float(sure[j]), h[j], views["t"][j].tobytes(), views["m"][j].tobytes()) for j in np.flatnonzero(sure >= params.sure).tolist() if h[j] not in taken]
+                    best[i] = least_hash(best[i] + new, k)
+            rows = [(i, *row) for i, some in enumerate(best) for row in some]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.float64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=[c.split()[0] for c in CANDIDATE.split(", ")])
+
+        bounded_batches(docs.sparkSession)
+        found = work.put(got.mapInArrow(run, CANDIDATE), f"round_{next(turns)}")
+        out = []
+        for i, (_, _, k) in enumerate(asked):
+            # equal texts of other metadata: that with the least bytes
+            one = found.filter(F.col("asked") == i).groupBy("h").agg(F.max("sure").alias("sure"), F.min(F.struct("t", "m")).alias("x"))
+            rows = one.orderBy(F.col("sure").desc(), "h").limit(k).select("h", "x.t", "x.m").collect()  # what the round adds
+            out.append(([r.h for r in rows], *(np.stack([np.frombuffer(r[c], np.float32) for r in rows]) if rows else np.zeros((0, 0), np.float32) for c in ("t", "m"))))
+        return out
+
+    return find
+
+
 def _features(docs: DataFrame) -> DataFrame:
-    """(h, label, t, m) with the views as packed floats, for bounded samples."""
+    """(h, label, x, t, m): the text's hash and the views as packed floats, for bounded samples."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        h, label, text, lang, source, n_chars = (c.to_pylist() for c in batch.columns)
+        text, lang, source, n_chars = (c.to_pylist() for c in batch.columns[3:])
         t = [text_view(x).tobytes() for x in text]
         m = [meta_view(*x).tobytes() for x in zip(text, lang, source, n_chars, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(label, pa.float64()), pa.array(t, pa.binary()), pa.array(m, pa.binary())], names=["h", "label", "t", "m"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(t, pa.binary()), pa.array(m, pa.binary())], names=["h", "label", "x", "t", "m"])
 
-    return map_batches(docs.select("h", "label", *_inputs()), run, "h long, label double, t binary, m binary")
+    return map_batches(docs.select("h", "label", F.xxhash64(text_or_empty("text")).alias("x"), *_inputs()), run, "h long, label double, x long, t binary, m binary")
 
 
 def _inputs() -> list:
@@ -180,23 +244,22 @@ def _inputs() -> list:
 
 
 def train(docs: DataFrame, labels: DataFrame, params: Params = Params(), label_col: str = "quality") -> Model:
-    """Fit on the labelled rows and a pool of all rows, both bounded by ``params``.
+    """Fit on the labelled rows, bounded by ``params``, and pseudo-labels from all rows.
 
     Labels that are null are left out; of several labels of one id the lowest counts.
     Ids that several documents share are all used, within the bound.
     """
     ids = labels.filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label_col).cast("double").alias("label"))
     known = ids.select("doc_id", "label", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(params.labelled)
-    pool = docs.filter("doc_id is not null").select("doc_id", F.lit(None).cast("double").alias("label"), F.xxhash64("doc_id", F.lit(1)).alias("h")).distinct().orderBy("h", "doc_id").limit(params.pool)
-    got = []
-    for sample, bound in ((known, params.labelled), (pool, params.pool)):
-        # the sample has at most `bound` rows of three numbers: a safe broadcast
-        rows = _features(docs.drop("h", "label").join(F.broadcast(sample), "doc_id")).orderBy("h", "t").limit(bound).collect()
-        got.append(([r.label for r in rows], [np.frombuffer(r.t, np.float32) for r in rows], [np.frombuffer(r.m, np.float32) for r in rows]))
-    (y, xt, xm), (_, pt, pm) = got
-    wide = len(CLASSES) + 4 + TRIGRAMS, LANG_SLOTS + SOURCES + 6
-    stack = lambda rows, k: np.stack(rows) if rows else np.zeros((0, wide[k]), np.float32)
-    return co_train(stack(xt, 0), stack(xm, 1), np.array(y), stack(pt, 0), stack(pm, 1), params)
+    # the sample has at most `labelled` rows of three numbers: a safe broadcast
+    rows = _features(docs.drop("h", "label").join(F.broadcast(known), "doc_id")).orderBy("h", "x", "t").limit(params.labelled).collect()
+    if not rows:
+        return co_train(np.zeros((0, 1)), np.zeros((0, 1)), np.zeros(0), None, params)
+    xt, xm = (np.stack([np.frombuffer(r[c], np.float32) for r in rows]) for c in ("t", "m"))
+    work = Workspace(docs.sparkSession, "cotrain")
+    model = co_train(xt, xm, np.array([r.label for r in rows]), surest_of(docs, work, params), params, [r.x for r in rows])
+    work.drop()
+    return model
 
 
 SCORES = "quality_score double, text_score double, meta_score double, kept boolean"
@@ -226,5 +289,10 @@ def score(docs: DataFrame, model: Model, params: Params = Params()) -> DataFrame
 
 
 def classify(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> DataFrame:
-    """Train, then score every document."""
+    """Train, then score every document.
+
+    Without labels of both kinds all documents have the labels' mean as score (0.5
+    without any); an empty table gives no rows; columns named like those of SCORES
+    are replaced; repeated rows and equal texts are scored alike.
+    """
     return score(docs, train(docs, labels, params), params)

@@ -113,6 +113,13 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return df.mapInArrow(run, schema)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name of our own that df doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def text_or_empty(col: str) -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -1,18 +1,26 @@
 """Substring deduplication by distributed prefix doubling.
 
-Positions that may repeat (see ``repeats``) first have the rank of their next
-``base`` bytes.  In every round Spark sorts the pairs (rank of a position, rank of
-the position an offset on) by range partitions; the place of a pair among the
-distinct pairs is the new rank, for twice the length.  A position whose pair occurs
-once is unique and leaves; the offsets grow until the threshold is reached, and the
-last pair is made of overlapping halves where the threshold is no power.
-
-Before the rounds, open regions are narrowed.  All windows of a region share a gram;
-blocks are laid from its first place in the window to both sides, and the windows
-that cover the same blocks form a run.  Equal windows have equal blocks, so a run
-repeats only among runs with its core; most runs differ there or are equal
-throughout, and only those that a repeat ends in, within a block, take part in the
-sorts.
+A position first has the rank of its next ``base`` bytes.  In every round Spark sorts
+the pairs (rank of a position, rank of the position an offset on) by range
+partitions; the place of a pair among the distinct pairs is the new rank, for twice
+the length.  A position whose pair occurs once is unique and leaves; the offsets grow
+until the threshold is reached, and the last pair is made of overlapping halves
+where the threshold is no power.
+
+Only positions that may repeat take part (see ``repeats``), from long strings to short
+ones, so that what repeats as a whole is settled by few positions:
+
+1. Regions.  A string of several windows has two positions, its first and its last
+   window; a last pair of their ranks ranks the string.  A string whose rank occurs
+   twice repeats with all its windows.
+2. Runs.  All windows of a region share a gram; blocks are laid from its first place
+   in the window to both sides, and the windows that cover the same blocks form a run.
+   Equal windows have equal blocks, so a run repeats only among runs with its core.
+   Runs are ranked as regions are.
+3. Windows.  Every window of the runs that a repeat ends in is a position of its own.
+
+Equal strings (by two 64-bit hashes) are one row with a weight throughout; a rank's
+weight is the sum over its rows.
 """
 
 from __future__ import annotations
@@ -25,9 +33,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tipoff.llm.common import Workspace, map_batches
+from tipoff.llm.common import Workspace, map_batches, unused
 from tipoff.llm.regions import U64, Rolling, mix
-from tipoff.llm.repeats import Unit, keep_characters, remove_repeats, signed
+from tipoff.llm.repeats import Unit, contents, keep_characters, remove_repeats, signed
 
 #: Bytes of a block in narrowing.
 BLOCK = 25
@@ -51,12 +59,13 @@ def runs(rivals: DataFrame, unit: Unit) -> DataFrame:
     """Narrowed runs: windows that cover the same blocks around the region's gram.
 
     Two windows of one run have that gram at different places, so they differ.
+    ``start`` is within the region.
     """
     width, gram = unit.width, unit.gram
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         cores, spans, starts, sizes, owner = [], [], [], [], []
-        names, first = batch.column(0).to_pylist(), batch.column(4).to_pylist()
+        names = batch.column(0).to_pylist()
         with np.errstate(over="ignore"):
             for i, (name, symbols) in enumerate(zip(names, batch.column(6).to_pylist(), strict=True)):
                 s = _BYTES[np.frombuffer(symbols, np.uint8)]
@@ -70,7 +79,7 @@ def runs(rivals: DataFrame, unit: Unit) -> DataFrame:
                 stop = np.append(start[1:], len(at))
                 cores.append(mix(hashes.spans(low[start], high[start]) + (anchor[start] - low[start]).astype(U64)))
                 spans.append(Rolling(s, 1).spans(start, stop + width - 1))
-                starts.append(start + first[i])
+                starts.append(start)
                 sizes.append(stop - start)
                 owner.append(np.full(len(start), i))
         cat = np.concatenate
@@ -84,33 +93,79 @@ def runs(rivals: DataFrame, unit: Unit) -> DataFrame:
 PAIR = "left long, right long, run long, place int, n long"
 
 
-def base_pairs(open_runs: DataFrame, rivals: DataFrame, width: int, base: int) -> DataFrame:
-    """The first round's pairs of every position that a window of the runs needs.
+def _pairs_at(hashes: Rolling, at: np.ndarray, width: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """(left, right) of the first round for windows at ``at``: heads follow one another."""
+    have, step = offsets(width, base)[0]
+    place = (at[:, None] + np.array(_heads(width, base))).reshape(-1)
+    return hashes.spans(place, place + have), hashes.spans(place + step, place + step + have)
+
+
+#: The place of a string's only window; the first and the last of several are 0 and 1.
+ONLY = 2
+
+
+def end_pairs(hashes: Rolling, start: np.ndarray, windows: np.ndarray, width: int, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right, string, place) of the first round for the first and last window of
+    strings; the length is part of the first rank, so that strings of one rank have one."""
+    several = np.flatnonzero(windows > 1)
+    string = np.concatenate([np.arange(len(start)), several])
+    window = np.concatenate([np.where(windows > 1, 0, ONLY), np.ones(len(several), np.int64)])
+    heads = len(_heads(width, base))
+    left, right = _pairs_at(hashes, np.concatenate([start, start[several] + windows[several] - 1]), width, base)
+    left = left ^ np.repeat(np.where(window == 0, windows[string], 0).astype(U64), heads)
+    return left, right, np.repeat(string, heads), (window[:, None] * heads + np.arange(heads)).reshape(-1).astype(np.int32)
+
+
+def region_pairs(found: DataFrame, texts: DataFrame, width: int, base: int) -> DataFrame:
+    """The first round's pairs of the ends of all found regions."""
+    lists = found.groupBy("key").agg(F.collect_list(F.struct("item", "start", "windows", "n")).alias("found"))  # of one text
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
+        with np.errstate(over="ignore"):
+            for text, found in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                hashes = Rolling(_BYTES[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)], 0)
+                item, start, windows, n = (np.array([f[c] for f in found], np.int64) for c in ("item", "start", "windows", "n"))
+                left, right, string, place = end_pairs(hashes, start, windows, width, base)
+                for to, x in zip(out, (left, right, item[string], place, n[string]), strict=True):
+                    to.append(x)
+        return _pair_batch(out)
+
+    return map_batches(texts.join(lists, "key").select("text", "found"), run, PAIR)
+
+
+def _pair_batch(rows: list[list[np.ndarray]]) -> pa.RecordBatch:
+    left, right, run, place, n = (np.concatenate(x) for x in rows)
+    return pa.RecordBatch.from_arrays([signed(left), signed(right), pa.array(run), pa.array(place), pa.array(n)], names=["left", "right", "run", "place", "n"])
+
 
-    A position is (run, place): the start's place among the run's windows, and
+def run_pairs(runs: DataFrame, rivals: DataFrame, width: int, base: int, ends: bool) -> DataFrame:
+    """The first round's pairs of the ends of runs, or of every window of them.
+
+    A position is (run, place): the window's place among the run's windows, and
     which of the window's base ranks it is.
     """
-    have, step = offsets(width, base)[0]
-    heads = _heads(width, base)
-    lists = open_runs.groupBy("name", "content").agg(F.collect_list(F.struct("run", "start", "windows", "n")).alias("runs"))  # of one region
+    heads = len(_heads(width, base))
+    lists = runs.groupBy("name", "content").agg(F.collect_list(F.struct("run", "start", "windows", "n")).alias("runs"))  # of one region
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        left, right, rid, place, ns = [], [], [], [], []
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
         with np.errstate(over="ignore"):
-            for start, symbols, found in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                rank = Rolling(_BYTES[np.frombuffer(symbols, np.uint8)], 0).grams(have)
-                for f in found:
-                    at = np.arange(f["windows"]) + (f["start"] - start)
-                    for k, head in enumerate(heads):
-                        left.append(rank[at + head])
-                        right.append(rank[at + head + step])
-                        rid.append(np.full(len(at), f["run"], np.int64))
-                        place.append((np.arange(len(at)) * len(heads) + k).astype(np.int32))
-                        ns.append(np.full(len(at), f["n"], np.int64))
-        cat = np.concatenate
-        return pa.RecordBatch.from_arrays([signed(cat(left)), signed(cat(right)), pa.array(cat(rid)), pa.array(cat(place)), pa.array(cat(ns))], names=["left", "right", "run", "place", "n"])
-
-    return map_batches(rivals.join(lists, ["name", "content"]).select("start", "symbols", "runs"), run, PAIR)
+            for symbols, found in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                hashes = Rolling(_BYTES[np.frombuffer(symbols, np.uint8)], 0)
+                rid, start, windows, n = (np.array([f[c] for f in found], np.int64) for c in ("run", "start", "windows", "n"))
+                if ends:
+                    left, right, string, place = end_pairs(hashes, start, windows, width, base)
+                else:
+                    string = np.repeat(np.arange(len(found)), windows)
+                    window = np.arange(len(string)) - np.repeat(np.cumsum(windows) - windows, windows)
+                    left, right = _pairs_at(hashes, start[string] + window, width, base)
+                    string, place = np.repeat(string, heads), (window[:, None] * heads + np.arange(heads)).reshape(-1).astype(np.int32)
+                for to, x in zip(out, (left, right, rid[string], place, n[string]), strict=True):
+                    to.append(x)
+        return _pair_batch(out)
+
+    return map_batches(rivals.join(lists, ["name", "content"]).select("symbols", "runs"), run, PAIR)
 
 
 def _heads(width: int, base: int) -> list[int]:
@@ -193,28 +248,55 @@ def next_pairs(ranks: DataFrame, before: list[int], after: list[int], step: int)
     return ranks.repartition(parts, "run").sortWithinPartitions("run", "place").select("run", "place", "n", "rank").mapInArrow(run, PAIR)
 
 
+def doubled(pairs: DataFrame, width: int, base: int, work: Workspace, name: str) -> DataFrame:
+    """(run, place, n, rank) of the positions whose window of ``width`` bytes occurs twice."""
+    rounds = offsets(width, base)
+    heads = _heads(width, base)
+    ranks = work.put(rerank(work.put(pairs, f"{name}_pairs_0")), f"{name}_ranks_0")
+    work.drop(f"{name}_pairs_0")
+    for k, (_, step) in enumerate(rounds[1:], 1):
+        after = [h for h in heads if h + step in heads] if k < len(rounds) - 1 else [0]
+        work.rest()
+        pairs = work.put(next_pairs(ranks, heads, after, step), f"{name}_pairs_{k}")
+        work.drop(f"{name}_ranks_{k - 1}")
+        ranks = work.put(rerank(pairs), f"{name}_ranks_{k}")
+        work.drop(f"{name}_pairs_{k}")
+        heads = after
+    return ranks
+
+
+def repeated_strings(pairs: DataFrame, width: int, base: int, work: Workspace, name: str) -> DataFrame:
+    """(run) of the strings that occur twice, by the last pair: ranks of both ends."""
+    ranks = doubled(pairs, width, base, work, name)
+    at = lambda place: F.max(F.when(F.col("place") == place, F.col("rank")))
+    ends = ranks.groupBy("run").agg(at(0).alias("first"), at(1).alias("last"), at(ONLY).alias("only"), F.min("n").alias("n"))
+    pairs = ends.select(F.coalesce("only", "first").alias("left"), F.coalesce("only", "last").alias("right"), "run", F.lit(0).alias("place"), "n").filter("left is not null and right is not null")
+    return rerank(pairs).select("run")
+
+
 def judge_bytes(unit: Unit, base: int):
-    def judge(rivals: DataFrame, work: Workspace) -> DataFrame:
+    width = unit.width
+
+    def judge(found: DataFrame, texts: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
+        twice = repeated_strings(region_pairs(found, texts, width, base), width, base, work, "regions")
+        settled = work.put(found.join(twice.withColumnRenamed("run", "item"), "item").select("name", "content", F.lit(0).alias("first"), F.col("windows").alias("stop")), "settled")
+        work.rest()
+        rivals = work.put(contents(found.filter("rivals"), texts, unit), "contents")
         narrowed = work.put(runs(rivals, unit), "runs")
-        groups = narrowed.groupBy("run_name", "run_content").agg(F.sum("n").alias("n"), F.min(F.struct("name", "content", "key", "start", "windows")).alias("at"))
+        groups = narrowed.groupBy("run_name", "run_content").agg(F.sum("n").alias("n"), F.min(F.struct("name", "content", "start", "windows")).alias("at"))
         names = groups.groupBy("run_name").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).filter("total > 1").select("run_name", "kinds")
-        found = work.put(groups.join(names, "run_name").select("run_name", "run_content", "n", F.expr("kinds > 1").alias("rivals"), "at.*"), "run_groups")
-        whole = narrowed.filter("n = 1").join(found.filter("n > 1").select("run_name", "run_content"), ["run_name", "run_content"]).select("key", F.col("start").alias("first"), (F.col("start") + F.col("windows")).alias("stop"))
-        open_runs = work.put(found.filter("rivals").withColumn("run", F.monotonically_increasing_id()).select("run", "name", "content", "key", "start", "windows", "n"), "open_runs")
+        some = groups.join(names, "run_name").select(F.monotonically_increasing_id().alias("run"), "run_name", "run_content", "n", F.expr("kinds > 1").alias("rivals"), "at.*")
+        some = work.put(some, "run_groups")
+        work.rest()
+        twice = work.put(repeated_strings(run_pairs(some, rivals, width, base, ends=True), width, base, work, "run_ends"), "repeated_runs")
         work.rest()
-        heads = _heads(unit.width, base)
-        ranks = work.put(rerank(work.put(base_pairs(open_runs, rivals, unit.width, base), "pairs_0")), "ranks_0")
-        work.drop("pairs_0")
-        for k, (_, step) in enumerate(offsets(unit.width, base)[1:], 1):
-            after = [h for h in heads if h + step in heads] if k < len(offsets(unit.width, base)) - 1 else [0]
-            work.rest()
-            pairs = work.put(next_pairs(ranks, heads, after, step), f"pairs_{k}")
-            work.drop(f"ranks_{k - 1}")
-            ranks = work.put(rerank(pairs), f"ranks_{k}")
-            work.drop(f"pairs_{k}")
-            heads = after
-        single = ranks.filter("n = 1").join(open_runs.select("run", "key", "start"), "run").select("key", (F.col("start") + F.col("place")).cast("int").alias("first"))
-        return whole.unionByName(single.select("key", "first", (F.col("first") + 1).alias("stop")))
+        place = found.filter("n = 1").select("name", "content", "key", F.col("start").alias("begin"))
+        whole = narrowed.filter("n = 1").join(some.join(twice, "run").select("run_name", "run_content"), ["run_name", "run_content"]).select("name", "content", F.col("start").alias("first"), (F.col("start") + F.col("windows")).alias("stop"))
+        # of runs that repeat as a whole, only their windows' part in others is still asked
+        ranks = doubled(run_pairs(some.filter("rivals"), rivals, width, base, ends=False), width, base, work, "windows")
+        single = ranks.filter("n = 1").join(some.select("run", "name", "content", "start"), "run").select("name", "content", (F.col("start") + F.col("place")).cast("int").alias("first"))
+        spans = whole.unionByName(single.withColumn("stop", F.col("first") + 1)).join(place, ["name", "content"])
+        return settled, spans.select("key", (F.col("begin") + F.col("first")).alias("first"), (F.col("begin") + F.col("stop")).alias("stop"))
 
     return judge
 
@@ -232,12 +314,18 @@ def dedup_bytes(docs: DataFrame, width: int = 400, gram: int = 64, base: int = 1
 
 
 def clean_texts(docs: DataFrame, width: int = 400, gram: int = 64, base: int = 100) -> DataFrame:
-    """docs with the repeated bytes cut out of ``text`` and ``n_chars`` brought up to date.
+    """docs with the repeated bytes cut out of ``text`` and ``n_chars``, if there, brought
+    up to date.
 
-    Characters that a cut has split are dropped; null texts stay null.
+    Characters that a cut has split are dropped; null texts stay null, empty and short
+    ones as they are; all rows of a repeated long text lose it; an empty table gives
+    no rows; columns named n_units, n_removed, n_spans or kept are carried like any other.
     """
     unit = Unit(False, width, gram)
-    marked = docs.withColumn("__null", F.col("text").isNull())
-    got = remove_repeats(marked, unit, judge_bytes(unit, base), "doubling", keep=keep_characters)
-    text = F.when(~F.col("__null"), F.col("kept").cast("string"))
-    return got.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    mine = {c: unused(docs, f"own_{c}") for c in ("n_units", "n_removed", "n_spans", "kept") if c in docs.columns}
+    blank = unused(docs, "blank")
+    got = remove_repeats(docs.withColumnsRenamed(mine).withColumn(blank, F.col("text").isNull()), unit, judge_bytes(unit, base), "doubling", keep=keep_characters)
+    got = got.withColumn("text", F.when(~F.col(blank), F.col("kept").cast("string")))
+    if "n_chars" in docs.columns:
+        got = got.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return got.drop(*mine).withColumnsRenamed({v: k for k, v in mine.items()}).select(*docs.columns)

@@ -2,10 +2,11 @@
 
 A shard holds the regions of some names.  Its index is the Burrows-Wheeler
 transform of their words in a wavelet tree of packed bits with rank samples; the
-suffix array is dropped after construction.  Texts that may repeat are streamed
-through it: backward search from each word gives the matching statistic (how far
-to the left the words have another occurrence), and every end whose statistic
-reaches the window's width reports an interval.
+suffix array is dropped after construction.  All regions of those names, whatever
+document they are of, are streamed through it: backward search from each word gives
+the matching statistic (how far to the left the words have another occurrence), and
+every end whose statistic reaches the window's width reports an interval.  Equal
+windows have equal names, so no region need be asked of another shard.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tipoff.llm.common import Workspace
-from tipoff.llm.repeats import SPAN, Unit, partition_rows, remove_repeats
+from tipoff.llm.regions import Rolling, word_symbols
+from tipoff.llm.repeats import Unit, contents, partition_rows, remove_repeats
 
-#: Bytes of word hashes in one shard (8 a word).
+#: Bytes of words in one shard.
 SHARD_BYTES = 8_000_000
 #: Contents of one name beyond which its windows are counted one by one instead:
 #: equal windows meet in a partial sum, so no shard grows with a hot name.
@@ -124,58 +126,68 @@ class FmIndex:
         return found
 
 
-def shard_spans(rows: list[tuple], width: int) -> list[tuple[bytes, int, int]]:
-    """Repeated window ranges of one shard's rows (.., n, key, start, windows, symbols)."""
-    texts = [np.frombuffer(r[-1], np.uint64) for r in rows]
+VERDICT = "name long, content long, n long, key binary, begin int, first int, stop int"
+
+
+def shard_spans(rows: list[tuple], width: int) -> list[tuple]:
+    """Repeated window ranges (VERDICT) of one shard's rows (name, content, n, key, start, windows, words).
+
+    The index holds every content once, with its weight; every content is streamed
+    through it, window end by window end.
+    """
+    sizes = np.array([r[5] + width - 1 for r in rows])
+    with np.errstate(over="ignore"):
+        texts = np.split(word_symbols(b" ".join([r[6] for r in rows])), np.cumsum(sizes)[:-1])
     index = FmIndex(texts, [r[2] for r in rows])
-    asked = [i for i, r in enumerate(rows) if r[2] == 1]
-    if not asked:
-        return []
-    ends = np.concatenate([np.arange(index.owner_start[i] + width - 1, index.owner_start[i + 1]) for i in asked])
+    ends = np.concatenate([np.arange(a + width - 1, b) for a, b in zip(index.owner_start[:-1], index.owner_start[1:], strict=True)])
     hit = index.matching(ends, width) >= width
     out, at = [], 0
-    for i in asked:
-        n = len(texts[i]) - width + 1
-        mine = hit[at : at + n]
-        at += n
+    for (name, content, n, key, start, windows, _) in rows:
+        mine = hit[at : at + windows]
+        at += windows
         if mine.any():
-            edge = np.flatnonzero(np.diff(mine.astype(np.int8), prepend=0, append=0))
-            start = rows[i][4]
-            out += [(rows[i][3], start + int(a), start + int(b)) for a, b in zip(edge[0::2], edge[1::2], strict=True)]
+            edge = np.flatnonzero(np.diff(mine.astype(np.int8), prepend=0, append=0)).tolist()
+            out += [(name, content, n, key, start, a, b) for a, b in zip(edge[0::2], edge[1::2], strict=True)]
     return out
 
 
 def judge_words(width: int):
-    """Spans of the open regions: FM-index shards, and single windows for hot names."""
+    """Windows that repeat: FM-index shards, and single windows for hot names."""
+    names = [c.split()[0] for c in VERDICT.split(", ")]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32())
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in partition_rows(batches, SHARD_BYTES):
             spans = shard_spans(rows, width)
             if spans:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*spans, strict=True), (pa.binary(), pa.int32(), pa.int32()), strict=True)], names=["key", "first", "stop"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*spans, strict=True), types, strict=True)], names=names)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tipoff.llm.regions import Rolling
-
         for batch in batches:
-            for _, _, n, key, start, count, symbols in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                words = np.frombuffer(symbols, np.uint64)
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                count = row[5]
                 at = np.arange(count)
                 with np.errstate(over="ignore"):
+                    words = word_symbols(row[6])
                     a, b = Rolling(words, 0).spans(at, at + width), Rolling(words, 1).spans(at, at + width)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array([key] * count, pa.binary()), pa.array((at + start).astype(np.int32)), pa.array(np.full(count, n, np.int64))], names=["a", "b", "key", "first", "n"])
+                same = [pa.array([x] * count, t) for x, t in zip(row[:5], types[:5], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), *same, pa.array(at.astype(np.int32))], names=["a", "b", *names[:6]])
 
-    def judge(rivals: DataFrame, work: Workspace) -> DataFrame:
+    def judge(found: DataFrame, texts: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
         columns = ["name", "content", "n", "key", "start", "windows", "symbols"]
-        spark = rivals.sparkSession
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        hot = work.put(rivals.groupBy("name").count().filter(F.col("count") > HOT_KINDS).select("name"), "hot")
-        cold = rivals.join(hot, "name", "left_anti").select(*columns)
-        by_index = cold.repartition(parts, "name").sortWithinPartitions("name", "content").mapInArrow(shards, SPAN)
-        single = rivals.join(hot, "name", "left_semi").select(*columns).mapInArrow(windows, "a long, b long, key binary, first int, n long")
+        parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = work.put(contents(found, texts, Unit(True, width, 0)).select(*columns), "contents")
+        work.rest()
+        hot = work.put(rows.groupBy("name").count().filter(F.col("count") > HOT_KINDS).select("name"), "hot")
+        cold = rows.join(hot, "name", "left_anti").select(*columns)
+        by_index = cold.repartition(parts, "name").sortWithinPartitions("name", "content").mapInArrow(shards, VERDICT)
+        single = rows.join(hot, "name", "left_semi").select(*columns).mapInArrow(windows, "a long, b long, " + VERDICT.rpartition(", ")[0])
         twice = single.groupBy("a", "b").agg(F.sum("n").alias("total")).filter("total > 1").select("a", "b")
-        by_count = single.filter("n = 1").join(twice, ["a", "b"]).select("key", "first", (F.col("first") + 1).alias("stop"))
-        return by_index.unionByName(by_count)
+        by_count = single.join(twice, ["a", "b"]).withColumn("stop", F.col("first") + 1).select(*names)
+        verdict = work.put(by_index.unionByName(by_count), "verdict")
+        work.drop("contents")
+        often = verdict.filter("n > 1").select("name", "content", "first", "stop")
+        return often, verdict.filter("n = 1").select("key", (F.col("begin") + F.col("first")).alias("first"), (F.col("begin") + F.col("stop")).alias("stop"))
 
     return judge
 

@@ -2,14 +2,16 @@
 
 Every shard is a block of rows of one input partition, bounded in tokens, with a
 BM25 inverted index of its own (terms: token ids).  The first unused document is
-the seed; all its terms query the index; the best unused neighbours, best
-first, then the next unused documents, fill the window to the last token.  What a
+the seed; all its terms query the index; its unused neighbours, best first, fill the
+window to the last token, and the next unused document only where none is left.  What a
 window cuts off opens the next one, so that padding arises only at the end of a
 shard.  Ids come from the tokenizers library: a document's chunks between white
 space are looked up in a cache, and the library encodes the chunks that are new.
 
 No shuffle: rows are packed where they are read; a third of all rows with one
-source or one text changes nothing but the neighbours.
+source or one text changes nothing but the neighbours.  A document's neighbours are
+those of its shard: rows should come in an order that keeps like with like (a crawl's
+order by host), or be range-partitioned so beforehand.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from tipoff.llm.common import bounded_batches, text_or_empty
 
 #: Tokens of one shard: bounds the memory of a task.
 SHARD_TOKENS = 6_000_000
+#: Neighbours asked of the index at a time; a seed may ask again and again.
+NEIGHBOURS = 16
 #: BM25's parameters.
 K1, B = 1.2, 0.75
 #: A term in more than this share of a shard's documents has a row of weights instead of
@@ -173,16 +177,21 @@ class Bm25Shard:
 
 
 def pack_shard(docs: list[np.ndarray], window: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset) of every piece of a shard."""
+    """(document, start, length, sequence, offset) of every piece of a shard.
+
+    The document that opens a window, or goes on in it, is its seed.  Neighbours are
+    asked for in blocks until the window is full; where no unused document shares a
+    term with the seed, the next unused one is laid and is the seed from there on.
+    """
     index = Bm25Shard(docs)
     used = np.zeros(len(docs), bool)
     sequence, room, unused = 0, window, 0
     queue: list[int] = []
-    current, at = -1, 0  # the document being laid, and how much of it is
+    seed, current, at = -1, -1, 0  # at: how much of the current document is laid
     while True:
         if current < 0:
-            while queue and used[queue[-1]]:
-                queue.pop()
+            if not queue and seed >= 0:
+                queue = index.neighbours(seed, used, NEIGHBOURS)[::-1]
             if queue:
                 current = queue.pop()
             else:
@@ -190,21 +199,15 @@ def pack_shard(docs: list[np.ndarray], window: int) -> Iterator[tuple[int, int,
                     unused += 1
                 if unused == len(docs):
                     return
-                current = unused
+                current = seed = unused
             used[current], at = True, 0
-            if room == window or not queue:  # it opens a window: a seed
-                queue = index.neighbours(current, used, 16)[::-1] if len(docs[current]) < window else []
         length = min(room, len(docs[current]) - at)
         yield current, at, length, sequence, window - room
         at, room = at + length, room - length
         if at == len(docs[current]):
             current = -1
         if room == 0:
-            sequence, room = sequence + 1, window
-            if current >= 0 and len(docs[current]) - at < window:
-                queue = index.neighbours(current, used, 16)[::-1]
-            else:
-                queue = []
+            sequence, room, queue, seed = sequence + 1, window, [], current
 
 
 def pack(docs: DataFrame, path: str, window: int = 2048, separator: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

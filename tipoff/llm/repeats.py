@@ -4,11 +4,12 @@
    as a whole.  The rows are bucketed by the text's key, so that the two later
    joins on it move no text.
 2. Every text is cut into regions (``regions``); a region is a name and a content.
-3. Equal (name, content) are counted: partial sums first, so thousands of copies
-   leave each task as one row.  A name with one occurrence cannot repeat.  A
-   content with two occurrences repeats as a whole.
-4. What is left - a content that occurs once under a name that others have - is
-   the operators' own work: ``contents`` gives them its symbols.
+3. Equal (name, content) become one row with a weight: partial sums first, so
+   thousands of copies leave each task as one row.  A name with one occurrence cannot
+   repeat and is done with.
+4. All others are the operators' own work: they say which windows of a content repeat.
+   ``contents`` gives them its symbols; ``rivals`` tells that some of its windows may
+   equal windows of other contents of the name, or of its own.
 5. Window ranges that repeat come together by text and are cut out.
 """
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tipoff.llm.common import Workspace, bounded_batches, map_batches, text_key, text_or_empty
+from tipoff.llm.common import Workspace, bounded_batches, map_batches, text_key, text_or_empty, unused
 from tipoff.llm.regions import byte_symbols, regions, word_symbols
 
 
@@ -71,19 +72,20 @@ def region_rows(texts: DataFrame, unit: Unit) -> DataFrame:
 
 
 def repeated(rows: DataFrame, work: Workspace) -> DataFrame:
-    """(name, content, n, rivals, key, start, windows): the contents of every name that
-    occurs twice or more, with one place of each.  ``rivals``: other contents of the
-    name, or the region's own windows, may equal some of its windows."""
+    """(item, name, content, n, rivals, key, start, windows): the contents of every name that
+    occurs twice or more, with one place of each; ``item`` is a number of their own.
+    ``rivals``: other contents of the name, or the region's own windows, may equal
+    some of its windows."""
     groups = work.put(rows.groupBy("name", "content").agg(F.max("own").alias("own"), F.sum("m").alias("n"), F.min(F.struct("key", "start", "windows")).alias("at")), "groups")
     work.rest()
     names = groups.groupBy("name").agg(F.sum("n").alias("total"), F.max("own").alias("any"), F.count(F.lit(1)).alias("kinds")).filter("total > 1 or any").select("name", "kinds")
-    return groups.join(names, "name").select("name", "content", "n", F.expr("kinds > 1 or own").alias("rivals"), "at.key", "at.start", "at.windows")
+    return groups.join(names, "name").select(F.monotonically_increasing_id().alias("item"), "name", "content", "n", F.expr("kinds > 1 or own").alias("rivals"), "at.key", "at.start", "at.windows")
 
 
 def contents(wanted: DataFrame, texts: DataFrame, unit: Unit) -> DataFrame:
     """(name, content, n, key, start, windows, symbols) of the wanted regions.
 
-    Symbols are 64-bit word hashes, or the bytes themselves.
+    Symbols are the bytes, or the words joined by a space.
     """
     width, words = unit.width, unit.words
     lists = wanted.groupBy("key").agg(F.collect_list(F.struct("name", "content", "n", "start", "windows")).alias("found"))  # of one text
@@ -92,18 +94,16 @@ def contents(wanted: DataFrame, texts: DataFrame, unit: Unit) -> DataFrame:
         rows = []
         for key, text, found in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             raw = text.encode("utf-8", "surrogatepass")
-            with np.errstate(over="ignore"):
-                symbols = word_symbols(raw) if words else np.frombuffer(raw, np.uint8)
+            symbols = raw.split() if words else raw
             for f in found:
-                rows.append((f["name"], f["content"], f["n"], key, f["start"], f["windows"], symbols[f["start"] : f["start"] + f["windows"] + width - 1].tobytes()))
+                part = symbols[f["start"] : f["start"] + f["windows"] + width - 1]
+                rows.append((f["name"], f["content"], f["n"], key, f["start"], f["windows"], b" ".join(part) if words else part))
         types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["name", "content", "n", "key", "start", "windows", "symbols"])
 
     return map_batches(texts.join(lists, "key").select("key", "text", "found"), run, "name long, content long, n long, key binary, start int, windows int, symbols binary")
 
 
-SPAN = "key binary, first int, stop int"
-
 
 def cut(texts: DataFrame, spans: DataFrame, unit: Unit, keep: Callable[[bytes, np.ndarray], bytes]) -> DataFrame:
     """(key, n_units, n_removed, n_spans, kept): texts without the repeated windows.
@@ -151,15 +151,20 @@ def keep_characters(raw: bytes, mask: np.ndarray) -> bytes:
     return keep_bytes(raw, mask).decode("utf-8", "ignore").encode()
 
 
-def remove_repeats(docs: DataFrame, unit: Unit, judge: Callable[[DataFrame, Workspace], DataFrame], name: str, text_col: str = "text", keep: Callable[[bytes, np.ndarray], bytes] | None = None, finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+#: Takes the found contents and the texts; returns the windows of contents that
+#: repeat wherever they occur (name, content, first, stop), within the region, and
+#: further ranges of single texts (key, first, stop).
+Judge = Callable[[DataFrame, DataFrame, Workspace], tuple[DataFrame, DataFrame]]
+
+
+def remove_repeats(docs: DataFrame, unit: Unit, judge: Judge, name: str, text_col: str = "text", keep: Callable[[bytes, np.ndarray], bytes] | None = None, finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Rows of docs with (n_units, n_removed, n_spans, kept) for the text.
 
-    ``judge`` takes the contents that steps 1 to 3 leave open, with their
-    competitors, and returns the spans (key, first, stop) that repeat.  Columns of
-    docs with one of the new names are replaced, others are carried; the text
-    itself is not, it is not moved again.  ``finish`` may change the columns of
+    Columns of docs with one of the new names are replaced, others are carried; the
+    text itself is not, it is not moved again.  ``finish`` may change the columns of
     (key, n_units, n_removed, n_spans, kept) before they join the rows: a digest moves
-    less than a text.
+    less than a text.  The ranges of one text are one row, as the text is: a task's
+    memory follows its longest text.
     """
     work = Workspace(docs.sparkSession, name)
     bounded_batches(docs.sparkSession)
@@ -169,18 +174,17 @@ def remove_repeats(docs: DataFrame, unit: Unit, judge: Callable[[DataFrame, Work
     found = work.put(repeated(rows, work), "repeated")
     work.drop("groups")
     work.rest()
-    # one content under a name is settled by its count; several are compared
-    rivals = work.put(contents(found.filter("rivals"), texts, unit), "contents")
-    single = judge(rivals, work)
-    whole = rows.filter("m = 1").join(found.filter("n > 1").select("name", "content"), ["name", "content"]).select("key", F.col("start").alias("first"), (F.col("start") + F.col("windows")).alias("stop"))
+    settled, single = judge(found, texts, work)
+    whole = rows.filter("m = 1").join(settled, ["name", "content"]).select("key", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("stop")).alias("stop"))
     spans = work.put(whole.unionByName(single.select("key", "first", "stop")), "spans")
     work.drop("regions")
     work.rest()
     keep = keep or (keep_words if unit.words else keep_bytes)
     result = cut(texts, spans, unit, keep)
     result = finish(result) if finish else result
-    others = docs.withColumn("__key", text_key_of(text_col)).drop(text_col, *[c for c in result.columns if c != "key"])
-    return others.join(result.withColumnRenamed("key", "__key"), "__key").drop("__key")
+    own = unused(docs, "text_key")
+    others = docs.withColumn(own, text_key_of(text_col)).drop(text_col, *[c for c in result.columns if c != "key"])
+    return others.join(result.withColumnRenamed("key", own), own).drop(own)
 
 
 def text_key_of(text_col: str) -> Column:

@@ -3,13 +3,15 @@
 Base rules count words, symbols, repeated lines and words in repeated five-word
 windows.  The method's verdict compares a document's character-class and
 common-word histograms to those of its language with the Jensen-Shannon distance
-(base 2, so 0 to 1).  The references are sums over all documents of a language,
-found in a first pass; a document with fewer words than the guard isn't judged by
-its histograms, since short texts diverge by chance.
+(base 2, so 0 to 1).  The references are sums over all documents of a language that
+pass the base rules, found in a first pass, so that junk doesn't shift what it is held
+against; a document with fewer words than the guard isn't judged by its histograms,
+since short texts diverge by chance.
 """
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,8 +40,9 @@ class Rules:
     min_words: int = 10
     repeat_percent: int = 20
     guard_words: int = 100
+    #: Between the distances of labelled good and bad documents of 100 or more words.
     max_class_distance: float = 0.25
-    max_word_distance: float = 0.33
+    max_word_distance: float = 0.27
 
 
 def _class_of(c: int) -> int:
@@ -55,7 +58,8 @@ def _class_of(c: int) -> int:
 
 
 _EDGE = 0x250
-_CLASS = np.array([_class_of(c) for c in range(_EDGE)] + [2], np.uint8)
+_CLASS = np.array([_class_of(c) for c in range(_EDGE)], np.uint8)
+_class_beyond = functools.lru_cache(maxsize=1 << 16)(_class_of)
 
 
 class _Words:
@@ -97,7 +101,13 @@ _SPACES = " \t\n\x0b\x0c\r"
 
 def class_histogram(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.bincount(_CLASS[np.minimum(points, _EDGE)], minlength=len(CLASSES))
+    near = points < _EDGE
+    if near.all():
+        return np.bincount(_CLASS[points], minlength=len(CLASSES))
+    counts = np.bincount(_CLASS[points[near]], minlength=len(CLASSES))
+    for c, n in zip(*(x.tolist() for x in np.unique(points[~near], return_counts=True)), strict=True):
+        counts[_class_beyond(c)] += n
+    return counts
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -150,8 +160,13 @@ def lang_slot(col: str) -> Column:
     return slot.cast("int")
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> list[tuple[np.ndarray, np.ndarray]]:
-    """(class histogram, common-word histogram) of every language, over all documents.
+def base_failed(n: int, repeats: int, rules: Rules) -> bool:
+    return n < rules.min_words or 100 * repeats > rules.repeat_percent * n
+
+
+def references(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", lang_col: str = "lang") -> list[tuple[np.ndarray, np.ndarray]]:
+    """(class histogram, common-word histogram) of every language, over all documents
+    that pass the base rules.
 
     Each task adds up its rows and hands on at most one number a language and
     slot; what reaches the driver is that fixed table.
@@ -162,7 +177,10 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
         sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                c, w = class_histogram(text), common_histogram(word_hashes(text), lang)
+                words = word_hashes(text)
+                if base_failed(len(words), repeat_words(words), rules):
+                    continue
+                c, w = class_histogram(text), common_histogram(words, lang)
                 if lang in sums:
                     sums[lang][0][:] += c
                     sums[lang][1][:] += w
@@ -188,7 +206,7 @@ def judge(text: str, lang: int, refs: list[tuple[np.ndarray, np.ndarray]], rules
     n = len(words)
     chars, symbols, dup_lines = base_counts(text)
     repeats = repeat_words(words)
-    failed = n < rules.min_words or 100 * repeats > rules.repeat_percent * n
+    failed = base_failed(n, repeats, rules)
     dc = dw = 0.0
     if n >= rules.guard_words:
         dc = round(distance(class_histogram(text), refs[lang][0]), 6)
@@ -201,9 +219,10 @@ def measure(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", lan
 
     Null texts are empty: no words, so they fail.  A null or unlisted language
     compares to the reference of all such documents.  Repeated rows are judged
-    each; an empty table gives no rows.
+    each; an empty table gives no rows.  A text is judged whole, however long; a
+    language without any document that passes the base rules rejects by them alone.
     """
-    refs = references(docs, text_col, lang_col)
+    refs = references(docs, rules, text_col, lang_col)
     names = [f.split()[0] for f in MEASURES.split(", ")]
     kept = docs.drop(*names, "__lang", "__text")
     n = len(kept.columns)

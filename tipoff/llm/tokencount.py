@@ -8,20 +8,23 @@ token of the prefix before it.  Two tokens may stand side by side if, taken back
 merge by merge from the latest, no merge across their border would have come
 first.
 
-A document's table is two-level: counts and byte ends at each part (the strings
-between single spaces), and within a part the counts of its prefixes.  From it
-follow the total, the count of any prefix, and the longest prefix within a
-budget, without encoding again.
+A document's table has the count of every prefix, one number a character.  Within a
+piece it is the piece's own table on top of the pieces before; a prefix that ends in
+white space, in a contraction or in a special token is cut otherwise than the whole
+text, and has its count from the piece that it would end in.  From the table follow
+the total, the count of any prefix, and the longest prefix within a budget, by looking
+up and bisecting, without encoding again.
 """
 
 from __future__ import annotations
 
-import bisect
 import functools
+import itertools
 import json
 import re
 from array import array
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -33,6 +36,10 @@ from tipoff.llm.common import CACHE_ENTRIES, map_batches, text_or_empty, trimmed
 _RUN = re.compile(r"\s\s|^\s|\s\Z|[\x1c-\x1f]")
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
+_SPACES = regex.compile(f"[{_WHITE}]+")
+#: The cutting pattern's contractions of more than a letter.
+_CONTRACTIONS = ("'re", "'ve", "'ll")
+
 
 class PrefixCounts:
     """Prefix tables for a byte-level BPE file of the ``tokenizers`` library."""
@@ -108,9 +115,10 @@ class PrefixCounts:
                 last[i], count[i] = t, count[j] + 1
                 break
         table = array("I", count[1:])
-        if len(self._tables) > CACHE_ENTRIES:
-            self._tables = {}
-        self._tables[piece] = table
+        if n <= 1000:  # a longer one seldom comes back
+            if len(self._tables) > CACHE_ENTRIES:
+                self._tables = {}
+            self._tables[piece] = table
         return table
 
     def pieces(self, text: str) -> list[bytes]:
@@ -154,56 +162,63 @@ class PrefixCounts:
                     self._totals.pop(run, None)
         return n
 
+    def prefix_counts(self, text: str) -> array:
+        """Tokens of text[:i] for every i, from 0 to the whole text."""
+        counts = array("I", [0])
+        tail, base = "", 0  # plain text since the last white space, and the tokens before it
+        for special, run in self.runs(text):
+            if special:
+                before = counts[-1]
+                # cut short it is plain text, and one with the plain text before it
+                counts.extend(base + self.total(tail + run[:k]) for k in range(1, len(run)))
+                counts.append(before + 1)
+                tail, base = "", before + 1
+            elif run:
+                at = len(counts) - 1
+                self._extend(counts, run)
+                last = max((m.start() for m in _SPACES.finditer(run)), default=0)
+                tail, base = run[last:], counts[at + last]
+        return counts
+
+    def _extend(self, counts: array, run: str) -> None:
+        """Append the counts of the prefixes of a text without special tokens."""
+        at = len(counts) - 1
+        n = counts[-1]
+        for piece in self.pieces(run):
+            table, part = self.piece_table(piece), piece.decode()
+            here = table if len(part) == len(piece) else [table[e - 1] for e in itertools.accumulate(len(c.encode()) for c in part)]
+            first = len(counts)
+            counts.extend(n + c for c in here)
+            if part in _CONTRACTIONS:  # without its last letter, an apostrophe and a letter
+                counts[first + 1] = n + self.total(part[0]) + self.total(part[1])
+            n += table[-1]
+        for m in _SPACES.finditer(run):  # at the end of a prefix, white space is one piece
+            if m.end() - m.start() > 1:
+                table, before, e = self.piece_table(m[0].encode()), counts[at + m.start()], 0
+                for k, c in enumerate(m[0], at + m.start() + 1):
+                    e += len(c.encode())
+                    counts[k] = before + table[e - 1]
+
     def table(self, text: str) -> PrefixTable:
-        return PrefixTable(self, text)
+        return PrefixTable(self.prefix_counts(text))
 
 
 class PrefixTable:
     """Counts at every prefix of one text; positions are characters."""
 
-    def __init__(self, counts: PrefixCounts, text: str) -> None:
-        self._counts, self.text = counts, text
-        self.starts, self.before, self.parts = array("Q"), array("Q"), []
-        at = n = 0
-        for special, run in counts.runs(text):
-            for part in [run] if special else counts.parts(run):
-                if part:
-                    self.starts.append(at)
-                    self.before.append(n)
-                    self.parts.append((special, part))
-                    at += len(part)
-                    n += 1 if special else counts.total(part)
-        self.total = n
+    def __init__(self, counts: array) -> None:
+        self.counts = np.frombuffer(counts, np.uint32)
+        # a longer prefix may have fewer tokens: the least of any prefix from here on
+        self._least = np.minimum.accumulate(self.counts[::-1])[::-1]
+        self.total = int(self.counts[-1])
 
     def at(self, i: int) -> int:
-        """Tokens of text[:i]."""
-        if i >= len(self.text):
-            return self.total
-        k = bisect.bisect_right(self.starts, i) - 1
-        if k < 0 or i <= 0:
-            return 0
-        return self.before[k] + self._within(k, i - self.starts[k])
-
-    def _within(self, k: int, i: int) -> int:
-        """Of the first i characters of part k.  A piece's prefix is a piece but for
-        contractions, special tokens and white space, which are cut anew."""
-        special, part = self.parts[k]
-        if special and 0 < i < len(part) and k and not self.parts[k - 1][0]:
-            before = self.parts[k - 1][1]  # a cut special token is plain text after it
-            return self._counts.total(before + part[:i]) - (self.before[k] - self.before[k - 1])
-        return self._counts.total(part[:i]) if not special or i < len(part) else 1
+        """Tokens of the first i characters."""
+        return int(self.counts[max(0, min(i, len(self.counts) - 1))])
 
     def longest_within(self, budget: int) -> int:
         """Characters of the longest prefix of at most ``budget`` tokens."""
-        if self.total <= budget:
-            return len(self.text)
-        k = bisect.bisect_right(self.before, budget) - 1
-        for i in range(self.starts[k] + len(self.parts[k][1]), -1, -1):
-            if self.at(i) <= budget:
-                return i
-            if k > 0 and i == self.starts[k]:
-                k -= 1
-        return 0
+        return max(0, int(np.searchsorted(self._least, budget, "right")) - 1)
 
 
 @functools.lru_cache(maxsize=4)
@@ -231,21 +246,34 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
 
 
 def prefix_tables(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored tables: (doc_id, char_start, tokens_before, n_tokens), one entry a part."""
+    """The stored tables: (doc_id, counts), counts[i] being the tokens of the first i characters.
+
+    Null and empty texts have the table [0]; repeated rows and null ids have one each;
+    further columns are not carried; an empty table gives no rows.
+    """
     got = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tables = [load(path).table(t) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([t.starts.tolist() for t in tables], pa.list_(pa.int64())), pa.array([t.before.tolist() for t in tables], pa.list_(pa.int64())), pa.array([t.total for t in tables], pa.int64())],
-            names=["doc_id", "char_start", "tokens_before", "n_tokens"],
-        )
+        tables = [load(path).prefix_counts(t) for t in batch.column(1).to_pylist()]
+        ends = np.cumsum([0, *map(len, tables)]).astype(np.int32)
+        flat = np.concatenate([np.frombuffer(t, np.uint32) for t in tables]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "counts"])
+
+    return map_batches(got, run, "doc_id long, counts array<int>")
+
 
-    return map_batches(got, run, "doc_id long, char_start array<long>, tokens_before array<long>, n_tokens long")
+def within_budget(tables: DataFrame, budget: int) -> DataFrame:
+    """(doc_id, n_tokens, fits): from stored tables, how many characters fit the budget."""
+    fits = F.array_max(F.transform("counts", lambda c, i: F.when(c <= budget, i).otherwise(0)))
+    return tables.select("doc_id", F.element_at("counts", -1).cast("long").alias("n_tokens"), fits.alias("fits"))
 
 
 def truncate(docs: DataFrame, path: str, budget: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) with each text cut to its longest prefix of at most budget tokens."""
+    """(doc_id, text) with each text cut to its longest prefix of at most budget tokens.
+
+    Null texts become empty; a negative budget leaves nothing; repeated rows and null
+    ids are cut each; further columns are not carried; an empty table gives no rows.
+    """
     got = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
