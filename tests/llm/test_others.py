@@ -167,16 +167,16 @@ def test_views_exchange_labels():
 
     def surest(model, asked, had):
         out = []
-        for v, label, k in asked:
-            p = 1 / (1 + np.exp(-model[v].logit({"t": pt, "m": pm}[v])))
-            p = p if label else 1 - p
-            got = [i for i in np.argsort(-p, kind="stable").tolist() if p[i] >= 0.97 and i not in had["m" if v == "t" else "t"]][:k]
+        for a in asked:
+            p = 1 / (1 + np.exp(-model[a.view].logit({"t": pt, "m": pm}[a.view])))
+            p = p if a.label else 1 - p
+            got = [i for i in np.argsort(-p, kind="stable").tolist() if p[i] >= a.least and i not in had[a.other()]][: a.most]
             taken.extend(got)
             out.append((got, pt[got], pm[got]))
         return out
 
     alone = classifier.co_train(xt[:80], xm[:80], y[:80].astype(float), None, classifier.Params())
-    both = classifier.co_train(xt[:80], xm[:80], y[:80].astype(float), surest, classifier.Params(per_round=100))
+    both = classifier.co_train(xt[:80], xm[:80], y[:80].astype(float), surest, classifier.Params(per_round=0.5, sure=0.8))
     assert len(taken) > 50
     assert not np.allclose(alone.meta.weights, both.meta.weights)
     accuracy = lambda m: np.mean((m.scores(xt[80:], xm[80:])[0] >= 0.5) == y[80:])
@@ -190,21 +190,27 @@ def test_surest_are_those_of_all_documents(spark):
     rows = [(r.text or "", r.lang, r.source, r.n_chars) for r in docs.collect()]
     model = {"t": classifier.Linear(np.zeros(1), np.ones(1), np.linspace(-1, 1, len(classifier.text_view(""))), 3.0), "m": classifier.Linear(np.zeros(1), np.ones(1), np.linspace(-2, 2, len(classifier.meta_view("", "", "", 0))), 1.0)}
     hashes = [r.h for r in docs.selectExpr("xxhash64(coalesce(text, '')) as h").collect()]
-    params = classifier.Params(sure=0.6)
     held = set(hashes[:20])
-    got = classifier.surest_of(docs.repartition(5), Workspace(spark, "test"), params)(model, [("t", 1.0, 30), ("m", 0.0, 10)], {"t": held, "m": held})
-    for (v, label, k), (found, ft, fm) in zip([("t", 1.0, 30), ("m", 0.0, 10)], got, strict=True):
-        view = [classifier.text_view(t) if v == "t" else classifier.meta_view(t, la, so, n) for t, la, so, n in rows]
-        p = 1 / (1 + np.exp(-model[v].logit(np.stack(view))))
-        p = np.round(p if label else 1 - p, 9)
+    asked = [classifier.Ask("t", 1.0, 30, 0.6), classifier.Ask("m", 0.0, 10, 0.6)]
+    got = classifier.surest_of(docs.repartition(5), Workspace(spark, "test"))(model, asked, {"t": held, "m": held})
+    for a, (found, ft, fm) in zip(asked, got, strict=True):
+        view = [classifier.text_view(t) if a.view == "t" else classifier.meta_view(t, la, so, n) for t, la, so, n in rows]
+        p = 1 / (1 + np.exp(-model[a.view].logit(np.stack(view))))
+        p = np.round(p if a.label else 1 - p, 9)
         best = {}
         for h, x in zip(hashes, p.tolist(), strict=True):
-            if x >= params.sure and h not in held:
+            if x >= a.least and h not in held:
                 best[h] = max(x, best.get(h, 0))
-        want = sorted(best, key=lambda h: (-best[h], h))[:k]
+        want = sorted(best, key=lambda h: (-best[h], h))[: a.most]
         assert found == want and len(ft) == len(fm) == len(want)
 
 
+def test_surety_is_measured():
+    p, right = np.array([0.99, 0.9, 0.9, 0.8, 0.7]), np.array([True, True, True, True, False])
+    assert classifier.surety(p, right, 0.8) == 0.8 and classifier.surety(p, right, 0.84) == 2.0
+    assert classifier.surety(p[:0], right[:0], 0.5) == 2.0
+
+
 def test_scores_replace_columns_and_repeat(spark):
     long = "many words of one kind " * 50_000
     docs = spark.createDataFrame([(1, long, "en", "s", 3, "old"), (1, long, "en", "s", 3, "old"), (2, "z", "de", "t", 1, "old")], "doc_id long, text string, lang string, source string, n_chars long, kept string")

@@ -37,8 +37,10 @@ class Params:
 
     labelled: int = 8000
     rounds: int = 3
-    #: Pseudo-labels that a view hands on in a round, shared out by the labels' frequencies.
-    per_round: int = 400
+    #: Pseudo-labels that a view hands on in a round, as a share of the labelled rows it
+    #: learns from; shared out by the labels' frequencies.
+    per_round: float = 0.05
+    #: A view is sure where so many of its answers are right on rows it hasn't learnt from.
     sure: float = 0.97
     #: Share of the labelled rows for calibration, and the same again for combination.
     holdout: float = 0.15
@@ -138,9 +140,33 @@ class Model:
         return _sigmoid(self.combination.logit(np.column_stack([ct, cm]))), _sigmoid(ct), _sigmoid(cm)
 
 
-#: For a round: takes both views, what is asked of whom as (view, label, how many), and the
-#: hashes that each view has had; returns (hashes, text features, metadata features) for each.
-Surest = Callable[[dict[str, Linear], list[tuple[str, float, int]], dict[str, set[int]]], list[tuple[list[int], np.ndarray, np.ndarray]]]
+@dataclass(frozen=True)
+class Ask:
+    """What a round asks of a view: at most ``most`` documents of a label, as sure as ``least``."""
+
+    view: str
+    label: float
+    most: int
+    least: float
+
+    def other(self) -> str:
+        return "m" if self.view == "t" else "t"
+
+
+#: For a round: takes both views, what is asked of them, and the hashes that each view has
+#: had; returns (hashes, text features, metadata features) for each.
+Surest = Callable[[dict[str, Linear], list[Ask], dict[str, set[int]]], list[tuple[list[int], np.ndarray, np.ndarray]]]
+
+
+def surety(p: np.ndarray, right: np.ndarray, share: float) -> float:
+    """The least probability from which on answers are right with this share (by the rule
+    of succession); over 1 if there is none."""
+    order = np.argsort(-p, kind="stable")
+    n = np.arange(1, len(p) + 1)
+    good = (np.cumsum(right[order]) + 1) / (n + 2) >= share
+    last = np.append(p[order][1:] != p[order][:-1], True)  # equal ones stand or fall together
+    found = np.flatnonzero(good & last)
+    return float(p[order][found[-1]]) if len(found) else 2.0
 
 
 def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, surest: Surest | None, params: Params, texts: list[int] | None = None) -> Model:
@@ -163,12 +189,22 @@ def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, surest: Surest | Non
             model[v] = fit(np.concatenate([a for a, _ in rows[v]]), np.concatenate([b for _, b in rows[v]]), params.ridge)
         if turn == params.rounds or surest is None:
             break
-        asked = [(v, label, max(1, int(params.per_round * share))) for v in "tm" for label, share in ((1.0, base), (0.0, 1 - base))]
-        for (v, label, _), (hashes, ft, fm) in zip(asked, surest(model, asked, had), strict=True):
-            other = "m" if v == "t" else "t"
+        asked = []
+        for v, x in (("t", xt), ("m", xm)):
+            p = _sigmoid(model[v].logit(x[calibrate]))
+            for label, share in ((1.0, base), (0.0, 1 - base)):
+                # an answer is for the label the view holds to be likelier
+                sure = p if label else 1 - p
+                mine = sure >= 0.5
+                least = surety(sure[mine], y[calibrate][mine] == label, params.sure)
+                asked.append(Ask(v, label, max(1, round(params.per_round * held * share)), least))
+        asked = [a for a in asked if a.least <= 1]
+        if not asked:
+            break
+        for a, (hashes, ft, fm) in zip(asked, surest(model, asked, had), strict=True):
             if hashes:
-                had[other].update(hashes)
-                rows[other].append((fm if v == "t" else ft, np.full(len(hashes), label)))
+                had[a.other()].update(hashes)
+                rows[a.other()].append((fm if a.other() == "m" else ft, np.full(len(hashes), a.label)))
     logits = lambda p: (model["t"].logit(xt[p])[:, None], model["m"].logit(xm[p])[:, None])
     lt, lm = logits(calibrate)
     calibration = (fit(lt, y[calibrate], params.ridge), fit(lm, y[calibrate], params.ridge))
@@ -177,7 +213,7 @@ def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, surest: Surest | Non
     return Model(model["t"], model["m"], calibration, combination, base)
 
 
-def least_hash(found: list[tuple], k: int) -> list[tuple]:
+def surest_rows(found: list[tuple], k: int) -> list[tuple]:
     """The k surest of rows (sure, hash, ..), equal hashes once."""
     out: dict[int, tuple] = {}
     for row in sorted(found, key=lambda r: (-r[0], r[1])):
@@ -190,13 +226,13 @@ def least_hash(found: list[tuple], k: int) -> list[tuple]:
 CANDIDATE = "asked int, sure double, h long, t binary, m binary"
 
 
-def surest_of(docs: DataFrame, work: Workspace, params: Params) -> Surest:
+def surest_of(docs: DataFrame, work: Workspace) -> Surest:
     """Every document is scored; a task hands on its own surest, and Spark takes the
     surest of those, so that the driver gets what a round adds and no more."""
     got = docs.select(F.xxhash64(text_or_empty("text")).alias("h"), *_inputs())
     turns = itertools.count()
 
-    def find(model: dict[str, Linear], asked: list[tuple[str, float, int]], had: dict[str, set[int]]) -> list[tuple[list[int], np.ndarray, np.ndarray]]:
+    def find(model: dict[str, Linear], asked: list[Ask], had: dict[str, set[int]]) -> list[tuple[list[int], np.ndarray, np.ndarray]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best: list[list[tuple]] = [[] for _ in asked]
             for batch in batches:
@@ -205,11 +241,10 @@ def surest_of(docs: DataFrame, work: Workspace, params: Params) -> Surest:
                 h, text, lang, source, n_chars = (c.to_pylist() for c in batch.columns)
                 views = {"t": np.stack([text_view(x) for x in text]), "m": np.stack([meta_view(*x) for x in zip(text, lang, source, n_chars, strict=True)])}
                 p = {v: _sigmoid(model[v].logit(views[v])) for v in "tm"}
-                for i, (v, label, k) in enumerate(asked):
-                    sure = np.round(p[v] if label else 1 - p[v], 9)
-                    taken = had["m" if v == "t" else "t"]
-                    new = [(float(sure[j]), h[j], views["t"][j].tobytes(), views["m"][j].tobytes()) for j in np.flatnonzero(sure >= params.sure).tolist() if h[j] not in taken]
-                    best[i] = least_hash(best[i] + new, k)
+                for i, a in enumerate(asked):
+                    sure = np.round(p[a.view] if a.label else 1 - p[a.view], 9)
+                    new = [(float(sure[j]), h[j], views["t"][j].tobytes(), views["m"][j].tobytes()) for j in np.flatnonzero(sure >= a.least).tolist() if h[j] not in had[a.other()]]
+                    best[i] = surest_rows(best[i] + new, a.most)
             rows = [(i, *row) for i, some in enumerate(best) for row in some]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.float64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=[c.split()[0] for c in CANDIDATE.split(", ")])
@@ -217,10 +252,10 @@ def surest_of(docs: DataFrame, work: Workspace, params: Params) -> Surest:
         bounded_batches(docs.sparkSession)
         found = work.put(got.mapInArrow(run, CANDIDATE), f"round_{next(turns)}")
         out = []
-        for i, (_, _, k) in enumerate(asked):
+        for i, a in enumerate(asked):
             # equal texts of other metadata: that with the least bytes
             one = found.filter(F.col("asked") == i).groupBy("h").agg(F.max("sure").alias("sure"), F.min(F.struct("t", "m")).alias("x"))
-            rows = one.orderBy(F.col("sure").desc(), "h").limit(k).select("h", "x.t", "x.m").collect()  # what the round adds
+            rows = one.orderBy(F.col("sure").desc(), "h").limit(a.most).select("h", "x.t", "x.m").collect()  # what the round adds
             out.append(([r.h for r in rows], *(np.stack([np.frombuffer(r[c], np.float32) for r in rows]) if rows else np.zeros((0, 0), np.float32) for c in ("t", "m"))))
         return out
 
@@ -257,7 +292,7 @@ def train(docs: DataFrame, labels: DataFrame, params: Params = Params(), label_c
         return co_train(np.zeros((0, 1)), np.zeros((0, 1)), np.zeros(0), None, params)
     xt, xm = (np.stack([np.frombuffer(r[c], np.float32) for r in rows]) for c in ("t", "m"))
     work = Workspace(docs.sparkSession, "cotrain")
-    model = co_train(xt, xm, np.array([r.label for r in rows]), surest_of(docs, work, params), params, [r.x for r in rows])
+    model = co_train(xt, xm, np.array([r.label for r in rows]), surest_of(docs, work), params, [r.x for r in rows])
     work.drop()
     return model
 
