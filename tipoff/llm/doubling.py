@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tipoff.llm.common import Workspace, map_batches, unused
 from tipoff.llm.regions import U64, Rolling, mix
-from tipoff.llm.repeats import Unit, contents, keep_characters, remove_repeats, signed
+from tipoff.llm.repeats import Unit, contents, keep_characters, remove_repeats, signed, unlisted
 
 #: Bytes of a block in narrowing.
 BLOCK = 25
@@ -116,19 +116,40 @@ def end_pairs(hashes: Rolling, start: np.ndarray, windows: np.ndarray, width: in
     return left, right, np.repeat(string, heads), (window[:, None] * heads + np.arange(heads)).reshape(-1).astype(np.int32)
 
 
-def region_pairs(found: DataFrame, texts: DataFrame, width: int, base: int) -> DataFrame:
-    """The first round's pairs of the ends of all found regions."""
+#: Bytes of texts that are hashed together.
+TOGETHER = 1 << 18
+
+
+def laid(raws: list[bytes]) -> tuple[Rolling, np.ndarray]:
+    """Hashes of all texts one after another, and where each starts."""
+    sizes = np.array([len(r) for r in raws])
+    with np.errstate(over="ignore"):
+        return Rolling(_BYTES[np.frombuffer(b"".join(raws), np.uint8)], 0), np.cumsum(sizes) - sizes
+
+
+def region_pairs(found: DataFrame, texts: DataFrame, width: int, length: int) -> DataFrame:
+    """The first round's pairs of the ends of all found regions; ``length`` is that of
+    the first ranks."""
     lists = found.groupBy("key").agg(F.collect_list(F.struct("item", "start", "windows", "n")).alias("found"))  # of one text
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ends, found = unlisted(batch.column(1), "item", "start", "windows", "n")
+        raws = [t.encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()]
         out: list[list[np.ndarray]] = [[], [], [], [], []]
-        with np.errstate(over="ignore"):
-            for text, found in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                hashes = Rolling(_BYTES[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)], 0)
-                item, start, windows, n = (np.array([f[c] for f in found], np.int64) for c in ("item", "start", "windows", "n"))
-                left, right, string, place = end_pairs(hashes, start, windows, width, base)
-                for to, x in zip(out, (left, right, item[string], place, n[string]), strict=True):
-                    to.append(x)
+        at = 0
+        while at < len(raws):  # short texts together
+            stop, size = at, 0
+            while stop < len(raws) and (stop == at or size + len(raws[stop]) <= TOGETHER):
+                size += len(raws[stop])
+                stop += 1
+            hashes, base = laid(raws[at:stop])
+            mine = slice(ends[at], ends[stop])
+            start = found["start"][mine] + np.repeat(base, np.diff(ends[at : stop + 1]))
+            with np.errstate(over="ignore"):
+                left, right, string, place = end_pairs(hashes, start, found["windows"][mine].astype(np.int64), width, length)
+            for to, x in zip(out, (left, right, found["item"][mine][string], place, found["n"][mine][string]), strict=True):
+                to.append(x)
+            at = stop
         return _pair_batch(out)
 
     return map_batches(texts.join(lists, "key").select("text", "found"), run, PAIR)
@@ -149,21 +170,18 @@ def run_pairs(runs: DataFrame, rivals: DataFrame, width: int, base: int, ends: b
     lists = runs.groupBy("name", "content").agg(F.collect_list(F.struct("run", "start", "windows", "n")).alias("runs"))  # of one region
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list[np.ndarray]] = [[], [], [], [], []]
+        bounds, found = unlisted(batch.column(1), "run", "start", "windows", "n")
+        hashes, begin = laid(batch.column(0).to_pylist())
+        start, windows = found["start"] + np.repeat(begin, np.diff(bounds)), found["windows"].astype(np.int64)
         with np.errstate(over="ignore"):
-            for symbols, found in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                hashes = Rolling(_BYTES[np.frombuffer(symbols, np.uint8)], 0)
-                rid, start, windows, n = (np.array([f[c] for f in found], np.int64) for c in ("run", "start", "windows", "n"))
-                if ends:
-                    left, right, string, place = end_pairs(hashes, start, windows, width, base)
-                else:
-                    string = np.repeat(np.arange(len(found)), windows)
-                    window = np.arange(len(string)) - np.repeat(np.cumsum(windows) - windows, windows)
-                    left, right = _pairs_at(hashes, start[string] + window, width, base)
-                    string, place = np.repeat(string, heads), (window[:, None] * heads + np.arange(heads)).reshape(-1).astype(np.int32)
-                for to, x in zip(out, (left, right, rid[string], place, n[string]), strict=True):
-                    to.append(x)
-        return _pair_batch(out)
+            if ends:
+                left, right, string, place = end_pairs(hashes, start, windows, width, base)
+            else:
+                string = np.repeat(np.arange(len(windows)), windows)
+                window = np.arange(len(string)) - np.repeat(np.cumsum(windows) - windows, windows)
+                left, right = _pairs_at(hashes, start[string] + window, width, base)
+                string, place = np.repeat(string, heads), (window[:, None] * heads + np.arange(heads)).reshape(-1).astype(np.int32)
+        return _pair_batch([[x] for x in (left, right, found["run"][string], place, found["n"][string])])
 
     return map_batches(rivals.join(lists, ["name", "content"]).select("symbols", "runs"), run, PAIR)
 
@@ -284,8 +302,8 @@ def judge_bytes(unit: Unit, base: int):
         rivals = work.put(contents(found.filter("rivals"), texts, unit), "contents")
         narrowed = work.put(runs(rivals, unit), "runs")
         groups = narrowed.groupBy("run_name", "run_content").agg(F.sum("n").alias("n"), F.min(F.struct("name", "content", "start", "windows")).alias("at"))
-        names = groups.groupBy("run_name").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).filter("total > 1").select("run_name", "kinds")
-        some = groups.join(names, "run_name").select(F.monotonically_increasing_id().alias("run"), "run_name", "run_content", "n", F.expr("kinds > 1").alias("rivals"), "at.*")
+        names = groups.groupBy("run_name").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("total > 1").select("run_name", "kinds", "least")
+        some = groups.join(names, "run_name").select(F.monotonically_increasing_id().alias("run"), "run_name", "run_content", "n", F.expr("kinds > 1 and least = 1").alias("rivals"), "at.*")
         some = work.put(some, "run_groups")
         work.rest()
         twice = work.put(repeated_strings(run_pairs(some, rivals, width, base, ends=True), width, base, work, "run_ends"), "repeated_runs")

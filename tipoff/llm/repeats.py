@@ -74,12 +74,20 @@ def region_rows(texts: DataFrame, unit: Unit) -> DataFrame:
 def repeated(rows: DataFrame, work: Workspace) -> DataFrame:
     """(item, name, content, n, rivals, key, start, windows): the contents of every name that
     occurs twice or more, with one place of each; ``item`` is a number of their own.
-    ``rivals``: other contents of the name, or the region's own windows, may equal
-    some of its windows."""
+    ``rivals``: some content of the name occurs once, and other contents, or its own
+    windows, may equal some of its windows."""
     groups = work.put(rows.groupBy("name", "content").agg(F.max("own").alias("own"), F.sum("m").alias("n"), F.min(F.struct("key", "start", "windows")).alias("at")), "groups")
     work.rest()
-    names = groups.groupBy("name").agg(F.sum("n").alias("total"), F.max("own").alias("any"), F.count(F.lit(1)).alias("kinds")).filter("total > 1 or any").select("name", "kinds")
-    return groups.join(names, "name").select(F.monotonically_increasing_id().alias("item"), "name", "content", "n", F.expr("kinds > 1 or own").alias("rivals"), "at.key", "at.start", "at.windows")
+    names = groups.groupBy("name").agg(F.sum("n").alias("total"), F.max("own").alias("any"), F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("total > 1 or any").select("name", "kinds", "least")
+    return groups.join(names, "name").select(F.monotonically_increasing_id().alias("item"), "name", "content", "n", F.expr("least = 1 and (kinds > 1 or own)").alias("rivals"), "at.key", "at.start", "at.windows")
+
+
+def unlisted(column: pa.ListArray, *fields: str) -> tuple[list[int], dict[str, np.ndarray]]:
+    """A column of lists of structs as (ends, arrays): row i has the places ends[i] to
+    ends[i + 1] of each array; a null list has none."""
+    flat = column.flatten()
+    sizes = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    return [0, *np.cumsum(sizes).tolist()], {f: flat.field(f).to_numpy(zero_copy_only=False) for f in fields}
 
 
 def contents(wanted: DataFrame, texts: DataFrame, unit: Unit) -> DataFrame:
@@ -91,15 +99,16 @@ def contents(wanted: DataFrame, texts: DataFrame, unit: Unit) -> DataFrame:
     lists = wanted.groupBy("key").agg(F.collect_list(F.struct("name", "content", "n", "start", "windows")).alias("found"))  # of one text
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for key, text, found in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        ends, found = unlisted(batch.column(2), "name", "content", "n", "start", "windows")
+        starts, stops = found["start"].tolist(), (found["start"] + found["windows"] + width - 1).tolist()
+        parts: list[bytes] = []
+        for i, text in enumerate(batch.column(1).to_pylist()):
             raw = text.encode("utf-8", "surrogatepass")
             symbols = raw.split() if words else raw
-            for f in found:
-                part = symbols[f["start"] : f["start"] + f["windows"] + width - 1]
-                rows.append((f["name"], f["content"], f["n"], key, f["start"], f["windows"], b" ".join(part) if words else part))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["name", "content", "n", "key", "start", "windows", "symbols"])
+            got = [symbols[starts[j] : stops[j]] for j in range(ends[i], ends[i + 1])]
+            parts += map(b" ".join, got) if words else got
+        keys = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), np.diff(ends))))
+        return pa.RecordBatch.from_arrays([*[pa.array(found[c]) for c in ("name", "content", "n")], keys, pa.array(found["start"]), pa.array(found["windows"]), pa.array(parts, pa.binary())], names=["name", "content", "n", "key", "start", "windows", "symbols"])
 
     return map_batches(texts.join(lists, "key").select("key", "text", "found"), run, "name long, content long, n long, key binary, start int, windows int, symbols binary")
 
@@ -116,15 +125,16 @@ def cut(texts: DataFrame, spans: DataFrame, unit: Unit, keep: Callable[[bytes, n
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for key, text, m, found in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        ends, found = unlisted(batch.column(3), "first", "stop")
+        for i, (key, text, m) in enumerate(zip(*[c.to_pylist() for c in batch.columns[:3]], strict=True)):
             raw = text.encode("utf-8", "surrogatepass")
             n = len(raw.split()) if words else len(raw)
             gone = np.zeros(n + 1, np.int32)
             if m > 1 and n >= width:
                 gone[0] += 1
-            for f in found or ():
-                gone[f["first"]] += 1
-                gone[f["stop"] - 1 + width] -= 1
+            mine = slice(ends[i], ends[i + 1])
+            np.add.at(gone, found["first"][mine], 1)
+            np.add.at(gone, found["stop"][mine] - 1 + width, -1)
             mask = np.cumsum(gone[:n]) > 0
             runs = int(np.count_nonzero(mask[1:] & ~mask[:-1])) + int(n > 0 and mask[0])
             rows.append((key, n, int(mask.sum()), runs, keep(raw, mask)))
