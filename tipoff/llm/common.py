@@ -83,13 +83,13 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release() -> None:
-    """Delete what the operators called so far have left in shared folders.
+def release(keep: Workspace | None = None) -> None:
+    """Delete what the operators called so far have left in shared folders, but for ``keep``.
 
     To be called when their results have been written.
     """
-    while _OPEN:
-        work = _OPEN.pop()
+    for work in [w for w in _OPEN if w is not keep]:
+        _OPEN.remove(work)
         work.unbucket()
         work.drop()
 
