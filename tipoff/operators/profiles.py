@@ -16,10 +16,6 @@ def latest_season(lines: DataFrame) -> DataFrame:
     return lines.groupBy("season").count().orderBy(F.col("count").desc(), F.col("season").desc()).limit(1).select("season")
 
 
-def of_latest(frame: DataFrame, lines: DataFrame) -> DataFrame:
-    return frame.join(F.broadcast(latest_season(lines)), "season", "left_semi")  # one row
-
-
 def season_totals(lines: DataFrame) -> DataFrame:
     """Totals and rates of every player and season, in one aggregate.
 

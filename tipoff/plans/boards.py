@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tipoff.functions import model as M
-from tipoff.operators.profiles import of_latest
 from tipoff.operators.ratings import unpivot
 from tipoff.plans.registry import query
 from tipoff.sources.star import Star
@@ -67,17 +66,18 @@ STARTS_SQL = "starts as (select player_id, cast(sum(started) as bigint) as games
 
 
 def current_starts(s: Star) -> DataFrame:
-    return of_latest(s.lines, s.lines).groupBy("player_id").agg(F.sum("started").cast("long").alias("games_started"), F.count(F.lit(1)).alias("games"))
+    return s.of_latest(s.lines).groupBy("player_id").agg(F.sum("started").cast("long").alias("games_started"), F.count(F.lit(1)).alias("games"))
 
 
 @query(
     "q04_players",
     f", {STARTS_SQL} select p.player_id, p.name, t.name as team, position, class_year, height_in, cast(games_started as double) as games_started from players p left join teams t using (team_id) left join starts using (player_id) where position = 'G' and class_year = 'SO' and height_in >= 70 and height_in <= 80 order by height_in desc, player_id limit 50 offset 10",
+    keep=True,
 )
 def list_players(s: Star) -> DataFrame:
     """Null heights fall out of a bounded filter."""
     found = filtered(s.players, position="G", class_year="SO").filter("height_in >= 70 and height_in <= 80")
-    named = found.join(F.broadcast(s.teams.select("team_id", F.col("name").alias("team"))), "team_id", "left").join(current_starts(s).select("player_id", "games_started"), "player_id", "left")
+    named = found.join(s.teams.select("team_id", F.col("name").alias("team")), "team_id", "left").join(current_starts(s).select("player_id", "games_started"), "player_id", "left")
     return named.select("player_id", "name", "team", "position", "class_year", "height_in", F.col("games_started").cast("double").alias("games_started")).orderBy(F.col("height_in").desc(), "player_id").offset(10).limit(50)
 
 
@@ -91,7 +91,7 @@ def conferences(s: Star) -> DataFrame:
     return s.teams.select("conference").distinct().orderBy("conference")
 
 
-@query("q29_games_started", f", {STARTS_SQL} select player_id, games_started from starts")
+@query("q29_games_started", f", {STARTS_SQL} select player_id, games_started from starts", keep=True)
 def games_started(s: Star) -> DataFrame:
     return current_starts(s).select("player_id", "games_started")
 
@@ -106,7 +106,7 @@ def health(s: Star) -> DataFrame:
 
 @query("q31_lookup", "select player_id, p.name, position, t.name as team, t.tier from players p join teams t using (team_id) where player_id in (1, 7, 42)")
 def lookup(s: Star) -> DataFrame:
-    return s.players.filter(F.col("player_id").isin(1, 7, 42)).join(F.broadcast(s.teams.select("team_id", F.col("name").alias("team"), "tier")), "team_id").select("player_id", "name", "position", "team", "tier")
+    return s.players.filter(F.col("player_id").isin(1, 7, 42)).join(s.teams.select("team_id", F.col("name").alias("team"), "tier"), "team_id").select("player_id", "name", "position", "team", "tier")
 
 
 HALVES = """, n as (select *, row_number() over w as rn, count(*) over (partition by player_id) as n from lines where season = (select season from current) window w as (partition by player_id order by game_ts, game_id)),
@@ -121,7 +121,7 @@ p as (select a.player_id, cast(a.games + b.games as bigint) as games, round(a.pt
 def halves(s: Star, least: int = 3, least_minutes: int = 60) -> DataFrame:
     """Each player's own games cut in two; the second half has the odd one."""
     w = Window.partitionBy("player_id")
-    played = of_latest(s.lines, s.lines)
+    played = s.of_latest(s.lines)
     late = F.row_number().over(w.orderBy("game_ts", "game_id")) > F.floor(F.count(F.lit(1)).over(w) / 2)
     cut = played.withColumn("late", late)
     side = {}
@@ -159,13 +159,14 @@ def back_half(s: Star) -> DataFrame:
     """, top as (select away_team_id as team_id from games where season = (select season from current) group by 1 order by round(avg(away_score - home_score), 6) desc, 1 limit 8)
 select player_id, t.tier, count(*) as games, round(avg(points), 4) as value from lines l join teams t using (team_id) where season = (select season from current) and opponent_team_id in (select team_id from top)
 group by player_id, t.tier having count(*) >= 2 order by value desc, player_id limit 20""",
+    keep=True,
 )
 def opponent_splits(s: Star, top: int = 8) -> DataFrame:
     """Averages against the strongest opponents; the tier is the line's team's."""
-    season = of_latest(s.games, s.lines)
+    season = s.of_latest(s.games)
     best = season.groupBy(F.col("away_team_id").alias("opponent_team_id")).agg(F.round(F.avg(F.col("away_score") - F.col("home_score")), 6).alias("m")).orderBy(F.col("m").desc(), "opponent_team_id").limit(top).select("opponent_team_id")
-    played = of_latest(s.lines, s.lines).join(F.broadcast(best), "opponent_team_id", "left_semi")  # at most `top` rows
-    got = played.join(F.broadcast(s.teams.select("team_id", "tier")), "team_id").groupBy("player_id", "tier").agg(F.count(F.lit(1)).alias("games"), rate(F.avg("points")).alias("value"))
+    played = s.of_latest(s.lines).join(F.broadcast(best), "opponent_team_id", "left_semi")  # at most `top` rows
+    got = played.join(s.teams.select("team_id", "tier"), "team_id").groupBy("player_id", "tier").agg(F.count(F.lit(1)).alias("games"), rate(F.avg("points")).alias("value"))
     return got.filter("games >= 2").orderBy(F.col("value").desc(), "player_id").limit(20)
 
 
@@ -205,14 +206,14 @@ def team_efficiency(s: Star) -> DataFrame:
     got = per.withColumns({"mean_scored": rate(F.avg("scored").over(w), 1), "mean_allowed": rate(F.avg("allowed").over(w), 1)})
     off, de = F.col("scored") >= F.col("mean_scored"), F.col("allowed") <= F.col("mean_allowed")
     quadrant = F.when(off & de, "strong both").when(off, "strong offence").when(de, "strong defence").otherwise("weak both")
-    named = got.join(F.broadcast(s.teams.select("team_id", "name", "conference")), "team_id")
+    named = got.join(s.teams.select("team_id", "name", "conference"), "team_id")
     return named.select("season", "team_id", "name", "conference", "games", "scored", "allowed", "home_scored", "away_scored", "mean_scored", "mean_allowed", quadrant.alias("quadrant"))
 
 
-@query("q23_best_games", "select player_id, p.name, t.name as team, o.name as opponent, game_id, points, rebounds, assists, cast(points + rebounds + assists + steals + blocks - turnovers as bigint) as production from lines l join players p using (player_id) join teams t on t.team_id = l.team_id left join teams o on o.team_id = l.opponent_team_id where minutes > 0 and season = (select season from current) order by production desc, game_id, player_id limit 20")
+@query("q23_best_games", "select player_id, p.name, t.name as team, o.name as opponent, game_id, points, rebounds, assists, cast(points + rebounds + assists + steals + blocks - turnovers as bigint) as production from lines l join players p using (player_id) join teams t on t.team_id = l.team_id left join teams o on o.team_id = l.opponent_team_id where minutes > 0 and season = (select season from current) order by production desc, game_id, player_id limit 20", keep=True)
 def best_games(s: Star) -> DataFrame:
     """The top lines are found before names are joined."""
-    top = of_latest(s.lines, s.lines).filter("minutes > 0").withColumn("production", line_production().cast("long")).orderBy(F.col("production").desc(), "game_id", "player_id").limit(20)
+    top = s.of_latest(s.lines).filter("minutes > 0").withColumn("production", line_production().cast("long")).orderBy(F.col("production").desc(), "game_id", "player_id").limit(20)
     own, other = s.teams.select("team_id", F.col("name").alias("team")), s.teams.select(F.col("team_id").alias("opponent_team_id"), F.col("name").alias("opponent"))
     return top.join(s.players.select("player_id", "name"), "player_id").join(F.broadcast(own), "team_id").join(F.broadcast(other), "opponent_team_id", "left").select("player_id", "name", "team", "opponent", "game_id", "points", "rebounds", "assists", "production")
 
@@ -222,11 +223,12 @@ def best_games(s: Star) -> DataFrame:
     """, l as (select l.*, o.tier as opponent_tier, row_number() over (partition by player_id order by game_ts desc, game_id desc) as back from lines l left join teams o on o.team_id = opponent_team_id where season = (select season from current)),
 x as (select player_id, 'tier ' || opponent_tier as split, * exclude (player_id) from l union all select player_id, 'last 10', * exclude (player_id) from l where back <= 10 union all select player_id, 'all', * exclude (player_id) from l)
 select player_id, split, count(*) as games, round(avg(points), 4) as ppg, round(avg(rebounds), 4) as rpg, round(avg(assists), 4) as apg, round(avg(minutes), 4) as mpg from x group by player_id, split""",
+    keep=True,
 )
 def player_splits(s: Star) -> DataFrame:
     """A line belongs to several splits; one explode, one aggregate."""
     w = Window.partitionBy("player_id").orderBy(F.col("game_ts").desc(), F.col("game_id").desc())
-    got = of_latest(s.lines, s.lines).join(F.broadcast(s.teams.select(F.col("team_id").alias("opponent_team_id"), F.col("tier").alias("opponent_tier"))), "opponent_team_id", "left").withColumn("back", F.row_number().over(w))
+    got = s.of_latest(s.lines).join(s.teams.select(F.col("team_id").alias("opponent_team_id"), F.col("tier").alias("opponent_tier")), "opponent_team_id", "left").withColumn("back", F.row_number().over(w))
     splits = F.array_compact(F.array(F.concat(F.lit("tier "), F.col("opponent_tier")), F.when(F.col("back") <= 10, "last 10"), F.lit("all")))
     return got.withColumn("split", F.explode(splits)).groupBy("player_id", "split").agg(F.count(F.lit(1)).alias("games"), rate(F.avg("points")).alias("ppg"), rate(F.avg("rebounds")).alias("rpg"), rate(F.avg("assists")).alias("apg"), rate(F.avg("minutes")).alias("mpg"))
 
@@ -248,7 +250,7 @@ def standings(s: Star) -> DataFrame:
     won, lost, inside = F.col("scored") > F.col("allowed"), F.col("scored") < F.col("allowed"), F.col("conference") == F.col("oc")
     n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
     record = sides.groupBy("season", "team_id").agg(n(won).alias("wins"), n(lost).alias("losses"), n(won & inside).alias("conf_wins"), n(lost & inside).alias("conf_losses"))
-    every = s.games.select("season").distinct().crossJoin(F.broadcast(s.teams.select("team_id", "name", "conference")))
+    every = s.games.select("season").distinct().crossJoin(s.teams.select("team_id", "name", "conference"))
     share = rate(F.try_divide(F.col("conf_wins"), F.col("conf_wins") + F.col("conf_losses")))
     got = every.join(record, ["season", "team_id"], "left").withColumn("conf_share", share).fillna(0, ["wins", "losses", "conf_wins", "conf_losses"])
     w = Window.partitionBy("season", "conference").orderBy(F.coalesce("conf_share", F.lit(-1.0)).desc(), F.col("wins").desc(), "team_id")

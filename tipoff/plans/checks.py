@@ -73,16 +73,16 @@ def seasons(s: Star) -> DataFrame:
     return s.lines.select("season").distinct().select("season", label.alias("label"), T.season_end(label).cast("int").alias("again"), T.season_short(long).alias("short"))
 
 
-@query(
-    "t07_name_index",
-    LABELS + f", k1 as (select distinct team_id, unnest([{NORM.format('name')}, {NARROW.format('name')}, {NARROW.format("replace(name, '-', ' ')")}]) as key from lab), o1 as (select key, min(team_id) as team_id from k1 group by key having count(distinct team_id) = 1), k2 as (select distinct team_id, {NARROW.format("trim(regexp_replace(name, '\\s*\\([^)]*\\)\\s*$', ''))")} as key from lab where trim(regexp_replace(name, '\\s*\\([^)]*\\)\\s*$', '')) <> name), o2 as (select key, min(team_id) as team_id from k2 where key not in (select key from o1) group by key having count(distinct team_id) = 1) select * from o1 union all select * from o2",
-)
+NAME_INDEX = LABELS + f", k1 as (select distinct team_id, unnest([{NORM.format('name')}, {NARROW.format('name')}, {NARROW.format("replace(name, '-', ' ')")}]) as key from lab), o1 as (select key, min(team_id) as team_id from k1 group by key having count(distinct team_id) = 1), k2 as (select distinct team_id, {NARROW.format("trim(regexp_replace(name, '\\s*\\([^)]*\\)\\s*$', ''))")} as key from lab where trim(regexp_replace(name, '\\s*\\([^)]*\\)\\s*$', '')) <> name), o2 as (select key, min(team_id) as team_id from k2 where key not in (select key from o1) group by key having count(distinct team_id) = 1)"
+
+
+@query("t07_name_index", NAME_INDEX + " select * from o1 union all select * from o2")
 def name_index(s: Star) -> DataFrame:
     """T07, T08's index."""
     return T.name_index(labels(s))
 
 
-@query("t08_resolve")
+@query("t08_resolve", NAME_INDEX + f", w as (select regexp_replace(name, 'St\\.$', 'State') as opponent from lab), q as (select opponent, unnest([{NORM.format('opponent')}, {NARROW.format('opponent')}, {NARROW.format("replace(opponent, '-', ' ')")}]) as key, unnest([0, 1, 2]) as place from (select distinct opponent from w)), f as (select opponent, min_by(team_id, place) as team_id from q join (select * from o1 union all select * from o2) using (key) group by opponent) select opponent, team_id from w left join f using (opponent)")
 def resolve(s: Star) -> DataFrame:
     """Names as games write them, against the index."""
     written = labels(s).select(F.regexp_replace("name", "St\\.$", "State").alias("opponent"))
@@ -192,7 +192,7 @@ def clusters(s: Star) -> DataFrame:
 @query("k21_divisions", "select player_id, division, player_id % 3 = 0 and division <> 'D1' as changed from players join teams using (team_id)")
 def divisions(s: Star) -> DataFrame:
     """A third of the rows say D1 whatever their team says."""
-    joined = s.players.join(F.broadcast(s.teams.select("team_id", "division")), "team_id").withColumn("division", F.when(F.col("player_id") % 3 == 0, "D1").otherwise(F.col("division")))
+    joined = s.players.join(s.teams.select("team_id", "division"), "team_id").withColumn("division", F.when(F.col("player_id") % 3 == 0, "D1").otherwise(F.col("division")))
     return K.corrected(joined.select("player_id", "team_id", "division"), s.teams).select("player_id", "division", "changed")
 
 
@@ -234,11 +234,11 @@ def identities(s: Star) -> DataFrame:
     return K.identities(seen, known).select("ref", "player_id")
 
 
-@query("k31_our_side", ", s as (select game_id % 500 as game_id, started as side, player_id % 97 as name_key from lines), r as (select distinct player_id % 97 as name_key from players where team_id < 6 and player_id % 97 < 60), n as (select game_id, side, count(distinct name_key) as overlap from s join r using (name_key) group by 1, 2), m as (select *, max(overlap) over (partition by game_id) as top from n), t as (select *, count(*) over (partition by game_id) as ties from m where overlap = top) select game_id, side, overlap from t where ties = 1")
+@query("k31_our_side", ", s as (select game_id, started as side, player_id as name_key from lines), r as (select distinct player_id as name_key from players where team_id = 6), n as (select game_id, side, count(distinct name_key) as overlap from s join r using (name_key) group by 1, 2), m as (select *, max(overlap) over (partition by game_id) as top from n), t as (select *, count(*) over (partition by game_id) as ties from m where overlap = top) select game_id, side, overlap from t where ties = 1")
 def our_side(s: Star) -> DataFrame:
-    """U04, K31."""
-    sides = s.lines.select((F.col("game_id") % 500).alias("game_id"), F.col("started").alias("side"), (F.col("player_id") % 97).alias("name_key"))
-    return K.our_side(sides, s.players.filter("team_id < 6 and player_id % 97 < 60").select((F.col("player_id") % 97).alias("name_key")))
+    """The side of each game that one team's roster is on."""
+    sides = s.lines.select("game_id", F.col("started").alias("side"), F.col("player_id").alias("name_key"))
+    return K.our_side(sides, s.players.filter("team_id = 6").select(F.col("player_id").alias("name_key")))
 
 
 @query("k10_unresolved", ", u as (select player_id, opponent_team_id as candidate from lines where minutes > 38) select player_id, min(candidate) as team_id from u group by player_id having count(distinct candidate) = 1")
@@ -292,23 +292,19 @@ def old_transfer(s: Star) -> DataFrame:
     return s.table("orders").select("o_orderkey", *[rate(c + 1e-9).alias(n) for n, c in got.items()])
 
 
-@query("l01_old_roles", ", t as (select p.player_id, p.team_id, sum(minutes) / count(*) as m from lines l join players p using (player_id) where season = (select season from current) group by 1, 2), k as (select *, row_number() over (partition by team_id order by round(m, 6) desc, player_id) as place from t) select team_id, round(avg(m) filter (place <= 5), 3) as starter, round(max(m) filter (place = 6), 3) as sixth, round(avg(m) filter (place between 7 and 10), 3) as bench from k group by team_id")
+@query("l01_old_roles", ", t as (select p.player_id, p.team_id, sum(minutes) / count(*) as m from lines l join players p using (player_id) where season = (select season from current) group by 1, 2), k as (select *, row_number() over (partition by team_id order by round(m, 6) desc, player_id) as place from t) select team_id, round(avg(m) filter (place <= 5), 3) as starter, round(max(m) filter (place = 6), 3) as sixth, round(avg(m) filter (place between 7 and 10), 3) as bench from k group by team_id", keep=True)
 def old_roles(s: Star) -> DataFrame:
     """Roles by rank of minutes."""
-    from tipoff.operators.profiles import of_latest
-
-    mean = of_latest(s.lines, s.lines).groupBy("player_id").agg((F.sum("minutes") / F.count(F.lit(1))).alias("m")).join(s.players.select("player_id", "team_id"), "player_id")
+    mean = s.of_latest(s.lines).groupBy("player_id").agg((F.sum("minutes") / F.count(F.lit(1))).alias("m")).join(s.players.select("player_id", "team_id"), "player_id")
     place = F.row_number().over(Window.partitionBy("team_id").orderBy(F.round("m", 6).desc(), "player_id"))
     part = lambda c: F.when(c, F.col("m"))
     return mean.withColumn("place", place).groupBy("team_id").agg(F.round(F.avg(part(F.col("place") <= 5)), 3).alias("starter"), F.round(F.max(part(F.col("place") == 6)), 3).alias("sixth"), F.round(F.avg(part(F.col("place").between(7, 10))), 3).alias("bench"))
 
 
-@query("u01_tiers_of_players", ", a as (select distinct player_id from lines where season = (select season from current)), b as (select distinct player_id from lines) select player_id, case when player_id in (select player_id from a) then 'played' when player_id in (select player_id from b) then 'rostered' else 'sheet' end as kind from players")
+@query("u01_tiers_of_players", ", a as (select distinct player_id from lines where season = (select season from current)), b as (select distinct player_id from lines) select player_id, case when player_id in (select player_id from a) then 'played' when player_id in (select player_id from b) then 'rostered' else 'sheet' end as kind from players", keep=True)
 def inclusion(s: Star) -> DataFrame:
     """Disjoint branches, later ones without the earlier."""
-    from tipoff.operators.profiles import of_latest
-
-    played = of_latest(s.lines, s.lines).select("player_id").distinct()
+    played = s.of_latest(s.lines).select("player_id").distinct()
     rostered = s.lines.select("player_id").distinct().join(played, "player_id", "left_anti")
     sheet = s.players.select("player_id").join(s.lines.select("player_id").distinct(), "player_id", "left_anti")
     return played.withColumn("kind", F.lit("played")).unionByName(rostered.withColumn("kind", F.lit("rostered"))).unionByName(sheet.withColumn("kind", F.lit("sheet")))

@@ -38,13 +38,13 @@ def schedule(s: Star) -> DataFrame:
     return feeds.schedule(docs)
 
 
-@query("s09_box_score", "select cast(game_id as varchar) as game_ref, cast(team_id as varchar) as team_ref, cast(player_id as varchar) as player_ref, 'P' || player_id as name, started, cast(minutes as int) as minutes, cast(points as int) as points, fgm || '-' || fga as fg from lines where season = 1997")
+@query("s09_box_score", "select cast(game_id as varchar) as game_ref, cast(team_id as varchar) as team_ref, cast(player_id as varchar) as player_ref, 'P' || player_id as name, started, cast(minutes as int) as minutes, cast(points as int) as points, fgm || '-' || fga as fg from lines")
 def box_score(s: Star) -> DataFrame:
     stats = F.array(F.col("minutes").cast("string"), F.col("points").cast("string"), F.concat_ws("-", "fgm", "fga"))
     athlete = F.struct(F.struct(F.col("player_id").cast("string").alias("id"), F.concat(F.lit("P"), F.col("player_id").cast("string")).alias("displayName")).alias("athlete"), (F.col("started") == 1).alias("starter"), stats.alias("stats"))
     names = F.array(*map(F.lit, ("MIN", "PTS", "FG")))
     player = F.struct(F.struct(F.col("team_id").cast("string").alias("id")).alias("team"), F.array(F.struct(names.alias("names"), F.array(athlete).alias("athletes"))).alias("statistics"))
-    docs = s.lines.filter("season = 1997").groupBy(F.col("game_id").cast("string").alias("game_ref")).agg(F.collect_list(player).alias("players")).select("game_ref", F.to_json(F.struct(F.struct("players").alias("boxscore"))).alias("body"))
+    docs = s.lines.groupBy(F.col("game_id").cast("string").alias("game_ref")).agg(F.collect_list(player).alias("players")).select("game_ref", F.to_json(F.struct(F.struct("players").alias("boxscore"))).alias("body"))
     return feeds.box_score(docs)
 
 
@@ -54,12 +54,12 @@ def height(s: Star) -> DataFrame:
     return feeds.height(docs)
 
 
-@query("s19_game_log", "select cast(player_id as varchar) as player_ref, cast(game_ts as varchar)[1:10] as date, 'T' || opponent_team_id as opponent, cast(started as varchar) as gs, cast(minutes as int) as minutes, cast(points as int) as points from lines where season = 1998 and fouls > 0")
+@query("s19_game_log", "select cast(player_id as varchar) as player_ref, cast(game_ts as varchar)[1:10] as date, 'T' || opponent_team_id as opponent, cast(started as varchar) as gs, cast(minutes as int) as minutes, cast(points as int) as points from lines where fouls > 0")
 def game_log(s: Star) -> DataFrame:
     """Undated rows and footers are skipped."""
     row = F.struct(F.when(F.col("fouls") > 0, F.date_format("game_ts", "yyyy-MM-dd")).otherwise("").alias("date"), F.concat(F.lit("T"), F.col("opponent_team_id").cast("string")).alias("opponent"), F.col("started").cast("string").alias("gs"), F.col("minutes").cast("string").alias("min"), F.col("points").cast("string").alias("pts"), F.lit(False).alias("isFooter"))
     footer = F.array(F.struct(F.lit("Total").alias("date"), F.lit("").alias("opponent"), F.lit("").alias("gs"), F.lit("9").alias("min"), F.lit("9").alias("pts"), F.lit(True).alias("isFooter")))
-    docs = s.lines.filter("season = 1998").groupBy(F.col("player_id").cast("string").alias("player_ref")).agg(F.concat(F.collect_list(row), footer).alias("rows")).select("player_ref", F.to_json(F.struct("rows")).alias("body"))
+    docs = s.lines.groupBy(F.col("player_id").cast("string").alias("player_ref")).agg(F.concat(F.collect_list(row), footer).alias("rows")).select("player_ref", F.to_json(F.struct("rows")).alias("body"))
     return feeds.game_log(docs)
 
 
@@ -72,14 +72,14 @@ def html_roster(s: Star) -> DataFrame:
     return html.rosters(docs)
 
 
-@query("s13_html_box", "select 'g' || game_id as url, cast(0 as int) as side, 'P' || player_id as name, started, cast(minutes as int) as minutes, cast(points as int) as points, fgm || '-' || fga as fg, '0-0' as fg3, '1-2' as ft from lines where season = 1996")
+@query("s13_html_box", "select 'g' || game_id as url, cast(0 as int) as side, 'P' || player_id as name, started, cast(minutes as int) as minutes, cast(points as int) as points, fgm || '-' || fga as fg, '0-0' as fg3, '1-2' as ft from lines")
 def html_box(s: Star) -> DataFrame:
     """Two tables a page, totals and jersey numbers dropped."""
     head = "<table><tr><th>Player</th><th>GS</th><th>MIN</th><th>FG</th><th>3PT</th><th>FT</th><th>PTS</th></tr>"
     td = lambda *c: F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), x, F.lit("</td>")) for x in c], F.lit("</tr>"))
     row = td(F.concat(F.lit("12 P"), F.col("player_id").cast("string")), F.when(F.col("started") == 1, "*").otherwise(""), F.col("minutes").cast("string"), F.concat_ws("-", "fgm", "fga"), F.lit("0-0"), F.lit("1-2"), F.col("points").cast("string"))
     page = F.concat(F.lit(head), F.array_join(F.collect_list(row), ""), F.lit("<tr><td>TOTALS</td></tr></table>" + head + "</table>"))
-    docs = s.lines.filter("season = 1996").groupBy(F.concat(F.lit("g"), F.col("game_id").cast("string")).alias("url")).agg(page.alias("html"))
+    docs = s.lines.groupBy(F.concat(F.lit("g"), F.col("game_id").cast("string")).alias("url")).agg(page.alias("html"))
     return html.box_scores(docs)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tipoff.functions import model as M
@@ -39,6 +39,7 @@ def old_summary(s: Star) -> DataFrame:
     "m31_old_batch",
     TOTALS + ", cr as (select team_id, round(rating, 3) as rating from ratings where season = (select season from current)), k as (select rating, row_number() over (order by rating desc, team_id) as place, count(*) over () as n from cr), t as (select avg(rating) as target from k where place <= greatest(1, floor(n * 0.25))), l as (select coalesce(nullif(stddev_pop(rating), 0), 1.0) as std from cr) select c.player_id, round(c.per40_pts * greatest(0.7, least(1.12, 1 - (target - rating) / (5 * std))) + 1e-9, 3) as per40_pts, round(least(0.75, c.ts_pct * greatest(0.7, least(1.12, 1 - (target - rating) / (5 * std)))) + 1e-9, 3) as ts_pct from prof c join players p using (player_id) join cr using (team_id), t, l where c.season = (select season from current) and not thin_sample",
     RATINGS,
+    keep=True,
 )
 def old_batch(s: Star) -> DataFrame:
     """Everybody against the mean of the top quartile of teams."""
@@ -47,44 +48,62 @@ def old_batch(s: Star) -> DataFrame:
     n = ratings.agg(F.count(F.lit(1)).alias("n"))
     target = ratings.withColumn("place", F.row_number().over(w)).crossJoin(F.broadcast(n)).filter(F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("n") * 0.25))).agg(F.avg("rating").alias("target"))
     league = ratings.agg(M.std_or_one(F.col("rating")).alias("std"))
-    pool = P.of_latest(P.season_totals(s.lines), s.lines).filter("not thin_sample").join(s.players.select("player_id", "team_id"), "player_id").join(ratings, "team_id")
+    pool = s.of_latest(P.season_totals(s.lines)).filter("not thin_sample").join(s.players.select("player_id", "team_id"), "player_id").join(ratings, "team_id")
     factor = M.clamp(F.lit(1.0) - (F.col("target") - F.col("rating")) / (F.col("std") * 5), 0.70, 1.12)
     return pool.crossJoin(F.broadcast(target)).crossJoin(F.broadcast(league)).select("player_id", F.round(F.col("per40_pts") * factor + 1e-9, 3).alias("per40_pts"), F.round(F.when(F.col("ts_pct").isNotNull(), F.least(F.lit(0.75), F.col("ts_pct") * factor)) + 1e-9, 3).alias("ts_pct"))
 
 
-@query("l03_old_cache", TOTALS + "select player_id, games, round(ppg, 4) as ppg from prof where season = (select season from current) and not thin_sample")
+@query("l03_old_cache", TOTALS + "select player_id, games, round(ppg, 4) as ppg from prof where season = (select season from current) and not thin_sample", keep=True)
 def old_cache(s: Star) -> DataFrame:
     """The old build dropped thin players and kept one season."""
-    return P.of_latest(P.season_totals(s.lines), s.lines).filter("not thin_sample").select("player_id", "games", rate(F.col("ppg")).alias("ppg"))
+    return s.of_latest(P.season_totals(s.lines)).filter("not thin_sample").select("player_id", "games", rate(F.col("ppg")).alias("ppg"))
 
 
-@query("l06_single_fit", PROJECTED + "select player_id, team_id, proj_ppg from proj order by proj_ppg desc, player_id limit 15", RATINGS)
+@query("l06_single_fit", PROJECTED + "select player_id, team_id, proj_ppg from proj order by proj_ppg desc, player_id limit 15", RATINGS, keep=True)
 def single_fit(s: Star) -> DataFrame:
     """A point estimate, ranked by one stat without a blend."""
     return projected(s).select("player_id", "team_id", "proj_ppg").orderBy(F.col("proj_ppg").desc(), "player_id").limit(15)
 
 
-@query("c06_totals", TOTALS + "select p.team_id, round(sum(coalesce(ppg, 0)), 3) as ppg, round(sum(coalesce(ts_pct, 0)), 3) as ts, count(*) as players from players p left join (select * from prof where season = (select season from current)) c using (player_id) group by 1")
+@query("c06_totals", TOTALS + "select p.team_id, round(sum(coalesce(ppg, 0)), 3) as ppg, round(sum(coalesce(ts_pct, 0)), 3) as ts, count(*) as players from players p left join (select * from prof where season = (select season from current)) c using (player_id) group by 1", keep=True)
 def totals(s: Star) -> DataFrame:
     """Nulls count as 0."""
-    now = P.of_latest(P.season_totals(s.lines), s.lines).select("player_id", "ppg", "ts_pct")
+    now = s.of_latest(P.season_totals(s.lines)).select("player_id", "ppg", "ts_pct")
     got = s.players.select("player_id", "team_id").join(now, "player_id", "left")
     return got.groupBy("team_id").agg(F.round(F.sum(F.coalesce("ppg", F.lit(0.0))), 3).alias("ppg"), F.round(F.sum(F.coalesce("ts_pct", F.lit(0.0))), 3).alias("ts"), F.count(F.lit(1)).alias("players"))
 
 
-@query("c10_resort", ", b as (select player_id, points, rebounds, game_id from lines where season = (select season from current) order by points desc, game_id, player_id limit 15) select player_id, points, rebounds, cast(row_number() over (order by rebounds desc, game_id, player_id) as int) as place from b")
+@query("c10_resort", ", b as (select player_id, points, rebounds, game_id from lines where season = (select season from current) order by points desc, game_id, player_id limit 15) select player_id, points, rebounds, cast(row_number() over (order by rebounds desc, game_id, player_id) as int) as place from b", keep=True)
 def resort(s: Star) -> DataFrame:
     """Sorted again after the limit."""
-    best = P.of_latest(s.lines, s.lines).select("player_id", "points", "rebounds", "game_id").orderBy(F.col("points").desc(), "game_id", "player_id").limit(15)
+    best = s.of_latest(s.lines).select("player_id", "points", "rebounds", "game_id").orderBy(F.col("points").desc(), "game_id", "player_id").limit(15)
     return best.withColumn("place", F.row_number().over(Window.orderBy(F.col("rebounds").desc(), "game_id", "player_id")).cast("int")).select("player_id", "points", "rebounds", "place")  # 15 rows
 
 
-@query("c02_null_sorts", ", t as (select player_id, case when player_id % 3 = 0 then null else height_in end as h from players) select player_id, cast(row_number() over (order by h desc nulls last, player_id) as int) as down, cast(row_number() over (order by h asc nulls last, player_id) as int) as up from t where player_id <= 200")
+@query("c02_null_sorts", ", t as (select player_id, case when player_id % 3 = 0 then null else height_in end as h from players) select player_id, cast(row_number() over (order by h desc nulls last, player_id) as int) as down, cast(row_number() over (order by h asc nulls last, player_id) as int) as up from t")
 def null_sorts(s: Star) -> DataFrame:
     """Nulls last in both directions."""
-    few = s.players.filter("player_id <= 200").select("player_id", F.when(F.col("player_id") % 3 != 0, F.col("height_in")).alias("h"))
-    place = lambda order: F.row_number().over(Window.orderBy(order, "player_id")).cast("int")  # noqa: E731  at most 200 rows
-    return few.select("player_id", place(F.col("h").desc_nulls_last()).alias("down"), place(F.col("h").asc_nulls_last()).alias("up"))
+    rows = s.players.select("player_id", F.when(F.col("player_id") % 3 != 0, F.col("height_in")).alias("h"))
+    return places(rows, "h", "player_id", {"down": F.col("h").desc_nulls_last(), "up": F.col("h").asc_nulls_last()})
+
+
+def places(rows: DataFrame, value: str, key: str, orders: dict[str, Column], block: int = 10_000) -> DataFrame:
+    """Places of all rows by a value of few kinds, then by a whole-number key.
+
+    No task sorts the whole table: rows are numbered within blocks of keys, and the
+    sizes of the blocks before (of the value's, then of all better values) are added.
+    """
+    rows = rows.withColumn("block", F.floor(F.col(key) / block))
+    sizes = rows.groupBy(value, "block").agg(F.count(F.lit(1)).alias("n"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = sizes.withColumn("within", before(Window.partitionBy(value).orderBy("block"))).drop("n")
+    kinds = sizes.groupBy(value).agg(F.sum("n").alias("n"))  # a row a value
+    kinds = kinds.select(F.col(value).alias("kind"), *[before(Window.orderBy(o)).alias(f"before_{name}") for name, o in orders.items()])
+    blocks = blocks.join(kinds, F.col(value).eqNullSafe(F.col("kind")))
+    blocks = blocks.select(F.col(value).alias("kind"), F.col("block").alias("of"), "within", *[f"before_{name}" for name in orders])
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(value, "block").orderBy(key)))
+    joined = placed.join(blocks, F.col(value).eqNullSafe(F.col("kind")) & (F.col("block") == F.col("of")))
+    return joined.select(key, *[(F.col("place") + F.col("within") + F.col(f"before_{name}")).cast("int").alias(name) for name in orders])
 
 
 @query("k19_purge", ", c as (select player_id, team_id, player_id * 37 % 5000 as ext from players), f as (select *, coalesce(cast(ext - lag(ext) over w > 120 as int), 1) as new from c window w as (partition by team_id order by ext)), i as (select *, sum(new) over (partition by team_id order by ext rows unbounded preceding) as island from f), b as (select player_id from i where (team_id, island) in (select (team_id, island) from i group by team_id, island having count(*) >= 6)) select season, count(*) as lines, count(distinct player_id) as players from lines where player_id not in (select player_id from b) group by season")
@@ -105,11 +124,11 @@ def stale(s: Star) -> DataFrame:
     return every.exceptAll(left).agg(F.count(F.lit(1)).alias("stale"))
 
 
-@query("u06_pooled", ", p as (select player_id % 2 as sport, lower(name) as key from players union all select 2, lower(name) from players where player_id % 5 = 0) select key, count(distinct sport) as sports from p group by key having count(distinct sport) > 1")
+@query("u06_pooled", ", p as (select player_id % 2 as sport, lower(name) as key from players union all select 2, lower(name) from players where player_id in (select player_id from lines where points > 60)) select key, count(distinct sport) as sports from p group by key having count(distinct sport) > 1")
 def pooled(s: Star) -> DataFrame:
     """Names that occur in several pools."""
     one = s.players.select((F.col("player_id") % 2).alias("sport"), F.lower("name").alias("key"))
-    two = s.players.filter("player_id % 5 = 0").select(F.lit(2).cast("long").alias("sport"), F.lower("name").alias("key"))
+    two = s.players.join(s.lines.filter("points > 60").select("player_id"), "player_id", "left_semi").select(F.lit(2).cast("long").alias("sport"), F.lower("name").alias("key"))
     return one.unionByName(two).groupBy("key").agg(F.countDistinct("sport").alias("sports")).filter("sports > 1")
 
 
@@ -129,17 +148,17 @@ def resume(s: Star) -> DataFrame:
     return per.crossJoin(F.broadcast(live)).filter("season <> live").groupBy("team_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("season")), lambda x: x.cast("string")), ",").alias("done"))
 
 
-@query("k25_worklist", "select player_id, case when position is null then 'position' else 'height' end as needs from players where position is null or height_in < 68 order by needs, player_id limit 500")
+@query("k25_worklist", "select player_id, case when position is null then 'position' else 'height' end as needs from players where position is null or height_in < 68")
 def worklist(s: Star) -> DataFrame:
     """What is left for a person to look up."""
     needs = F.when(F.col("position").isNull(), "position").otherwise("height")
-    return s.players.filter("position is null or height_in < 68").select("player_id", needs.alias("needs")).orderBy("needs", "player_id").limit(500)
+    return s.players.filter("position is null or height_in < 68").select("player_id", needs.alias("needs"))
 
 
-@query("w11_outplayed", TOTALS + ", c as (select p.team_id, q.player_id, q.avg_minutes, q.games_started from prof q join players p using (player_id) where q.season = (select season from current)), k as (select *, row_number() over (partition by team_id order by games_started desc, player_id) <= 5 as five from c) select a.player_id, (select count(*) from k b where b.team_id = a.team_id and not b.five and b.avg_minutes > a.avg_minutes) as over from k a where a.five")
+@query("w11_outplayed", TOTALS + ", c as (select p.team_id, q.player_id, q.avg_minutes, q.games_started from prof q join players p using (player_id) where q.season = (select season from current)), k as (select *, row_number() over (partition by team_id order by games_started desc, player_id) <= 5 as five from c) select a.player_id, (select count(*) from k b where b.team_id = a.team_id and not b.five and b.avg_minutes > a.avg_minutes) as over from k a where a.five", keep=True)
 def outplayed(s: Star) -> DataFrame:
     """Bench players with more minutes than a starter, by a running count in minute order."""
-    now = P.of_latest(P.season_totals(s.lines), s.lines).join(s.players.select("player_id", "team_id"), "player_id")
+    now = s.of_latest(P.season_totals(s.lines)).join(s.players.select("player_id", "team_id"), "player_id")
     five = F.row_number().over(Window.partitionBy("team_id").orderBy(F.col("games_started").desc(), "player_id")) <= 5
     marked = now.withColumn("five", five)
     above = Window.partitionBy("team_id").orderBy(F.col("avg_minutes").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -156,13 +175,13 @@ def margin_gap(s: Star) -> DataFrame:
     return got.groupBy("season", "team_id").agg((F.round(F.avg(F.col("scored") - F.col("allowed") - F.col("rating")), 2) + 0.0).alias("expected_margin_gap"))
 
 
-@query("c09_profile_bars", PROJECTED + "select player_id, greatest(-3.0, least(3.0, gap_in_std)) as bar from proj order by gap_in_std desc, player_id limit 40", RATINGS)
+@query("c09_profile_bars", PROJECTED + "select player_id, greatest(-3.0, least(3.0, gap_in_std)) as bar from proj order by gap_in_std desc, player_id limit 40", RATINGS, keep=True)
 def bars(s: Star) -> DataFrame:
     """Sorted, with clamped bars."""
     return projected(s).orderBy(F.col("gap_in_std").desc(), "player_id").limit(40).select("player_id", M.clamp(F.col("gap_in_std"), -3.0, 3.0).alias("bar"))
 
 
-@query("q01_player_scores", TOTALS + "select count(*) as scored from prof where season = (select season from current) and not thin_sample")
+@query("q01_player_scores", TOTALS + "select count(*) as scored from prof where season = (select season from current) and not thin_sample", keep=True)
 def scored_players(s: Star) -> DataFrame:
     """A17 over current players."""
     return current_players(s).filter("not thin_sample").agg(F.count(F.lit(1)).alias("scored"))

@@ -32,6 +32,9 @@ league as (select season, avg(rating) as mean_rating, coalesce(nullif(stddev_pop
 )
 
 
+CURRENT_RATINGS = ", cr as (select team_id, round(rating, 3) + 0.0 as rating from ratings where season = (select season from current))"
+
+
 def solved(s: Star) -> DataFrame:
     """A row a team and season; its users would each run the solver again."""
     return s.once("ratings", lambda: R.solve_ratings(R.unpivot(s.games), passes=PASSES, tolerance=0.0))
@@ -65,15 +68,31 @@ def bridge(s: Star) -> DataFrame:
     return R.bridge(R.unpivot(s.games), solved(s), s.teams).select("season", (F.round("shift", 3) + 0.0).alias("shift"), "games")
 
 
-@query("r05_pools")
+POOLS = (
+    ORACLE.replace("with teams as", "with recursive teams as")
+    + f""", tiers as (select s.*, a.division as pool, b.division as other from sides s join teams a using (team_id) join teams b on b.team_id = s.opponent_team_id),
+own as (select * from tiers where pool = other),
+solve(i, season, pool, team_id, off, de) as (
+  select 0, season, pool, team_id, avg(scored), avg(allowed) from own where team_id <> opponent_team_id group by 2, 3, 4
+  union all
+  select any_value(p.i) + 1, e.season, e.pool, e.team_id, avg(e.scored - p.de) + any_value(m.md), avg(e.allowed - p.off) + any_value(m.mo)
+  from own e join solve p on e.opponent_team_id = p.team_id and e.season = p.season join (select season, pool, avg(de) as md, avg(off) as mo from solve group by 1, 2) m on m.season = e.season and m.pool = e.pool
+  where p.i < {PASSES} group by e.season, e.pool, e.team_id),
+alone as (select season, pool, team_id, off - de as rating from solve where i = {PASSES}),
+shifts as (select b.season, case when count(*) >= 10 then avg(x.rating - y.rating - (scored - allowed)) end as shift from tiers b join alone x on x.season = b.season and x.team_id = b.team_id join alone y on y.season = b.season and y.team_id = b.opponent_team_id where b.pool = 'D1' and b.other = 'D2' group by 1)
+select season, pool, team_id, round(rating, 3) + 0.0 as rating, round(case when pool = 'D2' then rating + shift else rating end, 3) as combined from alone join shifts using (season)"""
+)
+
+
+@query("r05_pools", POOLS, "")
 def pools(s: Star) -> DataFrame:
     """Each division solved alone, D2 lifted by the crossover shift."""
-    teams = F.broadcast(s.teams.select("team_id", F.col("division").alias("pool")))
-    other = F.broadcast(s.teams.select(F.col("team_id").alias("opponent_team_id"), F.col("division").alias("other")))
+    teams = s.teams.select("team_id", F.col("division").alias("pool"))
+    other = s.teams.select(F.col("team_id").alias("opponent_team_id"), F.col("division").alias("other"))
     sides = R.unpivot(s.games).join(teams, "team_id").join(other, "opponent_team_id")
-    alone = R.solve_ratings(sides.filter("pool = other"), pool="pool")
+    alone = s.once("pools", lambda: R.solve_ratings(sides.filter("pool = other"), passes=PASSES, tolerance=0.0, pool="pool"))
     shift = R.bridge(R.unpivot(s.games), alone, s.teams).select("season", "shift")
-    return alone.join(shift, "season").select("season", "pool", "team_id", (F.round("rating", 3) + 0.0).alias("rating"), F.round(F.when(F.col("pool") == "D2", F.col("rating") + F.col("shift")).otherwise(F.col("rating")), 3).alias("combined"), "iterations")
+    return alone.join(shift, "season").select("season", "pool", "team_id", (F.round("rating", 3) + 0.0).alias("rating"), F.round(F.when(F.col("pool") == "D2", F.col("rating") + F.col("shift")).otherwise(F.col("rating")), 3).alias("combined"))
 
 
 @query("r07_elo")
@@ -97,7 +116,7 @@ def league(s: Star) -> DataFrame:
 def net_rank(s: Star) -> DataFrame:
     """Ranked over the league, then filtered."""
     ranked = R.ranked(solved(s).withColumn("rating", F.round("rating", 3)))
-    return ranked.join(F.broadcast(s.teams.filter("tier = 'Mid-Major'").select("team_id", "name")), "team_id").select("season", "team_id", "name", F.col("net_rank").cast("int").alias("net_rank"))
+    return ranked.join(s.teams.filter("tier = 'Mid-Major'").select("team_id", "name"), "team_id").select("season", "team_id", "name", F.col("net_rank").cast("int").alias("net_rank"))
 
 
 # -- profiles ----------------------------------------------------------------------
@@ -144,19 +163,19 @@ def scored(s: Star) -> DataFrame:
     return P.season_scores(s.lines, s.players, s.games, solved(s))
 
 
-@query("m08_season_scores", SCORES + "select player_id, season, round(raw, 3) + 0.0 as raw, round(score_raw, 3) + 0.0 as score from scores", RATINGS)
+@query("m08_season_scores", SCORES + "select player_id, season, round(raw, 3) + 0.0 as raw, round(score_raw, 3) + 0.0 as score from scores", RATINGS, keep=True)
 def season_scores(s: Star) -> DataFrame:
     """A05, J11, M03 to M10, W12."""
     return scored(s).select("player_id", "season", (F.round("raw", 3) + 0.0).alias("raw"), (F.round("score_raw", 3) + 0.0).alias("score"))
 
 
-@query("w02_ranks", SCORES + ", k as (select s.player_id, s.season, t.division, round(score_raw, 3) + 0.0 as score, row_number() over (partition by s.season order by round(score_raw, 3) desc, s.player_id) as a, row_number() over (partition by s.season, t.division order by round(score_raw, 3) desc, s.player_id) as b from scores s join players p using (player_id) join teams t on t.team_id = p.team_id) select player_id, season, division, cast(a as int) as overall_rank, cast(b as int) as division_rank from k", RATINGS)
+@query("w02_ranks", SCORES + ", k as (select s.player_id, s.season, t.division, round(score_raw, 3) + 0.0 as score, row_number() over (partition by s.season order by round(score_raw, 3) desc, s.player_id) as a, row_number() over (partition by s.season, t.division order by round(score_raw, 3) desc, s.player_id) as b from scores s join players p using (player_id) join teams t on t.team_id = p.team_id) select player_id, season, division, cast(a as int) as overall_rank, cast(b as int) as division_rank from k", RATINGS, keep=True)
 def ranks(s: Star) -> DataFrame:
     got = P.ranks(scored(s).withColumn("score_raw", F.round("score_raw", 3)), s.players, s.teams)
     return got.select("player_id", "season", "division", F.col("overall_rank").cast("int").alias("overall_rank"), F.col("division_rank").cast("int").alias("division_rank"))
 
 
-@query("w03_percentile", SCORES + ", c as (select s.player_id, s.season, round(score_raw, 3) + 0.0 as score, thin_sample from scores s join prof using (player_id, season)) select player_id, season, round(100.0 * (rank() over (partition by season order by score desc)) / (count(*) over (partition by season)), 2) as top_percent from c where not thin_sample", RATINGS)
+@query("w03_percentile", SCORES + ", c as (select s.player_id, s.season, round(score_raw, 3) + 0.0 as score, thin_sample from scores s join prof using (player_id, season)) select player_id, season, round(100.0 * (rank() over (partition by season order by score desc)) / (count(*) over (partition by season)), 2) as top_percent from c where not thin_sample", RATINGS, keep=True)
 def percentile(s: Star) -> DataFrame:
     full = scored(s).join(P.season_totals(s.lines).select("player_id", "season", "thin_sample"), ["player_id", "season"]).filter("not thin_sample").withColumn("score", F.round("score_raw", 3))
     w = Window.partitionBy("season")
@@ -184,13 +203,13 @@ def team_profile(s: Star) -> DataFrame:
 @query("a07_category_stats", TEAMPROF + "select season, t.tier, category, round(avg(value), 4) as mean, round(coalesce(nullif(stddev_pop(value), 0), 1.0), 4) as std, count(value) as teams from tl join teams t using (team_id) group by 1, 2, 3")
 def category_stats(s: Star) -> DataFrame:
     """Every tier and category at once."""
-    long = P.long_profile(team_profiles(s), "season", "team_id").join(F.broadcast(s.teams.select("team_id", "tier")), "team_id")
+    long = P.long_profile(team_profiles(s), "season", "team_id").join(s.teams.select("team_id", "tier"), "team_id")
     return P.category_stats(long, "season", "tier").select("season", "tier", "category", rate(F.col("mean")).alias("mean"), rate(F.col("std")).alias("std"), "teams")
 
 
 @query("a09_conference_means", TEAMPROF + "select season, conference, category, round(avg(value), 4) as mean from tl join teams using (team_id) group by 1, 2, 3")
 def conference_means(s: Star) -> DataFrame:
-    long = P.long_profile(team_profiles(s), "season", "team_id").join(F.broadcast(s.teams.select("team_id", "conference")), "team_id")
+    long = P.long_profile(team_profiles(s), "season", "team_id").join(s.teams.select("team_id", "conference"), "team_id")
     return long.groupBy("season", "conference", "category").agg(rate(F.avg("value")).alias("mean"))
 
 
@@ -209,10 +228,11 @@ def top_quartile(s: Star) -> DataFrame:
 @query(
     "q10_team_needs",
     TEAMPROF + ", st as (select category, avg(value) as m, coalesce(nullif(stddev_pop(value), 0), 1.0) as s from tl where season = (select season from current) group by category), z as (select team_id, category, round(value, 4) as value, round((value - m) / s * case when category = 'per40_tov' then -1 else 1 end, 3) + 0.0 as z from tl join st using (category) where season = (select season from current)), k as (select *, row_number() over (partition by team_id order by z, category) as place from z) select team_id, category, value, z, cast(place as int) as place from k where place <= 3",
+    keep=True,
 )
 def team_needs(s: Star, top: int = 3) -> DataFrame:
     """Worst categories of every team; a lower turnover rate is better."""
-    long = P.long_profile(P.of_latest(team_profiles(s), s.lines), "team_id")
+    long = P.long_profile(s.of_latest(team_profiles(s)), "team_id")
     stats = P.category_stats(long)
     sign = F.when(F.col("category") == "per40_tov", -1).otherwise(1)
     z = long.join(F.broadcast(stats), "category").select("team_id", "category", rate(F.col("value")).alias("value"), F.round((F.col("value") - F.col("mean")) / F.col("std") * sign, 3).alias("z"))
@@ -223,7 +243,7 @@ def team_needs(s: Star, top: int = 3) -> DataFrame:
 # -- players over seasons ------------------------------------------------------------
 
 
-@query("q14_trajectory", SCORES + ", n as (select player_id, count(*) as seasons, round(case when count(*) >= 2 then (max_by(score, season) - min_by(score, season)) / (count(*) - 1) end + 1e-9, 3) + 0.0 as delta from (select player_id, season, round(score_raw, 3) + 0.0 as score from scores) group by player_id) select player_id, seasons, delta, case when delta is null then 'Insufficient data' when delta >= 3 then 'Improving' when delta <= -3 then 'Declining' else 'Stable' end as trend from n", RATINGS)
+@query("q14_trajectory", SCORES + ", n as (select player_id, count(*) as seasons, round(case when count(*) >= 2 then (max_by(score, season) - min_by(score, season)) / (count(*) - 1) end + 1e-9, 3) + 0.0 as delta from (select player_id, season, round(score_raw, 3) + 0.0 as score from scores) group by player_id) select player_id, seasons, delta, case when delta is null then 'Insufficient data' when delta >= 3 then 'Improving' when delta <= -3 then 'Declining' else 'Stable' end as trend from n", RATINGS, keep=True)
 def trajectory(s: Star) -> DataFrame:
     """W07, M27."""
     got = scored(s).withColumn("score", F.round("score_raw", 3)).groupBy("player_id").agg(F.count(F.lit(1)).alias("seasons"), F.round(F.when(F.count(F.lit(1)) >= 2, (F.max_by("score", "season") - F.min_by("score", "season")) / (F.count(F.lit(1)) - 1)) + 1e-9, 3).alias("delta"))
@@ -241,10 +261,11 @@ def board(totals: DataFrame, stat: str, least: int, limit: int) -> DataFrame:
 @query(
     "q15_leaderboard",
     TOTALS + ", c as (select * from prof where season = (select season from current) and not thin_sample and games >= 3) (select player_id, 'ppg' as stat, round(ppg, 4) as value from c order by value desc, player_id limit 25) union all (select player_id, 'total_points', round(cast(pts as double), 4) as value from c order by value desc, player_id limit 25) union all (select player_id, 'topg', round(topg, 4) as value from c order by value, player_id limit 25) union all (select player_id, 'tfg_pct', round(tfg_pct * 100, 4) as value from c where tfg_pct is not null order by value desc, player_id limit 25)",
+    keep=True,
 )
 def leaderboard(s: Star) -> DataFrame:
     """O04, A11, A12."""
-    totals = P.of_latest(P.season_totals(s.lines), s.lines)
+    totals = s.of_latest(P.season_totals(s.lines))
     out = board(totals, "ppg", 3, 25)
     for stat in ("total_points", "topg", "tfg_pct"):
         out = out.unionByName(board(totals, stat, 3, 25))
@@ -254,10 +275,11 @@ def leaderboard(s: Star) -> DataFrame:
 @query(
     "q22_player_efficiency",
     TOTALS + ", c as (select player_id, round(per40_pts, 4) as usage, round(ts_pct, 4) as efficiency from prof where season = (select season from current) and not thin_sample and games >= 4 and ts_pct is not null order by round(per40_pts, 4) desc, player_id limit 400), m as (select round(avg(usage), 1) as mu, round(avg(efficiency), 1) as me from c) select player_id, usage, efficiency, mu as mean_usage, me as mean_efficiency, case when usage >= mu and efficiency >= me then 'star' when usage >= mu then 'volume' when efficiency >= me then 'efficient' else 'limited' end as quadrant from c, m",
+    keep=True,
 )
 def player_efficiency(s: Star) -> DataFrame:
     """W13 after the limit: raw values against rounded means."""
-    totals = P.of_latest(P.season_totals(s.lines), s.lines).filter("not thin_sample and games >= 4 and ts_pct is not null")
+    totals = s.of_latest(P.season_totals(s.lines)).filter("not thin_sample and games >= 4 and ts_pct is not null")
     top = totals.select("player_id", rate(F.col("per40_pts")).alias("usage"), rate(F.col("ts_pct")).alias("efficiency")).orderBy(F.col("usage").desc(), "player_id").limit(400)
     means = top.agg(rate(F.avg("usage"), 1).alias("mean_usage"), rate(F.avg("efficiency"), 1).alias("mean_efficiency"))
     u, e = F.col("usage") >= F.col("mean_usage"), F.col("efficiency") >= F.col("mean_efficiency")
@@ -312,16 +334,16 @@ def stints(s: Star) -> DataFrame:
 
 def current_players(s: Star) -> DataFrame:
     """Players with their profile and score of the latest season."""
-    totals = P.of_latest(P.season_totals(s.lines), s.lines)
-    score = P.of_latest(scored(s), s.lines).select("player_id", F.round("score_raw", 6).alias("score_raw"), "score")
+    totals = s.of_latest(P.season_totals(s.lines))
+    score = s.of_latest(scored(s)).select("player_id", F.round("score_raw", 6).alias("score_raw"), "score")
     return s.players.join(totals.drop("season"), "player_id").join(score, "player_id")
 
 
 def roster_roles(s: Star) -> DataFrame:
-    totals = P.of_latest(P.season_totals(s.lines), s.lines)
+    totals = s.of_latest(P.season_totals(s.lines))
     current = s.players.select("player_id", "team_id").join(totals.select("player_id", "games", "avg_minutes"), "player_id", "left")
-    played = P.of_latest(P.team_games(s.lines), s.lines).select("team_id", F.ceil(F.col("team_games") / 12).alias("team_games"))
-    return O.rosters(current, O.starts(P.of_latest(s.lines, s.lines)), played)
+    played = s.of_latest(P.team_games(s.lines)).select("team_id", F.ceil(F.col("team_games") / 12).alias("team_games"))
+    return O.rosters(current, O.starts(s.of_latest(s.lines)), played)
 
 
 ROLES = TOTALS + """, tg as (select team_id, cast(ceil(count(distinct game_id) / 12) as bigint) as team_games from lines where season = (select season from current) group by 1),
@@ -334,25 +356,25 @@ rmin as (select team_id, role, round(avg(avg_minutes), 1) as minutes, count(*) a
 """
 
 
-@query("q03_roles", ROLES + "select player_id, team_id, round(avg_minutes, 4) as avg_minutes, role from roles")
+@query("q03_roles", ROLES + "select player_id, team_id, round(avg_minutes, 4) as avg_minutes, role from roles", keep=True)
 def roles(s: Star) -> DataFrame:
     """The nation's schedule is scaled down to a roster's share."""
     return roster_roles(s).select("player_id", "team_id", rate(F.col("avg_minutes")).alias("avg_minutes"), "role")
 
 
-@query("q03_role_minutes", ROLES + "select team_id, role, minutes, players, low, high from rmin")
+@query("q03_role_minutes", ROLES + "select team_id, role, minutes, players, low, high from rmin", keep=True)
 def role_minutes(s: Star) -> DataFrame:
     return O.role_minutes(roster_roles(s))
 
 
-@query("q09_role_translation", ROLES + "select c.player_id, p.team_id, r.role, not (c.games >= 4 and c.total_minutes >= 80) as insufficient_sample, case when c.games >= 4 and c.total_minutes >= 80 then r.minutes end as minutes, " + ", ".join(f"case when c.games >= 4 and c.total_minutes >= 80 then round({b} * r.minutes / 40, 1) end as {a}" for a, b in (("ppg", "per40_pts"), ("rpg", "per40_reb"), ("apg", "per40_ast"), ("bpg", "per40_blk"), ("spg", "per40_stl"), ("topg", "per40_tov"))) + " from prof c join players p using (player_id) join rmin r on r.team_id = p.team_id where c.season = (select season from current)")
+@query("q09_role_translation", ROLES + "select c.player_id, p.team_id, r.role, not (c.games >= 4 and c.total_minutes >= 80) as insufficient_sample, case when c.games >= 4 and c.total_minutes >= 80 then r.minutes end as minutes, " + ", ".join(f"case when c.games >= 4 and c.total_minutes >= 80 then round({b} * r.minutes / 40, 1) end as {a}" for a, b in (("ppg", "per40_pts"), ("rpg", "per40_reb"), ("apg", "per40_ast"), ("bpg", "per40_blk"), ("spg", "per40_stl"), ("topg", "per40_tov"))) + " from prof c join players p using (player_id) join rmin r on r.team_id = p.team_id where c.season = (select season from current)", keep=True)
 def role_translation(s: Star) -> DataFrame:
-    totals = P.of_latest(P.season_totals(s.lines), s.lines)
+    totals = s.of_latest(P.season_totals(s.lines))
     return O.translate(totals.join(s.players.select("player_id", "team_id"), "player_id"), O.role_minutes(roster_roles(s)), 4, 80)
 
 
 def current_ratings(s: Star) -> DataFrame:
-    return P.of_latest(solved(s), s.lines).select("team_id", (F.round("rating", 3) + 0.0).alias("rating"))
+    return s.of_latest(solved(s)).select("team_id", (F.round("rating", 3) + 0.0).alias("rating"))
 
 
 def projected(s: Star, target: int = 3, least: int = 3) -> DataFrame:
@@ -389,24 +411,24 @@ proj as (select player_id, name, team_id, position, class_year, games, in_transf
 PROJ_COLUMNS = ("proj_minutes", "proj_ppg", "proj_rpg", "proj_apg", "proj_topg", "ppg_likely_low", "ppg_likely_high", "ppg_wide_low", "ppg_wide_high", "proj_score")
 
 
-@query("q08_project", PROJECTED + "select player_id, confidence, extreme, gap_in_std, " + ", ".join(PROJ_COLUMNS) + " from proj", RATINGS)
+@query("q08_project", PROJECTED + "select player_id, confidence, extreme, gap_in_std, " + ", ".join(PROJ_COLUMNS) + " from proj", RATINGS, keep=True)
 def project(s: Star) -> DataFrame:
     """J12, M15 to M24 for every player against one target team."""
     return projected(s).select("player_id", "confidence", "extreme", "gap_in_std", *PROJ_COLUMNS)
 
 
-@query("q11_fits", PROJECTED + ", st as (select avg(proj_ppg) as mp, coalesce(nullif(stddev_pop(proj_ppg), 0), 1.0) as sp, avg(proj_topg) as mt, coalesce(nullif(stddev_pop(proj_topg), 0), 1.0) as st from proj) select player_id, team_id, proj_ppg, proj_topg, round(((proj_ppg - mp) / sp - (proj_topg - mt) / st) / 2, 3) + 0.0 as fit_score from proj, st order by round(((proj_ppg - mp) / sp - (proj_topg - mt) / st) / 2, 4) desc, player_id limit 15", RATINGS)
+@query("q11_fits", PROJECTED + ", st as (select avg(proj_ppg) as mp, coalesce(nullif(stddev_pop(proj_ppg), 0), 1.0) as sp, avg(proj_topg) as mt, coalesce(nullif(stddev_pop(proj_topg), 0), 1.0) as st from proj) select player_id, team_id, proj_ppg, proj_topg, round(((proj_ppg - mp) / sp - (proj_topg - mt) / st) / 2, 3) + 0.0 as fit_score from proj, st order by round(((proj_ppg - mp) / sp - (proj_topg - mt) / st) / 2, 4) desc, player_id limit 15", RATINGS, keep=True)
 def fits(s: Star) -> DataFrame:
     return J.fits(projected(s), ["ppg", "topg"], 15).select("player_id", "team_id", "proj_ppg", "proj_topg", (F.round("fit_score", 3) + 0.0).alias("fit_score"))
 
 
-@query("q12_leaps", PROJECTED + ", k as (select *, round(proj_score - score, 1) as gain, row_number() over (partition by team_id order by round(proj_score - score, 1) desc, proj_score desc, player_id) as place from proj) select player_id, team_id, score, proj_score, gain from k where place <= 2 order by gain desc, proj_score desc, player_id limit 8", RATINGS)
+@query("q12_leaps", PROJECTED + ", k as (select *, round(proj_score - score, 1) as gain, row_number() over (partition by team_id order by round(proj_score - score, 1) desc, proj_score desc, player_id) as place from proj) select player_id, team_id, score, proj_score, gain from k where place <= 2 order by gain desc, proj_score desc, player_id limit 8", RATINGS, keep=True)
 def leaps(s: Star) -> DataFrame:
     """W06, O08."""
     return J.leaps(projected(s), 8).select("player_id", "team_id", "score", "proj_score", "gain")
 
 
-@query("q13_batch", PROJECTED + ", a as (select * from proj where player_id in (11, 40, 77, 110, 200)) select count(*) as players, round(sum(proj_ppg), 1) as ppg, round(sum(proj_rpg), 1) as rpg, round(sum(proj_apg), 1) as apg from a", RATINGS)
+@query("q13_batch", PROJECTED + ", a as (select * from proj where player_id in (11, 40, 77, 110, 200)) select count(*) as players, round(sum(proj_ppg), 1) as ppg, round(sum(proj_rpg), 1) as rpg, round(sum(proj_apg), 1) as apg from a", RATINGS, keep=True)
 def batch(s: Star) -> DataFrame:
     """Sums of rounded values; unknown players go to the errors."""
     wanted = s.spark.createDataFrame([(11,), (40,), (77,), (110,), (200,), (-1,)], "player_id long")
@@ -414,29 +436,33 @@ def batch(s: Star) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("players"), *[F.round(F.sum(f"proj_{c}"), 1).alias(c) for c in ("ppg", "rpg", "apg")])
 
 
-@query("q17_standouts")
+#: The same projections against the mean of the strongest tier, for players of the others.
+TO_THE_TOP = PROJECTED.replace("(select rating from cr where team_id = 3) t", "(select avg(rating) as rating from cr join teams using (team_id) where tier = 'High-Major') t").replace("p.team_id <> 3", "p.team_id in (select team_id from teams where tier <> 'High-Major')")
+
+
+@query("q17_standouts", TO_THE_TOP + "select player_id, team_id, score, proj_score, proj_ppg, confidence from proj join (select player_id, score_raw from base) using (player_id) order by proj_score desc, score_raw desc, player_id limit 20", RATINGS, keep=True)
 def standouts(s: Star) -> DataFrame:
-    """Against the mean rating of the strongest tier; rows only, q08's core checks the sums."""
-    high = current_ratings(s).join(F.broadcast(s.teams.filter("tier = 'High-Major'").select("team_id")), "team_id", "left_semi").agg(F.avg("rating").alias("target_rating"))
+    """Against the mean rating of the strongest tier."""
+    high = current_ratings(s).join(s.teams.filter("tier = 'High-Major'").select("team_id"), "team_id", "left_semi").agg(F.avg("rating").alias("target_rating"))
     league = current_ratings(s).agg(M.std_or_one(F.col("rating")).alias("std_rating"))
-    pool = current_players(s).filter("not thin_sample and games >= 3").join(current_ratings(s).select("team_id", F.col("rating").alias("current_rating")), "team_id").join(F.broadcast(s.teams.filter("tier <> 'High-Major'").select("team_id")), "team_id", "left_semi")
+    pool = current_players(s).filter("not thin_sample and games >= 3").join(current_ratings(s).select("team_id", F.col("rating").alias("current_rating")), "team_id").join(s.teams.filter("tier <> 'High-Major'").select("team_id"), "team_id", "left_semi")
     got = J.project(pool.crossJoin(F.broadcast(high)).crossJoin(F.broadcast(league)).withColumn("minutes_override", F.lit(None).cast("double")))
     return got.orderBy(F.col("proj_score").desc(), F.col("score_raw").desc(), "player_id").limit(20).select("player_id", "team_id", "score", "proj_score", "proj_ppg", "confidence")
 
 
-@query("q06_lineups")
+@query("q06_lineups", keep=True)
 def lineups(s: Star) -> DataFrame:
     """The lineup search of every team; path-dependent, so rows only."""
-    now = P.of_latest(s.lines, s.lines)
-    played = P.of_latest(P.team_games(s.lines), s.lines).select("team_id", F.ceil(F.col("team_games") / 12).alias("team_games"))
+    now = s.of_latest(s.lines)
+    played = s.of_latest(P.team_games(s.lines)).select("team_id", F.ceil(F.col("team_games") / 12).alias("team_games"))
     pool = current_players(s).filter("not thin_sample").join(O.mean_production(now), "player_id").join(played, "team_id")
     return O.lineups(pool.select("team_id", "player_id", "position", "games", "games_started", "team_games", "avg_minutes", "total_minutes", "per40_pts", F.col("ppg").alias("ppg_actual"), "avg_production", "score"))
 
 
-@query("q07_player_detail", SCORES + ", c as (select p.player_id, p.name, t.name as team, c.games, c.games_started, round(c.ppg, 1) as ppg, round(100 * c.ts_pct, 1) as ts_pct, round(s.score_raw, 3) + 0.0 as score, c.thin_sample from players p join prof c using (player_id) join scores s on s.player_id = c.player_id and s.season = c.season left join teams t on t.team_id = p.team_id where c.season = (select season from current)) select a.* exclude (thin_sample), round(100.0 * ((select count(*) from c b where not b.thin_sample and b.score > a.score) + 1) / (select count(*) from c where not thin_sample), 2) as top_percent from c a where player_id in (11, 40, 77)", RATINGS)
+@query("q07_player_detail", SCORES + ", c as (select p.player_id, p.name, t.name as team, c.games, c.games_started, round(c.ppg, 1) as ppg, round(100 * c.ts_pct, 1) as ts_pct, round(s.score_raw, 3) + 0.0 as score, c.thin_sample from players p join prof c using (player_id) join scores s on s.player_id = c.player_id and s.season = c.season left join teams t on t.team_id = p.team_id where c.season = (select season from current)) select a.* exclude (thin_sample), round(100.0 * ((select count(*) from c b where not b.thin_sample and b.score > a.score) + 1) / (select count(*) from c where not thin_sample), 2) as top_percent from c a where player_id in (11, 40, 77)", RATINGS, keep=True)
 def player_detail(s: Star) -> DataFrame:
     """The pool leaves thin samples out, the subject may be one."""
-    rows = current_players(s).join(F.broadcast(s.teams.select("team_id", F.col("name").alias("team"))), "team_id", "left").withColumn("score", F.round("score_raw", 3))
+    rows = current_players(s).join(s.teams.select("team_id", F.col("name").alias("team")), "team_id", "left").withColumn("score", F.round("score_raw", 3))
     pool = rows.filter("not thin_sample").select(F.col("score").alias("other"))
     subject = rows.filter(F.col("player_id").isin(11, 40, 77))  # three rows
     better = F.broadcast(subject.select("player_id", "score")).join(pool).groupBy("player_id").agg(F.round(F.lit(100.0) * (F.sum(F.when(F.col("other") > F.col("score"), 1).otherwise(0)) + 1) / F.count(F.lit(1)), 2).alias("top_percent"))

@@ -12,10 +12,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tipoff.sources.shared import written
+
 #: How often a year's class comes, and positions by market segment.
 CLASS_YEARS = ("FR", "SO", "JR", "SR", "GR")
 POSITIONS = {"BUILDING": "G", "HOUSEHOLD": "G", "AUTOMOBILE": "F", "FURNITURE": "F", "MACHINERY": "C"}
@@ -103,16 +104,29 @@ class Star:
         )
 
     def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        """A small frame that several parts of one query use: made once, kept in memory."""
+        """A frame that several parts of one query use: written once."""
         kept = self.__dict__.setdefault("_kept", {})
         if name not in kept:
-            kept[name] = make().persist(StorageLevel.MEMORY_AND_DISK)
+            kept[name] = written(make(), name)
         return kept[name]
 
-    def keep_lines(self) -> None:
-        """Keep the lines for plans that read them in several roles: the joins and the
-        aggregate below them then run once.  Memory first, disk for what doesn't fit."""
-        self.lines.persist(StorageLevel.MEMORY_AND_DISK)
+    def keep_lines(self) -> Star:
+        """Write the lines by season, for plans that read them in several roles: the joins
+        and the aggregate below them run once, and a season's filter reaches the scan."""
+        if "_lines" not in self.__dict__:
+            self.__dict__["_lines"] = self.__dict__["lines"] = written(self.lines, "lines", "season")
+            self.__dict__.pop("games", None)
+        return self
+
+    @cached_property
+    def latest(self) -> int | None:
+        """The season with the most lines, of equals the last: a count of few columns."""
+        row = self.lines.groupBy("season").count().orderBy(F.col("count").desc(), F.col("season").desc()).first()
+        return row.season if row else None
+
+    def of_latest(self, frame: DataFrame) -> DataFrame:
+        """Rows of the latest season; the filter goes down to the lines' partitions."""
+        return frame.filter(F.col("season") == F.lit(self.latest).cast("int"))
 
     @cached_property
     def games(self) -> DataFrame:

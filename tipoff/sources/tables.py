@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -50,14 +52,34 @@ def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return conform(spark.read.parquet(f"{path}/{name}"), SCHEMAS[name])
 
 
-def swap(spark: SparkSession, staged: str, live: str) -> None:
-    """Move the live folder aside and the staged one in its place."""
+def swap(spark: SparkSession, staged: str, live: str, tries: int = 3) -> None:
+    """Move the live folder aside and the staged one in its place.
+
+    A move that fails is tried again; the last backup goes only when the new table is
+    in place, and if it can't get there the old one comes back.
+    """
     hadoop = spark._jvm.org.apache.hadoop.fs
-    new, old, back = hadoop.Path(staged), hadoop.Path(live), hadoop.Path(live.rstrip("/") + ".backup")
+    new, old, back, last = (hadoop.Path(p) for p in (staged, live, live.rstrip("/") + ".backup", live.rstrip("/") + ".backup.last"))
     fs = new.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def move(a: object, b: object, problem: str) -> None:
+        for i in range(tries):
+            if fs.rename(a, b):
+                return
+            time.sleep(0.2 * i)
+        raise OSError(problem)
+
+    if not fs.exists(new):
+        raise OSError(f"there is no {staged}")
+    fs.delete(last, True)
     if fs.exists(old):
-        fs.delete(back, True)
-        if not fs.rename(old, back):
-            raise OSError(f"{live} can't be moved aside")
-    if not fs.rename(new, old):
-        raise OSError(f"{staged} can't take the place of {live}")
+        if fs.exists(back):
+            move(back, last, f"the backup of {live} can't be moved aside")
+        move(old, back, f"{live} can't be moved aside")
+    try:
+        move(new, old, f"{staged} can't take the place of {live}")
+    except OSError:
+        if fs.exists(back):
+            fs.rename(back, old)
+        raise
+    fs.delete(last, True)
