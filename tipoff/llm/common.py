@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,29 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch: bounds the memory of a Python worker when texts are long.
+from tipoff.sources.shared import shared_dir
+
+#: Rows of one Arrow batch.  Spark bounds its bytes too (spark.sql.execution.arrow.maxBytesPerBatch,
+#: 64 MB unless set), so that very long texts come in batches of few.
 BATCH_ROWS = 1000
 #: Distinct strings that a worker's lookup cache may hold before it starts anew.
 CACHE_ENTRIES = 600_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where neither the setting nor a checkpoint folder is set (local tests)
-    a temporary folder is made.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    sc = spark.sparkContext
-    got = sc._jsc.sc().getCheckpointDir()
-    if got.isDefined():
-        return got.get().rstrip("/")
-    sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tipoff-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
 _OPEN: list[Workspace] = []
 
 
