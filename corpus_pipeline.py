@@ -10,6 +10,7 @@ further columns, whatever their names, are carried, and an empty table gives no
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,22 +25,41 @@ PASSAGE_BYTES = 240
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def carrying(stage: Stage) -> Stage:
+    """The stage with all further columns under names that no operator uses."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        aside = {c: f"carried_{i}__" for i, c in enumerate(docs.columns) if c not in COLUMNS}
+        got = stage(spark, docs.withColumnsRenamed(aside), sf_dir)
+        return got.withColumnsRenamed({v: k for k, v in aside.items()})
+
+    return run_stage
+
+
+@carrying
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier doesn't reject; all, where no labels are."""
     return classifier.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("kept").select(*docs.columns)
 
 
+@carrying
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules (null and empty texts don't) and the divergence
     from their language."""
     return rules.measure(docs).filter("kept").select(*docs.columns)
 
 
+@carrying
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: of equal ids any one."""
     return minhash.keep_one(minhash.near_classes(docs)).select(*docs.columns)
 
 
+@carrying
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings of ``PASSAGE_BYTES`` bytes that also start elsewhere;
     a text may become empty, a null one stays null."""
