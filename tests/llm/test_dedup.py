@@ -111,6 +111,29 @@ def test_small_shards(spark, monkeypatch):
         assert mask.sum() == removed
 
 
+@pytest.mark.parametrize("size", [1, 2, 7, 500])
+def test_ranks_by_batches(size):
+    """Pairs of one row, of many, of one heavy row, over any batch borders."""
+    rng = np.random.default_rng(5)
+    left, right = np.sort(rng.integers(0, 40, 500)), rng.integers(0, 3, 500)
+    order = np.lexsort((right, left))
+    rows = [left[order], right[order], np.arange(500), np.arange(500, dtype=np.int32), rng.choice([1, 1, 1, 2], 500)]
+    rows[0][100:300], rows[1][100:300] = rows[0][100], 0
+    order = np.lexsort((rows[1], rows[0]))
+    rows = [x[order] for x in rows]
+    ranker, got = doubling.Ranker(1 << 40), {}
+    for i in range(0, 500, size):
+        out = ranker.take([x[i : i + size] for x in rows])
+        assert ranker.held is None or len(ranker.held[0]) == 1
+        got |= dict(zip(out.column(0).to_pylist(), out.column(3).to_pylist(), strict=True))
+    pairs = list(zip(rows[0].tolist(), rows[1].tolist(), strict=True))
+    weight = Counter()
+    for p, n in zip(pairs, rows[4].tolist(), strict=True):
+        weight[p] += n
+    place = {p: i for i, p in enumerate(sorted(set(pairs)))}
+    assert got == {r: (1 << 40) + place[p] for r, p in zip(rows[2].tolist(), pairs, strict=True) if weight[p] > 1}
+
+
 def test_empty_table(spark):
     none = frame(spark, ["a"]).limit(0)
     assert fmindex.dedup_words(none).count() == 0 and doubling.dedup_bytes(none).count() == 0

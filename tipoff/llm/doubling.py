@@ -203,28 +203,48 @@ def rerank(pairs: DataFrame) -> DataFrame:
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = TaskContext.get().partitionId() << 40
-        held: list[np.ndarray] | None = None
+        ranker = Ranker(TaskContext.get().partitionId() << 40)
         for batch in batches:
-            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            rows = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            edge = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])) + 1
-            cut = int(edge[-1]) if len(edge) else 0  # the last pair may go on
-            held = [x[cut:] for x in rows]
-            if cut:
-                out, rank = _ranked([x[:cut] for x in rows], rank)
-                yield out
-        if held is not None and len(held[0]):
-            yield _ranked(held, rank)[0]
+            if batch.num_rows:
+                yield ranker.take([c.to_numpy(zero_copy_only=False) for c in batch.columns])
 
-    return pairs.select("left", "right", "run", "place", "n").repartitionByRange(parts, "left", "right").sortWithinPartitions("left", "right").mapInArrow(run, "run long, place int, n long, rank long")
+    return pairs.select("left", "right", "run", "place", "n").repartitionByRange(parts, "left", "right").sortWithinPartitions("left", "right").mapInArrow(run, RANKED)
 
 
-def _ranked(rows: list[np.ndarray], rank: int) -> tuple[pa.RecordBatch, int]:
-    first = np.concatenate([[True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])])
-    group = np.cumsum(first) - 1
-    often = np.bincount(group, weights=rows[4])[group] > 1
-    return pa.RecordBatch.from_arrays([pa.array(rows[2][often]), pa.array(rows[3][often]), pa.array(rows[4][often]), pa.array(rank + group[often])], names=["run", "place", "n", "rank"]), rank + int(group[-1]) + 1
+RANKED = "run long, place int, n long, rank long"
+
+
+class Ranker:
+    """Ranks of sorted pairs, batch by batch.
+
+    Of a pair that may go on in the next batch only a first row of weight one is
+    held back, as it may be unique; so a pair of any number of rows takes no memory.
+    """
+
+    def __init__(self, rank: int) -> None:
+        self.rank = rank
+        self.last: tuple[int, int] | None = None
+        self.weight = 0
+        self.held: list[np.ndarray] | None = None
+
+    def take(self, rows: list[np.ndarray]) -> pa.RecordBatch:
+        left, right = rows[0], rows[1]
+        goes_on = self.last == (int(left[0]), int(right[0]))
+        if goes_on and self.held is not None:
+            rows = [np.concatenate(x) for x in zip(self.held, rows, strict=True)]
+            left, right, self.weight = rows[0], rows[1], 0
+        first = np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])])
+        group = np.cumsum(first) - 1
+        weights = np.bincount(group, weights=rows[4])
+        if goes_on:
+            weights[0] += self.weight
+        elif self.last is not None:
+            self.rank += 1
+        often = weights[group] > 1
+        ranks = self.rank + group
+        self.held = [x[-1:] for x in rows] if weights[-1] <= 1 else None
+        self.last, self.weight, self.rank = (int(left[-1]), int(right[-1])), int(weights[-1]), int(ranks[-1])
+        return pa.RecordBatch.from_arrays([pa.array(rows[2][often]), pa.array(rows[3][often]), pa.array(rows[4][often]), pa.array(ranks[often])], names=[c.split()[0] for c in RANKED.split(", ")])
 
 
 def next_pairs(ranks: DataFrame, before: list[int], after: list[int], step: int) -> DataFrame:
