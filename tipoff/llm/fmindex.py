@@ -5,7 +5,7 @@ transform of their words in a wavelet tree of packed bits with rank samples; the
 suffix array is dropped after construction.  All regions of those names, whatever
 document they are of, are streamed through it: backward search from each word gives
 the matching statistic (how far to the left the words have another occurrence), and
-every end whose statistic reaches the window's width reports an interval.  Equal
+an end whose statistic reaches the window's width reports an interval.  Equal
 windows have equal names, so no region need be asked of another shard.
 """
 
@@ -107,23 +107,44 @@ class FmIndex:
         weight = np.repeat(np.array(weights, np.int64), lengths + 1)
         self.weight = np.concatenate([[0], np.cumsum(weight[order])])
 
-    def matching(self, ends: np.ndarray, limit: int) -> np.ndarray:
-        """For ends (positions in the texts' concatenated words, each at least limit - 1
-        into its text): how many words up to there occur once more, at most limit."""
-        found = np.zeros(len(ends), np.int64)
-        live = np.arange(len(ends))
-        at = ends.astype(np.int64)
-        low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
-        for step in range(limit):
-            symbol = self.codes[at] + 1
-            low = self.first[symbol] + self.tree.rank(symbol, low)
-            high = self.first[symbol] + self.tree.rank(symbol, high)
-            more = self.weight[high] - self.weight[low] > 1
-            live, at, low, high = live[more], at[more] - 1, low[more], high[more]
-            found[live] = step + 1
-            if not len(live):
-                break
-        return found
+    def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The interval of the suffixes that begin with a symbol and go on in [low, high)."""
+        both = np.tile(self.first[symbol], 2) + self.tree.rank(np.tile(symbol, 2), np.concatenate([low, high]))
+        return both[: len(low)], both[len(low) :]
+
+    def repeats(self, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first, stop): where windows of ``limit`` words of the texts start that occur
+        once more; the texts are streamed through the index, all side by side.
+
+        From an end, backward search goes on as long as the words from there occur twice:
+        that is the end's matching statistic.  The windows within it repeat.  The next end
+        asked is that of the first window before them, or the one before where there is none.
+        """
+        start, stop = self.owner_start[:-1], self.owner_start[1:]
+        text = np.flatnonzero(stop - start >= limit)
+        end = stop[text] - 1
+        at, low, high = end.copy(), np.zeros(len(text), np.int64), np.full(len(text), self.n, np.int64)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(text):
+            new_low, new_high = self.step(self.codes[at] + 1, low, high)
+            more = self.weight[new_high] - self.weight[new_low] > 1
+            low, high, at = np.where(more, new_low, low), np.where(more, new_high, high), at - more
+            over = np.flatnonzero(~more | (at < start[text]))
+            if not len(over):
+                continue
+            length = end[over] - at[over]
+            good = over[length >= limit]
+            found.append((text[good], at[good] + 1 - start[text[good]], end[good] + 2 - limit - start[text[good]]))
+            end[over] = np.where(length >= limit, at[over] + limit - 1, end[over] - 1)
+            at[over], low[over], high[over] = end[over], 0, self.n
+            keep = end - limit + 1 >= start[text]
+            if not keep.all():
+                text, end, at, low, high = text[keep], end[keep], at[keep], low[keep], high[keep]
+        if not found:
+            return (np.zeros(0, np.int64),) * 3
+        got = [np.concatenate(x) for x in zip(*found, strict=True)]
+        order = np.lexsort((got[1], got[0]))
+        return got[0][order], got[1][order], got[2][order]
 
 
 VERDICT = "name long, content long, n long, key binary, begin int, first int, stop int"
@@ -133,22 +154,13 @@ def shard_spans(rows: list[tuple], width: int) -> list[tuple]:
     """Repeated window ranges (VERDICT) of one shard's rows (name, content, n, key, start, windows, words).
 
     The index holds every content once, with its weight; every content is streamed
-    through it, window end by window end.
+    through it.
     """
     sizes = np.array([r[5] + width - 1 for r in rows])
     with np.errstate(over="ignore"):
         texts = np.split(word_symbols(b" ".join([r[6] for r in rows])), np.cumsum(sizes)[:-1])
     index = FmIndex(texts, [r[2] for r in rows])
-    ends = np.concatenate([np.arange(a + width - 1, b) for a, b in zip(index.owner_start[:-1], index.owner_start[1:], strict=True)])
-    hit = index.matching(ends, width) >= width
-    out, at = [], 0
-    for (name, content, n, key, start, windows, _) in rows:
-        mine = hit[at : at + windows]
-        at += windows
-        if mine.any():
-            edge = np.flatnonzero(np.diff(mine.astype(np.int8), prepend=0, append=0)).tolist()
-            out += [(name, content, n, key, start, a, b) for a, b in zip(edge[0::2], edge[1::2], strict=True)]
-    return out
+    return [(*rows[i][:5], a, b) for i, a, b in zip(*(x.tolist() for x in index.repeats(width)), strict=True)]
 
 
 def judge_words(width: int):
