@@ -8,12 +8,15 @@ import struct
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tipoff.llm import classifier, media, queries, rules, warc
+from tipoff.llm import classifier, media, minhash, queries, rules, warc
 from tipoff.llm.common import Workspace
 from tests.conftest import SF
+from tests.llm.test_dedup import brute_bytes, brute_classes
 
 # -- WARC ------------------------------------------------------------------------------
 
@@ -333,6 +336,81 @@ def test_pipeline_stages(spark):
         assert {r.doc_id for r in got.select("doc_id").collect()} <= ids
 
 
+def test_pipeline_stages_take_odd_tables(spark):
+    """Nulls, repeats, empty and long texts, clashing columns, no rows at all."""
+    whole = spark.read.parquet(f"{SF}/documents.parquet")
+    long = " ".join(f"word{i}" for i in range(60_000))
+    docs = whole.limit(60).selectExpr("*", "'mine' as kept", "'own' as n_removed", "1L as class_id")
+    odd = [(None, None, None, None, None), (7001, None, "en", "s", None), (7002, "", "en", "s", 0), (7003, "", "en", "s", 0), (7004, long, "en", "s", len(long)), (7004, long, "en", "s", len(long))]
+    rows = spark.createDataFrame([(*r, "mine", "own", 1) for r in odd], docs.schema)
+    docs = docs.unionByName(rows)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, SF)
+        if name != "packing":
+            assert got.columns == docs.columns, name
+            assert {(r.kept, r.n_removed, r.class_id) for r in got.collect()} == {("mine", "own", 1)}, name
+        else:
+            assert sum(r.length for r in got.collect() if r.doc_id == 7002) == 1
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+    kept = corpus_pipeline.near_dedup(spark, docs, SF).collect()
+    assert sum(r.doc_id == 7004 for r in kept) == 1 and sum(not r.text for r in kept) == 1
+    cut = corpus_pipeline.suffix_dedup(spark, docs, SF).collect()
+    assert sum(r.text is None for r in cut) == 2 and all(r.text == "" for r in cut if r.doc_id == 7004)
+
+
+def test_pipeline_is_its_stages_by_plain_versions(spark):
+    """What each stage keeps of the documents equals a plain computation of its rule."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+    one = corpus_pipeline.quality_classifier(spark, docs, SF)
+    model = classifier.train(docs, labels)
+    params = classifier.Params()
+    want = []
+    for r in docs.collect():
+        both, _, _ = model.scores(classifier.text_view(r.text or "")[None], classifier.meta_view(r.text or "", r.lang, r.source, r.n_chars)[None])
+        if round(float(both[0]), 6) >= params.threshold:
+            want.append(r.doc_id)
+    assert ids(one) == sorted(want)
+    two = corpus_pipeline.quality_rules(spark, one, SF)
+    refs = {}
+    rows = one.collect()
+    for r in rows:
+        if not brute_base(r.text)[-1]:
+            lang = r.lang if r.lang in rules.LANGS else "other"
+            c, w = refs.setdefault(lang, (np.zeros(len(rules.CLASSES)), np.zeros(200)))
+            c += rules.class_histogram(r.text)
+            h = rules.common_histogram(rules.word_hashes(r.text), rules.LANGS.index(lang))
+            w[: len(h)] += h
+    want = []
+    for r in rows:
+        lang = r.lang if r.lang in rules.LANGS else "other"
+        n = len((r.text or "").encode().split())
+        h = rules.common_histogram(rules.word_hashes(r.text or ""), rules.LANGS.index(lang))
+        far = n >= 100 and (rules.distance(rules.class_histogram(r.text), refs[lang][0]) > rules.Rules.max_class_distance or rules.distance(h, refs[lang][1][: len(h)]) > rules.Rules.max_word_distance)
+        if not brute_base(r.text)[-1] and not far:
+            want.append(r.doc_id)
+    assert ids(two) == sorted(want)
+    three = corpus_pipeline.near_dedup(spark, two, SF)
+    rows = sorted(two.collect(), key=lambda r: r.doc_id)
+    idf = minhash.inverse_frequencies(two.selectExpr("coalesce(text, '') as text", "1L as m"), minhash.Params())
+    first = brute_classes([r.text for r in rows], idf)
+    assert len(set(ids(three)) ^ {rows[i].doc_id for i in set(first)}) <= 0.01 * len(rows)
+    four = corpus_pipeline.suffix_dedup(spark, three, SF)
+    texts = {r.doc_id: r.text for r in three.collect()}
+    cut = brute_bytes(list(texts.values()), corpus_pipeline.PASSAGE_BYTES)
+    want = {i: kept.decode("utf-8", "ignore") for i, (*_, kept) in zip(texts, cut, strict=True)}
+    assert {r.doc_id: r.text for r in four.collect()} == want
+    five = corpus_pipeline.packed(spark, four, SF)
+    sums = {}
+    for r in five.collect():
+        sums[r.doc_id] = sums.get(r.doc_id, 0) + r.length
+        total = r.doc_tokens
+        assert 0 < r.length <= 2048 and r.start + r.length <= total
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert sums == {i: len(lib.encode(t, add_special_tokens=False).ids) + 1 for i, t in want.items()}
+
+
 def test_pipeline_runs(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and all(0 < r.length <= 2048 for r in rows)
