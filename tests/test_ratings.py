@@ -7,7 +7,11 @@ import pytest
 
 from tipoff.operators import quality as K
 from tipoff.operators import ratings as R
+from tests.conftest import SF
+from tipoff.operators import roles
 from tipoff.operators.roles import _lineup
+from tipoff.plans import models
+from tipoff.sources.star import Star
 
 
 def games(spark, rows):
@@ -113,3 +117,95 @@ def test_cross_team_lines(spark):
     kept, review = K.cross_team(lines, history)
     assert sorted(r.game_id for r in kept.collect()) == [11, 14]
     assert sorted(r.game_id for r in review.collect()) == [12, 13]
+
+
+def plain_lineup(rows):
+    """The search with loops over plain rows: {player: (role, score, minutes, ppg, tier, fallback)}."""
+    if len(rows) < 5:
+        return {}
+
+    def z(name):
+        values = [r[name] for r in rows]
+        mean = sum(values) / len(values)
+        deviation = (sum((v - mean) ** 2 for v in values) / len(values)) ** 0.5
+        return [(v - mean) / (deviation or 1.0) for v in values]
+
+    for r, a, b in zip(rows, z("avg_production"), z("score"), strict=True):
+        r["opt"] = round(roles.PRODUCTION_SHARE * a + (1 - roles.PRODUCTION_SHARE) * b, 3)
+    rows = sorted(rows, key=lambda r: (-r["opt"], r["player_id"]))
+    games = int(rows[0]["team_games"] or 0)
+    rates = [r["total_minutes"] / games if games else r["avg_minutes"] for r in rows]
+    scale = 200.0 / sum(rates) if sum(rates) > 0 else 1.0
+    for r, x in zip(rows, rates, strict=True):
+        r["minutes"], r["ppg"] = round(x * scale, 1), round(r["per40_pts"] * x * scale / 40.0, 1)
+    started = [r["ppg_actual"] for r in rows if r["games_started"] / max(1, games) >= roles.STARTER_SHARE]
+
+    def beaten(r, bench):
+        if games > 0 and r["games"] / games < roles.LEAST_GAMES:
+            return roles.OUT_MINUTED + 1
+        n = len([q for q in bench if q["avg_minutes"] > r["avg_minutes"]])
+        return n if n > roles.OUT_MINUTED else 0
+
+    for tier, (guards, forwards) in enumerate(roles.LINEUP_TIERS):
+        banned, done, forced = [], False, True
+        for _ in range(len(rows) + 1):
+            five, forced = [], False
+            for position, most in (("G", guards), ("F", forwards), (None, 5 - guards - forwards)):
+                if position is None:
+                    most = 5 - len(five)
+                fit = [r for r in rows if position in (None, r["position"])]
+                for r in [x for x in fit if x["player_id"] not in banned]:
+                    if most > 0 and r not in five:
+                        five.append(r)
+                        most -= 1
+                for r in fit:
+                    if most > 0 and r not in five:
+                        five.append(r)
+                        most, forced = most - 1, True
+            rest = [r for r in rows if r not in five]
+            allowed = [r for r in rest if r["player_id"] not in banned]
+            sixth = (allowed or rest or [None])[0]
+            forced = forced or bool(rest and not allowed)
+            worst, who = 0, None
+            for r in sorted(five, key=lambda r: r["player_id"]):
+                if beaten(r, rest) > worst:
+                    worst, who = beaten(r, rest), r
+            if sixth is not None and beaten(sixth, [r for r in rest if r is not sixth]) > worst:
+                worst, who = beaten(sixth, [r for r in rest if r is not sixth]), sixth
+            if who is None:
+                done = True
+                break
+            if who["player_id"] in banned:
+                break
+            banned.append(who["player_id"])
+        forced = forced if done else True
+        if not started or sum(r["ppg"] for r in five) >= sum(started) - 0.05:
+            break
+    out = {}
+    for r in rows:
+        role = "Starter" if r in five else "Sixth Man" if r is sixth else "Role Player" if r["minutes"] >= roles.DEPTH_MINUTES else "Depth Piece"
+        out[r["player_id"]] = (role, r["opt"], r["minutes"], r["ppg"], tier, forced)
+    return out
+
+
+def test_lineups_equal_plain_loops(spark):
+    """q06 on the smallest tables, team by team."""
+    star = Star(spark, SF).keep_lines()
+    now = star.of_latest(star.lines)
+    lines = now.collect()
+    games = {}
+    for r in lines:
+        games.setdefault(r.team_id, set()).add(r.game_id)
+    made = {}
+    for r in lines:
+        made.setdefault(r.player_id, []).append(r.points + r.rebounds + r.assists + r.steals + r.blocks - r.turnovers)
+    teams = {}
+    for r in models.current_players(star).filter("not thin_sample").collect():
+        row = r.asDict() | {"avg_production": sum(made[r.player_id]) / len(made[r.player_id]), "team_games": -(-len(games[r.team_id]) // 12), "ppg_actual": r.ppg}
+        teams.setdefault(r.team_id, []).append(row)
+    want = {(t, p): v for t, rows in teams.items() for p, v in plain_lineup(rows).items()}
+    got = {(r.team_id, r.player_id): (r.role, r.optimizer_score, r.minutes, r.ppg, r.tier, r.fallback) for r in models.lineups(star).collect()}
+    assert set(got) == set(want) and len(want) > 20
+    for k, v in want.items():
+        assert got[k][0] == v[0] and got[k][4:] == v[4:], (k, got[k], v)
+        assert got[k][1:4] == pytest.approx(v[1:4], abs=0.1001)

@@ -48,7 +48,11 @@ LINEUP = "team_id long, player_id long, position string, role string, optimizer_
 
 
 class _Search:
-    """The greedy search for one team's five and sixth man."""
+    """The greedy search for one team's five and sixth man.
+
+    The result depends on its path (whom the rules ban first), so the order of its
+    steps is part of the definition.
+    """
 
     def __init__(self, frame: pd.DataFrame) -> None:
         self.rows = frame.to_dict("records")
