@@ -39,8 +39,11 @@ NEIGHBOURS = 16
 #: BM25's parameters.
 K1, B = 1.2, 0.75
 #: A term in more than this share of a shard's documents has a row of weights instead of
-#: postings; as rows are at most so full, they are at most 4 times the postings.
-DENSE = 0.25
+#: postings; as rows are at most so full, they are at most 9 times the postings.
+DENSE = 0.12
+
+#: Share of used documents beyond which they leave the postings.
+SHRINK = 0.15
 
 #: Lower-case words that a worker keeps, besides the chunks.
 WORD_ENTRIES = 900_000
@@ -88,7 +91,8 @@ class LibraryIds(PairIndexBpe):
             if plain is None:
                 rest.append(c)
                 continue
-            word, tail = plain[1].lower(), plain[2]
+            word, tail = plain.groups()
+            word = word.lower()
             if tail not in tails:
                 tails[tail] = self._one(tail)
             parts.append((c, word, tails[tail]))
@@ -146,7 +150,8 @@ class Bm25Shard:
         self.idf = np.log1p((self.n - df + 0.5) / (df + 0.5)).astype(np.float32)
         weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner].astype(np.float32) / mean))
         order = np.argsort(self.terms, kind="stable")
-        self.post, self.post_weight = owner[order], (weight * self.idf[self.terms])[order]
+        self.ids = np.arange(self.n)  # documents that the postings are of
+        self.post, self.post_weight, self.post_term = owner[order], (weight * self.idf[self.terms])[order], self.terms[order]
         self.first = np.concatenate([[0], np.cumsum(df)])
         common = np.flatnonzero(df > DENSE * self.n)
         self.row = np.full(size, -1, np.int32)
@@ -156,8 +161,23 @@ class Bm25Shard:
             a, b = self.first[t], self.first[t + 1]
             self.rows[i, self.post[a:b]] = self.post_weight[a:b]
 
+    def shrink(self, used: np.ndarray) -> None:
+        """Take used documents out of the postings; weights stay those of the whole shard."""
+        keep = np.flatnonzero(~used[self.ids])
+        place = np.full(len(self.ids), -1, np.int32)
+        place[keep] = np.arange(len(keep))
+        self.ids, self.rows = self.ids[keep], np.ascontiguousarray(self.rows[:, keep])
+        post = place[self.post]
+        left = post >= 0
+        self.post, self.post_weight, self.post_term = post[left], self.post_weight[left], self.post_term[left]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.post_term, minlength=len(self.row)))])
+
     def neighbours(self, seed: int, used: np.ndarray, k: int) -> list[int]:
         """Up to k unused documents by BM25 score for all terms of the seed."""
+        gone = used[self.ids]
+        if np.count_nonzero(gone) > SHRINK * len(self.ids):
+            self.shrink(used)
+            gone = used[self.ids]
         lo, hi = self.of[seed]
         terms = self.terms[lo:hi]
         row = self.row[terms]
@@ -168,12 +188,12 @@ class Bm25Shard:
         if len(rare):
             spans = list(zip(self.first[rare].tolist(), self.first[rare + 1].tolist(), strict=True))
             owner = np.concatenate([self.post[a:b] for a, b in spans])
-            total += np.bincount(owner, weights=np.concatenate([self.post_weight[a:b] for a, b in spans]), minlength=self.n)
-        total[used] = 0
+            total += np.bincount(owner, weights=np.concatenate([self.post_weight[a:b] for a, b in spans]), minlength=len(self.ids))
+        total[gone] = 0
         found = np.flatnonzero(total > 0)
         if len(found) > k:
             found = found[total[found] >= np.partition(total[found], -k)[-k]]
-        return found[np.lexsort((found, -total[found]))][:k].tolist()
+        return self.ids[found[np.lexsort((found, -total[found]))][:k]].tolist()
 
 
 def pack_shard(docs: list[np.ndarray], window: int) -> Iterator[tuple[int, int, int, int, int]]:
