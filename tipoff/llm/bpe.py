@@ -183,29 +183,32 @@ class PairIndexBpe:
         out: list[bytes] = []
         i = 0
         while i < len(texts):
-            block: list[list[bytes | list[str]]] = []
-            seen: set[str] = set()
-            size = 0
+            block, gaps, missing, size = [], [], set(), 0
             while i < len(texts) and (not block or size < 400_000):
-                runs: list[bytes | list[str]] = []
+                runs = []
                 for special, x in self.segments(texts[i]):
                     if special:
-                        runs.append(array("I", [self.special[x]]).tobytes())
+                        runs.append([array("I", [self.special[x]]).tobytes()])
                         continue
                     chunks = [y for y in _SPACE.split(x) if y] if any(c in x for c in _CONTROL) else x.split()
-                    seen.update(chunks)
-                    runs.append(chunks)
+                    found = list(map(self._chunks.get, chunks))
+                    if None in found:
+                        at = [k for k, v in enumerate(found) if v is None]
+                        new = [chunks[k] for k in at]
+                        missing.update(new)
+                        gaps.append((found, at, new))
+                    runs.append(found)
                     size += len(chunks)
                 block.append(runs)
                 i += 1
-            missing = seen.difference(self._chunks)
             if missing:
                 if len(self._chunks) + len(missing) > self.entries:
                     self._chunks = trimmed(self._chunks)
-                    missing = seen.difference(self._chunks)
                 self._learn(missing)
-            ids = self._chunks.__getitem__
-            out += [b"".join([x if isinstance(x, bytes) else b"".join(map(ids, x)) for x in runs]) for runs in block]
+                for found, at, new in gaps:
+                    for k, c in zip(at, new, strict=True):
+                        found[k] = self._chunks[c]
+            out += [b"".join(runs[0]) if len(runs) == 1 else b"".join(map(b"".join, runs)) for runs in block]
         return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -240,7 +243,12 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """Decode the ids of ``encode``: (doc_id, n_tokens, ids, text).  Null ids: empty."""
+    """Decode the ids of ``encode``: (doc_id, n_tokens, ids, text).
+
+    Null and empty ids give an empty text; an id that the file doesn't have is an
+    error (ids come from the same file); repeated rows and null document ids are
+    decoded each; further columns are not carried; an empty table gives no rows.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = load(path)

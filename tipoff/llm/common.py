@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -115,6 +116,19 @@ def text_key(col: str) -> Column:
     return F.unhex(F.md5(F.encode(F.col(col), "utf-8")))
 
 
+@contextlib.contextmanager
+def uncollected() -> Iterator[None]:
+    """Without Python's cycle collector: it would walk large caches of strings again and
+    again, for work that makes no cycles."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def trimmed(cache: dict[str, object]) -> dict[str, object]:
     """A full cache, without the long strings: short ones come back most often."""
     kept = {k: v for k, v in cache.items() if len(k) <= 7}

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tipoff.llm.bpe import PairIndexBpe
-from tipoff.llm.common import bounded_batches, text_or_empty
+from tipoff.llm.common import bounded_batches, text_or_empty, uncollected
 
 #: Tokens of one shard: bounds the memory of a task.
 SHARD_TOKENS = 6_000_000
@@ -266,7 +266,8 @@ def pack(docs: DataFrame, path: str, window: int = 2048, separator: int = 1, id_
         packed: list[bytes] = []
         size = 0
         for batch in batches:
-            new = [x + end for x in encoder.encode_packed(batch.column(1).to_pylist())]
+            with uncollected():
+                new = [x + end for x in encoder.encode_packed(batch.column(1).to_pylist())]
             ids += batch.column(0).to_pylist()
             packed += new
             size += sum(map(len, new)) // 4
