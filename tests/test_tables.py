@@ -70,3 +70,11 @@ def test_stream_upsert_versions(spark, tmp_path):
     write(batch([(2, 5.0), (3, 3.0)]), 1)
     got = spark.read.parquet(str(tmp_path / "v1"))
     assert sorted((r.user_id, r.value) for r in got.collect()) == [(1, 1.0), (2, 5.0), (3, 3.0)]
+
+
+def test_game_links_guard(spark):
+    pages = spark.createDataFrame([("u", "<a href='/box/1'>"), ("v", "<a href='/box/2'> <a href='/box/2'>")], "url string, html string")
+    got = html.game_links(pages, "href='(/box/[0-9]+)'").collect()
+    assert sorted((r.url, r.place, r.link) for r in got) == [("u", 0, "/box/1"), ("v", 0, "/box/2")]
+    with pytest.raises(html.NoLinks):
+        html.game_links(pages.union(spark.createDataFrame([("w", "slow down")], "url string, html string")), "href='(/box/[0-9]+)'")

@@ -132,6 +132,40 @@ def clusters(frame: DataFrame, group: str, number: str, gap: int = 500, least: i
     return island.groupBy(group, "island").agg(F.count(F.lit(1)).alias("size"), F.min(number).alias("low"), F.max(number).alias("high")).filter(f"size >= {least}")
 
 
+def phantoms(box: DataFrame, least_players: int = 18, least_zero: int = 8, merged_minutes: int = 320, gap: int = 500, least: int = 4) -> DataFrame:
+    """Box scores with many players of no minutes whose outer ids lie close together.
+
+    ``box``: (team_id, game_id, player_id, minutes, external_id).  A box of so many minutes
+    that two teams must be in it is another finding (K17).  Returns a row a suspect.
+    """
+    n = box.groupBy("team_id", "game_id").agg(F.count(F.lit(1)).alias("players"), F.sum((F.col("minutes") == 0).cast("int")).alias("idle"), F.sum("minutes").alias("total"))
+    odd = n.filter((F.col("players") >= least_players) & (F.col("idle") >= least_zero) & (F.col("total") < merged_minutes))
+    idle = box.filter("minutes = 0 and external_id is not null").join(odd, ["team_id", "game_id"])
+    w = Window.partitionBy("team_id", "game_id").orderBy("external_id", "player_id")
+    far = F.coalesce((F.col("external_id") - F.lag("external_id").over(w) > gap).cast("int"), F.lit(1))
+    marked = idle.withColumn("far", far).withColumn("island", F.sum("far").over(w))
+    size = F.count(F.lit(1)).over(Window.partitionBy("team_id", "game_id", "island"))
+    return marked.withColumn("size", size).filter(F.col("size") >= least).select("team_id", "game_id", "player_id", "players", "idle", "size")
+
+
+def ghost_rosters(roster: DataFrame, played: DataFrame, most: int = 26, gap: int = 500, least: int = 4, share: float = 0.5) -> DataFrame:
+    """On too large rosters, clusters of outer ids without any line, half of whose
+    names another team has too.
+
+    ``roster``: (player_id, team_id, name_key, external_id); ``played``: (player_id).
+    Returns (team_id, island, size, elsewhere) of the clusters.
+    """
+    large = roster.groupBy("team_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("team_id")
+    names = roster.groupBy("name_key").agg(F.countDistinct("team_id").alias("teams"))
+    seen = played.select("player_id").distinct().withColumn("seen", F.lit(1))
+    rows = roster.filter("external_id is not null").join(large, "team_id").join(names, "name_key").join(seen, "player_id", "left")
+    w = Window.partitionBy("team_id").orderBy("external_id", "player_id")
+    far = F.coalesce((F.col("external_id") - F.lag("external_id").over(w) > gap).cast("int"), F.lit(1))
+    marked = rows.withColumn("far", far).withColumn("island", F.sum("far").over(w))
+    groups = marked.groupBy("team_id", "island").agg(F.count(F.lit(1)).alias("size"), F.sum((F.col("teams") > 1).cast("int")).alias("elsewhere"), F.count("seen").alias("with_lines"))
+    return groups.filter((F.col("size") >= least) & (F.col("elsewhere") >= share * F.col("size")) & (F.col("with_lines") == 0)).select("team_id", "island", "size", "elsewhere")
+
+
 def fill_blank(frame: DataFrame, incoming: DataFrame, key: str, columns: list[str], overwrite: bool = False) -> DataFrame:
     """Blanks from a second table, or all of them."""
     other = incoming.select(key, *[F.col(c).alias(f"__{c}") for c in columns])

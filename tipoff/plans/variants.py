@@ -208,6 +208,22 @@ def cross_team(s: Star) -> DataFrame:
     return kept.select(*s.lines.columns).unionByName(repeated.select(*s.lines.columns)).select("player_id", "season", F.date_format("game_ts", "yyyy-MM-dd").alias("day"), "team_id", "points", "rebounds")
 
 
+@query("k18_phantoms", ", box as (select team_id, cast(season * 10000 + team_id * 100 + opponent_team_id as bigint) as game_id, player_id, case when min(minutes) < 12 then 0 else min(minutes) end as minutes, player_id * 37 % 5000 as ext from lines group by 1, 2, 3), o as (select team_id, game_id, count(*) as players, count(*) filter (minutes = 0) as idle from box group by 1, 2 having count(*) >= 18 and count(*) filter (minutes = 0) >= 8 and sum(minutes) < 1000000), z as (select box.*, players, idle from box join o using (team_id, game_id) where minutes = 0), f as (select *, coalesce(cast(ext - lag(ext) over w > 150 as int), 1) as far from z window w as (partition by team_id, game_id order by ext, player_id)), i as (select *, sum(far) over (partition by team_id, game_id order by ext, player_id rows unbounded preceding) as island from f), k as (select *, count(*) over (partition by team_id, game_id, island) as size from i) select team_id, game_id, player_id, players, idle, size from k where size >= 4", keep=True)
+def phantoms(s: Star) -> DataFrame:
+    """A season's lines against one opponent as one box score."""
+    game = (F.col("season") * 10000 + F.col("team_id") * 100 + F.col("opponent_team_id")).cast("long")
+    box = s.lines.groupBy("team_id", game.alias("game_id"), "player_id").agg(F.min("minutes").alias("least"))
+    box = box.select("team_id", "game_id", "player_id", F.when(F.col("least") < 12, 0).otherwise(F.col("least")).alias("minutes"), (F.col("player_id") * 37 % 5000).alias("external_id"))
+    return K.phantoms(box, merged_minutes=1_000_000, gap=150)
+
+
+@query("k20_ghost_rosters", ", r as (select player_id, team_id, left(name, 15) as name_key, player_id * 37 % 5000 as ext from players), g as (select distinct player_id from lines where points > 150), t as (select team_id from r group by 1 having count(*) > 4), n as (select name_key, count(distinct team_id) as teams from r group by 1), j as (select r.*, teams, g.player_id as seen from r join t using (team_id) join n using (name_key) left join g using (player_id)), f as (select *, coalesce(cast(ext - lag(ext) over w > 500 as int), 1) as far from j window w as (partition by team_id order by ext, player_id)), i as (select *, sum(far) over (partition by team_id order by ext, player_id rows unbounded preceding) as island from f) select team_id, cast(island as bigint) as island, count(*) as size, cast(sum(cast(teams > 1 as int)) as bigint) as elsewhere from i group by 1, 2 having count(*) >= 2 and sum(cast(teams > 1 as int)) >= 0.5 * count(*) and count(seen) = 0", keep=True)
+def ghost_rosters(s: Star) -> DataFrame:
+    """Of names cut to their stem, so that teams share them."""
+    roster = s.players.select("player_id", "team_id", F.left(F.col("name"), F.lit(15)).alias("name_key"), (F.col("player_id") * 37 % 5000).alias("external_id"))
+    return K.ghost_rosters(roster, s.lines.filter("points > 150"), most=4, least=2)
+
+
 @query("t09_directory_names", "select team_id, trim(regexp_replace(regexp_replace(regexp_replace(lower('St. ' || name || ' & ' || conference), '&', ' and ', 'g'), '\\bst\\b\\.?', 'state', 'g'), '[^a-z0-9]+', ' ', 'g')) as key from teams")
 def directory_names(s: Star) -> DataFrame:
     """T09."""

@@ -178,6 +178,23 @@ def links(pages: DataFrame, pattern: str) -> DataFrame:
     return pages.select("url", F.posexplode(found).alias("place", "link"))
 
 
+class NoLinks(ValueError):
+    """Pages that should have links had none: the site has probably turned us away."""
+
+
+def game_links(pages: DataFrame, pattern: str) -> DataFrame:
+    """The links of game-log pages; an error if any page has none.
+
+    The check is one count; without it a throttled run would look like a season
+    without games.
+    """
+    found = links(pages, pattern)
+    empty = pages.select("url").join(found.select("url").distinct(), "url", "left_anti").count()
+    if empty:
+        raise NoLinks(f"{empty} pages without a link")
+    return found
+
+
 def season_of(html: Column, url: Column) -> Column:
     """From the title, else from the address."""
     found = lambda x: F.nullif(F.regexp_extract(x, "(\\d{4}-\\d{2,4})", 1), F.lit(""))
