@@ -107,11 +107,11 @@ def all_statistics(s: Star, limit: int = 10) -> DataFrame:
     return long.withColumn("place", F.row_number().over(w).cast("int")).filter(F.col("place") <= limit).select("stat", "place", "player_id", "value")
 
 
-@query("q11_fits_in_portal", PROJECTED + ", wanted as (select * from proj where position = 'F' and in_transfer_portal), st as (select avg(proj_rpg) as mp, coalesce(nullif(stddev_pop(proj_rpg), 0), 1.0) as sp from wanted) select player_id, team_id, proj_rpg, round((proj_rpg - mp) / sp, 3) + 0.0 as fit_score from wanted, st order by round((proj_rpg - mp) / sp, 4) desc, player_id limit 15", RATINGS, keep=True)
+@query("q11_fits_in_portal", PROJECTED + ", wanted as (select * from proj where position = 'F' and in_transfer_portal), st as (select avg(proj_rpg) as mp, coalesce(nullif(stddev_pop(proj_rpg), 0), 1.0) as sp from wanted) select player_id, team_id, proj_rpg, round(round((proj_rpg - mp) / sp, 4) + 1e-9, 3) + 0.0 as fit_score from wanted, st order by round((proj_rpg - mp) / sp, 4) desc, player_id limit 15", RATINGS, keep=True)
 def fits_in_portal(s: Star) -> DataFrame:
     """Q11: filters narrow the pool before its mean and deviation are taken."""
     pool = models.projected(s).filter("position = 'F' and in_transfer_portal")
-    return J.fits(pool, ["rpg"], 15).select("player_id", "team_id", "proj_rpg", (F.round("fit_score", 3) + 0.0).alias("fit_score"))
+    return J.fits(pool, ["rpg"], 15).select("player_id", "team_id", "proj_rpg", (F.round(F.col("fit_score") + 1e-9, 3) + 0.0).alias("fit_score"))
 
 
 def strongest(s: Star, top: int, within_tier: bool) -> DataFrame:
