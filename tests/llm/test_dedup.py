@@ -80,6 +80,47 @@ def test_bytes(spark, seed):
     assert got == dict(enumerate(brute_bytes(texts)))
 
 
+def templated(seed=1, count=60):
+    """Texts of rows of one template, in pairs that differ in a row; dashed lines, short
+    periods, and two texts of equal ends and lengths with another middle."""
+    rng = random.Random(seed)
+    letters = lambda n: "".join(rng.choices("abcdefghij klmnop", k=n))
+    row, out = letters(150), []
+    for _ in range(count // 2):
+        rows = [row + f"{rng.randrange(10**8):08d}" for _ in range(15)]
+        other = list(rows)
+        other[rng.randrange(15)] = row + f"{rng.randrange(10**8):08d}"
+        out += ["\n".join(rows), "\n".join(other)]
+    for k in (1, 3, 40, 120, 399, 400, 401, 900):
+        p = letters(k)
+        out += [p * (2500 // k), letters(50) + p * (1700 // k + 1), (p * (1200 // k + 1) + letters(5)) * 2]
+    for _ in range(6):
+        out.append("\n".join("-" * rng.choice([70, 80, 500]) + rng.choice(["", letters(30)]) for _ in range(25)))
+    side, end = ("-" * 80 + "\n") * 12, ("=" * 80 + "\n") * 12
+    return out + [side + letters(100) + side, side + letters(100) + side, end + letters(100) + end]
+
+
+@pytest.mark.parametrize("width,gram,base", [(400, 64, 100), (240, 48, 60)])
+def test_templated_texts(spark, width, gram, base):
+    texts = templated(width)
+    got = {r.doc_id: (r.n_units, r.n_removed, r.n_spans, bytes(r.kept)) for r in doubling.dedup_bytes(frame(spark, texts), width, gram, base).collect()}
+    assert got == dict(enumerate(brute_bytes(texts, width)))
+
+
+def test_templated_words(spark):
+    texts = [t.replace("-", "- ") for t in templated(7)] + ["a b " * 300, "a b c " * 90 + "d", "x " * 500]
+    got = {r.doc_id: (r.n_units, r.n_removed, bytes(r.kept)) for r in fmindex.dedup_words(frame(spark, texts)).collect()}
+    assert got == dict(enumerate(brute_words(texts)))
+
+
+def test_regions_are_shorter_than_two_windows():
+    with np.errstate(over="ignore"):
+        for text in templated(3):
+            got = regions(byte_symbols(text.encode()), 400, 64)
+            assert got.windows.max(initial=0) <= 337
+            assert np.array_equal(got.start + got.windows, np.append(got.start[1:], max(0, len(text) - 399))[: len(got.start)])
+
+
 @pytest.mark.parametrize("width", [150, 500])
 def test_other_widths(spark, width):
     texts = corpus(3)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import gc
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,12 +69,19 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(keep: Workspace | None = None) -> None:
+def opened() -> list[Workspace]:
+    """The workspaces that lazy results may still read."""
+    return list(_OPEN)
+
+
+def release(keep: Iterable[Workspace] = ()) -> None:
     """Delete what the operators called so far have left in shared folders, but for ``keep``.
 
-    To be called when their results have been written.
+    To be called when their results have been written; who runs operators of their own
+    beside others keeps what was ``opened`` before.
     """
-    for work in [w for w in _OPEN if w is not keep]:
+    kept = list(keep)
+    for work in [w for w in _OPEN if w not in kept]:
         _OPEN.remove(work)
         work.unbucket()
         work.drop()

@@ -11,8 +11,9 @@ Only positions that may repeat take part (see ``repeats``), from long strings to
 ones, so that what repeats as a whole is settled by few positions:
 
 1. Regions.  A string of several windows has two positions, its first and its last
-   window; a last pair of their ranks ranks the string.  A string whose rank occurs
-   twice repeats with all its windows.
+   window; a last pair of their ranks ranks the string.  Regions and runs are shorter
+   than two windows, so both ends hold all bytes of the string.  A string whose rank
+   occurs twice repeats with all its windows.
 2. Runs.  All windows of a region share a gram; blocks are laid from its first place
    in the window to both sides, and the windows that cover the same blocks form a run.
    Equal windows have equal blocks, so a run repeats only among runs with its core.
@@ -106,7 +107,11 @@ ONLY = 2
 
 def end_pairs(hashes: Rolling, start: np.ndarray, windows: np.ndarray, width: int, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(left, right, string, place) of the first round for the first and last window of
-    strings; the length is part of the first rank, so that strings of one rank have one."""
+    strings; the length is part of the first rank, so that strings of one rank have one.
+
+    The ends must meet, or bytes between them would go unread."""
+    if len(windows) and int(windows.max()) > width:
+        raise ValueError("a string of more than two windows' length has bytes in neither end")
     several = np.flatnonzero(windows > 1)
     string = np.concatenate([np.arange(len(start)), several])
     window = np.concatenate([np.where(windows > 1, 0, ONLY), np.ones(len(several), np.int64)])

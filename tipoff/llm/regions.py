@@ -96,13 +96,10 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Regions:
-    """Runs of windows with one name; ``start`` and ``windows`` in symbols.
-
-    ``own`` tells that the gram of the name occurs twice in the region, so that two
-    of its own windows may be equal (periodic text)."""
+    """Runs of windows with one name and one place of its gram; ``start`` and ``windows``
+    in symbols."""
 
     name: np.ndarray
-    own: np.ndarray
     content: np.ndarray
     start: np.ndarray
     windows: np.ndarray
@@ -111,27 +108,32 @@ class Regions:
 def regions(symbols: np.ndarray, width: int, gram: int) -> Regions:
     """The regions of one text; none if it is shorter than a window.
 
-    ``content`` is a second hash, of all symbols of the region: equal (name,
-    content) means equal text, to 128 bits.
+    The windows of a region have the first place of its gram in common, so it has at most
+    ``width - gram + 1`` windows, no two of them equal, and its first and last window cover
+    all its symbols.  ``content`` is a second hash, of all symbols of the region: equal
+    (name, content) means equal text, to 128 bits.
     """
     n = len(symbols) - width + 1
     if n <= 0:
-        return Regions(np.zeros(0, U64), np.zeros(0, bool), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return Regions(np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     reach = width - gram + 1
     grams = Rolling(symbols, 0).grams(gram)
     names = sliding_min(grams, reach)
     start = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+    start = at_places(grams, names, start, np.append(start[1:], n), reach)
     stop = np.append(start[1:], n)
-    own = twice_named(grams, names, start, stop, reach)
-    return Regions(names[start], own, Rolling(symbols, 1).spans(start, stop + width - 1), start, stop - start)
+    return Regions(names[start], Rolling(symbols, 1).spans(start, stop + width - 1), start, stop - start)
 
 
-def twice_named(grams: np.ndarray, names: np.ndarray, start: np.ndarray, stop: np.ndarray, reach: int) -> np.ndarray:
-    """Which runs of windows [start, stop) have the gram of their name at two places."""
+def at_places(grams: np.ndarray, names: np.ndarray, start: np.ndarray, stop: np.ndarray, reach: int) -> np.ndarray:
+    """Starts of the runs of windows [start, stop), cut where the gram of the name has its
+    next place: in text that repeats itself a run would go on without end."""
     # a gram is the smallest of some window if the largest name of the windows over it is its own
     edge = np.zeros(reach - 1, U64)
     least = np.flatnonzero(~sliding_min(~np.concatenate([edge, names, edge]), reach) == grams)
     low, high = np.searchsorted(least, start), np.searchsorted(least, stop + reach - 1)
     run = np.repeat(np.arange(len(start)), high - low)
     at = np.arange(len(run)) - np.repeat(np.cumsum(high - low) - high, high - low)
-    return np.bincount(run[grams[least[at]] == names[start][run]], minlength=len(start)) > 1
+    place = least[at]
+    after = place[(grams[place] == names[start][run]) & (place + 1 < stop[run])] + 1  # the first window that starts behind a place
+    return np.union1d(start, after)

@@ -3,13 +3,14 @@
 1. Equal texts become one row with a multiplicity; a text that occurs twice repeats
    as a whole.  The rows are bucketed by the text's key, so that the two later
    joins on it move no text.
-2. Every text is cut into regions (``regions``); a region is a name and a content.
+2. Every text is cut into regions (``regions``); a region is a name and a content, and
+   has each window once.
 3. Equal (name, content) become one row with a weight: partial sums first, so
    thousands of copies leave each task as one row.  A name with one occurrence cannot
    repeat and is done with.
 4. All others are the operators' own work: they say which windows of a content repeat.
    ``contents`` gives them its symbols; ``rivals`` tells that some of its windows may
-   equal windows of other contents of the name, or of its own.
+   equal windows of other contents of the name.
 5. Window ranges that repeat come together by text and are cut out.
 """
 
@@ -50,7 +51,7 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-REGION = "name long, own boolean, content long, key binary, start int, windows int, m long"
+REGION = "name long, content long, key binary, start int, windows int, m long"
 
 
 def region_rows(texts: DataFrame, unit: Unit) -> DataFrame:
@@ -64,8 +65,8 @@ def region_rows(texts: DataFrame, unit: Unit) -> DataFrame:
         owner = pa.array(np.repeat(np.arange(len(found)), sizes))
         cat = lambda f: np.concatenate([f(r) for r in found])
         return pa.RecordBatch.from_arrays(
-            [signed(cat(lambda r: r.name)), pa.array(cat(lambda r: r.own)), signed(cat(lambda r: r.content)), pa.array(keys, pa.binary()).take(owner), pa.array(cat(lambda r: r.start).astype(np.int32)), pa.array(cat(lambda r: r.windows).astype(np.int32)), pa.array(ms, pa.int64()).take(owner)],
-            names=["name", "own", "content", "key", "start", "windows", "m"],
+            [signed(cat(lambda r: r.name)), signed(cat(lambda r: r.content)), pa.array(keys, pa.binary()).take(owner), pa.array(cat(lambda r: r.start).astype(np.int32)), pa.array(cat(lambda r: r.windows).astype(np.int32)), pa.array(ms, pa.int64()).take(owner)],
+            names=["name", "content", "key", "start", "windows", "m"],
         )
 
     return map_batches(texts.select("key", "text", "m"), run, REGION)
@@ -74,12 +75,12 @@ def region_rows(texts: DataFrame, unit: Unit) -> DataFrame:
 def repeated(rows: DataFrame, work: Workspace) -> DataFrame:
     """(item, name, content, n, rivals, key, start, windows): the contents of every name that
     occurs twice or more, with one place of each; ``item`` is a number of their own.
-    ``rivals``: some content of the name occurs once, and other contents, or its own
-    windows, may equal some of its windows."""
-    groups = work.put(rows.groupBy("name", "content").agg(F.max("own").alias("own"), F.sum("m").alias("n"), F.min(F.struct("key", "start", "windows")).alias("at")), "groups")
+    ``rivals``: some content of the name occurs once, and other contents may have some of
+    its windows."""
+    groups = work.put(rows.groupBy("name", "content").agg(F.sum("m").alias("n"), F.min(F.struct("key", "start", "windows")).alias("at")), "groups")
     work.rest()
-    names = groups.groupBy("name").agg(F.sum("n").alias("total"), F.max("own").alias("any"), F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("total > 1 or any").select("name", "kinds", "least")
-    return groups.join(names, "name").select(F.monotonically_increasing_id().alias("item"), "name", "content", "n", F.expr("least = 1 and (kinds > 1 or own)").alias("rivals"), "at.key", "at.start", "at.windows")
+    names = groups.groupBy("name").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("total > 1").select("name", "kinds", "least")
+    return groups.join(names, "name").select(F.monotonically_increasing_id().alias("item"), "name", "content", "n", F.expr("least = 1 and kinds > 1").alias("rivals"), "at.key", "at.start", "at.windows")
 
 
 def unlisted(column: pa.ListArray, *fields: str) -> tuple[list[int], dict[str, np.ndarray]]:
