@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tipoff.llm import classifier, doubling, minhash, packing, rules
-from tipoff.llm.common import Workspace, release
+from tipoff.llm.common import Workspace, opened, release
 from tipoff.llm.queries import tokenizer
 
 #: Bytes of a repeated passage: what 50 words of prose have at least, short words included.
@@ -88,8 +88,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
+        others = opened()  # our own, and those of results that are not ours
         docs = work.put(stage(spark, docs, sf_dir), f"stage_{i}")
-        release(keep=work)  # what the stage needed is no longer read
+        release(keep=others)  # what the stage needed is no longer read
         if i:
             work.drop(f"stage_{i - 1}")
     return docs
