@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tipoff.llm import bpe, classifier, doubling, fmindex, media, minhash, packing, rules, rules_sql, tokencount, warc
+from tipoff.llm import bpe, classifier, decontaminate, doubling, fmindex, lexical, media, minhash, packing, phrases, rules, rules_sql, text_sql, tokencount, warc
 from tipoff.llm.common import map_batches
 
 
@@ -80,6 +80,20 @@ def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_audio(_table(spark, sf_dir, "documents"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, bench = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark")
+    found = decontaminate.decontaminate(docs, bench, window=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_minhash": op2_minhash,
@@ -91,6 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_token_counts": op9_token_counts,
     "op10_telephony": op10_telephony,
+    "op11_decontamination": op11_decontamination,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -114,4 +131,7 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n, 0) as bigint)
        sha256(array_to_string(case when n is null then w else list_filter(w, lambda v, i: not list_contains(gone, i)) end, ' ')) as kept_sha256
 from d left join g using (r)
 """,
+    "op11_decontamination": text_sql.DECONTAMINATION,
+    "op12_lexical_search": text_sql.SEARCH,
+    "op13_phrases": text_sql.PHRASES,
 }
