@@ -8,10 +8,11 @@ posting adds to a score is worked out where it is read.
 1. Heads.  The first entries of every list by what they add give partial sums; the best
    documents by partial sums are looked up exactly, and the k-th best of them is a bound
    that the k-th best of all does not fall below.
-2. Uniform threshold.  Of an item with m lists, a document that adds less than bound / m in
-   every list is under the bound.  So each list gives its entries from the threshold on, and
-   no list more; what a document did not show is at most the threshold (or the list's head).
-   Documents whose upper bound reaches the lower one are candidates.
+2. Uniform threshold.  All lists of an item give their entries from one threshold on.  What
+   a document did not show adds less than the threshold in each list, and no more than the
+   list's head; the threshold is the highest at which this comes to ``UNSEEN`` of the bound.  (At
+   all of the bound no document could be missed, but most that show anything would be looked
+   up.)  Documents whose upper bound reaches the lower one are candidates.
 3. Lookup.  Candidates are looked up in all lists of their item: exact scores.
 
 Terms are the asked items' own: items are taken in blocks of a bounded number of terms.
@@ -37,6 +38,8 @@ from tipoff.llm.common import Workspace, bounded_batches, map_batches, text_or_e
 CHUNK_DOCS, CHUNK_POSTINGS = 16_384, 2_000_000
 #: Terms of the items that are ranked together: some 50 bytes each on the driver and in every worker.
 BLOCK_TERMS = 1_000_000
+#: Share of the bound that may go unseen: a lower one fetches more and looks up less.
+UNSEEN = 0.5
 #: Entries of a list's head for each of the k asked, and of the documents that set the bound.
 HEAD, SEEDS = 2, 4
 
@@ -151,12 +154,17 @@ def heads(lists: DataFrame, scoring: Scoring, depth: int) -> DataFrame:
 
 
 FOUND = "item int, chunk long, at binary, over binary"
+_FOUND = pa.schema([("item", pa.int32()), ("chunk", pa.int64()), ("at", pa.binary()), ("over", pa.binary())])
+
+
+def _found(rows: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_FOUND)], schema=_FOUND)
 
 
 def over_threshold(lists: DataFrame, scoring: Scoring, asks: dict[int, list[tuple[int, int, int]]]) -> DataFrame:
-    """(item, chunk, at, over) of the entries from an item's threshold on; ``asks`` has
-    (item, threshold, most that goes unseen) by term, and ``over`` what an entry adds beyond
-    what may go unseen, rounded up."""
+    """FOUND: the entries from an item's threshold on; ``asks`` has (item, threshold, most
+    that goes unseen) by term.  ``over`` is what an entry adds beyond what may go unseen, in
+    steps of a 255th of the largest, rounded up; the step comes first."""
     shared = lists.sparkSession.sparkContext.broadcast(asks)  # at most BLOCK_TERMS entries
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -171,14 +179,19 @@ def over_threshold(lists: DataFrame, scoring: Scoring, asks: dict[int, list[tupl
             for item, threshold, unseen in asked[term]:
                 take = int(np.searchsorted(-added, -threshold, "right"))
                 if take:
-                    over = np.nextafter((added[:take] - unseen).astype(np.float32), np.float32(np.inf))
-                    rows.append((item, chunk, at[:take].tobytes(), over.tobytes()))
-        types = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["item", "chunk", "at", "over"])
+                    over = added[:take] - unseen  # 1 and more
+                    step = -(-int(over[0]) // 255)
+                    rows.append((item, chunk, at[:take].tobytes(), np.int64(step).tobytes() + (-(-over // step)).astype(np.uint8).tobytes()))
+        return _found(rows)
 
     return map_batches(lists.select(*ENTRY), run, FOUND)
 
 
+def gathered(found: DataFrame) -> DataFrame:
+    """(item, chunk, parts): what the lists of an item have found in a chunk's documents."""
+    return found.groupBy("item", "chunk").agg(F.collect_list(F.struct("at", "over")).alias("parts"))  # a row a list
+
+
 def candidates(found: DataFrame, lacking: np.ndarray) -> DataFrame:
     """(item, chunk, at): documents whose upper bound reaches their item's lower one;
     ``lacking`` is what an item's documents need beyond what may go unseen in all lists."""
@@ -186,49 +199,59 @@ def candidates(found: DataFrame, lacking: np.ndarray) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for item, chunk, parts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            at = np.concatenate([np.frombuffer(p["at"], np.uint16) for p in parts])
-            over = np.concatenate([np.frombuffer(p["over"], np.float32) for p in parts])
-            total = np.bincount(at, weights=over)
-            shown = np.bincount(at) > 0
-            good = np.flatnonzero(shown & (total * (1 + 1e-12) >= lacking[item]))
+            total = np.zeros(CHUNK_DOCS, np.int64)
+            for p in parts:
+                step = int(np.frombuffer(p["over"][:8], np.int64)[0])
+                total[np.frombuffer(p["at"], np.uint16)] += np.frombuffer(p["over"][8:], np.uint8).astype(np.int64) * step
+            good = np.flatnonzero((total > 0) & (total >= lacking[item]))
             if len(good):
-                rows.append((item, chunk, good.astype(np.uint32).tobytes()))
+                rows.append((item, chunk, good.astype(np.uint16).tobytes()))
         types = (pa.int32(), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["item", "chunk", "at"])
 
-    gathered = found.groupBy("item", "chunk").agg(F.collect_list(F.struct("at", "over")).alias("parts"))  # a row a list, of one chunk
-    return map_batches(gathered, run, "item int, chunk long, at binary")
+    return map_batches(gathered(found), run, "item int, chunk long, at binary")
 
 
-def looked_up(asked: DataFrame, pairs: DataFrame, lists: DataFrame, scoring: Scoring) -> DataFrame:
-    """(item, chunk, at, score): exact scores of documents, asked as (item, chunk, at binary)."""
+def looked_up(asked: DataFrame, pairs: DataFrame, lists: DataFrame, scoring: Scoring, least: np.ndarray) -> DataFrame:
+    """(item, chunk, at, score): exact scores of documents, asked as (item, chunk, at binary),
+    from their item's ``least`` on."""
     wanted = asked.join(pairs, "item").select((F.shiftleft(F.col("term").cast("long"), 32).bitwiseOR(F.col("chunk"))).alias("list"), "item", "at")
     wanted = wanted.groupBy("list").agg(F.collect_list(F.struct("item", F.col("at").alias("asked"))).alias("wanted"))  # of one chunk
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list[np.ndarray]] = [[], [], [], []]
+        rows: list[tuple[int, int, bytes, bytes]] = []
         chunks, wants = batch.column(1).to_pylist(), batch.column(5).to_pylist()
         for i, chunk in enumerate(chunks):
-            at, added = _entries(batch, i, scoring)  # at ascends within a segment
+            at, added = _entries(batch, i, scoring)
+            adds = np.zeros(CHUNK_DOCS, np.int64)
+            adds[at] = added
             for w in wants[i]:
-                ask = np.frombuffer(w["asked"], np.uint32)
-                j = np.minimum(np.searchsorted(at, ask), len(at) - 1)
-                hit = at[j] == ask
-                mine = ask[hit]
-                for to, x in zip(out, (np.full(len(mine), w["item"], np.int32), np.full(len(mine), chunk), mine.astype(np.int32), added[j[hit]]), strict=True):
-                    to.append(x)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["item", "chunk", "at", "added"])
+                ask = np.frombuffer(w["asked"], np.uint16)
+                mine = ask[adds[ask] > 0]
+                if len(mine):
+                    rows.append((w["item"], chunk, mine.tobytes(), adds[mine].tobytes()))
+        return _found(rows)
+
+    def scores(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        for item, chunk, parts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            total = np.zeros(CHUNK_DOCS, np.int64)
+            for p in parts:
+                total[np.frombuffer(p["at"], np.uint16)] += np.frombuffer(p["over"], np.int64)
+            good = np.flatnonzero((total > 0) & (total >= least[item]))
+            for to, x in zip(out, (np.full(len(good), item, np.int32), np.full(len(good), chunk), good.astype(np.int32), total[good]), strict=True):
+                to.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["item", "chunk", "at", "score"])
 
     joined = lists.join(wanted, "list").select(*ENTRY, "wanted")
-    rows = map_batches(joined, run, "item int, chunk long, at int, added long")
-    return rows.groupBy("item", "chunk", "at").agg(F.sum("added").alias("score"))
+    return map_batches(gathered(map_batches(joined, run, FOUND)), scores, "item int, chunk long, at int, score long")
 
 
 def packed(rows: DataFrame) -> DataFrame:
     """(item, chunk, at) with a row a document as (item, chunk, at binary)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at = [np.array(x, np.uint32).tobytes() for x in batch.column(2).to_pylist()]
+        at = [np.array(x, np.uint16).tobytes() for x in batch.column(2).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.binary())], names=["item", "chunk", "at"])
 
     return map_batches(rows.groupBy("item", "chunk").agg(F.collect_list("at").alias("at")), run, "item int, chunk long, at binary")
@@ -245,6 +268,14 @@ def asked_terms(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
     return map_batches(items.select(F.col(item_col).cast("long"), text_or_empty(text_col)), run, "item_id long, term binary").distinct()
 
 
+def uniform_threshold(tops: list[int], room: int) -> int:
+    """The highest t with sum(min(t - 1, top)) <= room, at least 1."""
+    left, room = sorted(tops), max(0, room)
+    while left and left[0] * len(left) <= room:
+        room -= left.pop(0)
+    return room // len(left) + 1 if left else max(tops, default=0) + 1
+
+
 def ranked_block(docs: DataFrame, pairs: list[tuple[int | None, bytes]], k: int, b: int, k1: int, id_col: str, text_col: str, work: Workspace) -> DataFrame:
     """The k best documents of the items of one block, given as (item_id, term)."""
     spark = docs.sparkSession
@@ -273,24 +304,25 @@ def ranked_block(docs: DataFrame, pairs: list[tuple[int | None, bytes]], k: int,
     partial = first.join(frame, "term").groupBy("item", "chunk", "at").agg(F.sum("added").alias("score"))
     place_of = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), "chunk", "at"))
     seeds = partial.withColumn("place", place_of).filter(F.col("place") <= SEEDS * k).select("item", "chunk", "at")
-    seeded = looked_up(packed(seeds), frame, lists, scoring).withColumn("place", place_of)
+    seeded = looked_up(packed(seeds), frame, lists, scoring, np.zeros(len(ids), np.int64)).withColumn("place", place_of)
     bound = {r["item"]: r["score"] for r in seeded.filter(F.col("place") == k).select("item", "score").collect()}  # a row an item
 
     asks: dict[int, list[tuple[int, int, int]]] = {}
-    lacking = np.zeros(len(ids))
+    lacking = np.zeros(len(ids), np.int64)
+    least = np.array([max(1, bound.get(p, 0)) for p in range(len(ids))], np.int64)
     for p, mine in enumerate(terms_of):
         low = bound.get(p, 0)
-        threshold = max(1, -(-low // max(1, len(mine))))
-        unseen = {t: min(threshold - 1, most.get(t, 0)) for t in mine}
+        tops = [most.get(t, 0) for t in mine]
+        threshold = uniform_threshold(tops, int(UNSEEN * low))
+        unseen = {t: min(threshold - 1, top) for t, top in zip(mine, tops, strict=True)}
         lacking[p] = low - sum(unseen.values())
-        for t in mine:
-            if most.get(t, 0) >= threshold:
+        for t, top in zip(mine, tops, strict=True):
+            if top >= threshold:
                 asks.setdefault(t, []).append((p, threshold, unseen[t]))
     chosen = work.put(candidates(over_threshold(lists, scoring, asks), lacking), "candidates")
-    exact = looked_up(chosen, frame, lists, scoring)
-    asked = spark.createDataFrame(pa.table({"item": pa.array(range(len(ids)), pa.int32()), "item_id": pa.array(ids, pa.int64()), "low": pa.array([max(1, bound.get(p, 0)) for p in range(len(ids))], pa.int64())}))
-    good = exact.join(asked, "item").filter("score >= low")
-    named = good.join(of_docs.select("chunk", F.posexplode("ids").alias("at", "doc_id")), ["chunk", "at"])
+    exact = looked_up(chosen, frame, lists, scoring, least)
+    asked = spark.createDataFrame(pa.table({"item": pa.array(range(len(ids)), pa.int32()), "item_id": pa.array(ids, pa.int64())}))
+    named = exact.join(asked, "item").join(of_docs.select("chunk", F.posexplode("ids").alias("at", "doc_id")), ["chunk", "at"])
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last()))
     return work.put(named.withColumn("rank", rank).filter(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score"), "ranked")
 

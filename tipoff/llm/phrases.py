@@ -162,13 +162,32 @@ class Bitmaps:
         return parent, word, support, (index, place[owner], both)
 
 
-def among(rows: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which rows (columns of word numbers) are among the sorted known rows."""
-    if not len(known):
-        return np.zeros(len(rows), bool)
-    kind = np.dtype([("", np.int64)] * rows.shape[1])
-    a, b = np.ascontiguousarray(rows).view(kind).ravel(), np.unique(np.ascontiguousarray(known).view(kind).ravel())
-    return np.isin(a, b)
+class Known:
+    """The frequent phrases of one length that a shard has, and what they begin with: a
+    phrase is the number of what it begins with, and its last word."""
+
+    def __init__(self, phrases: np.ndarray) -> None:
+        self.levels: list[np.ndarray] = []
+        number = np.zeros(len(phrases), np.uint64)
+        for k in range(phrases.shape[1]):
+            level, number = np.unique(self.key(number, phrases[:, k]), return_inverse=True)
+            self.levels.append(level)
+
+    @staticmethod
+    def key(number: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return (number.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64)
+
+    def has(self, phrases: np.ndarray) -> np.ndarray:
+        """Which rows are known phrases or begin one."""
+        number, good = np.zeros(len(phrases), np.int64), np.ones(len(phrases), bool)
+        for k in range(phrases.shape[1]):
+            level = self.levels[k]
+            if not len(level):
+                return np.zeros(len(phrases), bool)
+            key = self.key(number, phrases[:, k])
+            number = np.minimum(np.searchsorted(level, key), len(level) - 1)
+            good &= level[number] == key
+        return good
 
 
 def followed(maps: Bitmaps, known: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -176,12 +195,15 @@ def followed(maps: Bitmaps, known: np.ndarray, longest: int) -> Iterator[tuple[n
 
     ``known`` has the frequent phrases of one word less (none are needed for pairs).
     """
+    before = Known(known) if longest > 2 else None
     for words in maps.batches():
         phrases, cells = maps.words[words][:, None], maps.of(words)
         for length in range(2, longest + 1):
             parent, word, support, cells = maps.extend(*cells)
             phrases = np.column_stack([phrases[parent], maps.words[word]])
-            good = among(phrases, known[:, :length]) if length < longest else (among(phrases[:, 1:], known) if longest > 2 else np.ones(len(phrases), bool))
+            if before is None:
+                continue
+            good = before.has(phrases if length < longest else phrases[:, 1:])
             number = np.cumsum(good) - 1
             live = good[cells[0]]
             cells = (number[cells[0][live]], cells[1][live], cells[2][live])
