@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -187,30 +184,3 @@ def resolve(names: DataFrame, index: DataFrame, column: str) -> DataFrame:
     keyed = names.select("*", F.array_distinct(F.array(normalize(F.col(column)), narrow(F.col(column)), narrow(F.regexp_replace(column, "-", " ")))).alias("__keys"))
     found = keyed.select(column, F.posexplode("__keys").alias("place", "key")).distinct().join(index, "key").groupBy(column).agg(F.min_by("team_id", "place").alias("team_id"))
     return keyed.drop("__keys").join(found, column, "left")
-
-
-def fuzzy_best(names: DataFrame, column: str, choices: list[str], cutoff: float = 0.87) -> DataFrame:
-    """The choice with the best ratio of matching blocks, at or over the cutoff.
-
-    ``choices`` is a directory of bounded size (teams of a league).  Ratios of
-    matching blocks are no edit distance, so this is an Arrow UDF over distinct names.
-    """
-
-    @F.pandas_udf("string")
-    def best(x: pd.Series) -> pd.Series:
-        def one(name: str | None) -> str | None:
-            got = difflib.get_close_matches(name, choices, 1, cutoff) if name else []
-            return got[0] if got else None
-
-        return x.map(one)
-
-    found = names.select(column).distinct().withColumn("match", best(F.col(column)))
-    return names.join(found, column, "left")
-
-
-def matches(names: DataFrame, column: str, overrides: DataFrame, exact: DataFrame, choices: list[str]) -> DataFrame:
-    """Override, then exact, then fuzzy, else unmatched."""
-    o = names.join(overrides.select(F.col("name").alias(column), F.col("team").alias("over")), column, "left").join(exact.select(F.col("name").alias(column), F.col("team").alias("same")), column, "left")
-    f = fuzzy_best(o, column, choices)
-    kind = F.when(F.col("over").isNotNull(), "override").when(F.col("same").isNotNull(), "exact").when(F.col("match").isNotNull(), "fuzzy").otherwise("unmatched")
-    return f.withColumns({"kind": kind, "team": F.coalesce("over", "same", "match")}).drop("over", "same", "match")

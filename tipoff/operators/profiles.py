@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tipoff.functions import model as M
+from tipoff.operators.ordering import numbered
 
 TOTALS = {"points": "pts", "rebounds": "reb", "assists": "ast", "blocks": "blk", "steals": "stl", "turnovers": "tov"}
 CATEGORIES = (*[f"per40_{s}" for s in TOTALS.values()], "ts_pct", "fg_pct", "tfg_pct")
@@ -98,6 +99,7 @@ def category_stats(long: DataFrame, *keys: str) -> DataFrame:
 
 def ranks(scores: DataFrame, players: DataFrame, teams: DataFrame) -> DataFrame:
     """Overall rank and rank in the division, by score, of every season."""
-    got = scores.join(players.select("player_id", "team_id"), "player_id").join(F.broadcast(teams.select("team_id", "division")), "team_id")
-    order = [F.round("score_raw", 6).desc(), F.col("player_id")]
-    return got.select("player_id", "season", "division", "score", F.row_number().over(Window.partitionBy("season").orderBy(*order)).alias("overall_rank"), F.row_number().over(Window.partitionBy("season", "division").orderBy(*order)).alias("division_rank"))
+    got = scores.join(players.select("player_id", "team_id"), "player_id").join(teams.select("team_id", "division"), "team_id")
+    order = [F.round("score_raw", 6).desc(), F.col("player_id").asc()]
+    overall = numbered(got, ["season"], order, "overall_rank")
+    return numbered(overall, ["season", "division"], order, "division_rank").select("player_id", "season", "division", "score", "overall_rank", "division_rank")

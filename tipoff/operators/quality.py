@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tipoff.operators.ordering import numbered
+
 FINDING = ("severity", "category", "n")
 COUNTS = ("points", "rebounds", "assists", "steals", "blocks", "turnovers", "fouls", "fga", "fgm", "tfga", "tfgm", "fta", "ftm")
 
@@ -207,12 +209,9 @@ def identities(seen: DataFrame, known: DataFrame) -> DataFrame:
     by = lambda name, *keys: known.groupBy(*keys).agg(F.min("player_id").alias(name))
     got = seen.join(by("a", "external_id"), "external_id", "left").join(by("b", "name_key", "hometown"), ["name_key", "hometown"], "left").join(by("c", "name_key", "team_id"), ["name_key", "team_id"], "left")
     got = got.withColumn("found", F.coalesce("a", "b", "c")).drop("a", "b", "c")
-    fresh = got.filter("found is null").select("name_key", "team_id").distinct().repartitionByRange("name_key", "team_id").sortWithinPartitions("name_key", "team_id").withColumns({"part": F.spark_partition_id(), "m": F.monotonically_increasing_id()})
-    fresh = fresh.withColumn("within", F.col("m") - F.shiftleft(F.col("part").cast("long"), 33))
-    sizes = fresh.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a partition
-    top = known.agg(F.coalesce(F.max("player_id"), F.lit(0)).alias("top"))
-    new = fresh.join(before.select("part", "before"), "part").crossJoin(F.broadcast(top)).select("name_key", "team_id", (F.col("top") + F.col("before") + F.col("within") + 1).alias("new_id"))
+    fresh = numbered(got.filter("found is null").select("name_key", "team_id").distinct(), [], [F.col("name_key").asc(), F.col("team_id").asc()], "place")
+    top = known.agg(F.coalesce(F.max("player_id"), F.lit(0)).alias("top"))  # one row
+    new = fresh.crossJoin(F.broadcast(top)).select("name_key", "team_id", (F.col("top") + F.col("place")).alias("new_id"))
     return got.join(new, ["name_key", "team_id"], "left").withColumn("player_id", F.coalesce("found", "new_id")).drop("found", "new_id")
 
 

@@ -215,7 +215,7 @@ def best_games(s: Star) -> DataFrame:
     """The top lines are found before names are joined."""
     top = s.of_latest(s.lines).filter("minutes > 0").withColumn("production", line_production().cast("long")).orderBy(F.col("production").desc(), "game_id", "player_id").limit(20)
     own, other = s.teams.select("team_id", F.col("name").alias("team")), s.teams.select(F.col("team_id").alias("opponent_team_id"), F.col("name").alias("opponent"))
-    return top.join(s.players.select("player_id", "name"), "player_id").join(F.broadcast(own), "team_id").join(F.broadcast(other), "opponent_team_id", "left").select("player_id", "name", "team", "opponent", "game_id", "points", "rebounds", "assists", "production")
+    return top.join(s.players.select("player_id", "name"), "player_id").join(own, "team_id").join(other, "opponent_team_id", "left").select("player_id", "name", "team", "opponent", "game_id", "points", "rebounds", "assists", "production")
 
 
 @query(
@@ -246,7 +246,7 @@ from y cross join teams t left join r on r.season = y.season and r.team_id = t.t
 def standings(s: Star) -> DataFrame:
     """Teams without games are listed too."""
     own, other = s.teams.select("team_id", "conference"), s.teams.select(F.col("team_id").alias("opponent_team_id"), F.col("conference").alias("oc"))
-    sides = unpivot(s.games).join(F.broadcast(own), "team_id").join(F.broadcast(other), "opponent_team_id")
+    sides = unpivot(s.games).join(own, "team_id").join(other, "opponent_team_id")
     won, lost, inside = F.col("scored") > F.col("allowed"), F.col("scored") < F.col("allowed"), F.col("conference") == F.col("oc")
     n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
     record = sides.groupBy("season", "team_id").agg(n(won).alias("wins"), n(lost).alias("losses"), n(won & inside).alias("conf_wins"), n(lost & inside).alias("conf_losses"))
@@ -261,14 +261,14 @@ def standings(s: Star) -> DataFrame:
 def game_detail(s: Star) -> DataFrame:
     """Game ids are compared as they are stored."""
     one = s.lines.agg(F.min("game_id").alias("game_id"))
-    return s.lines.join(F.broadcast(one), "game_id").join(s.players.select("player_id", "name", F.col("team_id").alias("t")), "player_id").select("player_id", "name", "team_id", (F.col("team_id") == F.col("t")).alias("own_side"), "points", "rebounds", "assists", "minutes")
+    return s.lines.join(one, "game_id").join(s.players.select("player_id", "name", F.col("team_id").alias("t")), "player_id").select("player_id", "name", "team_id", (F.col("team_id") == F.col("t")).alias("own_side"), "points", "rebounds", "assists", "minutes")
 
 
 @query("q27_game_logs", "select player_id, cast(game_ts as varchar)[1:10] as game_date, game_id, o.name as opponent, o.tier as opponent_tier, minutes, points from lines left join teams o on o.team_id = opponent_team_id where player_id = 7 order by game_ts, game_id")
 def game_logs(s: Star) -> DataFrame:
     """Untracked opponents keep their row."""
     other = s.teams.select(F.col("team_id").alias("opponent_team_id"), F.col("name").alias("opponent"), F.col("tier").alias("opponent_tier"))
-    return s.lines.filter("player_id = 7").join(F.broadcast(other), "opponent_team_id", "left").orderBy("game_ts", "game_id").select("player_id", F.date_format("game_ts", "yyyy-MM-dd").alias("game_date"), "game_id", "opponent", "opponent_tier", "minutes", "points")
+    return s.lines.filter("player_id = 7").join(other, "opponent_team_id", "left").orderBy("game_ts", "game_id").select("player_id", F.date_format("game_ts", "yyyy-MM-dd").alias("game_date"), "game_id", "opponent", "opponent_tier", "minutes", "points")
 
 
 @query("q28_team_schedule", "select season, opponent_team_id, home, scored, allowed, case when scored > allowed then 'W' when scored < allowed then 'L' else 'T' end as result from sides where team_id = 3")

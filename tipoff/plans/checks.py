@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tipoff.functions import text as T
 from tipoff.functions import model as M
 from tipoff.operators import quality as K
+from tipoff.operators.matching import close_matches, matches
 from tipoff.plans.boards import rate
 from tipoff.plans.registry import query
 from tipoff.sources.star import Star
@@ -89,13 +90,32 @@ def resolve(s: Star) -> DataFrame:
     return T.resolve(written, T.name_index(labels(s)), "opponent")
 
 
+def catalogue(s: Star) -> DataFrame:
+    """A directory of invented team names: (name), distinct."""
+    return s.table("part").select(F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("name")).distinct()
+
+
+def misspelt(name: Column) -> Column:
+    """A name as a scorer may write it: without its fifth character, a brand without its sign."""
+    return F.regexp_replace(F.concat(F.substring(name, 1, 4), F.substring(name, 6, 200)), "#", " ")
+
+
 @query("t10_fuzzy")
 def fuzzy(s: Star) -> DataFrame:
-    """Rows only, SQL has no matching-block ratio."""
-    teams = [r.name for r in labels(s).select("name").collect()]  # a directory of nations: 25 rows
-    written = labels(s).select(F.regexp_replace("name", "NATION", "NATON").alias("opponent"))
-    none = s.spark.createDataFrame([], "name string, team string")
-    return T.matches(written, "opponent", none, none, teams)
+    """Against a brute force in tests; SQL has no matching-block ratio."""
+    known = catalogue(s)
+    written = known.select(misspelt(F.col("name")).alias("opponent")).unionByName(known.select(F.col("name").alias("opponent")))
+    exact = known.select("name", F.col("name").alias("team"))
+    overrides = known.filter("name like 'red %'").select(misspelt(F.col("name")).alias("name"), F.lit("by hand").alias("team")).groupBy("name").agg(F.max("team").alias("team"))
+    return matches(written, "opponent", overrides, exact, known).select("opponent", "kind", "team")
+
+
+@query("k35_diagnosis")
+def diagnosis(s: Star) -> DataFrame:
+    """The two nearest names from .6 on, for names that the directory doesn't have."""
+    known = labels(s).select("name").unionByName(s.table("part").select(F.col("p_name").alias("name")))
+    written = known.select(misspelt(F.col("name")).alias("name"))
+    return close_matches(written, known, 0.6, 2).select("name", "place", "choice", F.round("ratio", 6).alias("ratio"))
 
 
 @query("t20_histories", ", h as (select player_id, season, max(opponent_team_id) as team from lines group by 1, 2) select player_id, 'T' || cast(team as varchar) as team, season from h")

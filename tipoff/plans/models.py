@@ -10,6 +10,7 @@ from tipoff.operators import profiles as P
 from tipoff.operators import projection as J
 from tipoff.operators import ratings as R
 from tipoff.operators import roles as O
+from tipoff.operators.ordering import percentiles, value_ranks
 from tipoff.plans.boards import rate
 from tipoff.plans.registry import query
 from tipoff.sources.star import ORACLE, Star
@@ -45,6 +46,13 @@ def ratings(s: Star) -> DataFrame:
     return solved(s).select("season", "team_id", *[(F.round(c, 3) + 0.0).alias(c) for c in ("off_rating", "def_rating", "rating")])
 
 
+@query("r01_distributed", "select season, team_id, round(off_rating, 3) + 0.0 as off_rating, round(def_rating, 3) + 0.0 as def_rating, round(rating, 3) + 0.0 as rating from ratings", RATINGS, keep=True)
+def ratings_distributed(s: Star) -> DataFrame:
+    """R01 for pools of any size, as joins."""
+    got = R.solve_distributed(R.unpivot(s.games), passes=PASSES, tolerance=0.0, every=3)
+    return got.select("season", "team_id", *[(F.round(c, 3) + 0.0).alias(c) for c in ("off_rating", "def_rating", "rating")])
+
+
 @query("r02_schedule", ", p as (select season, team_id, opponent_team_id, count(*) as n from sides group by 1, 2, 3) select p.season, p.team_id, round(sum(r.rating * n) / sum(n), 3) + 0.0 as sos, round(avg(r.rating), 3) + 0.0 as avg_opponent, count(*) as opponents from p join ratings r on r.season = p.season and r.team_id = opponent_team_id group by 1, 2", RATINGS)
 def schedule(s: Star) -> DataFrame:
     """R02, R03."""
@@ -102,6 +110,13 @@ def elo(s: Star) -> DataFrame:
     return R.elo(ordered).select("season", "team_id", F.round("elo", 4).alias("elo"), "games")
 
 
+@query("r07_elo_waves", keep=True)
+def elo_waves(s: Star) -> DataFrame:
+    """One epoch in waves; tests hold it against a plain loop."""
+    ordered = s.games.withColumn("game_order", F.col("home_team_id") * 1000 + F.col("away_team_id"))
+    return R.elo_waves(ordered, epochs=1).select("season", "team_id", F.round("elo", 4).alias("elo"), "games")
+
+
 @query("r08_initial", "select r.season, r.team_id, round(b.rating, 3) + 0.0 as initial_rating, round(r.rating, 3) + 0.0 as rating from ratings r left join ratings b on b.team_id = r.team_id and b.season = r.season - 1", RATINGS)
 def initial(s: Star) -> DataFrame:
     return R.initial_rating(solved(s)).select("season", "team_id", (F.round("initial_rating", 3) + 0.0).alias("initial_rating"), (F.round("rating", 3) + 0.0).alias("rating"))
@@ -178,8 +193,8 @@ def ranks(s: Star) -> DataFrame:
 @query("w03_percentile", SCORES + ", c as (select s.player_id, s.season, round(score_raw, 3) + 0.0 as score, thin_sample from scores s join prof using (player_id, season)) select player_id, season, round(100.0 * (rank() over (partition by season order by score desc)) / (count(*) over (partition by season)), 2) as top_percent from c where not thin_sample", RATINGS, keep=True)
 def percentile(s: Star) -> DataFrame:
     full = scored(s).join(P.season_totals(s.lines).select("player_id", "season", "thin_sample"), ["player_id", "season"]).filter("not thin_sample").withColumn("score", F.round("score_raw", 3))
-    w = Window.partitionBy("season")
-    return full.select("player_id", "season", F.round(F.lit(100.0) * F.rank().over(w.orderBy(F.col("score").desc())) / F.count(F.lit(1)).over(w), 2).alias("top_percent"))
+    placed = value_ranks(full, ["season"], "score", "place")
+    return placed.select("player_id", "season", F.round(F.lit(100.0) * F.col("place") / F.col("place_of"), 2).alias("top_percent"))
 
 
 TEAMPROF = TOTALS + """, tg as (select season, team_id, count(distinct game_id) as team_games from lines group by 1, 2),
@@ -311,9 +326,9 @@ def transfer_spread(s: Star) -> DataFrame:
     old = rating.select("season", F.col("team_id").alias("team_before"), F.col("rating").alias("was"))
     got = _transfers(s).join(rating, ["season", "team_id"]).join(old, ["season", "team_before"]).join(std, "season")
     bucket = M.gap_bucket(F.round((F.col("rating") - F.col("was")) / F.col("std_rating"), 6))
-    cuts = F.percentile("factor", F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9))))
-    groups = got.select(bucket.alias("bucket"), "factor").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), cuts.alias("p")).filter("n >= 5")
-    return groups.select("bucket", "n", *[F.round(F.col("p")[i], 4).alias(name) for i, name in enumerate(("p10", "p25", "median", "p75", "p90"))])
+    shares = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
+    groups = percentiles(got.select(bucket.alias("bucket"), "factor"), ["bucket"], "factor", shares, least=5)
+    return groups.select("bucket", "n", *[F.round(name, 4).alias(name) for name in shares])
 
 
 @query("w09_stints", ", t as (select player_id, season, max(opponent_team_id) as team from lines group by 1, 2), f as (select *, case when lag(team) over w is distinct from team then 1 else 0 end as new from t window w as (partition by player_id order by season)), i as (select *, sum(new) over (partition by player_id order by season) as island from f), s as (select player_id, island, team, min(season) as a, max(season) as b from i group by 1, 2, 3) select player_id, string_agg(team || ' (' || a || '-' || b || ')', ' -> ' order by island) as history from s group by player_id")

@@ -150,12 +150,11 @@ def best_games(s: Star, sort: str = "production", limit: int = 20) -> DataFrame:
 
 @query("q23_by_every_sort", ", l as (" + " union all ".join(f"select '{c}' as sort, player_id, game_id, cast({'points + rebounds + assists + steals + blocks - turnovers' if c == 'production' else c} as bigint) as value from lines where minutes > 0 and season = (select season from current)" for c in GAME_SORTS) + "), k as (select *, row_number() over (partition by sort order by value desc, game_id, player_id) as place from l) select sort, player_id, game_id, value from k where place <= 20", keep=True)
 def games_by_every_sort(s: Star) -> DataFrame:
-    """Each sort's list is a top-k of one scan of the season."""
-    out = [best_games(s, c).withColumn("sort", F.lit(c)) for c in GAME_SORTS]
-    all_lists = out[0]
-    for one in out[1:]:
-        all_lists = all_lists.unionByName(one)
-    return all_lists.select("sort", "player_id", "game_id", "value")
+    """One scan of the season, a row a sort, and the first of each sort."""
+    values = [F.struct(F.lit(c).alias("sort"), (line_production() if c == "production" else F.col(c)).cast("long").alias("value")) for c in GAME_SORTS]
+    rows = s.of_latest(s.lines).filter("minutes > 0").select("player_id", "game_id", F.inline(F.array(*values)))
+    place = F.row_number().over(Window.partitionBy("sort").orderBy(F.col("value").desc(), "game_id", "player_id"))
+    return rows.withColumn("place", place).filter("place <= 20").select("sort", "player_id", "game_id", "value")
 
 
 def sampled(projected: DataFrame, k: int, seed: int) -> DataFrame:

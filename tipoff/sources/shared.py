@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_TABLES: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,8 +48,23 @@ def written(df: DataFrame, name: str, *partitions: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """df from a table bucketed and sorted by keys: joins and aggregates on these keys move
+    only their other side.  Its files lie in the shared folder, not in the warehouse."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table, path = f"tipoff_{uuid.uuid4().hex}", folder(spark, name)
+    _TABLES.append((spark, table))
+    dealt = df.repartition(buckets, *keys)  # a file a bucket
+    dealt.write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet").option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def release() -> None:
     """Delete the tables written so far; to be called when results have been written."""
+    while _TABLES:
+        spark, table = _TABLES.pop()
+        spark.sql(f"drop table if exists {table}")
     while _WRITTEN:
         spark, path = _WRITTEN.pop()
         place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -103,11 +103,11 @@ class Star:
             )
         )
 
-    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        """A frame that several parts of one query use: written once."""
+    def once(self, name: str, make: Callable[[], DataFrame], *partitions: str) -> DataFrame:
+        """A frame that several parts of one query use: written once, by partitions."""
         kept = self.__dict__.setdefault("_kept", {})
         if name not in kept:
-            kept[name] = written(make(), name)
+            kept[name] = written(make(), name, *partitions)
         return kept[name]
 
     def keep_lines(self) -> Star:
