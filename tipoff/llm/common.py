@@ -49,17 +49,18 @@ class Workspace:
 
     def bucketed(self, df: DataFrame, key: str) -> DataFrame:
         """Write df as a table bucketed and sorted by key: later joins on the key move
-        only their other side.  The table lies in the warehouse, which is shared."""
+        only their other side.  Its files lie in the workspace, not in the warehouse."""
         name = f"tipoff_{uuid.uuid4().hex}"
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.tables.append(name)
-        df.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("compression", "zstd").saveAsTable(name)
+        df.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("compression", "zstd").option("path", f"{self.path}/{name}").saveAsTable(name)
         return self.spark.table(name)
 
     def unbucket(self) -> None:
-        """Drop the bucketed tables."""
+        """Drop the bucketed tables with their files."""
         for name in self.tables:
             self.spark.sql(f"drop table if exists {name}")
+            self.drop(name)
         self.tables.clear()
 
     def drop(self, name: str = "") -> None:
