@@ -110,13 +110,6 @@ def elo(s: Star) -> DataFrame:
     return R.elo(ordered).select("season", "team_id", F.round("elo", 4).alias("elo"), "games")
 
 
-@query("r07_elo_waves", keep=True)
-def elo_waves(s: Star) -> DataFrame:
-    """One epoch in waves; tests hold it against a plain loop."""
-    ordered = s.games.withColumn("game_order", F.col("home_team_id") * 1000 + F.col("away_team_id"))
-    return R.elo_waves(ordered, epochs=1).select("season", "team_id", F.round("elo", 4).alias("elo"), "games")
-
-
 @query("r08_initial", "select r.season, r.team_id, round(b.rating, 3) + 0.0 as initial_rating, round(r.rating, 3) + 0.0 as rating from ratings r left join ratings b on b.team_id = r.team_id and b.season = r.season - 1", RATINGS)
 def initial(s: Star) -> DataFrame:
     return R.initial_rating(solved(s)).select("season", "team_id", (F.round("initial_rating", 3) + 0.0).alias("initial_rating"), (F.round("rating", 3) + 0.0).alias("rating"))
