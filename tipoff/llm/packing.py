@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 from tipoff.llm.bpe import PairIndexBpe
 from tipoff.llm.common import bounded_batches, text_or_empty, uncollected
 
-#: Tokens of one shard: bounds the memory of a task.
-SHARD_TOKENS = 6_000_000
+#: Tokens and documents of one shard: the first bounds the memory of a task, the second the
+#: time of a shard of short documents, as every question looks at all that are unused.
+SHARD_TOKENS, SHARD_DOCS = 6_000_000, 20_000
 #: Neighbours asked of the index at a time; a seed may ask again and again.
 NEIGHBOURS = 16
 #: BM25's parameters.
@@ -127,7 +128,9 @@ def load(path: str) -> LibraryIds:
 
 
 class Bm25Shard:
-    """Inverted index of one shard: postings (document, weight) by term."""
+    """Inverted index of one shard: postings (document, weight) by term.
+
+    The separator at a document's end is no term: all would share it."""
 
     def __init__(self, docs: list[np.ndarray]) -> None:
         self.n = len(docs)
@@ -136,7 +139,7 @@ class Bm25Shard:
         terms, owners, tfs, self.of = [], [], [], [(0, 0)] * self.n
         at = 0
         for i, d in enumerate(docs):
-            t, c = np.unique(d, return_counts=True)
+            t, c = np.unique(d[:-1], return_counts=True)
             terms.append(t)
             tfs.append(c)
             owners.append(np.full(len(t), i, np.int32))
@@ -174,12 +177,13 @@ class Bm25Shard:
 
     def neighbours(self, seed: int, used: np.ndarray, k: int) -> list[int]:
         """Up to k unused documents by BM25 score for all terms of the seed."""
+        if self.of[seed][0] == self.of[seed][1]:
+            return []  # an empty text
         gone = used[self.ids]
         if np.count_nonzero(gone) > SHRINK * len(self.ids):
             self.shrink(used)
             gone = used[self.ids]
-        lo, hi = self.of[seed]
-        terms = self.terms[lo:hi]
+        terms = self.terms[slice(*self.of[seed])]
         row = self.row[terms]
         asked = np.zeros(len(self.rows), np.float32)
         asked[row[row >= 0]] = 1
@@ -271,7 +275,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, separator: int = 1, id_
             ids += batch.column(0).to_pylist()
             packed += new
             size += sum(map(len, new)) // 4
-            if size >= SHARD_TOKENS:
+            if size >= SHARD_TOKENS or len(ids) >= SHARD_DOCS:
                 out, n = shard(ids, packed, base)
                 yield out
                 ids, packed, size, base = [], [], 0, base + n

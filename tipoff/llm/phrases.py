@@ -29,6 +29,7 @@ from pyspark.sql.window import Window
 from tipoff.llm.common import Workspace, bounded_batches, map_batches, text_or_empty
 from tipoff.llm.regions import Rolling, byte_symbols
 from tipoff.llm.repeats import unlisted
+from tipoff.operators.ordering import numbered
 
 #: Bytes of text in a shard, and cells of the words that are followed at once.
 SHARD_BYTES, BATCH_CELLS = 6_000_000, 200_000
@@ -387,12 +388,15 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, share: int
     for length, gone in enumerate(inside_longer(phrases, share), 2):
         keys = ["lang", *columns[:length]]
         table = table.join(gone.withColumn("length", F.lit(length)), [*keys, "length"], "left_anti")
-    # by score and occurrences first: only what may be among the first is named
-    rank = F.rank().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a")))
-    first = work.put(table.withColumn("place", rank).filter(F.col("place") <= top).drop("place"), "first")
+    # by score and occurrences first: only what may be among the first is named; a language's
+    # phrases are placed by ranges, as they may be many
+    placed = numbered(table, ["lang"], [F.desc("score"), F.desc("a"), *[F.asc(c) for c in columns]], "place")
+    edge = placed.filter(F.col("place") == top).select("lang", F.col("score").alias("edge_score"), F.col("a").alias("edge_a"))  # a row a language
+    kept = F.col("edge_score").isNull() | (F.col("score") > F.col("edge_score")) | ((F.col("score") == F.col("edge_score")) & (F.col("a") >= F.col("edge_a")))
+    first = work.put(placed.join(edge, "lang", "left").filter(kept).drop("place", "edge_score", "edge_a"), "first")
     for c in columns:
         name = words.select("lang", F.col("w1").alias(c), F.col("word").alias(f"{c}_word"))
         first = first.join(name, ["lang", c], "left")
     named = first.withColumn("phrase", F.concat_ws(" ", *[f"{c}_word" for c in columns]))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    return named.withColumn("rank", place.cast("long")).filter(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    ranked = numbered(named, ["lang"], [F.desc("score"), F.desc("a"), F.asc("phrase")], "rank")
+    return ranked.filter(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
