@@ -412,5 +412,8 @@ def test_pipeline_is_its_stages_by_plain_versions(spark):
 
 
 def test_pipeline_runs(spark):
+    other = minhash.near_classes(spark.read.parquet(f"{SF}/documents.parquet"))
+    classes = sorted(other.select("doc_id", "class_id").collect())
     rows = corpus_pipeline.run(spark, SF).collect()
+    assert sorted(other.select("doc_id", "class_id").collect()) == classes  # its tables are still there
     assert rows and all(0 < r.length <= 2048 for r in rows)
