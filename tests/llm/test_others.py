@@ -262,6 +262,23 @@ def test_resampling():
     assert media.resample(np.arange(10, dtype=np.int16) * 10, 10, 15).tolist()[:4] == [0, 6, 13, 20]
 
 
+@pytest.mark.parametrize("rate, to", [(8000, 4000), (16000, 4000), (11025, 4000), (48000, 44100)])
+def test_nothing_folds_back(rate, to):
+    assert np.abs(media.low_pass_taps(rate, to)).sum() < 1 << 15  # sums of 16-bit samples fit 32 bits
+    assert set(media.resample(np.full(5000, -32768, np.int16), rate, to).tolist()) == {-32768}
+    at = np.arange(20_000) / rate
+    low = (np.sin(2 * np.pi * at * to * 0.1) * 20_000).astype(np.int16)
+    high = (np.sin(2 * np.pi * at * (to / 2 + (rate - to) / 4)) * 20_000).astype(np.int16)
+    kept = media.resample(low, rate, to)
+    assert len(kept) == (20_000 - 1) * to // rate + 1
+    wanted = np.sin(2 * np.pi * np.arange(len(kept)) / to * to * 0.1) * 20_000
+    assert np.abs(kept[100:-100] - wanted[100:-100]).max() < 1000
+    if rate > 2 * to - 1:
+        assert np.abs(media.resample(high, rate, to)[100:-100]).max() < 200
+    short = media.resample(np.array([5, 6], np.int16), rate, to)
+    assert 1 <= len(short) <= 2
+
+
 def test_decode_column(spark):
     tone = (np.sin(np.arange(800) / 9) * 9000).astype("<i2")
     rows = [(1, media.wav(media.MU_LAW, 8000, bytes(range(256)))), (2, media.wav(media.A_LAW, 8000, bytes(range(256)))), (3, media.wav(media.IMA_ADPCM, 8000, media.encode_ima(tone, 128), 4, 128)), (4, media.wav(media.PCM, 16000, tone.tobytes(), 16)), (5, None), (6, b"junk")]
@@ -292,8 +309,18 @@ def plain_law(kind, b):
     return x if b & 128 else -x
 
 
+def plain_low_pass(x, f):
+    """Every f-th sample, each a weighted sum of its neighbours."""
+    half = 8 * f
+    shape = [(math.sin(math.pi * t / f) / (math.pi * t / f) if t else 1) * (1 + math.cos(math.pi * t / (half + 1))) for t in range(-half, half + 1)]
+    taps = [round(s / sum(shape) * 16384) for s in shape]
+    taps[half] += 16384 - sum(taps)
+    wide = [x[0]] * half + x + [x[-1]] * half
+    return [max(-32768, min(32767, (sum(a * b for a, b in zip(taps, wide[k : k + 2 * half + 1], strict=True)) + 8192) // 16384)) for k in range(0, len(x), f)]
+
+
 def plain_feature(kind, payload):
-    x = plain_ima(payload, 36)[::4] if kind == "ima" else [plain_law(kind, b) for b in payload[::2]]
+    x = plain_low_pass(plain_ima(payload, 36), 4) if kind == "ima" else plain_low_pass([plain_law(kind, b) for b in payload], 2)
     rms = int((sum(v * v for v in x) // len(x)) ** 0.5)
     return f"{kind};n={len(x)};peak={max(map(abs, x))};rms={rms};zc={sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))}"
 

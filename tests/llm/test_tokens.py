@@ -1,9 +1,11 @@
 """BPE, token counts and packing against the library on hard texts."""
 
 import hashlib
+import json
 import random
 import zlib
 from array import array
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -64,6 +66,19 @@ def test_small_cache_changes_nothing(monkeypatch):
     assert mine.encode(known) == [lib.encode(t, add_special_tokens=False).ids for t in known]
 
 
+@pytest.mark.parametrize("path, kind", [(WORD, bpe.PairIndexBpe), (BYTE, tokencount.PrefixCounts)])
+def test_special_strings_are_the_files(tmp_path, path, kind):
+    spec = json.loads(Path(path).read_text())
+    last = max([*spec["model"]["vocab"].values(), *[t["id"] for t in spec["added_tokens"]]])
+    spec["added_tokens"] += [{"id": last + 1, "content": "[CUT]", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}]
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec))
+    lib, mine = Tokenizer.from_file(str(other)), kind(str(other))
+    for text in ("a[CUT]b", "[CUT]", "no [CUT here", "x <|endoftext|> [CUT][CUT] y"):
+        want = lib.encode(text, add_special_tokens=False).ids
+        assert (mine.count(text) == len(want)) if kind is tokencount.PrefixCounts else (mine.encode([text]) == [want])
+
+
 def frame(spark, rows=None):
     rows = [(None if i == 3 else i % 12, t, i) for i, t in enumerate(HARD)] if rows is None else rows
     return spark.createDataFrame(rows, "doc_id long, text string, n_tokens long")
@@ -180,9 +195,10 @@ def test_retrieval_prefers_like_documents():
 
 def test_neighbours_are_those_of_the_whole_query():
     rng = np.random.default_rng(6)
-    docs = [rng.zipf(1.3, rng.integers(1, 200)).clip(1, 900).astype(np.uint32) for _ in range(150)]
+    # each ends with the separator, which is no term though it counts as a token
+    docs = [np.append(rng.zipf(1.3, rng.integers(1, 200)).clip(1, 900) + 1, 1).astype(np.uint32) for _ in range(150)]
     index, used = packing.Bm25Shard(docs), rng.random(150) < 0.2
-    counts = [dict(zip(*(x.tolist() for x in np.unique(d, return_counts=True)), strict=True)) for d in docs]
+    counts = [dict(zip(*(x.tolist() for x in np.unique(d[:-1], return_counts=True)), strict=True)) for d in docs]
     mean = np.mean([len(d) for d in docs])
     df = {t: sum(t in c for c in counts) for c in counts for t in c}
     for seed in range(150):

@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import os
 import re
 import unicodedata
 from array import array
@@ -75,6 +76,7 @@ class PairIndexBpe:
         library = Tokenizer.from_file(path)
         self._normalizer, self._cutter = library.normalizer, library.pre_tokenizer
         self._special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self._special_mark = os.path.commonprefix(list(self.special))  # what each special string begins with
         self._pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         self._pieces: dict[bytes, bytes] = {}
         self._chunks: dict[str, bytes] = {}
@@ -91,7 +93,7 @@ class PairIndexBpe:
 
     def segments(self, text: str) -> list[tuple[bool, str]]:
         """(is a special token, string) runs of a text."""
-        if self._special_at is None or "<|" not in text:
+        if self._special_at is None or self._special_mark not in text:
             return [(False, text)]
         return [(x in self.special, x) for x in self._special_at.split(text) if x]
 

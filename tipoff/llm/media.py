@@ -3,12 +3,13 @@
 G.711 samples are expanded by 256-entry lookup tables made from the law's rule.
 IMA ADPCM blocks are decoded with numpy across the blocks of all files of a batch: they
 advance one nibble at a time together, so the Python loop is as long as one block, not
-as the files.  Decoded 16-bit samples are resampled by linear interpolation and stored
-as PCM.
+as the files.  Decoded 16-bit samples are resampled (through a low-pass filter where the
+rate falls, by linear interpolation elsewhere) and stored as PCM.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import zlib
@@ -163,19 +164,49 @@ def samples_of(media: list[bytes]) -> list[tuple[int, np.ndarray]]:
     return out
 
 
+#: Zero crossings of the low-pass filter on each side, and the sum of its integer taps.
+LOBES, TAP_SUM = 8, 1 << 14
+
+
+@functools.cache
+def low_pass_taps(rate: int, to: int) -> np.ndarray:
+    """A sinc that ends at half of the lower rate, under a Hann window, in integers."""
+    half = -(-LOBES * rate // to)
+    t = np.arange(-half, half + 1)
+    shape = np.sinc(t * to / rate) * (1 + np.cos(np.pi * t / (half + 1)))
+    taps = np.rint(shape / shape.sum() * TAP_SUM).astype(np.int32)
+    taps[half] += TAP_SUM - taps.sum()  # a constant stays what it is
+    return taps
+
+
+def low_pass(x: np.ndarray, rate: int, to: int, step: int) -> np.ndarray:
+    """Every ``step``-th sample of x without what the lower rate can't carry; beyond its
+    ends x goes on as it ends.  Sums stay within 32 bits."""
+    taps = low_pass_taps(rate, to)
+    wide = np.pad(x, len(taps) // 2, "edge").astype(np.int32)
+    last = (len(x) - 1) // step * step
+    total = np.full(last // step + 1, TAP_SUM // 2, np.int32)
+    for t in np.flatnonzero(taps):
+        total += taps[t] * wide[t : t + last + 1 : step]
+    return np.clip(total // TAP_SUM, -32768, 32767).astype(np.int16)
+
+
 def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """Linear interpolation in integers: sample k lies at k * rate / to."""
+    """Linear interpolation in integers: sample k lies at k * rate / to.  To a lower rate,
+    a low-pass filter comes first, so that nothing folds back."""
     if rate == to or len(x) < 2:
         return x
     n = (len(x) - 1) * to // rate + 1
+    if rate % to == 0:  # every sample is one of the source's
+        return low_pass(x, rate, to, rate // to)
+    if to < rate:
+        x = low_pass(x, rate, to, 1)
     if to % rate == 0:  # a whole factor: every source interval has the same places
         f = to // rate
         wide = x.astype(np.int32)
         step = np.arange(f, dtype=np.int32)
         between = (wide[:-1, None] * (f - step) + wide[1:, None] * step) // f
         return np.append(between.reshape(-1), wide[-1]).astype(np.int16)[:n]
-    if rate % to == 0:  # every sample is one of the source's
-        return x[:: rate // to][:n]
     k = np.arange(n, dtype=np.int64) * rate
     i, part = k // to, k % to
     j = np.minimum(i + 1, len(x) - 1)

@@ -21,6 +21,7 @@ from __future__ import annotations
 import functools
 import itertools
 import json
+import os
 import re
 from array import array
 
@@ -67,6 +68,7 @@ class PrefixCounts:
                 self.parts_of[new], self.made_at[new] = pair, r
         self.special = sorted(special, key=len, reverse=True)
         self._special_at = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if special else None
+        self._special_mark = os.path.commonprefix(list(self.special))  # what each special string begins with
         self._pattern = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
         self._cutter = Tokenizer.from_file(path).pre_tokenizer
         self._beside: dict[int, bool] = {}
@@ -138,7 +140,7 @@ class PrefixCounts:
         return [first, *[" " + p for p in rest]]
 
     def runs(self, text: str) -> list[tuple[bool, str]]:
-        if self._special_at is None or "<|" not in text:
+        if self._special_at is None or self._special_mark not in text:
             return [(False, text)]
         return [(x in self.special, x) for x in self._special_at.split(text) if x]
 
