@@ -21,6 +21,9 @@ from tipoff.sources.shared import written
 CLASS_YEARS = ("FR", "SO", "JR", "SR", "GR")
 POSITIONS = {"BUILDING": "G", "HOUSEHOLD": "G", "AUTOMOBILE": "F", "FURNITURE": "F", "MACHINERY": "C"}
 
+#: Line items of a task of the joins and sums, of some 800 bytes of memory each.
+ITEMS = 500_000
+
 
 def count_when(condition: str) -> Column:
     return F.sum(F.when(F.expr(condition), 1).otherwise(0)).cast("long")
@@ -59,6 +62,17 @@ class Star:
             F.when(key % 7 == 0, True).when(key % 7 == 1, False).alias("in_transfer_portal"),
         )
 
+    @cached_property
+    def tasks(self) -> int:
+        """Tasks that the line items need, so that a task's share is bounded at any size of
+        the table; 0 where Spark's own number is enough.  Counted from the files' footers."""
+        needed = -(-self.table("lineitem").count() // ITEMS)
+        return needed if needed > min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism) else 0
+
+    def dealt(self, frame: DataFrame, *keys: str) -> DataFrame:
+        """A frame of the size of the lines by keys, to so many tasks."""
+        return frame.repartition(self.tasks, *keys) if self.tasks else frame
+
     @cached_property
     def lines(self) -> DataFrame:
         """One row a player, order and opponent: a game line."""
@@ -66,12 +80,9 @@ class Star:
         order = self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate")
         player = self.table("customer").select("c_custkey", "c_nationkey")
         supplier = self.table("supplier").select("s_suppkey", "s_nationkey")
-        joined = (
-            item.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-            .join(order, F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(player, F.col("o_custkey") == F.col("c_custkey"))
-            .filter("c_nationkey <> s_nationkey")
-        )
+        served = self.dealt(item.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")), "l_orderkey")
+        ordered = self.dealt(served.join(order, F.col("l_orderkey") == F.col("o_orderkey")), "o_custkey")
+        joined = ordered.join(player, F.col("o_custkey") == F.col("c_custkey")).filter("c_nationkey <> s_nationkey")
         quantity = F.col("l_quantity").cast("int")
         return (
             joined.groupBy("o_custkey", "o_orderdate", "l_orderkey", "c_nationkey", "s_nationkey")
