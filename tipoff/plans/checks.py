@@ -179,7 +179,7 @@ def cascade(s: Star) -> DataFrame:
 def literal(s: Star) -> DataFrame:
     """Every line twice, under another game id."""
     twice = s.lines.unionByName(s.lines.withColumn("game_id", F.col("game_id") + 1))
-    return K.literal_duplicates(twice).groupBy("season").agg(F.count(F.lit(1)).alias("kept"))
+    return K.literal_duplicates(s.dealt(twice, "player_id", "game_ts")).groupBy("season").agg(F.count(F.lit(1)).alias("kept"))
 
 
 @query("k15_ghosts", "select season, count(*) as ghosts from lines where assists = 1 and points < 5 group by season")
