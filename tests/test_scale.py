@@ -2,6 +2,7 @@
 
 import difflib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -55,6 +56,23 @@ def test_close_matches(spark, monkeypatch, cutoff, top, group):
     assert got == nearest([a for a in asked if a], [o for o in offered if o], cutoff, top)
 
 
+def test_shared_grams_of_all_pairs(monkeypatch):
+    """By tables of any width, against counters."""
+    names, choices = invented(5, 20), invented(6, 20)
+    for wide, size in ((2048, 1), (3, 1), (2048, 2), (7, 2)):
+        monkeypatch.setattr(matching, "WIDE", wide)
+        bag = lambda n: Counter(n[i : i + size] for i in range(len(n) - size + 1))
+        assert matching.shared(names, choices, size).tolist() == [[(bag(a) & bag(b)).total() for b in choices] for a in names]
+
+
+def test_blocks_of_many_pairs_take_time_in_proportion():
+    names = [f"{a} Brand {i}" for i in range(5_000) for a in ("large ring", "hot bolt")]
+    began = time.process_time()
+    got = matching.matching(names, names[1:] + names[:1])
+    assert time.process_time() - began < 8  # 16 s for 10,000 pairs when each asked for the longest of all
+    assert got[0] == sum(m.size for m in difflib.SequenceMatcher(None, names[0], names[1]).get_matching_blocks())
+
+
 def test_fuzzy_query_equals_difflib(spark):
     parts = spark.read.parquet(f"{SF}/part.parquet").collect()
     known = sorted({f"{p.p_name} {p.p_brand} {p.p_type}" for p in parts})

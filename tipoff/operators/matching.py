@@ -11,13 +11,15 @@ it a join:
 
 An inverted index has each choice under its rarest tokens only, as many as such an overlap
 needs (prefix filter); names look up theirs.  Tokens are pairs of neighbours where the ratio
-asks for some, else single characters.  Pairs that meet and pass both bounds get the ratio
-itself, many pairs at a time.
+asks for some, else single characters.  The names and choices of one token meet as tables:
+their shared grams are a product of matrices, and only pairs that pass both bounds become
+rows.  They get the ratio itself, many pairs at a time.
 """
 
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,23 +27,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-#: Names of one token that meet its choices in one group; a token with more is split.
-GROUP = 2_000
+#: Names and choices of one token that meet in one group; a token with more is split.
+GROUP, OFFERED = 2_000, 20_000
+#: Columns of a table of grams.
+WIDE = 2_048
 #: From this length on, frequent characters are left out of the search for blocks.
 LONG = 200
 
 
-def grams(name: Column, size: int) -> Column:
-    """The characters of a name, or its pairs of neighbours, in order."""
-    n = F.length(name) - (size - 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(name, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
-
-
-def numbered(of: Column) -> Column:
-    """Each gram with how many like it came before, so that sets count as multisets."""
-    return F.transform(of, lambda g, i: F.concat(g, F.lit("\u0001"), F.size(F.filter(F.slice(of, 1, i), lambda h: h == g)).cast("string")))
-
-
 def needed(size: int, cutoff: float, total: Column) -> Column:
     """Shared grams that a ratio of ``cutoff`` needs in names of ``total`` characters."""
     return F.ceil(total * (cutoff / 2) - 1e-9) if size == 1 else F.ceil(total * (1.5 * cutoff - 1) - 1 - 1e-9)
@@ -53,13 +46,18 @@ def least_total(cutoff: float) -> Column:
 
 
 def tokens(names: DataFrame, cutoff: float) -> DataFrame:
-    """(id, name, size, token, count, need): the grams of both sizes of every name."""
-    rows = None
-    for size in (1, 2):
-        got = numbered(grams(F.col("name"), size))
-        one = names.select("id", "name", F.lit(size).alias("size"), F.size(got).alias("count"), needed(size, cutoff, least_total(cutoff)).alias("need"), F.explode(got).alias("token"))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+    """(id, name, size, token, count, need): the numbered grams of both sizes of every name."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for size in (1, 2):
+                rows, of = counted(frame.name.tolist(), size)
+                of = [f"{g}\u0001{n}" for g, n in of]
+                yield pd.DataFrame({"id": frame.id.to_numpy()[rows], "name": frame.name.to_numpy()[rows], "size": np.int32(size), "token": pd.Series(of, dtype=object), "count": np.bincount(rows, minlength=1)[rows].astype(np.int32)})
+
+    got = names.select("id", "name").mapInPandas(run, "id long, name string, size int, token string, count int")
+    need = [needed(size, cutoff, least_total(cutoff)) for size in (1, 2)]
+    return got.withColumn("need", F.when(F.col("size") == 1, need[0]).otherwise(need[1]))
 
 
 def rarest(rows: DataFrame, places: DataFrame) -> DataFrame:
@@ -77,21 +75,71 @@ def pairs(names: DataFrame, choices: DataFrame, cutoff: float) -> DataFrame:
     two = F.max(F.when((F.col("size") == 2) & (F.col("need") >= 1), 2).otherwise(1)).over(Window.partitionBy("id"))
     ask = rarest(asked.withColumn("two", two).filter("size = two").drop("two"), places).select("size", "token", "id", "name")
     offer = rarest(offered, places).select("size", "token", F.col("id").alias("choice_id"), F.col("name").alias("choice"))
-    often = ask.groupBy("size", "token").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
-    ask = ask.join(often, ["size", "token"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
-    offer = offer.join(often, ["size", "token"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    total = F.length("name") + F.length("choice")
-    close = 2 * F.least(F.length("name"), F.length("choice")) >= cutoff * total - 1e-9
-    met = ask.join(offer, ["size", "token", "part"]).filter(close).select("id", "name", "choice_id", "choice").distinct()
-    shared = lambda size: F.size(F.array_intersect(numbered(grams(F.col("name"), size)), numbered(grams(F.col("choice"), size))))
-    return met.filter((shared(1) >= needed(1, cutoff, total)) & (shared(2) >= needed(2, cutoff, total)))
+    often = lambda df, most, parts: df.groupBy("size", "token").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(parts))
+    cells = often(ask, GROUP, "parts").join(often(offer, OFFERED, "slices"), ["size", "token"])
+    part = lambda key, parts: F.pmod(F.xxhash64(key), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    ask = ask.join(cells, ["size", "token"]).withColumn("part", part("id", "parts")).withColumn("slice", every("slices")).drop("parts", "slices")
+    offer = offer.join(cells, ["size", "token"]).withColumn("slice", part("choice_id", "slices")).withColumn("part", every("parts")).drop("parts", "slices")
+    keys = ["size", "token", "part", "slice"]
+    # few bytes and much work: tasks are stated, else small shuffles end in one task
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ask, offer = ask.repartition(tasks, *keys), offer.repartition(tasks, *keys)
+    met = ask.groupBy(*keys).cogroup(offer.groupBy(*keys)).applyInPandas(lambda x, y: near(x, y, cutoff), "id long, name string, choice_id long, choice string")
+    return met.repartition(tasks, "id", "choice_id").distinct()
+
+
+def counted(names: list[str], size: int) -> tuple[np.ndarray, list[tuple[str, int]]]:
+    """The numbered grams of all names, and the name that each is of."""
+    rows, out = [], []
+    for row, name in enumerate(names):
+        seen: dict[str, int] = {}
+        for i in range(len(name) - size + 1):
+            g = name[i : i + size]
+            seen[g] = seen.get(g, 0) + 1
+            rows.append(row)
+            out.append((g, seen[g]))
+    return np.array(rows, np.int64), out
+
+
+def shared(a: list[str], b: list[str], size: int) -> np.ndarray:
+    """How many grams every name of ``a`` shares with every one of ``b``: a product of 0/1 tables."""
+    (rows_a, of_a), (rows_b, of_b) = counted(a, size), counted(b, size)
+    place = {g: i for i, g in enumerate(set(of_a) & set(of_b))}
+    at_a, at_b = (np.array([place.get(g, -1) for g in of], np.int64) for of in (of_a, of_b))
+    out = np.zeros((len(a), len(b)), np.float32)
+    for low in range(0, len(place), WIDE):
+        tables = []
+        for rows, at, n in ((rows_a, at_a, len(a)), (rows_b, at_b, len(b))):
+            inside = (at >= low) & (at < low + WIDE)
+            table = np.zeros((n, min(WIDE, len(place) - low)), np.float32)
+            table[rows[inside], at[inside] - low] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    return out
+
+
+def near(asked: pd.DataFrame, offered: pd.DataFrame, cutoff: float) -> pd.DataFrame:
+    """The pairs of one token's names and choices that pass both bounds."""
+    out = [pd.DataFrame({"id": pd.Series(dtype="int64"), "name": pd.Series(dtype=str), "choice_id": pd.Series(dtype="int64"), "choice": pd.Series(dtype=str)})]
+    for low in range(0, len(offered) if len(asked) else 0, GROUP):
+        some = offered.iloc[low : low + GROUP]
+        names, choices = asked.name.tolist(), some.choice.tolist()
+        total = np.array([len(n) for n in names])[:, None] + np.array([len(c) for c in choices])
+        passed = shared(names, choices, 1) >= np.ceil(total * (cutoff / 2) - 1e-9)
+        if passed.any():
+            passed &= shared(names, choices, 2) >= np.ceil(total * (1.5 * cutoff - 1) - 1 - 1e-9)
+        i, j = np.nonzero(passed)
+        if len(i):
+            out.append(pd.DataFrame({"id": asked.id.to_numpy()[i], "name": asked.name.to_numpy()[i], "choice_id": some.choice_id.to_numpy()[j], "choice": some.choice.to_numpy()[j]}))
+    return pd.concat(out) if len(out) > 1 else out[0]
 
 
 def matching(a: list[str], b: list[str]) -> np.ndarray:
     """Characters in matching blocks of each pair: all pairs advance together."""
-    wide = lambda x, fill: np.array([[*map(ord, s), *[fill] * (most(x) - len(s))] for s in x], np.int32).reshape(len(x), most(x))
-    most = lambda x: max(map(len, x), default=0)
-    left, right = wide(a, -1), wide(b, -2)
+    most_a, most_b = max(map(len, a), default=0), max(map(len, b), default=0)
+    wide = lambda x, most, fill: np.array([[*map(ord, s), *[fill] * (most - len(s))] for s in x], np.int32).reshape(len(x), most)
+    left, right = wide(a, most_a, -1), wide(b, most_b, -2)
     out = np.zeros(len(a), np.int64)
     pair = np.arange(len(a))
     a_low, a_high = np.zeros(len(a), np.int64), np.array([len(s) for s in a], np.int64)
