@@ -2,6 +2,7 @@
 
 import pytest
 
+from tests.conftest import SF
 from tipoff.plans.refresh import RefreshError, refresh
 from tipoff.sources import html
 from tipoff.sources import tables as S
@@ -78,3 +79,8 @@ def test_game_links_guard(spark):
     assert sorted((r.url, r.place, r.link) for r in got) == [("u", 0, "/box/1"), ("v", 0, "/box/2")]
     with pytest.raises(html.NoLinks):
         html.game_links(pages.union(spark.createDataFrame([("w", "slow down")], "url string, html string")), "href='(/box/[0-9]+)'")
+
+
+def test_streams_end_in_files(spark, tmp_path):
+    got = E.drained(E.once(E.source(spark, SF, "events.parquet")).select("event_id"))
+    assert got.inputFiles() and got.count() == spark.read.parquet(f"{SF}/events.parquet").select("event_id").distinct().count()

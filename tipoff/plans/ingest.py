@@ -119,7 +119,7 @@ def stream_daily(s: Star) -> DataFrame:
 @query("stream_once", "select event_id, user_id from (select distinct event_id, user_id from events)", base="")
 def stream_once(s: Star) -> DataFrame:
     """Extension: duplicates dropped within the watermark."""
-    return E.drain(E.once(E.source(s.spark, s.path, "events.parquet")), "append").select("event_id", "user_id")
+    return E.drained(E.once(E.source(s.spark, s.path, "events.parquet").select("event_id", "user_id", "ts")).select("event_id", "user_id"))
 
 
 @query("stream_best", "select user_id, count(*) as events, round(max(value), 4) as best from events group by user_id", base="")
