@@ -1,10 +1,12 @@
 """Readers, writers, refresh and pages."""
 
+import random
+
 import pytest
 
 from tests.conftest import SF
 from tipoff.plans.refresh import RefreshError, refresh
-from tipoff.sources import html
+from tipoff.sources import html, sheets
 from tipoff.sources import tables as S
 from tipoff.streaming import events as E
 
@@ -81,6 +83,29 @@ def test_game_links_guard(spark):
         html.game_links(pages.union(spark.createDataFrame([("w", "slow down")], "url string, html string")), "href='(/box/[0-9]+)'")
 
 
+def test_plain_pages_are_read_as_the_parser_reads_them():
+    rng = random.Random(3)
+    bits = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<th>", "</th>", "<html>", "</html>", "x > y", " 12  P\n", "a"]
+    odd = ["&amp;", "<a href='/p'>", "</a>", "<TD>", "<td class='b'>", "<!-- <td> -->", "<", "<script>", "<br/>"]
+    plain = 0
+    for n in range(400):
+        page = "".join(rng.choices(bits + (odd if n % 2 else []), k=rng.randint(0, 30)))
+        parser = html._Tables()
+        parser.feed(page)
+        parser.close()
+        assert html.tables(page) == parser.tables, page
+        plain += html._plain_tables(page) is not None
+    assert plain >= 200
+
+
+def test_sheets_are_read_as_wide_as_they_are(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('top\nkey,value,\nversion,"1,2",\n,,\n')
+    assert sheets.width(spark, str(tmp_path / "a.csv")) == 4
+    assert [tuple(r) for r in sheets.read_sheet(spark, str(tmp_path / "a.csv"), ["key", "value"]).collect()] == [("version", "1,2")]
+    (tmp_path / "b.csv").write_text("key," * 200 + "\n")
+    assert sheets.width(spark, str(tmp_path / "b.csv")) == sheets.MOST
+
+
 def test_streams_end_in_files(spark, tmp_path):
     got = E.drained(E.once(E.source(spark, SF, "events.parquet")).select("event_id"))
     assert got.inputFiles() and got.count() == spark.read.parquet(f"{SF}/events.parquet").select("event_id").distinct().count()
