@@ -20,9 +20,15 @@ MOST = 120
 WHOLE, DECIMAL = r"^\s*[+-]?\d{1,18}\s*$", r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
+def width(spark: SparkSession, path: str) -> int:
+    """Columns that no row of a sheet goes beyond: its most commas in a line, and one."""
+    commas = F.length("value") - F.length(F.replace("value", F.lit(","), F.lit("")))
+    return min(MOST, 1 + (spark.read.text(path).agg(F.max(commas).alias("most")).first().most or 0))
+
+
 def cells(spark: SparkSession, path: str) -> DataFrame:
     """(place, cells): the rows of a sheet as text, blank as null, all-blank rows left out."""
-    wide = ", ".join(f"c{i} string" for i in range(MOST))  # else the first line says how many there are
+    wide = ", ".join(f"c{i} string" for i in range(width(spark, path)))  # else the first line says how many there are
     rows = spark.read.schema(wide).option("header", False).csv(path)
     texts = [F.when(F.trim(c) != "", F.col(c)).alias(c) for c in rows.columns]
     file, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
@@ -48,14 +54,17 @@ def read_sheet(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
     """
     rows = cells(spark, path)
     names = F.transform("cells", normal)
-    head = rows.filter(F.size(F.array_except(F.array(*[F.lit(w.lower()) for w in wanted]), names)) == 0)
+    # a header has the first word of each name in its text: few rows get their cells normalised
+    text = F.lower(F.concat_ws(",", "cells"))
+    likely = F.forall(F.array(*[F.lit(w.lower().split("_")[0]) for w in wanted]), lambda w: text.contains(w))
+    head = rows.filter(likely).filter(F.size(F.array_except(F.array(*[F.lit(w.lower()) for w in wanted]), names)) == 0)
     first = head.orderBy("place").select("place", names.alias("names")).first()
     if first is None:
         raise ValueError(f"no row of {path} has the names {wanted}")
     p = first["place"]
     after = (F.col("place.file") > p["file"]) | ((F.col("place.file") == p["file"]) & ((F.col("place.start") > p["start"]) | ((F.col("place.start") == p["start"]) & (F.col("place.row") > p["row"]))))
     # an export in several files has its header in each
-    body = rows.filter(after & ~names.eqNullSafe(F.array(*[F.lit(n) for n in first["names"]])))
+    body = rows.filter(after).filter(~likely | ~names.eqNullSafe(F.array(*[F.lit(n) for n in first["names"]])))
     place = {n: first["names"].index(n) for n in dict.fromkeys(first["names"]) if n}
     texts = body.select(*[F.get("cells", F.lit(i)).alias(n) for n, i in place.items()])
     kinds = texts.agg(*[F.max(kind(F.col(f"`{n}`"))).alias(n) for n in place]).first()  # one row
