@@ -140,9 +140,11 @@ def phantoms(box: DataFrame, least_players: int = 18, least_zero: int = 8, merge
     ``box``: (team_id, game_id, player_id, minutes, external_id).  A box of so many minutes
     that two teams must be in it is another finding (K17).  Returns a row a suspect.
     """
-    n = box.groupBy("team_id", "game_id").agg(F.count(F.lit(1)).alias("players"), F.sum((F.col("minutes") == 0).cast("int")).alias("idle"), F.sum("minutes").alias("total"))
-    odd = n.filter((F.col("players") >= least_players) & (F.col("idle") >= least_zero) & (F.col("total") < merged_minutes))
-    idle = box.filter("minutes = 0 and external_id is not null").join(odd, ["team_id", "game_id"])
+    own = Window.partitionBy("team_id", "game_id")
+    sums = {"players": F.count(F.lit(1)).over(own), "idle": F.sum((F.col("minutes") == 0).cast("int")).over(own), "total": F.sum("minutes").over(own)}
+    counted = box.filter("team_id is not null and game_id is not null").withColumns(sums)
+    odd = counted.filter((F.col("players") >= least_players) & (F.col("idle") >= least_zero) & (F.col("total") < merged_minutes))
+    idle = odd.filter("minutes = 0 and external_id is not null")
     w = Window.partitionBy("team_id", "game_id").orderBy("external_id", "player_id")
     far = F.coalesce((F.col("external_id") - F.lag("external_id").over(w) > gap).cast("int"), F.lit(1))
     marked = idle.withColumn("far", far).withColumn("island", F.sum("far").over(w))
