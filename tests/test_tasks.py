@@ -1,5 +1,6 @@
 """Shares of a task that stay bounded when the tables grow."""
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -25,3 +26,20 @@ def test_literal_duplicates_are_dealt_too(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == want
     # the lines once more, from both halves of the union, by one exchange of their own
     assert got._jdf.queryExecution().toString().count("REPARTITION_BY_NUM") >= 5
+
+
+@pytest.mark.parametrize("name", ["k18_phantoms", "m08_season_scores", "l02_old_projection", "l06_single_fit", "c09_profile_bars"])
+def test_written_lines_are_dealt_again(spark, monkeypatch, name):
+    want = sorted(map(str, entry.queries()[name](spark, SF).collect()))
+    monkeypatch.setattr(star, "ITEMS", 300)
+    got = entry.queries()[name](spark, SF)
+    assert sorted(map(str, got.collect())) == want
+    # the step after the written lines isn't left to the session's number of tasks
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("name", ["s11_men", "s11_ratings", "s11_schedules", "c05_radar", "c06_totals", "c10_resort", "k20_ghost_rosters", "l01_old_roles", "l03_old_cache"])
+def test_results_do_not_depend_on_the_number_of_tasks(spark, monkeypatch, name):
+    want = sorted(map(str, entry.queries()[name](spark, SF).collect()))
+    monkeypatch.setattr(star, "ITEMS", 300)
+    assert sorted(map(str, entry.queries()[name](spark, SF).collect())) == want

@@ -168,7 +168,8 @@ scores as (select player_id, season, raw, 60 + case when raw >= m then 39 else 3
 
 def scored(s: Star) -> DataFrame:
     s.keep_lines()
-    return P.season_scores(s.lines, s.players, s.games, solved(s))
+    games = s.once("games", lambda: s.games)  # a row a pair of teams and season: known to be small
+    return P.season_scores(s.dealt(s.lines, "player_id"), s.players, games, solved(s))
 
 
 @query("m08_season_scores", SCORES + "select player_id, season, round(raw, 3) + 0.0 as raw, round(score_raw, 3) + 0.0 as score from scores", RATINGS, keep=True)
