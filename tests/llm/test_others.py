@@ -444,3 +444,16 @@ def test_pipeline_runs(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert sorted(other.select("doc_id", "class_id").collect()) == classes  # its tables are still there
     assert rows and all(0 < r.length <= 2048 for r in rows)
+
+
+def test_text_audio_gives_its_pcm(spark):
+    docs = spark.createDataFrame([(i, "some words " * i) for i in range(40)], "doc_id long, text string")
+    seen = set()
+    for r in media.text_audio(docs).collect():
+        raw = ("some words " * r.doc_id).encode()
+        payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        kind = r.feature.split(";")[0]
+        seen.add(kind)
+        x = plain_low_pass(plain_ima(payload, 36), 4) if kind == "ima" else plain_low_pass([plain_law(kind, b) for b in payload], 2)
+        assert list(struct.unpack(f"<{len(r.pcm) // 2}h", r.pcm)) == x
+    assert len(seen) >= 2

@@ -283,13 +283,13 @@ FORMATS = {A_LAW: "alaw", MU_LAW: "ulaw", IMA_ADPCM: "ima", PCM: "pcm"}
 
 
 def text_audio(docs: DataFrame, unit: int = 576, rate: int = 8000, to_rate: int = 4000, id_col: str = "doc_id", text_col: str = "text", feature: Callable[[np.ndarray], str] = describe) -> DataFrame:
-    """Store texts as telephony audio, read the stored column back, store it as PCM.
+    """Store texts as telephony audio, read the stored column back, return it as PCM.
 
     The media table is written to the shared folder and reread; payload digests are
     of the data chunk that was read.  Its samples are expanded or decoded, resampled
-    to ``to_rate`` and stored as 16-bit PCM in a second table, from which the result
-    comes; the feature is the format and a description of the PCM.  Null texts are
-    empty (one unit of filling); repeated rows and null ids are kept; further columns
+    to ``to_rate`` and returned as 16-bit PCM, the column ``pcm``, which is stored where
+    the result is; the feature is the format and a description of the PCM.  Null texts
+    are empty (one unit of filling); repeated rows and null ids are kept; further columns
     are not carried; an empty table gives no rows.
     """
     work = Workspace(docs.sparkSession, "media")
@@ -305,4 +305,4 @@ def text_audio(docs: DataFrame, unit: int = 576, rate: int = 8000, to_rate: int
         types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]], names=[*[f.split()[0] for f in MEDIA.split(", ")], "pcm"])
 
-    return work.put(map_batches(stored, run, MEDIA + ", pcm binary"), "pcm").drop("pcm")
+    return map_batches(stored, run, MEDIA + ", pcm binary")
