@@ -19,6 +19,18 @@ def test_lines_are_dealt_to_tasks_by_the_size_of_the_table(spark, monkeypatch):
     assert sorted(map(tuple, many.lines.collect())) == want
 
 
+@pytest.mark.parametrize("name", ["s11_men", "c05_radar"])
+def test_items_are_dealt_to_suppliers_that_are_too_many_to_broadcast(spark, monkeypatch, name):
+    want = sorted(map(str, entry.queries()[name](spark, SF).collect()))
+    dealt = []
+    real = star.Star.dealt
+    monkeypatch.setattr(star.Star, "dealt", lambda s, frame, *keys: dealt.append(keys) or real(s, frame, *keys))
+    monkeypatch.setattr(star, "ITEMS", 300)
+    monkeypatch.setattr(star, "SUPPLIERS", 5, raising=False)
+    assert sorted(map(str, entry.queries()[name](spark, SF).collect())) == want
+    assert ("l_suppkey",) in dealt  # else Spark's own number of tasks sorts all items
+
+
 def test_literal_duplicates_are_dealt_too(spark, monkeypatch):
     want = sorted(map(tuple, entry.queries()["k13_literal"](spark, SF).collect()))
     monkeypatch.setattr(star, "ITEMS", 300)

@@ -24,6 +24,9 @@ POSITIONS = {"BUILDING": "G", "HOUSEHOLD": "G", "AUTOMOBILE": "F", "FURNITURE":
 #: Line items of a task of the joins and sums, of some 800 bytes of memory each.
 ITEMS = 500_000
 
+#: Suppliers that are broadcast, some 60 bytes each; to more than these the items are dealt.
+SUPPLIERS = 500_000
+
 
 def count_when(condition: str) -> Column:
     return F.sum(F.when(F.expr(condition), 1).otherwise(0)).cast("long")
@@ -80,7 +83,9 @@ class Star:
         order = self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate")
         player = self.table("customer").select("c_custkey", "c_nationkey")
         supplier = self.table("supplier").select("s_suppkey", "s_nationkey")
-        served = self.dealt(item.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")), "l_orderkey")
+        few = self.table("supplier").count() <= SUPPLIERS
+        met = item.join(F.broadcast(supplier), F.col("l_suppkey") == F.col("s_suppkey")) if few else self.dealt(item, "l_suppkey").join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        served = self.dealt(met, "l_orderkey")
         ordered = self.dealt(served.join(order, F.col("l_orderkey") == F.col("o_orderkey")), "o_custkey")
         joined = ordered.join(player, F.col("o_custkey") == F.col("c_custkey")).filter("c_nationkey <> s_nationkey")
         quantity = F.col("l_quantity").cast("int")
