@@ -31,6 +31,17 @@ def test_items_are_dealt_to_suppliers_that_are_too_many_to_broadcast(spark, monk
     assert ("l_suppkey",) in dealt  # else Spark's own number of tasks sorts all items
 
 
+@pytest.mark.parametrize("name", ["s11_schedules", "l03_old_cache"])
+def test_items_are_scanned_in_as_many_tasks(spark, monkeypatch, name):
+    conf, seen = "spark.sql.files.minPartitionNum", []
+    before, real = spark.conf.get(conf, None), star.written
+    monkeypatch.setattr(star, "ITEMS", 300)
+    monkeypatch.setattr(star, "written", lambda *a: seen.append(spark.conf.get(conf, None)) or real(*a))
+    entry.queries()[name](spark, SF)
+    assert seen and all(int(s or 0) == star.Star(spark, SF).tasks for s in seen)
+    assert spark.conf.get(conf, None) == before  # the session's setting is as it was
+
+
 def test_literal_duplicates_are_dealt_too(spark, monkeypatch):
     want = sorted(map(tuple, entry.queries()["k13_literal"](spark, SF).collect()))
     monkeypatch.setattr(star, "ITEMS", 300)

@@ -8,7 +8,8 @@ joins are left to the optimiser.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -76,6 +77,19 @@ class Star:
         """A frame of the size of the lines by keys, to so many tasks."""
         return frame.repartition(self.tasks, *keys) if self.tasks else frame
 
+    @contextmanager
+    def finely(self) -> Iterator[None]:
+        """While tables are written: the items are scanned in that many tasks too, as a split
+        of the usual size may hold millions, which a shuffle to many tasks keeps in memory."""
+        name = "spark.sql.files.minPartitionNum"
+        was = self.spark.conf.get(name, None)
+        if self.tasks > int(was or 0):
+            self.spark.conf.set(name, self.tasks)
+        try:
+            yield
+        finally:
+            self.spark.conf.unset(name) if was is None else self.spark.conf.set(name, was)
+
     @cached_property
     def lines(self) -> DataFrame:
         """One row a player, order and opponent: a game line."""
@@ -123,14 +137,16 @@ class Star:
         """A frame that several parts of one query use: written once, by partitions."""
         kept = self.__dict__.setdefault("_kept", {})
         if name not in kept:
-            kept[name] = written(make(), name, *partitions)
+            with self.finely():
+                kept[name] = written(make(), name, *partitions)
         return kept[name]
 
     def keep_lines(self) -> Star:
         """Write the lines by season, for plans that read them in several roles: the joins
         and the aggregate below them run once, and a season's filter reaches the scan."""
         if "_lines" not in self.__dict__:
-            self.__dict__["_lines"] = self.__dict__["lines"] = written(self.lines, "lines", "season")
+            with self.finely():
+                self.__dict__["_lines"] = self.__dict__["lines"] = written(self.lines, "lines", "season")
             self.__dict__.pop("games", None)
         return self
 
