@@ -42,6 +42,20 @@ def test_items_are_scanned_in_as_many_tasks(spark, monkeypatch, name):
     assert spark.conf.get(conf, None) == before  # the session's setting is as it was
 
 
+def test_items_are_scanned_in_as_many_tasks_for_a_query_that_keeps_no_lines(spark, monkeypatch):
+    conf, seen = "spark.sql.files.minPartitionNum", []
+    before, real = spark.conf.get(conf, None), star.written
+    want = sorted(map(tuple, entry.queries()["c05_radar"](spark, SF).collect()))
+    monkeypatch.setattr(star, "written", lambda *a: seen.append(spark.conf.get(conf, None)) or real(*a))
+    entry.queries()["c05_radar"](spark, SF)
+    assert not seen  # few rows: lazy, nothing is written
+    monkeypatch.setattr(star, "ITEMS", 300)
+    got = entry.queries()["c05_radar"](spark, SF)
+    assert len(seen) == 1 and int(seen[0] or 0) == star.Star(spark, SF).tasks
+    assert sorted(map(tuple, got.collect())) == want
+    assert spark.conf.get(conf, None) == before
+
+
 def test_literal_duplicates_are_dealt_too(spark, monkeypatch):
     want = sorted(map(tuple, entry.queries()["k13_literal"](spark, SF).collect()))
     monkeypatch.setattr(star, "ITEMS", 300)

@@ -288,7 +288,7 @@ def best_three(s: Star) -> DataFrame:
 @query("c05_radar", "select player_id, season, round(greatest(0.0, least(1.0, avg(points) / 60)), 4) as pts, round(greatest(0.0, least(1.0, avg(rebounds) / 12)), 4) as reb, round(1 - greatest(0.0, least(1.0, avg(turnovers) / 12)), 4) as tov from lines group by player_id, season")
 def radar(s: Star) -> DataFrame:
     part = lambda c, top: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.avg(c) / top))
-    return s.lines.groupBy("player_id", "season").agg(rate(part("points", 60)).alias("pts"), rate(part("rebounds", 12)).alias("reb"), rate(1 - part("turnovers", 12)).alias("tov"))
+    return s.bounded("radar", lambda: s.lines.groupBy("player_id", "season").agg(rate(part("points", 60)).alias("pts"), rate(part("rebounds", 12)).alias("reb"), rate(1 - part("turnovers", 12)).alias("tov")))
 
 
 @query("c07_compare", ", v as (select team_id, avg(scored) as scored, avg(allowed) as allowed, cast(count(*) as double) as games from sides where team_id in (3, 8) group by team_id), l as (unpivot v on scored, allowed, games into name stat value value) select stat, round(max(value) filter (team_id = 3), 4) as first, round(max(value) filter (team_id = 8), 4) as second from l group by stat")

@@ -141,6 +141,11 @@ class Star:
                 kept[name] = written(make(), name, *partitions)
         return kept[name]
 
+    def bounded(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A frame over all lines of a query that doesn't write these: written itself where the
+        items need many tasks, so that they are scanned in as many."""
+        return self.once(name, make) if self.tasks else make()
+
     def keep_lines(self) -> Star:
         """Write the lines by season, for plans that read them in several roles: the joins
         and the aggregate below them run once, and a season's filter reaches the scan."""
